@@ -261,9 +261,9 @@ def _(spark, sf):
 
 
 @register("recent_commits", query(["failures", "commits"], """
-    SELECT event_id, CAST(row_number() OVER (PARTITION BY event_id ORDER BY date DESC, sha DESC) AS INTEGER) AS rank,
+    SELECT f.event_id, CAST(row_number() OVER (PARTITION BY f.event_id ORDER BY date DESC, sha DESC) AS INTEGER) AS rank,
            short_sha, message, author
-    FROM failures JOIN commits ON date <= failed_at AND date >= failed_at - INTERVAL 24 HOUR
+    FROM failures f JOIN commits ON date <= failed_at AND date >= failed_at - INTERVAL 24 HOUR
     QUALIFY rank <= 20"""))
 def _(spark, sf):
     rows = commit_ops.recent_commits(v.failures(spark, sf), v.commits(spark, sf))
@@ -391,7 +391,7 @@ ASOF_SOURCES = ("asof_sources", """
 
 @register("source_health_asof", query(["failures", "drift"], """
     SELECT f.event_id, coalesce(string_agg(source_name || '=' || reachable || '/' || row_count || '/'
-               || coalesce(CAST(before AS VARCHAR), '-') || '/' || coalesce(error_message, ''), '|' ORDER BY i), '')
+               || coalesce(CAST(before AS VARCHAR), '-') || '/' || coalesce(a.error_message, ''), '|' ORDER BY i), '')
                AS sources, CAST(count(a.i) AS INTEGER) AS n_sources
     FROM failures f LEFT JOIN asof_sources a USING (event_id) GROUP BY f.event_id""", [ASOF_SOURCES]))
 def _(spark, sf):
@@ -433,9 +433,9 @@ def similar(spark, sf, **options) -> DataFrame:
     return inc.similar_incidents(_probes(stored), stored, **options)
 
 
-@register("similar_incidents", query(["similar"], """
+@register("similar_incidents", query(["nearest"], """
     SELECT probe_id, incident_id, CAST(rank AS INTEGER) AS rank, round(distance, 6) AS distance,
-           round(similarity_score, 6) AS similarity_score FROM similar"""))
+           round(similarity_score, 6) AS similarity_score FROM nearest"""))
 def _(spark, sf):
     return similar(spark, sf).select(
         "probe_id", "incident_id", "rank", rounded("distance"), rounded("similarity_score"))
@@ -464,10 +464,10 @@ def _(spark, sf):
     return similar(spark, sf, metric="cosine").select("probe_id", "incident_id", rounded("distance"))
 
 
-@register("recurrence", query(["incidents", "similar"], """
+@register("recurrence", query(["incidents", "nearest"], """
     SELECT i.incident_id AS probe_id, count(s.incident_id) > 0 AS is_recurring,
            CAST(count(s.incident_id) AS INTEGER) AS recurrence_count
-    FROM incidents i LEFT JOIN similar s ON s.probe_id = i.incident_id GROUP BY 1"""))
+    FROM incidents i LEFT JOIN nearest s ON s.probe_id = i.incident_id GROUP BY 1"""))
 def _(spark, sf):
     stored = v.incidents(spark, sf)
     return inc.recurrence(similar(spark, sf), _probes(stored))
@@ -593,7 +593,7 @@ def _(spark, sf):
            CAST(CASE json_type(json_extract(verdict, '$.recommendations[0].priority'))
                 WHEN 'BOOLEAN' THEN 1 WHEN 'UBIGINT' THEN least(5, greatest(1, CAST(p AS BIGINT)))
                 WHEN 'BIGINT' THEN least(5, greatest(1, CAST(p AS BIGINT)))
-                WHEN 'VARCHAR' THEN coalesce(least(5, greatest(1, TRY_CAST(p AS BIGINT))),
+                WHEN 'VARCHAR' THEN if(TRY_CAST(p AS BIGINT) IS NOT NULL, least(5, greatest(1, TRY_CAST(p AS BIGINT))),
                     CASE lower(p) WHEN 'critical' THEN 1 WHEN 'immediate' THEN 1 WHEN 'high' THEN 2 WHEN 'low' THEN 4
                     ELSE 3 END) ELSE 3 END AS INTEGER) AS priority
     FROM (SELECT *, json_extract_string(verdict, '$.recommendations[0].priority') AS p FROM parsed)

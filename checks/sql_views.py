@@ -194,16 +194,98 @@ VIEWS: dict[str, str] = {
     "neighbours": """
         SELECT p.incident_id AS probe_id, i.incident_id, list_distance(p.embedding, i.embedding) ** 2 AS distance
         FROM incidents p JOIN incidents i ON p.incident_id <> i.incident_id""",
-    "similar": """
+    "nearest": """
         SELECT *, row_number() OVER (PARTITION BY probe_id ORDER BY distance, incident_id) AS rank,
                greatest(0.0, least(1.0, 1.0 - distance)) AS similarity_score
         FROM neighbours QUALIFY rank <= 5""",
 }
 
+VIEWS |= {
+    "sig": "SELECT k AS doc_id, list(f ORDER BY rk) AS fams FROM log_fam f GROUP BY k",
+    "hist": """
+        SELECT dag_id, max(execution_date) FILTER (state = 'success') AS last_success,
+               list(state ORDER BY execution_date DESC, run_id DESC) AS states,
+               list_sum(list(duration_seconds ORDER BY execution_date DESC)
+                        FILTER (state = 'success' AND duration_seconds <> 0))
+                   / count(*) FILTER (state = 'success' AND duration_seconds <> 0) AS avg_duration,
+               CASE WHEN count(*) FILTER (recent) > 0 THEN count(*) FILTER (recent AND state = 'failed')
+                   / count(*) FILTER (recent) ELSE 0 END AS failure_rate,
+               count(*) FILTER (recent) AS total_7d
+        FROM (SELECT *, execution_date > (SELECT max(execution_date) FROM runs) - INTERVAL 7 DAY AS recent FROM runs
+              QUALIFY row_number() OVER (PARTITION BY dag_id ORDER BY execution_date DESC, run_id DESC) <= 20)
+        GROUP BY dag_id""",
+    "recent": """
+        SELECT f.event_id, list(k ORDER BY k.date DESC, k.sha DESC)[1:20] AS recent_commits FROM failures f JOIN (
+            SELECT sha, short_sha, author, message, date FROM commits) k
+            ON k.date <= f.failed_at AND k.date >= f.failed_at - INTERVAL 24 HOUR GROUP BY f.event_id""",
+    "last_commit": """
+        SELECT f.event_id, k.short_sha, date_diff('microsecond', k.date, f.failed_at) / 1e6 / 3600 AS hours
+        FROM failures f ASOF LEFT JOIN (SELECT *, unnest(files_changed) AS file FROM commits) k
+          ON k.file = 'dags/' || f.dag_id || '.py' AND f.failed_at >= k.date""",
+    "asof_metrics": """
+        SELECT f.event_id, m.cpu_percent, m.memory_percent, m.timestamp AS taken_at
+        FROM failures f ASOF LEFT JOIN metrics m ON f.failed_at >= m.timestamp""",
+    "asof_sources": """
+        SELECT event_id, list(a ORDER BY i) AS sources FROM (
+            SELECT f.event_id, s.i, k.source_name, k.reachable, k.latency_ms, k.delta_pct,
+                   coalesce(len(k.added) + len(k.removed) > 0, FALSE) AS schema_changed
+            FROM (SELECT event_id, failed_at FROM failures) f CROSS JOIN (SELECT unnest(range(0, 15)) AS i) s
+            ASOF JOIN drift k ON k.source_name = 'src_' || s.i AND f.failed_at >= k.last_checked) a GROUP BY event_id""",
+    "similar_list": """
+        SELECT f.event_id, list(s ORDER BY s.rank) AS similar_incidents FROM failures f JOIN (
+            SELECT n.probe_id, n.rank, n.incident_id, i.date, i.dag_id, i.task_id, i.root_cause, i.resolution
+            FROM nearest n JOIN incidents i USING (incident_id)) s ON s.probe_id = 'inc_' || f.event_id
+        GROUP BY f.event_id""",
+    "ctx": """
+        SELECT f.*, sha256(f.dag_id || chr(31) || f.task_id || chr(31) || f.run_id || chr(31) || f.try_number)
+                   AS failure_id, t.state AS task_state, t.duration_seconds, t.max_tries, t.operator,
+               n.doc_id IS NOT NULL AS has_context, n.log_lines, n.snippet, right(p.stdout, 2000) AS tail, g.fams,
+               coalesce(kl.key_log_lines, []) AS key_log_lines, h.last_success, h.states, h.avg_duration, h.failure_rate,
+               h.total_7d, coalesce(r.recent_commits, []) AS recent_commits, l.hours, l.short_sha AS last_sha,
+               coalesce(s.sources, []) AS sources, m.cpu_percent, m.memory_percent, m.taken_at, sl.similar_incidents
+        FROM failures f LEFT JOIN task_instances t USING (dag_id, run_id, task_id)
+        LEFT JOIN snippets n ON n.doc_id = f.event_id LEFT JOIN plain_logs p ON p.doc_id = f.event_id
+        LEFT JOIN sig g ON g.doc_id = f.event_id LEFT JOIN key_lines kl ON kl.doc_id = f.event_id
+        LEFT JOIN hist h USING (dag_id) LEFT JOIN recent r ON r.event_id = f.event_id
+        LEFT JOIN last_commit l ON l.event_id = f.event_id LEFT JOIN asof_sources s ON s.event_id = f.event_id
+        LEFT JOIN asof_metrics m ON m.event_id = f.event_id LEFT JOIN similar_list sl ON sl.event_id = f.event_id""",
+    "rep": """
+        SELECT failure_id AS report_id, dag_id, task_id, run_id, failed_at AS failure_time, event_id,
+               if(ok, json_extract_string(verdict, '$.error_category'), coalesce(p.category, 'unknown')) AS error_category,
+               if(ok, json_extract_string(verdict, '$.severity'), coalesce(p.severity, 'medium')) AS severity,
+               if(ok, json_extract_string(verdict, '$.root_cause'), coalesce(p.description,
+                  'Unable to determine root cause from available information')) AS root_cause,
+               if(ok, json_extract_string(verdict, '$.root_cause_summary'), coalesce(p.description,
+                  'Unknown error - manual investigation required')) AS root_cause_summary,
+               if(ok, CAST(json_extract(verdict, '$.confidence') AS DOUBLE), if(p IS NULL, 0.2, 0.6)::DOUBLE) AS confidence,
+               if(ok, CAST(json_extract(verdict, '$.evidence') AS VARCHAR[]),
+                  coalesce(list_transform(p.matches[1:3], lambda m: 'Pattern match: ' || m), [])) AS evidence,
+               key_log_lines, list_transform(recent_commits[1:3], lambda k: k.short_sha || ': ' || k.message)
+                   AS recent_changes,
+               if(ok, json_extract_string(verdict, '$.recommendations[0].action'),
+                  coalesce(p.recommendation, 'Review full logs manually')) AS action,
+               if(ok, json_extract_string(verdict, '$.immediate_action'), NULL) AS immediate_action,
+               coalesce(similar_incidents, []) AS similar_incidents,
+               if(ok, 'tester', NULL) AS llm_model, len(sources) > 0 AS has_sources, taken_at IS NOT NULL AS has_metrics,
+               ok
+        FROM (SELECT c.*, fams[1] AS p, v.verdict, v.verdict IS NOT NULL AS ok FROM ctx c
+              LEFT JOIN (SELECT * FROM parsed WHERE turn = 1) v ON v.conv_id = c.event_id WHERE c.has_context)""",
+}
+
+VIEWS |= {
+    name: sql for name, sql in matches_cte("plain_logs", "doc_id", "stdout", CATALOGUE, prefix="log_")
+}
+
 DEPENDS = {
+    "log_hits": ["plain_logs", "log_cat"], "log_fam": ["log_hits"], "log_prim": ["log_fam"],
     "log_lines": ["plain_logs"], "stripped": ["plain_logs"], "snippets": ["stripped"], "key_lines": ["log_lines"],
     "checks": ["raw_checks"], "drift": ["checks"], "latest": ["resolutions"], "parsed": ["replies"],
-    "neighbours": ["incidents"], "similar": ["neighbours"],
+    "neighbours": ["incidents"], "nearest": ["neighbours"], "sig": ["log_fam"], "hist": ["runs"],
+    "recent": ["failures", "commits"], "last_commit": ["failures", "commits"], "asof_metrics": ["failures", "metrics"],
+    "asof_sources": ["failures", "drift"], "similar_list": ["failures", "nearest"],
+    "ctx": ["failures", "task_instances", "snippets", "sig", "key_lines", "hist", "recent", "last_commit",
+            "asof_sources", "asof_metrics", "similar_list"],
+    "rep": ["ctx", "parsed"],
 }
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 # White space as str.strip sees it: Unicode White_Space plus the four information separators.
 _SPACE = r"[\s\x1c-\x1f]"
@@ -11,6 +11,15 @@ STRIP_REGEX = rf"(?U)\A{_SPACE}+|{_SPACE}+\z"
 SEVERITY_EMOJI = {"critical": "🔴", "high": "🟠", "medium": "🟡", "low": "🟢"}
 
 
+def pinned(df: DataFrame, **columns: Column) -> DataFrame:
+    """Adds costly columns as a one-row generator.
+
+    A filter on a plain projected column is pushed below it, which repeats the whole expression in the filter (and
+    again for every reference inside it).  A filter on a generator's output stays above.
+    """
+    return df.select("*", F.inline(F.array(F.struct(*[col.alias(name) for name, col in columns.items()]))))
+
+
 def strip(text: Column) -> Column:
     """Remove white space at both ends (F.trim removes only blanks)."""
     return F.regexp_replace(text, STRIP_REGEX, "")

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from faultline.functions import signatures as sig
-from faultline.functions.text import split_lines, strip
+from faultline.functions.text import pinned, split_lines, strip
 
 # Words that mark a line as part of the error, and the limits around them.
 ERROR_KEYWORDS = ["error", "exception", "traceback", "failed", "oom", "killed", "timeout"]
@@ -58,11 +58,10 @@ def profile_logs(logs: DataFrame, text: str = "stdout") -> DataFrame:
 def match_logs(logs: DataFrame, text: str = "stdout", custom=None, with_key_lines: bool = True) -> DataFrame:
     """Adds ``matches`` (families in severity order) and ``key_log_lines`` to each log."""
     families = sig.catalogue(custom)
-    out = (
-        logs.withColumn("_folded", sig.folded(F.col(text)))
-        .withColumn("matches", sig.family_matches(F.col(text), F.col("_folded"), families))
-        .drop("_folded")
-    )
+    out = pinned(
+        logs.withColumn("_folded", sig.folded(F.col(text))),
+        matches=sig.family_matches(F.col(text), F.col("_folded"), families),
+    ).drop("_folded")
     if with_key_lines:
         out = out.withColumn("key_log_lines", sig.key_lines(F.col(text), F.col("matches"), families, KEY_LINES))
     return out
@@ -144,7 +143,7 @@ def line_snippet(lines: DataFrame, ids: list[str]) -> DataFrame:
     bounds = lines.groupBy(*ids).agg(
         F.min(hit_no).alias("_first"), F.max(hit_no).alias("_last"), F.max("line_no").alias("_end")
     )
-    low = F.coalesce(F.greatest(F.lit(0), F.col("_first") - LINES_BEFORE), F.col("_end") + 1 - TAIL_LINES)
+    low = F.when(F.col("_first").isNull(), F.col("_end") + 1 - TAIL_LINES).otherwise(F.col("_first") - LINES_BEFORE)
     high = F.coalesce(F.col("_last") + LINES_AFTER - 1, F.col("_end"))
     return (
         lines.join(bounds.select(*ids, low.alias("_low"), high.alias("_high")), ids)

@@ -134,8 +134,12 @@ def nearest_incidents(
         "pid", "grp", "pvec", F.pmod(F.xxhash64("pid"), F.lit(chunks)).cast("int").alias("chunk"),
         F.explode(visits("pvec", "grp")).alias("v"),
     ).select("grp", "v.cell", "v.block", "chunk", "pid", "pvec")
-    meeting = visiting.select("grp", "cell", "block", "chunk").distinct()
-    served = blocked.join(meeting, ["grp", "cell", "block"])
+    meeting = visiting.select(
+        F.col("grp").alias("g"), F.col("cell").alias("c"), F.col("block").alias("b"), F.col("chunk").alias("visitors")
+    ).distinct()
+    served = blocked.join(
+        meeting, (F.col("grp") == F.col("g")) & (F.col("cell") == F.col("c")) & (F.col("block") == F.col("b"))
+    ).select("grp", "cell", "block", F.col("visitors").alias("chunk"), "iid", "ivec")
 
     def search(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         return _search(left, right, k, cosine, exclude_self)
