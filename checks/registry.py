@@ -41,7 +41,7 @@ def rounded(name: str, digits: int = 6) -> Column:
     FROM ({catalogue_rows(CATALOGUE)}) LEFT JOIN documents ON regexp_matches(text, regex, 'i') GROUP BY ALL"""))
 def _(spark, sf):
     """How many raw texts each regex of the catalogue hits (the prose holds none)."""
-    docs = v.table(spark, sf, "documents").select("doc_id", c("text").alias("stdout"))
+    docs = v.texts(spark, sf, "documents").select("doc_id", c("text").alias("stdout"))
     rows = logs.explode_lines(docs, ["doc_id"], stripped=False)
     hits = logs.line_matches(rows, ["doc_id"]).select("sig_idx", "rx_idx", "doc_id").distinct()
     counted = hits.groupBy("sig_idx", "rx_idx").agg(F.count("*").alias("n_logs"))
@@ -176,7 +176,7 @@ def _(spark, sf):
         Signature("fr_marks", "data_quality", "low", ("ê[a-z]+",), "accents", "decode"),
         Signature("articles", "configuration_error", "critical", (r"\bthe ([a-z]+)\b", "und[a-z]*"), "words", "read"),
     ]
-    docs = v.table(spark, sf, "documents").select("doc_id", c("text").alias("stdout"))
+    docs = v.texts(spark, sf, "documents").select("doc_id", c("text").alias("stdout"))
     rows = logs.match_signatures(docs, ["doc_id"], custom=custom)
     return rows.select("doc_id", "name", "n_matches", v.joined("matches").alias("matches"))
 
@@ -562,7 +562,7 @@ def _(spark, sf):
 
 @register("text_similar_incidents", None)
 def _(spark, sf):
-    docs = v.table(spark, sf, "documents").select("doc_id", "text")
+    docs = v.texts(spark, sf, "documents").select("doc_id", "text")
     probes = docs.withColumnRenamed("doc_id", "probe_id")
     stored = docs.withColumnRenamed("doc_id", "incident_id")
     return inc.text_similar_incidents(probes, stored, "text").select(

@@ -40,8 +40,28 @@ COLUMN_POOL = ["id", "name", "email", "created_at", "amount"]
 PRIORITIES = ['4.7', '"4"', '"critical"', 'true', 'null', None, '9', '"HIGH"']
 
 
+# Declared, so that no file is opened to infer a schema.
+SCHEMAS = {
+    "events": "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string",
+    "documents": "doc_id bigint, text string, lang string, source string, n_chars bigint",
+    "embeddings": "vec_id bigint, embedding array<float>, label int",
+    "pages": "page_id bigint, url string, html string",
+    "conversations": "conv_id bigint, turn bigint, role string, text string",
+    "orders": "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double, "
+              "o_orderdate timestamp_ntz, o_orderpriority string",
+}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spark.read.schema(SCHEMAS[name]).parquet(f"{sf_dir}/{name}.parquet")
+
+
+def texts(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table of texts.  A given table is one file with one row group, which a single task would have to process;
+    its rows are spread over the cores.  A table of more files than cores is left as it is."""
+    rows = table(spark, sf_dir, name)
+    cores = spark.sparkContext.defaultParallelism
+    return rows.repartition(cores) if len(rows.inputFiles()) < cores else rows
 
 
 def pick(values: list, index: Column) -> Column:
@@ -134,7 +154,7 @@ def task_instances(spark, sf_dir) -> DataFrame:
 
 def plain_logs(spark, sf_dir) -> DataFrame:
     """Documents as logs: the whole text, then a line with a known family."""
-    return table(spark, sf_dir, "documents").select(
+    return texts(spark, sf_dir, "documents").select(
         "doc_id", "source", F.concat(c("text"), lit("\n"), pick(TEMPLATES, c("doc_id") % 20)).alias("stdout")
     )
 
@@ -229,7 +249,7 @@ def replies(spark, sf_dir) -> DataFrame:
         .when(n % 5 == 1, body).when(n % 5 == 2, F.concat(lit("I think "), body, lit(" is right")))
         .when(n % 5 == 3, body).otherwise(c("text"))
     )
-    return table(spark, sf_dir, "conversations").withColumn("t", text).select("conv_id", "turn", raw.alias("raw"))
+    return texts(spark, sf_dir, "conversations").withColumn("t", text).select("conv_id", "turn", raw.alias("raw"))
 
 
 def dags(spark, sf_dir) -> DataFrame:
@@ -248,7 +268,7 @@ def dag_files(spark, sf_dir) -> DataFrame:
         .otherwise(F.concat(lit("misc/page_"), page, lit(".py")))
     )
     quoted = F.when(kind == 4, F.concat(lit('\nwith DAG(dag_id="dag_'), n, lit('"):'))).otherwise("")
-    return table(spark, sf_dir, "pages").select(path.alias("path"), F.concat(c("html"), quoted).alias("content"))
+    return texts(spark, sf_dir, "pages").select(path.alias("path"), F.concat(c("html"), quoted).alias("content"))
 
 
 def payloads(spark, sf_dir) -> DataFrame:

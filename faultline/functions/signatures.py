@@ -142,6 +142,44 @@ def required_literal(regex: str) -> str | None:
     return longest if len(longest) >= 3 else None
 
 
+def any_word(words: list[str], folds: dict[str, str]) -> str:
+    """A regex that finds any of the lower-case words in either case, without flags.
+
+    Words that share their first letters share that part of the regex, so a position of the text costs one test per
+    first letter and not one per word.  ``folds`` adds letters that count as a given one.
+    """
+    kept = [w for w in set(words) if not any(o != w and w.startswith(o) for o in words)]
+
+    def branch(rest: list[str]) -> str:
+        if "" in rest:
+            return ""
+        heads = sorted({w[0] for w in rest})
+        parts = [letter(h) + branch([w[1:] for w in rest if w[0] == h]) for h in heads]
+        return parts[0] if len(parts) == 1 else "(?:" + "|".join(parts) + ")"
+
+    def letter(char: str) -> str:
+        if char.isalpha():
+            return f"[{char}{char.upper()}{folds.get(char, '')}]"
+        return re.escape(char)
+
+    return branch(kept)
+
+
+# Letters that case folding takes for an ASCII one.
+FOLDS = {"i": "\u0131\u0130", "s": "\u017f", "k": "\u212a"}
+
+
+def screen(text: Column, signatures: list[Signature]) -> Column:
+    """A cheap necessary condition for ``any_signature``: true if the text holds some regex's literal."""
+    words = [required_literal(regex) for s in signatures for regex in s.regexes]
+    return F.lit(True) if None in words else text.rlike(any_word(words, FOLDS))
+
+
+def is_linewise(signatures: list[Signature]) -> bool:
+    """True if no match can cross lines and no anchor sees where a line is cut."""
+    return all(is_plain(regex) for s in signatures for regex in s.regexes)
+
+
 def folded(text: Column) -> Column:
     """Lower case, with the four letters that fold to ASCII only under Unicode case folding."""
     return F.lower(F.translate(text, "\u0131\u0130\u017f\u212a", "iisk"))
@@ -180,16 +218,15 @@ def family_matches(text: Column, folded_text: Column, signatures: list[Signature
 def any_signature(line: Column, signatures: list[Signature]) -> Column:
     """True where a line matches any regex of any family."""
     joined = "|".join(f"(?:{regex})" for s in signatures for regex in s.regexes)
-    return line.rlike(f"{DIALECT}(?:{joined})")
+    return screen(line, signatures) & line.rlike(f"{DIALECT}(?:{joined})")
 
 
-def key_lines(text: Column, matches: Column, signatures: list[Signature], limit: int = 10) -> Column:
-    """The first ``limit`` lines in log order that match anything, stripped.
+def candidate_lines(text: Column, signatures: list[Signature]) -> Column:
+    """The lines that may match, as an array: all that later steps need to read where matching is line-wise."""
+    return F.filter(split_lines(text), lambda line: screen(line, signatures))
 
-    Plain regexes hit a line exactly when they hit the text, so only texts that matched are split.
-    """
-    hits = F.filter(split_lines(text), lambda line: any_signature(line, signatures))
-    found = F.transform(F.slice(hits, 1, limit), strip)
-    if not all(is_plain(regex) for s in signatures for regex in s.regexes):
-        return found
-    return F.when(F.size(matches) > 0, found).otherwise(F.array().cast("array<string>"))
+
+def key_lines(lines: Column, signatures: list[Signature], limit: int = 10) -> Column:
+    """The first ``limit`` lines in log order that match anything, stripped."""
+    hits = F.filter(lines, lambda line: any_signature(line, signatures))
+    return F.transform(F.slice(hits, 1, limit), strip)

@@ -18,7 +18,8 @@ LINES_BEFORE, LINES_AFTER, TAIL_LINES, TAIL_CHARS, TRUNCATED_ABOVE, KEY_LINES =
 
 
 def has_error_keyword(line: Column) -> Column:
-    return F.lower(line).rlike("|".join(ERROR_KEYWORDS))
+    """The lower-cased line holds a keyword (the Kelvin sign is the only other letter that lowers to ASCII)."""
+    return line.rlike(sig.any_word(ERROR_KEYWORDS, {"k": "\u212a"}))
 
 
 def error_snippet(text: Column) -> Column:
@@ -56,15 +57,23 @@ def profile_logs(logs: DataFrame, text: str = "stdout") -> DataFrame:
 
 
 def match_logs(logs: DataFrame, text: str = "stdout", custom=None, with_key_lines: bool = True) -> DataFrame:
-    """Adds ``matches`` (families in severity order) and ``key_log_lines`` to each log."""
+    """Adds ``matches`` (families in severity order) and ``key_log_lines`` to each log.
+
+    Where no regex can cross lines, one pass over the text keeps the few lines that hold any signature's literal, and
+    the regexes read only these.
+    """
     families = sig.catalogue(custom)
-    out = pinned(
-        logs.withColumn("_folded", sig.folded(F.col(text))),
-        matches=sig.family_matches(F.col(text), F.col("_folded"), families),
-    ).drop("_folded")
+    body = F.col(text)
+    if sig.is_linewise(families):
+        rows = pinned(logs, _lines=sig.candidate_lines(body, families))
+        rows = pinned(rows, _text=F.array_join("_lines", "\n"))
+    else:
+        rows = logs.withColumn("_lines", split_lines(body)).withColumn("_text", body)
+    rows = pinned(rows, _folded=sig.folded(F.col("_text")))
+    out = {"matches": sig.family_matches(F.col("_text"), F.col("_folded"), families)}
     if with_key_lines:
-        out = out.withColumn("key_log_lines", sig.key_lines(F.col(text), F.col("matches"), families, KEY_LINES))
-    return out
+        out["key_log_lines"] = sig.key_lines(F.col("_lines"), families, KEY_LINES)
+    return pinned(rows, **out).drop("_lines", "_text", "_folded")
 
 
 def match_signatures(logs: DataFrame, ids: list[str], text: str = "stdout", custom=None) -> DataFrame:

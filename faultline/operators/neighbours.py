@@ -1,8 +1,8 @@
 """Exact nearest-neighbour join without a cross join.
 
 Voronoi partitioning with triangle-inequality pruning, as in the published block k-NN joins for clusters: incidents are
-assigned to the cell of their nearest pivot; each probe derives an upper bound on its k-th distance from the cells'
-smallest radii, and visits only cells that can hold something nearer.  A cell of any size is cut into blocks of bounded
+assigned to the cell of their nearest pivot; each probe derives an upper bound on its k-th distance from the
+histograms of the cells' radii, and visits only cells that can hold something nearer.  A cell of any size is cut into blocks of bounded
 size, and the probes that visit a block into chunks of bounded size; each (cell, block, chunk) is one task-sized
 matrix product that emits at most k rows per probe.  Only pivots and per-cell statistics pass through the driver, both
 bounded by the number of pivots.
@@ -83,25 +83,21 @@ def nearest_incidents(
     placed = history.withColumn("_at", assign("ivec")).select(
         "iid", "grp", "ivec", "_at.cell", "_at.radius"
     )
-    # Per cell: size, extent and the few smallest radii (one more than k: the probe itself may be among them).
+    # Per cell: size, extent, and a histogram of the radii (eight bins per octave) that bounds the k-th smallest.
     keep = k + 1 if exclude_self else k
-    radii = placed.select("grp", "cell", "radius")
-    extent = radii.groupBy("grp", "cell").agg(
+    octave = F.floor(F.log2(F.greatest(F.col("radius"), F.lit(1e-12))) * 8)
+    stats = placed.groupBy("grp", "cell", octave.alias("bin")).agg(
         F.count("*").alias("n"), F.min("radius").alias("low"), F.max("radius").alias("high")
-    )
-    rank = F.row_number().over(Window.partitionBy("grp", "cell").orderBy("radius"))
-    smallest = radii.withColumn("r", rank).where(F.col("r") <= keep).groupBy("grp", "cell").agg(
-        F.sort_array(F.collect_list("radius")).alias("near")
-    )
-    stats = extent.join(smallest, ["grp", "cell"]).toPandas()
-    by_group = {
-        g: (
-            part["cell"].to_numpy(), part["low"].to_numpy(), part["high"].to_numpy(),
-            [np.asarray(x) for x in part["near"]], np.ceil(part["n"].to_numpy() / block_rows).astype(int),
+    ).toPandas()
+    by_group, blocks_of = {}, {}
+    for g, part in stats.groupby("grp"):
+        cells = part.groupby("cell").agg(n=("n", "sum"), low=("low", "min"), high=("high", "max")).reset_index()
+        n_blocks = np.ceil(cells["n"].to_numpy() / block_rows).astype(int)
+        by_group[g] = (
+            cells["cell"].to_numpy(), cells["low"].to_numpy(), cells["high"].to_numpy(), n_blocks,
+            part["cell"].to_numpy(), part["high"].to_numpy(), part["n"].to_numpy(),
         )
-        for g, part in stats.groupby("grp")
-    }
-    blocks_of = {(g, int(c)): int(-(-n // block_rows)) for g, c, n in zip(stats["grp"], stats["cell"], stats["n"])}
+        blocks_of.update({(g, int(c)): int(b) for c, b in zip(cells["cell"], n_blocks)})
     chunks = max(1, -(-queries.count() // chunk_rows))
 
     @F.pandas_udf("array<struct<cell:int,block:int>>")
@@ -113,10 +109,12 @@ def nearest_incidents(
             if g not in by_group:
                 out.append([])
                 continue
-            cells, low, high, near, n_blocks = by_group[g]
+            cells, low, high, n_blocks, bin_cell, bin_high, bin_n = by_group[g]
             to_cell = far[row, cells]
-            reach = np.sort(np.concatenate([d + r for d, r in zip(to_cell, near)]))
-            bound = reach[keep - 1] if len(reach) >= keep else np.inf
+            reach = far[row, bin_cell] + bin_high
+            order = np.argsort(reach)
+            enough = np.flatnonzero(np.cumsum(bin_n[order]) >= keep)
+            bound = reach[order[enough[0]]] if len(enough) else np.inf
             nearest = np.maximum(np.maximum(to_cell - high, low - to_cell), 0.0)
             wanted = np.flatnonzero(nearest <= bound + 1e-6)
             out.append([{"cell": int(cells[i]), "block": b} for i in wanted for b in range(n_blocks[i])])
