@@ -185,34 +185,36 @@ def folded(text: Column) -> Column:
     return F.lower(F.translate(text, "\u0131\u0130\u017f\u212a", "iisk"))
 
 
-def _find_all(text: Column, folded_text: Column, regex: str) -> Column:
-    found = F.regexp_extract_all(text, F.lit(DIALECT + regex), F.lit(1 if re.compile(regex).groups else 0))
+def sql_text(value: str) -> str:
+    """A SQL string literal."""
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'").replace("\n", "\\n") + "'"
+
+
+def _find_all(text: str, folded_text: str, regex: str) -> str:
+    group = 1 if re.compile(regex).groups else 0
+    found = f"regexp_extract_all({text}, {sql_text(DIALECT + regex)}, {group})"
     literal = required_literal(regex)
-    if literal is None:
-        return found
     # Plain byte search first: a regex runs only over a text that can match it.
-    return F.when(folded_text.contains(literal), found).otherwise(F.lit(None).cast("array<string>"))
+    return found if literal is None else f"if(contains({folded_text}, {sql_text(literal)}), {found}, null)"
 
 
-def family_matches(text: Column, folded_text: Column, signatures: list[Signature]) -> Column:
-    """Families that occur in the text, with their matches in (regex, position) order.
+def family_matches(text: str, folded_text: str, signatures: list[Signature]) -> Column:
+    """Families that occur in the text column, with their matches in (regex, position) order.
 
-    The array is laid out in severity order on the driver, so the first element is the primary error.
+    The array is laid out in severity order on the driver, so the first element is the primary error.  It is written as
+    one SQL expression: hundreds of literal Columns would cost a call to the JVM each.
     """
-    empty = F.lit(None).cast("array<string>")
-    families = [
-        F.struct(
-            F.lit(index).alias("sig_idx"), F.lit(s.name).alias("name"), F.lit(s.category).alias("category"),
-            F.lit(s.severity).alias("severity"), F.lit(s.description).alias("description"),
-            F.lit(s.recommendation).alias("recommendation"),
-            F.flatten(F.filter(
-                F.array(*[_find_all(text, folded_text, regex) for regex in s.regexes], empty),
-                lambda found: found.isNotNull(),
-            )).alias("matches"),
-        )
-        for index, s in ranked(signatures)
-    ]
-    return F.filter(F.array(*families), lambda family: F.size(family["matches"]) > 0)
+    families = []
+    for index, s in ranked(signatures):
+        found = ", ".join(_find_all(text, folded_text, regex) for regex in s.regexes)
+        fields = {
+            "sig_idx": str(index), "name": sql_text(s.name), "category": sql_text(s.category),
+            "severity": sql_text(s.severity), "description": sql_text(s.description),
+            "recommendation": sql_text(s.recommendation),
+            "matches": f"flatten(array_compact(array({found}, cast(null as array<string>))))",
+        }
+        families.append("named_struct(" + ", ".join(f"'{name}', {value}" for name, value in fields.items()) + ")")
+    return F.expr(f"filter(array({', '.join(families)}), family -> size(family.matches) > 0)")
 
 
 def any_signature(line: Column, signatures: list[Signature]) -> Column:

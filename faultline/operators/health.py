@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from faultline.functions.signatures import sql_text
 from faultline.operators.timeline import HOUR, asof_join, with_previous
 
 MAX_SOURCES = 500
@@ -115,9 +116,9 @@ def source_health_asof(
     """
     if len(sources) > MAX_SOURCES:
         raise ValueError(f"at most {MAX_SOURCES} sources, got {len(sources)}")
+    shaped = checks.select("source_name", "last_checked", order, health_struct().alias("health"))
     values = {
-        f"_s{i}": F.when(F.col("source_name") == name, health_struct()) for i, name in enumerate(sources)
+        f"_s{i}": F.expr(f"if(source_name = {sql_text(name)}, health, null)") for i, name in enumerate(sources)
     }
-    joined = asof_join(failures, checks, [], time, "last_checked", values, order=[order], width=width)
-    state = F.array_compact(F.array(*[F.col(name) for name in values]))
-    return joined.withColumn("sources", state).drop(*values)
+    joined = asof_join(failures, shaped, [], time, "last_checked", values, order=[order], width=width)
+    return joined.withColumn("sources", F.expr(f"array_compact(array({', '.join(values)}))")).drop(*values)

@@ -70,7 +70,7 @@ def match_logs(logs: DataFrame, text: str = "stdout", custom=None, with_key_line
     else:
         rows = logs.withColumn("_lines", split_lines(body)).withColumn("_text", body)
     rows = pinned(rows, _folded=sig.folded(F.col("_text")))
-    out = {"matches": sig.family_matches(F.col("_text"), F.col("_folded"), families)}
+    out = {"matches": sig.family_matches("_text", "_folded", families)}
     if with_key_lines:
         out["key_log_lines"] = sig.key_lines(F.col("_lines"), families, KEY_LINES)
     return pinned(rows, **out).drop("_lines", "_text", "_folded")

@@ -24,18 +24,22 @@ def _constant_key(df: DataFrame, keys: list[str]) -> tuple[DataFrame, list[str]]
     return (df, keys) if keys else (df.withColumn("_all", F.lit(0)), ["_all"])
 
 
-def _carry(events: DataFrame, keys: list[str], names: list[str], order: Column) -> DataFrame:
+def _carry(events: DataFrame, keys: list[str], names: list[str]) -> DataFrame:
     """Per (key, slice): the newest non-null value of each name in any earlier slice."""
-    summary = events.groupBy(*keys, "_slice").agg(
-        *[F.max_by(n, F.when(F.col(n).isNotNull(), order)).alias(n) for n in names],
-        F.max("_wanted").alias("_wanted"),
+    newest = [F.expr(f"max_by({n}, if({n} is null, null, struct(_t, _o))) AS {n}") for n in names]
+    summary = events.groupBy(*keys, "_slice").agg(*newest, F.expr("max(_wanted) AS _wanted"))
+    earlier = (
+        f"OVER (PARTITION BY {', '.join(keys)} ORDER BY _slice ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
     )
-    earlier = Window.partitionBy(*keys).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
-    return summary.select(
-        *keys, "_slice", "_wanted", *[F.last(n, ignorenulls=True).over(earlier).alias(n) for n in names]
+    return summary.selectExpr(
+        *keys, "_slice", "_wanted", *[f"last({n}, true) {earlier} AS {n}" for n in names]
     ).where("_wanted = 1").drop("_wanted")
 
 
+def _nulls(names: list[str], types: dict[str, str]) -> list[str]:
+    return [f"cast(null AS {types[n]}) AS {n}" for n in names]
+
+
 def asof_join(
     left: DataFrame,
     right: DataFrame,
@@ -53,50 +57,40 @@ def asof_join(
     left rows of one slice further, at the price of that many copies of the right rows.
     """
     names = list(values)
-    left_cols = left.columns
-    tie = F.struct(F.lit(0).alias("c"), *[F.col(c) for c in order])
-    right_rows = right.where(F.col(right_time).isNotNull()).select(
+    tie = F.struct(F.lit(0).alias("c"), *order)
+    present = " AND ".join(f"{c} IS NOT NULL" for c in [*on, right_time])
+    right_rows = right.where(present).select(
         *on, F.col(right_time).alias("_t"), tie.alias("_o"), *[v.alias(n) for n, v in values.items()]
     )
-    for key in on:
-        right_rows = right_rows.where(F.col(key).isNotNull())
     right_rows, keys = _constant_key(right_rows, list(on))
     right_rows = right_rows.withColumn("_slice", slice_no(F.col("_t"), width))
-    left_rows = left.select(*on, F.col(left_time).alias("_t"), F.struct(*left_cols).alias("_row"))
+    left_rows = left.select(*on, F.col(left_time).alias("_t"), F.struct(*left.columns).alias("_row"))
     left_rows, _ = _constant_key(left_rows, list(on))
     left_rows = left_rows.withColumn("_slice", slice_no(F.col("_t"), width))
+    types = dict(right_rows.dtypes) | {"_row": dict(left_rows.dtypes)["_row"]}
 
-    types = dict(right_rows.select("_o", *names).dtypes)
-    row_type = left_rows.select("_row").dtypes[0][1]
-    marks = left_rows.select(*keys, "_slice").distinct().select(
-        *keys, "_slice", F.lit(1).alias("_wanted"), F.lit(None).cast("timestamp").alias("_t"),
-        *[F.lit(None).cast(types[n]).alias(n) for n in ["_o", *names]],
-    )
-    summary_in = right_rows.select(*keys, "_slice", F.lit(0).alias("_wanted"), "_t", "_o", *names).unionByName(marks)
-    carry = _carry(summary_in, keys, names, F.struct("_t", "_o"))
-
-    def shaped(df: DataFrame, kind: int, t: Column, o: Column, row: Column, salt: Column) -> DataFrame:
-        return df.select(
-            *keys, "_slice", salt.alias("_salt"), F.lit(kind).alias("_kind"), t.alias("_t"), o.alias("_o"),
-            row.alias("_row"), *[(F.col(n) if kind < 2 else F.lit(None).cast(types[n])).alias(n) for n in names],
-        )
-
-    no_row = F.lit(None).cast(row_type)
-    no_order = F.lit(None).cast(types["_o"])
-    no_time = F.lit(None).cast("timestamp")
-    copies = F.lit(0) if salts == 1 else F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))
-    left_salt = F.lit(0) if salts == 1 else F.pmod(F.xxhash64("_row"), F.lit(salts)).cast("int")
-    detail = (
-        shaped(carry, 0, no_time, no_order, no_row, copies)
-        .unionByName(shaped(right_rows, 1, F.col("_t"), F.col("_o"), no_row, copies))
-        .unionByName(shaped(left_rows, 2, F.col("_t"), no_order, F.col("_row"), left_salt))
+    marks = left_rows.select(*keys, "_slice").distinct().selectExpr(
+        *keys, "_slice", "1 AS _wanted", *_nulls(["_t", "_o", *names], types)
     )
+    seen = right_rows.selectExpr(*keys, "_slice", "0 AS _wanted", "_t", "_o", *names)
+    carry = _carry(seen.union(marks), keys, names)
+
+    copies = "0" if salts == 1 else f"explode(sequence(0, {salts - 1}))"
+    left_salt = "0" if salts == 1 else f"cast(pmod(xxhash64(_row), {salts}) AS int)"
+    detail = carry.selectExpr(
+        *keys, "_slice", f"{copies} AS _salt", "0 AS _kind", *_nulls(["_t", "_o", "_row"], types), *names
+    ).union(right_rows.selectExpr(
+        *keys, "_slice", f"{copies} AS _salt", "1 AS _kind", "_t", "_o", *_nulls(["_row"], types), *names
+    )).union(left_rows.selectExpr(
+        *keys, "_slice", f"{left_salt} AS _salt", "2 AS _kind", "_t", *_nulls(["_o"], types), "_row",
+        *_nulls(names, types)
+    ))
     so_far = (
-        Window.partitionBy(*keys, "_slice", "_salt").orderBy("_t", "_kind", "_o")
-        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        f"OVER (PARTITION BY {', '.join(keys)}, _slice, _salt ORDER BY _t, _kind, _o "
+        "ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
     )
     return (
-        detail.select("_kind", "_row", *[F.last(n, ignorenulls=True).over(so_far).alias(n) for n in names])
+        detail.selectExpr("_kind", "_row", *[f"last({n}, true) {so_far} AS {n}" for n in names])
         .where("_kind = 2").select("_row.*", *names)
     )
 
@@ -122,17 +116,16 @@ def with_previous(
     )
     rows = rows.withColumn("_slice", slice_no(F.col("_t"), width))
     types = dict(rows.dtypes)
-    carry = _carry(rows.withColumn("_wanted", F.lit(1)), keys, names, F.struct("_t", "_o"))
-    detail = rows.withColumn("_kind", F.lit(1)).unionByName(carry.select(
-        *keys, "_slice", *names, F.lit(0).alias("_kind"),
-        *[F.lit(None).cast(types[c]).alias(c) for c in ("_t", "_o", "_row")],
-    ))
+    carry = _carry(rows.withColumn("_wanted", F.lit(1)), keys, names)
+    detail = rows.selectExpr(*keys, "_slice", "1 AS _kind", "_t", "_o", "_row", *names).union(
+        carry.selectExpr(*keys, "_slice", "0 AS _kind", *_nulls(["_t", "_o", "_row"], types), *names)
+    )
     before = (
-        Window.partitionBy(*keys, "_slice").orderBy("_kind", "_t", "_o")
-        .rowsBetween(Window.unboundedPreceding, -1)
+        f"OVER (PARTITION BY {', '.join(keys)}, _slice ORDER BY _kind, _t, _o "
+        "ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
     )
     return (
-        detail.select("_kind", "_row", *[F.last(n, ignorenulls=True).over(before).alias(n) for n in names])
+        detail.selectExpr("_kind", "_row", *[f"last({n}, true) {before} AS {n}" for n in names])
         .where("_kind = 1").select("_row.*", *names)
     )
 

@@ -68,7 +68,7 @@ LOG_PATH = r"dags/([^/]+)/dagRuns/([^/]+)/taskInstances/([^/]+)/logs/(\d+)"
 
 def read_task_logs(spark: SparkSession, path: str) -> DataFrame:
     """One row per log file, keys taken from the path."""
-    raw = spark.read.option("wholetext", True).option("recursiveFileLookup", True).text(path)
+    raw = spark.read.option("recursiveFileLookup", True).text(path, wholetext=True)
     name = F.col("_metadata.file_path")
     part = lambda i: F.url_decode(F.regexp_extract(name, LOG_PATH, i))
     return raw.select(
@@ -103,8 +103,8 @@ def read_commits(spark: SparkSession, path: str) -> DataFrame:
 
 def read_dag_files(spark: SparkSession, root: str) -> DataFrame:
     """(path, content) of every Python file under a folder, the path relative to it."""
-    raw = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option(
-        "pathGlobFilter", "*.py").text(root)
+    raw = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.py").text(
+        root, wholetext=True)
     tail = root.rstrip("/").rsplit("/", 1)[-1] + "/"
     full = F.url_decode(F.col("_metadata.file_path"))
     return raw.select(F.substring_index(full, tail, -1).alias("path"), F.col("value").alias("content"))
