@@ -79,6 +79,7 @@ def parse_priority(value: Column) -> Column:
     """Priority 1 to 5 from a variant: whole numbers and whole-number texts are clamped, booleans count as 1, words
     are looked up, everything else (fractions too) is 3."""
     kind = _type_of(value)
+    # A whole number beyond 64 bits is a wide decimal; a narrow decimal was written with a point.
     number = F.try_variant_get(value, "$", "string").try_cast("decimal(38,0)")
     text = F.try_variant_get(value, "$", "string")
     whole_text = strip(text).rlike(r"^[+-]?\d+$")
@@ -89,7 +90,7 @@ def parse_priority(value: Column) -> Column:
     from_text = F.when(whole_text, F.greatest(F.lit(1), F.least(F.lit(5), strip(text).try_cast("decimal(38,0)"))).cast("int"))
     return (
         F.when(kind == "BOOLEAN", F.lit(1))
-        .when(kind.isin("BIGINT", "INT", "SMALLINT", "TINYINT") | kind.rlike(r"^DECIMAL\(\d+,0\)$"), clamped)
+        .when(kind.isin("BIGINT", "INT", "SMALLINT", "TINYINT") | kind.rlike(r"^DECIMAL\((19|[23]\d),0\)$"), clamped)
         .when(kind == "STRING", F.coalesce(from_text, word))
         .otherwise(F.lit(DEFAULT_PRIORITY))
     )
