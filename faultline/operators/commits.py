@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from faultline.operators.timeline import HOUR, asof_join, slice_no
+from faultline import schemas
+from faultline.operators.timeline import HOUR, Timeline, asof_join, slice_no
 
 # Look-back, commits read per repository and per file.
 LOOKBACK_HOURS = 24
@@ -28,6 +29,11 @@ def recent_commits(
     and the one before, which together span the look-back.  The failures then take the newest such list as of
     their time, so no failure is paired with the commits of its day.
     """
+    timeline = recent_commits_timeline(commits, hours, limit)
+    return within_lookback(asof_join(failures, [timeline], [], time), time, hours)
+
+
+def recent_commits_timeline(commits: DataFrame, hours: int = LOOKBACK_HOURS, limit: int = MAX_COMMITS) -> Timeline:
     width = hours * HOUR
     own = commits.select(slice_no(F.col("date"), width).alias("_slice"), commit_struct().alias("commit"))
     both = own.unionByName(own.withColumn("_slice", F.col("_slice") + 1))
@@ -35,17 +41,16 @@ def recent_commits(
     lists = both.select(
         "_slice", "commit", F.collect_list("commit").over(by_date.rowsBetween(-(limit - 1), 0)).alias("_list")
     ).where(slice_no(F.col("commit.date"), width) == F.col("_slice"))
-    newest = asof_join(
-        failures, lists.select(F.col("commit.date").alias("_date"), F.col("commit.sha").alias("_sha"), "_list"),
-        [], time, "_date", {"_newest": F.col("_list")}, order=["_sha"], width=HOUR,
-    )
-    since = F.col(time) - F.expr(f"INTERVAL {hours} HOURS")
-    listed = F.filter(F.reverse(F.col("_newest")), lambda c: c["date"] >= since)
-    return newest.withColumn("recent_commits", F.coalesce(listed, F.array().cast(listed_type(newest)))).drop("_newest")
+    dated = lists.select(F.col("commit.date").alias("_date"), F.col("commit.sha").alias("_sha"), "_list")
+    return Timeline(dated, "_date", {"_newest": F.col("_list")}, ("_sha",))
 
 
-def listed_type(df: DataFrame) -> str:
-    return dict(df.dtypes)["_newest"]
+def within_lookback(joined: DataFrame, time: str = "failed_at", hours: int = LOOKBACK_HOURS) -> DataFrame:
+    """The carried list, newest first, without what is older than the look-back."""
+    since = F.col(time) - F.expr(f"INTERVAL {hours} HOURS")
+    listed = F.filter(F.reverse(F.col("_newest")), lambda c: c["date"] >= since)
+    none = F.array().cast(f"array<{schemas.COMMIT}>")
+    return joined.withColumn("recent_commits", F.coalesce(listed, none)).drop("_newest")
 
 
 def commit_scan(commits: DataFrame, repository: str, position: str, since: str, limit: int = MAX_COMMITS) -> DataFrame:
@@ -65,13 +70,13 @@ def file_commits(commits: DataFrame, limit: int = MAX_FILE_COMMITS) -> DataFrame
 
 
 def last_commit_asof(
-    failures: DataFrame, commits: DataFrame, file: str = "dag_file_path", time: str = "failed_at"
+    failures: DataFrame, commits: DataFrame, file: str = "dag_file_path", time: str = "failed_at",
+    seen: DataFrame | None = None,
 ) -> DataFrame:
     """Adds ``last_commit``, the newest commit to the DAG's file at or before the failure, and the hours since."""
     touched = commits.select(F.explode(F.array_distinct("files_changed")).alias(file), "*")
-    joined = asof_join(
-        failures, touched, [file], time, "date", {"last_commit": commit_struct()}, order=["sha"],
-    )
+    timeline = Timeline(touched, "date", {"last_commit": commit_struct()}, ("sha",))
+    joined = asof_join(failures, [timeline], [file], time, seen)
     seconds = (F.unix_micros(F.col(time)) - F.unix_micros(F.col("last_commit.date"))) / 1_000_000
     return joined.withColumn("hours_since_last_change", seconds / HOUR)
 

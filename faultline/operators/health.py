@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from faultline.functions.signatures import sql_text
-from faultline.operators.timeline import HOUR, asof_join, with_previous
+from faultline.operators.timeline import Timeline, asof_join, with_previous
 
 MAX_SOURCES = 500
 
@@ -106,19 +106,26 @@ def health_struct() -> Column:
 
 
 def source_health_asof(
-    failures: DataFrame, checks: DataFrame, sources: list[str], time: str = "failed_at", order: str = "check_id",
-    width: int = HOUR,
+    failures: DataFrame, checks: DataFrame, sources: list[str], time: str = "failed_at", order: str = "check_id"
 ) -> DataFrame:
     """Adds ``sources``: the newest check of every configured source at or before the failure, in their given order.
 
     The sources are a configuration list, so the state of all of them fits in a row: one pass over the time line
     carries it along, and no failure is multiplied by the number of sources.
     """
+    return gather_sources(asof_join(failures, [sources_timeline(checks, sources, order)], [], time), sources)
+
+
+def sources_timeline(checks: DataFrame, sources: list[str], order: str = "check_id") -> Timeline:
     if len(sources) > MAX_SOURCES:
         raise ValueError(f"at most {MAX_SOURCES} sources, got {len(sources)}")
     shaped = checks.select("source_name", "last_checked", order, health_struct().alias("health"))
     values = {
         f"_s{i}": F.expr(f"if(source_name = {sql_text(name)}, health, null)") for i, name in enumerate(sources)
     }
-    joined = asof_join(failures, shaped, [], time, "last_checked", values, order=[order], width=width)
-    return joined.withColumn("sources", F.expr(f"array_compact(array({', '.join(values)}))")).drop(*values)
+    return Timeline(shaped, "last_checked", values, (order,))
+
+
+def gather_sources(joined: DataFrame, sources: list[str]) -> DataFrame:
+    columns = [f"_s{i}" for i in range(len(sources))]
+    return joined.withColumn("sources", F.expr(f"array_compact(array({', '.join(columns)}))")).drop(*columns)

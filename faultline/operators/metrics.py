@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from faultline.operators.timeline import asof_join
+from faultline.operators.timeline import Timeline, asof_join
 
 # The window around the failure.
 MINUTES_BEFORE, MINUTES_AFTER = 30, 5
@@ -12,11 +12,15 @@ MINUTES_BEFORE, MINUTES_AFTER = 30, 5
 
 def metrics_asof(failures: DataFrame, metrics: DataFrame, time: str = "failed_at", order: list[str] = ()) -> DataFrame:
     """Adds ``metrics``, the newest snapshot at or before the failure."""
+    return asof_join(failures, [metrics_timeline(metrics, order)], [], time)
+
+
+def metrics_timeline(metrics: DataFrame, order: list[str] = ()) -> Timeline:
     snapshot = F.struct(
         "timestamp", "cpu_percent", "memory_percent", "memory_used_gb", "disk_percent", "active_connections",
         "worker_slots_available",
     )
-    return asof_join(failures, metrics, [], time, "timestamp", {"metrics": snapshot}, order=list(order))
+    return Timeline(metrics, "timestamp", {"metrics": snapshot}, tuple(order))
 
 
 def external_events_window(

@@ -9,10 +9,13 @@ shuffled once, and a key with a third of all rows is spread over as many tasks a
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 HOUR = 3600
 DAY = 86400
+GROUP_ROWS = 1_000_000
 
 
 def slice_no(ts: Column, width: int) -> Column:
@@ -24,15 +27,25 @@ def _constant_key(df: DataFrame, keys: list[str]) -> tuple[DataFrame, list[str]]
     return (df, keys) if keys else (df.withColumn("_all", F.lit(0)), ["_all"])
 
 
-def _carry(events: DataFrame, keys: list[str], names: list[str]) -> DataFrame:
-    """Per (key, slice): the newest non-null value of each name in any earlier slice."""
-    newest = [F.expr(f"max_by({n}, if({n} is null, null, struct(_t, _o))) AS {n}") for n in names]
+@dataclass(frozen=True)
+class Timeline:
+    """Dated rows and the values they set from their time on; ``order`` breaks ties in time."""
+
+    rows: DataFrame
+    time: str
+    values: dict[str, Column]
+    order: tuple[str, ...] = ()
+
+
+def _carry(events: DataFrame, keys: list[str], orders: dict[str, str]) -> DataFrame:
+    """Per wanted (key, slice): the newest non-null instance of each value in any earlier slice."""
+    newest = [F.expr(f"max_by({n}, if({n} is null, null, struct(_t, {o}))) AS {n}") for n, o in orders.items()]
     summary = events.groupBy(*keys, "_slice").agg(*newest, F.expr("max(_wanted) AS _wanted"))
     earlier = (
         f"OVER (PARTITION BY {', '.join(keys)} ORDER BY _slice ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
     )
     return summary.selectExpr(
-        *keys, "_slice", "_wanted", *[f"last({n}, true) {earlier} AS {n}" for n in names]
+        *keys, "_slice", "_wanted", *[f"last({n}, true) {earlier} AS {n}" for n in orders]
     ).where("_wanted = 1").drop("_wanted")
 
 
@@ -40,53 +53,78 @@ def _nulls(names: list[str], types: dict[str, str]) -> list[str]:
     return [f"cast(null AS {types[n]}) AS {n}" for n in names]
 
 
+def _row(columns: list[str]) -> str:
+    return "struct(" + ", ".join(f"`{c}`" for c in columns) + ") AS _row"
+
+
 def asof_join(
     left: DataFrame,
-    right: DataFrame,
+    timelines: list[Timeline],
     on: list[str],
     left_time: str,
-    right_time: str,
-    values: dict[str, Column],
-    order: list[str] = (),
+    seen: DataFrame | None = None,
     width: int = HOUR,
-    salts: int = 1,
+    group_rows: int = GROUP_ROWS,
 ) -> DataFrame:
-    """Left rows with, for each value, its newest non-null instance on the right at or before the left time.
+    """Left rows with, for each value, its newest non-null instance at or before the left time.
 
-    ``values`` are Columns over ``right`` (usually one struct); ``order`` breaks ties in time.  ``salts`` spreads the
-    left rows of one slice further, at the price of that many copies of the right rows.
+    Any number of time lines is joined in one pass over the left rows.  ``seen`` is a cheaper frame with the same keys
+    and times as ``left``, if there is one: it is only read to learn which slices are needed.
+
+    A slice with more than ``group_rows`` left rows is split into as many groups as that takes, each with its own copy of
+    the slice's right rows.  There are at most |left| / group_rows such slices, so their list is safe to broadcast.
     """
-    names = list(values)
-    tie = F.struct(F.lit(0).alias("c"), *order)
-    present = " AND ".join(f"{c} IS NOT NULL" for c in [*on, right_time])
-    right_rows = right.where(present).select(
-        *on, F.col(right_time).alias("_t"), tie.alias("_o"), *[v.alias(n) for n, v in values.items()]
+    seen = left if seen is None else seen
+    keys = list(on) or ["_all"]
+    all_key = [] if on else [F.lit(0).alias("_all")]
+    rights, types, orders = [], {}, {}
+    for i, line in enumerate(timelines):
+        present = " AND ".join(f"`{c}` IS NOT NULL" for c in [*on, line.time])
+        rows = line.rows.where(present).select(
+            *on, *all_key, slice_no(F.col(line.time), width).alias("_slice"), F.col(line.time).alias("_t"),
+            F.struct(F.lit(0).alias("c"), *line.order).alias(f"_o{i}"), *[v.alias(n) for n, v in line.values.items()],
+        )
+        types |= dict(rows.dtypes)
+        orders |= {n: f"_o{i}" for n in line.values}
+        rights.append(rows)
+    names, ties = list(orders), [f"_o{i}" for i in range(len(timelines))]
+    right_rows = None
+    for i, rows in enumerate(rights):
+        own = set(timelines[i].values) | {f"_o{i}"}
+        shaped = rows.selectExpr(
+            *keys, "_slice", "_t", *[n if n in own else _nulls([n], types)[0] for n in [*ties, *names]]
+        )
+        right_rows = shaped if right_rows is None else right_rows.union(shaped)
+
+    load = seen.select(*on, *all_key, slice_no(F.col(left_time), width).alias("_slice")).groupBy(*keys, "_slice").count()
+    hot = F.broadcast(load.where(F.col("count") > group_rows).selectExpr(
+        *[f"{c} AS _h{i}" for i, c in enumerate([*keys, "_slice"])], f"ceil(count / {group_rows}) AS _groups"
+    ))
+
+    def with_groups(df: DataFrame) -> DataFrame:
+        same = [F.col(c).eqNullSafe(F.col(f"_h{i}")) for i, c in enumerate([*keys, "_slice"])]
+        return df.join(hot, same, "left")
+
+    marks = load.selectExpr(*keys, "_slice", "1 AS _wanted", *_nulls(["_t", *ties, *names], types))
+    carry = _carry(
+        right_rows.selectExpr(*keys, "_slice", "0 AS _wanted", "_t", *ties, *names).union(marks), keys, orders
     )
-    right_rows, keys = _constant_key(right_rows, list(on))
-    right_rows = right_rows.withColumn("_slice", slice_no(F.col("_t"), width))
-    left_rows = left.select(*on, F.col(left_time).alias("_t"), F.struct(*left.columns).alias("_row"))
-    left_rows, _ = _constant_key(left_rows, list(on))
-    left_rows = left_rows.withColumn("_slice", slice_no(F.col("_t"), width))
-    types = dict(right_rows.dtypes) | {"_row": dict(left_rows.dtypes)["_row"]}
-
-    marks = left_rows.select(*keys, "_slice").distinct().selectExpr(
-        *keys, "_slice", "1 AS _wanted", *_nulls(["_t", "_o", *names], types)
+    left_rows = left.select(
+        *on, *all_key, slice_no(F.col(left_time), width).alias("_slice"), F.col(left_time).alias("_t"),
+        F.expr(_row(left.columns)),
     )
-    seen = right_rows.selectExpr(*keys, "_slice", "0 AS _wanted", "_t", "_o", *names)
-    carry = _carry(seen.union(marks), keys, names)
-
-    copies = "0" if salts == 1 else f"explode(sequence(0, {salts - 1}))"
-    left_salt = "0" if salts == 1 else f"cast(pmod(xxhash64(_row), {salts}) AS int)"
-    detail = carry.selectExpr(
-        *keys, "_slice", f"{copies} AS _salt", "0 AS _kind", *_nulls(["_t", "_o", "_row"], types), *names
-    ).union(right_rows.selectExpr(
-        *keys, "_slice", f"{copies} AS _salt", "1 AS _kind", "_t", "_o", *_nulls(["_row"], types), *names
-    )).union(left_rows.selectExpr(
-        *keys, "_slice", f"{left_salt} AS _salt", "2 AS _kind", "_t", *_nulls(["_o"], types), "_row",
-        *_nulls(names, types)
+    types["_row"] = dict(left_rows.dtypes)["_row"]
+    inherited = carry.selectExpr(*keys, "_slice", "0 AS _kind", *_nulls(["_t", *ties], types), *names)
+    offered = inherited.union(right_rows.selectExpr(*keys, "_slice", "1 AS _kind", "_t", *ties, *names))
+    detail = with_groups(offered).selectExpr(
+        *keys, "_slice", "explode(sequence(0, coalesce(_groups, 1) - 1)) AS _group", "_kind", "_t", *ties,
+        *_nulls(["_row"], types), *names,
+    ).union(with_groups(left_rows).selectExpr(
+        *keys, "_slice", "pmod(xxhash64(_row), coalesce(_groups, 1)) AS _group", "2 AS _kind", "_t",
+        *_nulls(ties, types), "_row", *_nulls(names, types),
     ))
     so_far = (
-        f"OVER (PARTITION BY {', '.join(keys)}, _slice, _salt ORDER BY _t, _kind, _o "
+        f"OVER (PARTITION BY {', '.join(keys)}, _slice, _group ORDER BY _t, _kind, {', '.join(ties)} "
         "ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
     )
     return (
@@ -101,7 +139,7 @@ def with_previous(
     time: str,
     order: list[str],
     values: dict[str, Column],
-    width: int = DAY,
+    width: int = HOUR,
 ) -> DataFrame:
     """Adds, for each value, its newest non-null instance among the strictly earlier rows of the key.
 
@@ -110,13 +148,13 @@ def with_previous(
     names = list(values)
     columns = df.columns
     rows, keys = _constant_key(
-        df.select(F.struct(*columns).alias("_row"), *keys, F.col(time).alias("_t"),
+        df.select(F.expr(_row(columns)), *keys, F.col(time).alias("_t"),
                   F.struct(*[F.col(c) for c in order]).alias("_o"), *[v.alias(n) for n, v in values.items()]),
         list(keys),
     )
     rows = rows.withColumn("_slice", slice_no(F.col("_t"), width))
     types = dict(rows.dtypes)
-    carry = _carry(rows.withColumn("_wanted", F.lit(1)), keys, names)
+    carry = _carry(rows.withColumn("_wanted", F.lit(1)), keys, dict.fromkeys(names, "_o"))
     detail = rows.selectExpr(*keys, "_slice", "1 AS _kind", "_t", "_o", "_row", *names).union(
         carry.selectExpr(*keys, "_slice", "0 AS _kind", *_nulls(["_t", "_o", "_row"], types), *names)
     )
@@ -138,7 +176,7 @@ def rolling_counts(
     measures: dict[str, Column],
     lower_us: int,
     upper_us: int = 0,
-    width: int = DAY,
+    width: int = HOUR,
 ) -> DataFrame:
     """For each row, sums of integer measures over the rows of its key with time in (t + lower_us, t + upper_us].
 

@@ -11,6 +11,7 @@ from faultline import schemas
 from faultline.operators import commits as commit_ops
 from faultline.operators import context, health, history, incidents, logs, metrics, reports, verdicts
 from faultline.operators.context import Provider, failure_id
+from faultline.operators.timeline import asof_join
 
 
 @dataclass(frozen=True)
@@ -59,19 +60,39 @@ def build_context(
 ) -> DataFrame:
     """One context row per failure.
 
-    The as-of steps come first, on narrow rows; wide columns join last.  Log texts are reduced to their profile
-    before the join and never shuffled.
+    The as-of steps come first, on narrow rows, and the global time lines (commits, sources, metrics) share one pass;
+    wide columns join last.  Log texts are reduced to their profile before the join and never shuffled.
     """
-    rows = with_ids(failures)
-    rows = _git(rows, tables, options)
-    if options.enable_source_health and tables.source_checks is not None and options.sources:
-        rows = health.source_health_asof(rows, tables.source_checks, list(options.sources))
+    with_git = options.enable_git and tables.commits is not None
+    with_sources = options.enable_source_health and tables.source_checks is not None and bool(options.sources)
+    with_metrics = options.enable_metrics and tables.metrics is not None
+    base = with_ids(failures)
+    if with_git and tables.dag_files is not None:
+        files = commit_ops.resolve_dag_files(base, tables.dag_files).select("dag_id", "dag_file_path")
+        base = base.drop("dag_file_path").join(files, "dag_id", "left")
+    elif with_git and "dag_file_path" not in base.columns:
+        base = base.withColumn("dag_file_path", F.lit(None).cast("string"))
+    lines = []
+    if with_git:
+        lines.append(commit_ops.recent_commits_timeline(tables.commits, options.lookback_hours))
+    if with_sources:
+        lines.append(health.sources_timeline(tables.source_checks, list(options.sources)))
+    if with_metrics:
+        lines.append(metrics.metrics_timeline(tables.metrics))
+    rows = asof_join(base, lines, [], "failed_at") if lines else base
+    if with_sources:
+        rows = health.gather_sources(rows, list(options.sources))
     else:
         rows = context.absent(rows, sources=f"array<{schemas.SOURCE_HEALTH}>")
-    if options.enable_metrics and tables.metrics is not None:
-        rows = metrics.metrics_asof(rows, tables.metrics)
-    else:
+    if not with_metrics:
         rows = context.absent(rows, metrics=schemas.METRICS_SNAPSHOT)
+    if with_git:
+        rows = commit_ops.within_lookback(rows, hours=options.lookback_hours)
+        rows = commit_ops.last_commit_asof(rows, tables.commits, seen=base)
+        parts = ["recent_commits", "last_commit", "dag_file_path", "hours_since_last_change"]
+        rows = rows.withColumn("git", F.struct(*parts)).drop(*parts)
+    else:
+        rows = context.absent(rows, git=GIT_TYPE)
     rows = context.join_task_instances(rows, tables.task_instances)
     rows = context.join_logs(rows, log_profiles(tables.task_logs, options))
     rows = context.join_history(rows, history.dag_history(tables.dag_runs, with_runs=True))
@@ -93,20 +114,6 @@ def log_profiles(task_logs: DataFrame, options: Options = Options()) -> DataFram
     )
 
 
-def _git(rows: DataFrame, tables: Tables, options: Options) -> DataFrame:
-    if not options.enable_git or tables.commits is None:
-        return context.absent(rows, git=GIT_TYPE)
-    if tables.dag_files is not None:
-        files = commit_ops.resolve_dag_files(rows, tables.dag_files).select("dag_id", "dag_file_path")
-        rows = rows.join(files, "dag_id", "left")
-    elif "dag_file_path" not in rows.columns:
-        rows = rows.withColumn("dag_file_path", F.lit(None).cast("string"))
-    rows = commit_ops.recent_commits(rows, tables.commits, hours=options.lookback_hours)
-    rows = commit_ops.last_commit_asof(rows, tables.commits)
-    parts = ["recent_commits", "last_commit", "dag_file_path", "hours_since_last_change"]
-    return rows.withColumn("git", F.struct(*parts)).drop(*parts)
-
-
 def analyse(
     contexts: DataFrame, tables: Tables, verdict_fn: Callable[[DataFrame], DataFrame] | None = None
 ) -> DataFrame:

@@ -6,7 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from faultline.operators.timeline import asof_join, rolling_counts, with_previous
+from faultline.operators.timeline import Timeline, asof_join, rolling_counts, with_previous
 
 START = dt.datetime(2024, 1, 1)
 
@@ -21,9 +21,9 @@ def rows_of(seed, n):
             for i, t in enumerate(moments(rng, n))]
 
 
-@pytest.mark.parametrize("salts", [1, 3])
+@pytest.mark.parametrize("group_rows", [1_000_000, 4])
 @pytest.mark.parametrize("on", [["key"], []])
-def test_asof_join(spark, on, salts):
+def test_asof_join(spark, on, group_rows):
     left, right = rows_of(1, 200), rows_of(2, 150)
     right.append((999, "hot", None, 5))
     schema = "id int, key string, at timestamp, value int"
@@ -31,8 +31,10 @@ def test_asof_join(spark, on, salts):
     right_df = spark.createDataFrame(right, schema).withColumnRenamed("id", "rid")
     if not on:
         right_df = right_df.drop("key")
-    got = asof_join(left_df, right_df, on, "at", "at", {
-        "row": F.struct("rid", "value"), "newest_value": F.col("value")}, order=["rid"], width=7200, salts=salts)
+    got = asof_join(left_df, [
+        Timeline(right_df, "at", {"row": F.struct("rid", "value")}, ("rid",)),
+        Timeline(right_df.withColumnRenamed("at", "at2"), "at2", {"newest_value": F.col("value")}, ("rid",)),
+    ], on, "at", width=7200, group_rows=group_rows)
     assert got.count() == len(left)
     for r in got.collect():
         before = sorted((x for x in right if x[2] and x[2] <= r.at and (not on or x[1] == r.key)), key=lambda x: (x[2], x[0]))
