@@ -70,13 +70,12 @@ def file_commits(commits: DataFrame, limit: int = MAX_FILE_COMMITS) -> DataFrame
 
 
 def last_commit_asof(
-    failures: DataFrame, commits: DataFrame, file: str = "dag_file_path", time: str = "failed_at",
-    seen: DataFrame | None = None,
+    failures: DataFrame, commits: DataFrame, file: str = "dag_file_path", time: str = "failed_at"
 ) -> DataFrame:
     """Adds ``last_commit``, the newest commit to the DAG's file at or before the failure, and the hours since."""
     touched = commits.select(F.explode(F.array_distinct("files_changed")).alias(file), "*")
     timeline = Timeline(touched, "date", {"last_commit": commit_struct()}, ("sha",))
-    joined = asof_join(failures, [timeline], [file], time, seen)
+    joined = asof_join(failures, [timeline], [file], time)
     seconds = (F.unix_micros(F.col(time)) - F.unix_micros(F.col("last_commit.date"))) / 1_000_000
     return joined.withColumn("hours_since_last_change", seconds / HOUR)
 

@@ -8,6 +8,7 @@ from faultline.functions.text import non_empty
 from faultline.functions.vectors import add_vector, fit_vectoriser, similarity_score
 from faultline.operators.neighbours import nearest_incidents
 from faultline.operators.timeline import DAY, rolling_counts
+from faultline.session import settled
 
 # Similar incidents returned, the recurrence window, the display name of the store.
 MAX_SIMILAR = 5
@@ -27,9 +28,8 @@ def text_similar_incidents(
 ) -> DataFrame:
     """Similar incidents by the distance of their texts.  ``model`` replaces the default vectoriser."""
     model = model or fit_vectoriser(incidents, text, features)
-    return similar_incidents(
-        add_vector(probes, text, model), add_vector(incidents, text, model), k, **options
-    )
+    keep = lambda df: settled(add_vector(df, text, model).drop(text), "vectors")
+    return similar_incidents(keep(probes), keep(incidents), k, **options)
 
 
 def query_text(dag_id: Column, task_id: Column, snippet: Column, message: Column) -> Column:

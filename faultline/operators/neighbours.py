@@ -42,7 +42,8 @@ def nearest_incidents(
     group: str | None = None,
     metric: str = "l2",
     exclude_self: bool = True,
-    pivots: int = 64,
+    pivots: int = 256,
+    cell_rows: int = 1024,
     block_rows: int = 4096,
     chunk_rows: int = 4096,
 ) -> DataFrame:
@@ -50,7 +51,7 @@ def nearest_incidents(
 
     ``metric`` is ``l2`` (squared, the default) or ``cosine`` (1 - cosine).  With ``group``, a probe meets only incidents
     with the same value of that column (filter before the top-k, not after).  ``exclude_self`` drops the incident whose
-    id equals the probe's.
+    id equals the probe's.  ``pivots`` bounds the number of cells; a cell holds about ``cell_rows`` incidents until then.
     """
     if metric not in ("l2", "cosine"):
         raise ValueError(f"unknown metric {metric!r}")
@@ -65,7 +66,9 @@ def nearest_incidents(
     id_type = dict(history.dtypes)["iid"]
     pid_type = dict(queries.dtypes)["pid"]
 
-    sampled = history.orderBy(F.xxhash64("iid"), "iid").limit(pivots).select("ivec").toPandas()
+    # A probe is copied to every cell it visits, so a small history gets few cells.
+    cells_wanted = max(1, min(pivots, history.count() // cell_rows))
+    sampled = history.orderBy(F.xxhash64("iid"), "iid").limit(cells_wanted).select("ivec").toPandas()
     if sampled.empty:
         return queries.sparkSession.createDataFrame(
             [], f"{probe_id} {pid_type}, {incident_id} {id_type}, distance double, rank int"

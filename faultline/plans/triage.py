@@ -79,7 +79,9 @@ def build_context(
         lines.append(health.sources_timeline(tables.source_checks, list(options.sources)))
     if with_metrics:
         lines.append(metrics.metrics_timeline(tables.metrics))
-    rows = asof_join(base, lines, [], "failed_at") if lines else base
+    # The keyed join first: its rows are still narrow.  Either join learns its slices from ``base``.
+    rows = commit_ops.last_commit_asof(base, tables.commits) if with_git else base
+    rows = asof_join(rows, lines, [], "failed_at", seen=base) if lines else rows
     if with_sources:
         rows = health.gather_sources(rows, list(options.sources))
     else:
@@ -88,7 +90,6 @@ def build_context(
         rows = context.absent(rows, metrics=schemas.METRICS_SNAPSHOT)
     if with_git:
         rows = commit_ops.within_lookback(rows, hours=options.lookback_hours)
-        rows = commit_ops.last_commit_asof(rows, tables.commits, seen=base)
         parts = ["recent_commits", "last_commit", "dag_file_path", "hours_since_last_change"]
         rows = rows.withColumn("git", F.struct(*parts)).drop(*parts)
     else:

@@ -6,7 +6,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def build_session(app: str = "faultline", master: str | None = None, **conf: str) -> SparkSession:
@@ -34,6 +34,13 @@ def build_session(app: str = "faultline", master: str | None = None, **conf: str
     return builder.getOrCreate()
 
 
+def settled(df: DataFrame, purpose: str) -> DataFrame:
+    """The frame as a written table in the shared folder, for results that are costly and read several times."""
+    path = shared_dir(df.sparkSession, purpose)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def shared_dir(spark: SparkSession, purpose: str) -> str:
     """A fresh folder path under the cluster's ``spark.checkpoint.dir``.
 

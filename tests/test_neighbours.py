@@ -43,7 +43,7 @@ def test_against_brute_force(spark, metric, grouped):
     df = spark.createDataFrame(rows, SCHEMA)
     got = nearest_incidents(
         df.withColumnRenamed("id", "probe_id"), df.withColumnRenamed("id", "incident_id"), 4,
-        group="grp" if grouped else None, metric=metric, pivots=7, block_rows=16, chunk_rows=32)
+        group="grp" if grouped else None, metric=metric, pivots=7, cell_rows=10, block_rows=16, chunk_rows=32)
     if metric == "l2":
         assert {(r.probe_id, r.incident_id, r.rank) for r in got.collect()} == brute(rows, rows, 4, metric, grouped)
     else:  # copies tie only up to rounding, so compare distances
