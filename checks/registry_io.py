@@ -16,7 +16,7 @@ from checks.sql_views import query, ts
 from faultline.functions import render
 from faultline.operators import incidents as inc
 from faultline.plans import triage as plan
-from faultline.session import shared_dir
+from faultline.session import mounted, shared_dir
 from faultline.sources import readers, sinks
 from faultline.streaming import streams
 
@@ -154,6 +154,8 @@ def _(spark, sf):
 
 def _write_files(rows: DataFrame, root: str) -> None:
     """One file per row (path, content) under a shared folder."""
+    root = mounted(root)
+
     def save(part: Iterator) -> None:
         for row in part:
             target = os.path.join(root, row.path)

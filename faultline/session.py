@@ -24,6 +24,8 @@ def build_session(app: str = "faultline", master: str | None = None, **conf: str
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
+        # Bursts of one task merge before the shuffle, so a hot task arrives as few rows.
+        "spark.sql.sessionWindow.merge.sessions.in.local.partition": "true",
         "spark.ui.enabled": "false",
         # A call site is otherwise captured for every Column built; plans here are made of thousands.
         "spark.python.sql.dataFrameDebugging.enabled": "false",
@@ -34,6 +36,14 @@ def build_session(app: str = "faultline", master: str | None = None, **conf: str
     return builder.getOrCreate()
 
 
+def mounted(folder: str) -> str:
+    """A shared folder as a path that Python can open; a remote scheme cannot be."""
+    path = folder.removeprefix("file://").removeprefix("file:")
+    if "://" in path:
+        raise ValueError(f"{folder} is not a mounted folder: write parquet there instead of single files")
+    return path
+
+
 def settled(df: DataFrame, purpose: str) -> DataFrame:
     """The frame as a written table in the shared folder, for results that are costly and read several times."""
     path = shared_dir(df.sparkSession, purpose)

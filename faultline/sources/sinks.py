@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from faultline.functions import render
 from faultline.operators import incidents, reports
+from faultline.session import mounted
 from faultline.sources.readers import read_incidents
 
 
@@ -20,7 +21,9 @@ def write_reports(report_rows: DataFrame, path: str, mode: str = "append") -> No
 
 
 def write_report_files(report_rows: DataFrame, folder: str) -> None:
-    """One text file per report, in a folder that all executors share.  Rewriting a file is harmless on a retry."""
+    """One text file per report, in a folder that all executors mount.  Rewriting a file is harmless on a retry."""
+    folder = mounted(folder)
+
     def save(rows: Iterator) -> None:
         import os
 

@@ -79,7 +79,10 @@ def stream_triage(
     def handle(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         target = f"{report_path}/batch={batch_id}"
+        # The plan reads its failures more than once; the source should not.
+        batch.persist()
         batch_plan(batch).write.mode("overwrite").parquet(target)
+        batch.unpersist()
         if incident_path is not None:
             sinks.append_incidents(spark, spark.read.parquet(target), incident_path)
 
