@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -52,14 +50,12 @@ def settled(df: DataFrame, purpose: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession, purpose: str) -> str:
-    """A fresh folder path under the cluster's ``spark.checkpoint.dir``.
+    """A fresh folder path in the folder that all executors share.
 
-    Only a local master may fall back to a folder of its own: on a cluster a machine-local path would lose data
-    with the executor that wrote it.
+    That is ``spark.checkpoint.dir`` or, where a program set it later, the context's checkpoint folder.  There is no other
+    choice: a machine-local folder would lose data with the executor that wrote it.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None)
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        base = os.path.join(tempfile.gettempdir(), "faultline-local")
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     return f"{base.rstrip('/')}/faultline/{purpose}-{uuid.uuid4().hex}"
