@@ -9,6 +9,10 @@ from faultline.session import settled
 
 STAGES = [
     ("language_id", stages.language_stage),
+    ("quality", stages.quality_stage),
+    ("near_copies", stages.near_copy_stage),
+    ("decontamination", stages.decontamination_stage),
+    ("segmentation", stages.segmentation_stage),
 ]
 
 #: No SQL: language automata, sampled weights and sampled segmentations are beyond it.  Tested by parts instead.

@@ -40,7 +40,7 @@ class LanguageModel:
     letters: str
     #: step[state * symbols + symbol]: next state, or ~next where a new phrase begins there.
     step: np.ndarray
-    roots: np.ndarray
+    starts: np.ndarray
     bits: np.ndarray
 
 
@@ -50,7 +50,8 @@ def sampled_texts(docs: DataFrame, learn: Column, text: str = "text", lang: str
         F.col(lang).cast("string").alias("lang"), F.col(text).alias("text"), F.xxhash64(F.col(text)).alias("hash"),
     ).where(F.char_length("text").between(1, SAMPLE_TEXT))
     chosen = rows.groupBy("lang", F.pmod("hash", F.lit(SAMPLE_ROWS)).alias("class")).agg(F.min("hash").alias("hash"))
-    texts = rows.join(chosen, ["lang", "hash"]).groupBy("lang", "hash").agg(F.min("text").alias("text"))
+    # At most SAMPLE_ROWS rows a language.
+    texts = rows.join(F.broadcast(chosen), ["lang", "hash"]).groupBy("lang", "hash").agg(F.min("text").alias("text"))
     return [(r["lang"], r["text"]) for r in sorted(texts.collect(), key=lambda r: (r["lang"], r["hash"]))]
 
 
@@ -80,22 +81,22 @@ def fit(samples: list[tuple[str, str]]) -> LanguageModel | None:
                     counts[c] = counts.get(c, 0) + 1
     letters = "".join(sorted(sorted(counts, key=lambda c: (-counts[c], c))[:250]))
     width = FIRST_LETTER + len(letters)
-    tables, roots, bits, offset = [], [], [], 0
+    tables, starts, bits, offset = [], [], [], 0
     for name in names:
         parts = [symbols_of(t, letters)[0] for t in budgeted[name]]
-        table, root = phrase_table([p for p in parts if len(p)], width)
-        roots.append(offset + root)
+        table, start = phrase_table([p for p in parts if len(p)], width)
+        starts.append(offset + start)
         tables.append(np.where(table >= 0, table + offset, table - offset))
         bits.append(math.log2(sum(map(len, parts)) + 1))
         offset += len(table)
-    return LanguageModel(names, letters, np.concatenate(tables).astype(np.int32).ravel(), np.array(roots, np.int32), np.array(bits))
+    return LanguageModel(names, letters, np.concatenate(tables).astype(np.int32).ravel(), np.array(starts, np.int32), np.array(bits))
 
 
 def phrase_table(parts: list[np.ndarray], width: int) -> tuple[np.ndarray, int]:
     """Transitions of the suffix automaton of all parts, completed so that every symbol leads somewhere.
 
-    A missing transition starts a new phrase from the root; a symbol that the root lacks is a phrase of its own, after
-    which (in the state added last) any symbol starts the next one.
+    A missing transition starts a new phrase from the root; a symbol that the root lacks is a phrase of its own.  After
+    it, as before a text, stands the state added last (also returned), where any symbol starts a phrase.
     """
     edges: list[dict[int, int]] = [{}]
     link, length = [-1], [0]
@@ -111,7 +112,7 @@ def phrase_table(parts: list[np.ndarray], width: int) -> tuple[np.ndarray, int]:
     for state, out in enumerate(edges):
         table[state, list(out)] = list(out.values())
     table[:, PAD] = np.arange(closed + 1)
-    return table, 0
+    return table, closed
 
 
 def extend(edges, link, length, last: int, symbol: int) -> int:
@@ -201,9 +202,9 @@ def cross_parse(model: LanguageModel, grid: np.ndarray) -> np.ndarray:
     columns = np.ascontiguousarray(grid[order].T)
     active = np.searchsorted(-used[order], -np.arange(grid.shape[1]), side="left")
     out = np.empty((len(grid), len(model.names)))
-    for j, root in enumerate(model.roots):
-        state = np.full(len(grid), root, np.int32)
-        phrases = np.ones(len(grid), np.int32)
+    for j, start in enumerate(model.starts):
+        state = np.full(len(grid), start, np.int32)
+        phrases = np.zeros(len(grid), np.int32)
         for t in range(int(used.max())):
             n = active[t]
             step = model.step[state[:n] * width + columns[t, :n]]

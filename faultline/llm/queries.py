@@ -8,7 +8,10 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language, token_counts, token_files, topk_search, url_cascade
+from . import (
+    class_lm, decontamination, jaccard_join, language, resampling, segmentation, token_counts, token_files, topk_search,
+    url_cascade,
+)
 from .common import fold_of, table
 
 REGISTRY: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {}
@@ -101,3 +104,36 @@ SELECT query_id, CAST(r AS INTEGER) AS rank, vec_id, score FROM ranked WHERE r <
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
     return topk_search.top_k_search(vectors, "vec_id", "embedding", F.col("id") % 100 == 0, k=10)
+
+
+@register("op6_class_lm")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = fold_of(F.col("doc_id"), 5) == 1
+    docs = table(spark, sf_dir, "documents").select("doc_id", held_out.alias("held_out"), "text")
+    return class_lm.score_texts(docs, ~F.col("held_out"))
+
+
+@register("op2_importance_resampling")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return resampling.resample(docs, table(spark, sf_dir, "labels"), resampling.good_label())
+
+
+@register("op4_simhash_windows")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return decontamination.contaminated(docs, table(spark, sf_dir, "benchmark"))
+
+
+@register("op9_chosen_path_join")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.linked_documents(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+@register("op1_gumbel_segmentation")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    sampled = segmentation.sample_segmentations(docs, public_tokenizers.path("piece_bpe_32k.model"), k=2)
+    return sampled.select(
+        "doc_id", "sample", F.size("ids").cast("long").alias("n_pieces"), F.xxhash64("ids").alias("ids_hash"), "log_prob",
+        "perturbed", "log_inclusion", "round_trip")

@@ -199,4 +199,4 @@ def judge_by_join(judged: DataFrame, keyed: DataFrame, lengths: list[int], defau
         .join(keyed.select("key", "verdict"), "key")
         .groupBy("host", "path").agg(F.max(longest(F.col("key"), F.col("verdict"))).alias("fit"))
     )
-    return with_verdict(judged.join(fits, ["host", "path"], "left"), default)
+    return with_verdict(judged.join(fits, ["host", "path"], "left").select(*judged.columns, "fit"), default)
