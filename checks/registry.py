@@ -41,7 +41,7 @@ def rounded(name: str, digits: int = 6) -> Column:
     FROM ({catalogue_rows(CATALOGUE)}) LEFT JOIN documents ON regexp_matches(text, regex, 'i') GROUP BY ALL"""))
 def _(spark, sf):
     """How many raw texts each regex of the catalogue hits (the prose holds none)."""
-    docs = v.texts(spark, sf, "documents").select("doc_id", c("text").alias("stdout"))
+    docs = v.table(spark, sf, "documents").select("doc_id", c("text").alias("stdout"))
     rows = logs.explode_lines(docs, ["doc_id"], stripped=False)
     hits = logs.line_matches(rows, ["doc_id"]).select("sig_idx", "rx_idx", "doc_id").distinct()
     counted = hits.groupBy("sig_idx", "rx_idx").agg(F.count("*").alias("n_logs"))
@@ -153,13 +153,14 @@ def _(spark, sf):
 
 
 @register("line_snippet", query(["plain_logs", "snippets"], """
-    SELECT doc_id, CAST(len(string_split(snippet, chr(10))) AS BIGINT) AS n_lines, length(snippet) AS n_chars
+    SELECT doc_id, CAST(len(string_split(snippet, chr(10))) AS BIGINT) AS n_lines, md5(snippet) AS digest
     FROM snippets"""))
 def _(spark, sf):
     stripped = v.plain_logs(spark, sf).withColumn("stdout", strip_text(c("stdout")))
     lines = logs.explode_lines(stripped, ["doc_id"], stripped=False)
+    ordered = F.transform(F.sort_array(F.collect_list(F.struct("line_no", "line"))), lambda x: x["line"])
     return logs.line_snippet(lines, ["doc_id"]).groupBy("doc_id").agg(
-        F.count("*").alias("n_lines"), (F.sum(F.length("line")) + F.count("*") - 1).alias("n_chars")
+        F.count("*").alias("n_lines"), F.md5(F.array_join(ordered, "\n")).alias("digest")
     )
 
 
@@ -176,7 +177,7 @@ def _(spark, sf):
         Signature("fr_marks", "data_quality", "low", ("ê[a-z]+",), "accents", "decode"),
         Signature("articles", "configuration_error", "critical", (r"\bthe ([a-z]+)\b", "und[a-z]*"), "words", "read"),
     ]
-    docs = v.texts(spark, sf, "documents").select("doc_id", c("text").alias("stdout"))
+    docs = v.table(spark, sf, "documents").select("doc_id", c("text").alias("stdout"))
     rows = logs.match_signatures(docs, ["doc_id"], custom=custom)
     return rows.select("doc_id", "name", "n_matches", v.joined("matches").alias("matches"))
 
@@ -323,7 +324,9 @@ def _(spark, sf):
 
 
 @register("resolve_dag_files", query(["dags", "dag_files"], r"""
-    SELECT dag_id, path AS dag_file_path, CAST(priority AS INTEGER) AS priority FROM (
+    SELECT d.dag_id, b.path AS dag_file_path, CAST(b.priority AS INTEGER) AS priority FROM (
+        SELECT dag_id FROM dags UNION ALL SELECT 'nowhere' FROM (SELECT count(*) FROM dags)) d LEFT JOIN (
+    SELECT dag_id, path, priority FROM (
         SELECT d.dag_id, f.path, CASE
             WHEN regexp_matches(path, '(^|/)dags/(.*/)?[^/]*' || d.dag_id || '[^/]*\.py$') THEN 1
             WHEN regexp_matches(path, '(^|/)' || d.dag_id || '\.py$') THEN 2
@@ -331,9 +334,13 @@ def _(spark, sf):
             WHEN regexp_matches(path, '(^|/)' || d.dag_id || '_dag\.py$') THEN 4
             WHEN contains(content, 'dag_id="' || d.dag_id || '"') THEN 5 END AS priority
         FROM dags d, dag_files f)
-    WHERE priority IS NOT NULL QUALIFY row_number() OVER (PARTITION BY dag_id ORDER BY priority, path) = 1"""))
+    WHERE priority IS NOT NULL QUALIFY row_number() OVER (PARTITION BY dag_id ORDER BY priority, path) = 1) b
+    ON b.dag_id = d.dag_id"""))
 def _(spark, sf):
-    return commit_ops.resolve_dag_files(v.dags(spark, sf), v.dag_files(spark, sf)).where("priority IS NOT NULL")
+    """All DAGs of the events and one that no file defines."""
+    known = v.dags(spark, sf)
+    nowhere = known.agg(F.count("*")).select(lit("nowhere").alias("dag_id"))
+    return commit_ops.resolve_dag_files(known.unionByName(nowhere), v.dag_files(spark, sf))
 
 
 # --- health, metrics -------------------------------------------------------------------------------------------------
@@ -430,7 +437,7 @@ def _probes(incidents: DataFrame) -> DataFrame:
 def similar(spark, sf, **options) -> DataFrame:
     """Every stored incident looks for its neighbours among all others."""
     stored = v.incidents(spark, sf)
-    return inc.similar_incidents(_probes(stored), stored, **options)
+    return inc.similar_incidents(_probes(stored), stored, exclude_self=True, **options)
 
 
 @register("similar_incidents", query(["nearest"], """
@@ -449,7 +456,7 @@ def _(spark, sf):
         ORDER BY list_distance(p.embedding, i.embedding), i.incident_id) <= 5"""))
 def _(spark, sf):
     stored = v.incidents(spark, sf)
-    found = inc.similar_incidents(_probes(stored), stored, category="error_category")
+    found = inc.similar_incidents(_probes(stored), stored, category="error_category", exclude_self=True)
     return found.join(stored.select("incident_id", "error_category"), "incident_id").select(
         "probe_id", "incident_id", "error_category", rounded("distance"))
 
@@ -490,7 +497,7 @@ MESSAGE_CATEGORY = [*matches_cte("failures", "event_id", "error_message", CATALO
         RANGE BETWEEN INTERVAL 30 DAY PRECEDING AND INTERVAL '0.000001 seconds' PRECEDING) AS BIGINT) AS recurrence_30d
     FROM categorised""", MESSAGE_CATEGORY))
 def _(spark, sf):
-    return inc.recurrence_30d(categorised(spark, sf), ["event_id"]).select(
+    return inc.recurrence_30d(categorised(spark, sf)).select(
         "event_id", "error_category", "recurrence_30d")
 
 
@@ -545,13 +552,11 @@ def _(spark, sf):
 
 
 @register("incident_lookup", query(["incidents"], """
-    SELECT i.incident_id, p.dag_id FROM incidents i JOIN failures p ON i.incident_id = 'inc_' || p.event_id"""
-    .replace("failures p", "(SELECT event_id, 'dag_' || (user_id % 20) AS dag_id FROM events) p")))
+    SELECT incident_id, dag_id, task_id, error_category, severity, root_cause_summary, resolution FROM incidents
+    WHERE incident_id = 'inc_35'"""))
 def _(spark, sf):
-    """Look-up by id for all events at once."""
-    wanted = v.events(spark, sf).select(
-        v.tagged("inc_", c("event_id")).alias("incident_id"), v.dag_of().alias("dag_id"))
-    return v.incidents(spark, sf).select("incident_id").join(wanted, "incident_id")
+    return inc.incident_lookup(v.incidents(spark, sf), "inc_35").select(
+        "incident_id", "dag_id", "task_id", "error_category", "severity", "root_cause_summary", "resolution")
 
 
 @register("read_back", query(["incidents"], """
@@ -562,10 +567,10 @@ def _(spark, sf):
 
 @register("text_similar_incidents", None)
 def _(spark, sf):
-    docs = v.texts(spark, sf, "documents").select("doc_id", "text")
+    docs = v.table(spark, sf, "documents").select("doc_id", "text")
     probes = docs.withColumnRenamed("doc_id", "probe_id")
     stored = docs.withColumnRenamed("doc_id", "incident_id")
-    return inc.text_similar_incidents(probes, stored, "text").select(
+    return inc.text_similar_incidents(probes, stored, "text", exclude_self=True).select(
         "probe_id", "incident_id", "rank", rounded("distance"), rounded("similarity_score"))
 
 

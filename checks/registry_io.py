@@ -8,13 +8,13 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame, functions as F
 
 from checks import views as v
-from checks.registry import categorised, register, rounded
-from checks.registry_reports import FILE_NAME, MARKDOWN, OPTIONS, PRIORITY_CTE, SUMMARY, WITH_PRIORITY
+from checks.registry import REGISTRY, categorised, register, rounded
+from checks.registry_reports import CHAT, FILE_NAME, HTML, MARKDOWN, OPTIONS, PRIORITY_CTE, SUMMARY, WITH_PRIORITY
 from checks.registry_reports import contexts, failures, report_rows, tables
 from checks.registry import MESSAGE_CATEGORY
 from checks.sql_views import query, ts
 from faultline.functions import render
-from faultline.operators import incidents as inc
+from faultline.operators import incidents as inc, reports
 from faultline.plans import triage as plan
 from faultline.session import mounted, shared_dir
 from faultline.sources import readers, sinks
@@ -46,7 +46,7 @@ def _payload_path(spark, sf) -> str:
 @register("normalized_events", query(["failures"], f"""
     SELECT dag_id, task_id, run_id, {ts('failed_at')} AS execution_date, {ts('failed_at')} AS failed_at,
            CASE WHEN state = 'crashed' THEN 'failed' ELSE state END AS state, error_message, try_number
-    FROM failures WHERE event_id % 10 <> 0"""))
+    FROM failures WHERE event_id % 10 > 2"""))
 def _(spark, sf):
     good, _ = readers.read_failure_events(spark, _payload_path(spark, sf), arrived="arrived_at")
     return good.withColumn("execution_date", v.ts_text("execution_date")).withColumn(
@@ -54,7 +54,8 @@ def _(spark, sf):
 
 
 @register("quarantine", query(["failures"], """
-    SELECT 'malformed JSON' AS problem, CAST(count(*) AS BIGINT) AS n FROM failures WHERE event_id % 10 = 0"""))
+    SELECT ['malformed JSON', 'missing field', 'bad execution_date'][event_id % 10 + 1] AS problem,
+           CAST(count(*) AS BIGINT) AS n FROM failures WHERE event_id % 10 <= 2 GROUP BY 1"""))
 def _(spark, sf):
     _, bad = readers.read_failure_events(spark, _payload_path(spark, sf), arrived="arrived_at")
     return bad.groupBy("problem").agg(F.count("*").alias("n"))
@@ -136,11 +137,11 @@ def _(spark, sf):
 
 
 @register("read_responses", query(["replies"], """
-    SELECT conv_id || '/' || turn AS failure_id, CAST(length(raw) AS INTEGER) AS n_chars FROM replies"""))
+    SELECT conv_id || '/' || turn AS failure_id, md5(raw) AS digest FROM replies"""))
 def _(spark, sf):
     rows = v.replies(spark, sf).select(F.concat_ws("/", "conv_id", "turn").alias("failure_id"), "raw")
     return readers.read_responses(spark, as_json(spark, rows, "replies")).select(
-        "failure_id", F.length("raw").alias("n_chars"))
+        "failure_id", F.md5("raw").alias("digest"))
 
 
 @register("read_incidents", query(["incidents"], """
@@ -167,20 +168,21 @@ def _write_files(rows: DataFrame, root: str) -> None:
 
 
 @register("read_task_logs", query(["plain_logs"], """
-    SELECT 'dag_' || (user_id % 20) AS dag_id, 'task_' || (user_id % 7) AS task_id, 'run_' || event_id AS run_id,
+    SELECT 'dag_' || (user_id % 20) AS dag_id, 'task_' || (user_id % 7) AS task_id,
+           'run_' || event_id || '__2024-01-15T00:00:00+00:00 50%' AS run_id,
            CAST(event_id % 3 + 1 AS INTEGER) AS try_number, md5(stdout) AS digest
     FROM plain_logs JOIN events ON event_id = doc_id"""))
 def _(spark, sf):
     root = shared_dir(spark, "logs")
-    path = F.concat(lit("dags/"), "dag_id", lit("/dagRuns/"), "run_id", lit("/taskInstances/"), "task_id",
-                    lit("/logs/"), c("try_number").cast("string"))
+    path = F.concat(lit("dags/"), "dag_id", lit("/dagRuns/"), c("run_id"), lit("__2024-01-15T00:00:00+00:00 50%/taskInstances/"),
+                    "task_id", lit("/logs/"), c("try_number").cast("string"))
     _write_files(v.task_logs(spark, sf).select(path.alias("path"), c("stdout").alias("content")), root)
     return readers.read_task_logs(spark, root).withColumn("digest", F.md5("stdout")).drop("stdout")
 
 
 @register("read_dag_files", query(["dag_files"], "SELECT path, md5(content) AS digest FROM dag_files"))
 def _(spark, sf):
-    root = shared_dir(spark, "dagfiles")
+    root = shared_dir(spark, "dagfiles") + "/dags"
     _write_files(v.dag_files(spark, sf), root)
     return readers.read_dag_files(spark, root).select("path", F.md5("content").alias("digest"))
 
@@ -208,21 +210,19 @@ def _(spark, sf):
         F.substring_index(c("_metadata.file_path"), "/", -1).alias("file_name"), F.md5("value").alias("digest"))
 
 
-@register("write_notifications", query(["rep"], """
-    SELECT '*Category:*' || chr(10) || error_category AS category, CAST(count(*) AS BIGINT) AS n FROM rep GROUP BY 1"""))
+@register("write_notifications", query(["rep"], f"""
+    SELECT {CHAT} || ',"channel":"#alerts"}}' AS payload FROM rep"""))
 def _(spark, sf):
     path = shared_dir(spark, "notifications")
     sinks.write_notifications(report_rows(spark, sf), path, "#alerts")
-    category = F.get_json_object("value", "$.blocks[1].fields[0].text")
-    return spark.read.text(path).groupBy(category.alias("category")).agg(F.count("*").alias("n"))
+    return spark.read.text(path).select(c("value").alias("payload"))
 
 
-@register("write_prompts", query(["ctx"], """
-    SELECT failure_id, TRUE AS has_system FROM ctx WHERE has_context"""))
+@register("write_prompts", REGISTRY["prompts"][1])
 def _(spark, sf):
     path = shared_dir(spark, "prompts")
     sinks.write_prompts(contexts(spark, sf), path)
-    return spark.read.parquet(path).select("failure_id", (F.length("system_prompt") > 0).alias("has_system"))
+    return spark.read.parquet(path).where(F.length("system_prompt") > 0).select("failure_id", "user_prompt")
 
 
 APPENDED = """
@@ -261,13 +261,14 @@ def _(spark, sf):
 
 
 @register("export_formats", query(["rep"], f"""
-    SELECT report_id, 'markdown' AS format, CAST(length({MARKDOWN}) AS INTEGER) AS n_chars FROM full_rep""",
-    [PRIORITY_CTE, WITH_PRIORITY]))
+    SELECT report_id, 'markdown' AS format, md5({MARKDOWN}) AS digest FROM full_rep
+    UNION ALL SELECT report_id, 'html', md5({HTML}) FROM full_rep""", [PRIORITY_CTE, WITH_PRIORITY]))
 def _(spark, sf):
     path = shared_dir(spark, "export")
-    report_rows(spark, sf).select(
-        "report_id", lit("markdown").alias("format"), render.markdown().alias("body")).write.parquet(path)
-    return spark.read.parquet(path).select("report_id", "format", F.length("body").alias("n_chars"))
+    rows = report_rows(spark, sf)
+    for fmt in ("markdown", "html"):
+        reports.export(rows, fmt).withColumn("format", lit(fmt)).write.mode("append").parquet(path)
+    return spark.read.parquet(path).select("report_id", "format", F.md5("body").alias("digest"))
 
 
 # --- streams ---------------------------------------------------------------------------------------------------------
@@ -298,6 +299,19 @@ def _(spark, sf):
     return _drain(spark, source.select("event_id", "dag_id", "state"), "stream-failures")
 
 
+@register("stream_quarantine", query(["failures"], """
+    SELECT coalesce(['malformed JSON', 'missing field', 'bad execution_date'][event_id % 10 + 1], '') AS problem,
+           CAST(count(*) AS BIGINT) AS n, CAST(count(error_message) FILTER (event_id % 10 > 2) AS BIGINT) AS n_messages
+    FROM failures GROUP BY 1"""))
+def _(spark, sf):
+    """Callback payloads as a stream: good rows and quarantined ones in two sinks, nothing lost."""
+    good, bad = streams.stream_callbacks(spark, _payload_path(spark, sf), arrived="arrived_at")
+    rows = _drain(spark, good, "stream-good").withColumn("problem", lit("")).unionByName(
+        _drain(spark, bad, "stream-bad"))
+    message = F.when(c("problem") == "", c("error_message"))
+    return rows.groupBy("problem").agg(F.count("*").alias("n"), F.count(message).alias("n_messages"))
+
+
 @register("stream_dedupe", query(["failures"], """
     SELECT dag_id, task_id, run_id FROM failures"""))
 def _(spark, sf):

@@ -22,7 +22,7 @@ def failures(spark, sf) -> DataFrame:
 
 def tables(spark, sf, with_similar: bool = True) -> plan.Tables:
     probes = v.failures(spark, sf).withColumn("probe", v.tagged("inc_", c("event_id")))
-    replies = v.replies(spark, sf).where("turn = 1").withColumn("event_id", c("conv_id"))
+    replies = v.replies(spark, sf).withColumn("event_id", c("conv_id"))
     keyed = plan.with_ids(v.failures(spark, sf)).select("event_id", "failure_id").join(replies, "event_id")
     return plan.Tables(
         task_instances=v.task_instances(spark, sf), task_logs=v.task_logs(spark, sf), dag_runs=v.runs(spark, sf),
@@ -57,6 +57,37 @@ def _(spark, sf):
         F.size(F.coalesce("similar_incidents", F.array())).alias("n_similar"))
 
 
+@register("context_history_asof", query(["ctx"], f"""
+    SELECT event_id, {ts('last_success')} AS last_success, {ts('last_failure')} AS last_failure,
+           array_to_string(states, ',') AS states, round(avg_duration, 6) AS avg_duration_seconds,
+           round(failure_rate, 6) AS failure_rate_7d, CAST(total_7d AS INTEGER) AS total_runs_7d,
+           coalesce(last_failure <= failed_at, TRUE) AS in_the_past FROM ctx"""))
+def _(spark, sf):
+    """The history in every context is the one at the failure's time."""
+    past = lambda name: c(f"dag_history.{name}")
+    return contexts(spark, sf).select(
+        "event_id", v.ts_text(past("last_success")).alias("last_success"),
+        v.ts_text(past("last_failure")).alias("last_failure"),
+        v.joined(F.transform(past("recent_runs"), lambda r: r["state"]), ",").alias("states"),
+        F.round(past("avg_duration_seconds"), 6).alias("avg_duration_seconds"),
+        F.round(past("failure_rate_7d"), 6).alias("failure_rate_7d"), past("total_runs_7d").alias("total_runs_7d"),
+        F.coalesce(past("last_failure") <= c("failed_at"), lit(True)).alias("in_the_past"))
+
+
+@register("context_duplicate_attempts", query(["failures"], """
+    SELECT event_id, 'run_' || event_id AS run_id, least(try_number, 2) AS attempt FROM failures"""))
+def _(spark, sf):
+    """Two earlier attempts and one later one of every task leave one context per failure, with the attempt it saw."""
+    attempts = v.task_instances(spark, sf).withColumn("try_number", F.explode(F.array(lit(1), lit(2), lit(9))))
+    logs_twice = v.task_logs(spark, sf)
+    some = tables(spark, sf, with_similar=False)
+    doubled = plan.Tables(
+        task_instances=attempts, task_logs=logs_twice.unionByName(logs_twice), dag_runs=some.dag_runs,
+        replies=some.replies.unionByName(some.replies))
+    rows = plan.build_context(failures(spark, sf), doubled)
+    return rows.select("event_id", "run_id", c("task.try_number").alias("attempt"))
+
+
 @register("collectors_used", query(["ctx"], """
     SELECT event_id, array_to_string(list_filter(['airflow', 'git', if(len(sources) > 0, 'source_health', ''),
                if(taken_at IS NOT NULL, 'metrics', '')], lambda x: x <> ''), ',') AS collectors_used FROM ctx"""))
@@ -255,8 +286,8 @@ PRIORITY_CTE = ("prio", """
                WHEN 'BOOLEAN' THEN 1 WHEN 'UBIGINT' THEN least(5, CAST(p AS BIGINT))
                WHEN 'VARCHAR' THEN CASE WHEN p = '4' THEN 4 WHEN p = 'critical' THEN 1 WHEN p = 'HIGH' THEN 2 ELSE 3 END
                ELSE 3 END AS priority
-    FROM (SELECT *, json_extract_string(verdict, '$.recommendations[0].priority') AS p FROM parsed
-          WHERE verdict IS NOT NULL AND turn = 1)""")
+    FROM (SELECT *, json_extract_string(verdict, '$.recommendations[0].priority') AS p FROM answers
+          WHERE verdict IS NOT NULL)""")
 WITH_PRIORITY = ("full_rep", """
     SELECT r.*, CASE WHEN r.ok THEN p.priority ELSE 1 END AS priority FROM rep r LEFT JOIN prio p ON p.conv_id = r.event_id""")
 
@@ -318,12 +349,14 @@ def _(spark, sf):
         c("body").contains('"analysis_duration_ms":null').alias("null_fields_kept"))
 
 
-@register("get_report", query(["rep"], f"SELECT report_id, {SUMMARY} AS summary FROM rep"))
+@register("get_report", query(["rep"], f"""
+    SELECT report_id, {MARKDOWN} AS body FROM full_rep WHERE report_id = (SELECT min(report_id) FROM rep)""",
+    [PRIORITY_CTE, WITH_PRIORITY]))
 def _(spark, sf):
-    """The look-up, for all ids at once: a join on the id."""
+    """The look-up of the first id."""
     rows = report_rows(spark, sf)
-    wanted = plan.with_ids(failures(spark, sf)).select(c("failure_id").alias("report_id"))
-    return reports.summaries(rows.join(wanted, "report_id", "left_semi"))
+    first = rows.agg(F.min("report_id")).first()[0]
+    return reports.get_report(rows, first, "markdown")
 
 
 @register("incident_documents", query(["rep"], """

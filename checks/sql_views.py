@@ -62,6 +62,17 @@ ANY_REGEX = "|".join(f"(?:{r})" for s in CATALOGUE for r in s.regexes)
 KEYWORDS = "|".join(ERROR_KEYWORDS)
 N = "(conv_id + turn)"
 
+
+def parsed(source: str, keys: str) -> str:
+    """The verdict in each reply, null where it holds none."""
+    return rf"""
+        SELECT {keys}, CASE WHEN json_valid(obj) AND CAST(json_extract(obj, '$.confidence') AS DOUBLE)
+                   BETWEEN 0 AND 1 THEN CAST(obj AS JSON) END AS verdict
+        FROM (SELECT {keys}, regexp_extract(CASE WHEN contains(raw, '```json')
+                  THEN regexp_extract(raw, '(?s)```json(.*)```', 1) ELSE raw END, '(?s)(\{{.*\}})', 1) AS obj
+              FROM {source})"""
+
+
 VIEWS: dict[str, str] = {
     "failures": f"""
         SELECT event_id, {DAG} AS dag_id, {TASK} AS task_id, 'run_' || event_id AS run_id,
@@ -175,12 +186,9 @@ VIEWS: dict[str, str] = {
                               [(conv_id * 7 + turn) % 8 + 1], '')
                   || '}}],"immediate_action":' || CASE WHEN {N} % 2 = 0 THEN '"stop"' ELSE 'null' END || '}}' AS body
               FROM conversations)""",
-    "parsed": r"""
-        SELECT conv_id, turn, CASE WHEN json_valid(obj) AND CAST(json_extract(obj, '$.confidence') AS DOUBLE)
-                   BETWEEN 0 AND 1 THEN CAST(obj AS JSON) END AS verdict
-        FROM (SELECT conv_id, turn, regexp_extract(CASE WHEN contains(raw, '```json')
-                  THEN regexp_extract(raw, '(?s)```json(.*)```', 1) ELSE raw END, '(?s)(\{.*\})', 1) AS obj
-              FROM replies)""",
+    "parsed": parsed("replies", "conv_id, turn"),
+    "first_reply": "SELECT conv_id, min(raw) AS raw FROM replies GROUP BY conv_id",
+    "answers": parsed("first_reply", "conv_id"),
     "dags": f"SELECT DISTINCT {DAG} AS dag_id FROM events",
     "dag_files": """
         SELECT CASE page_id % 5 WHEN 0 THEN 'proj/dags/team/etl_dag_' || (page_id % 23) || 'x' || page_id || '.py'
@@ -203,17 +211,18 @@ VIEWS: dict[str, str] = {
 VIEWS |= {
     "sig": "SELECT k AS doc_id, list(f ORDER BY rk) AS fams FROM log_fam f GROUP BY k",
     "hist": """
-        SELECT dag_id, max(execution_date) FILTER (state = 'success') AS last_success,
-               list(state ORDER BY execution_date DESC, run_id DESC) AS states,
-               list_sum(list(duration_seconds ORDER BY execution_date DESC)
-                        FILTER (state = 'success' AND duration_seconds <> 0))
-                   / count(*) FILTER (state = 'success' AND duration_seconds <> 0) AS avg_duration,
+        SELECT event_id, max(execution_date) FILTER (n <= 20 AND state = 'success') AS last_success,
+               max(execution_date) FILTER (n <= 20 AND state = 'failed') AS last_failure,
+               list(state ORDER BY n) FILTER (n <= 20) AS states,
+               list_sum(list(duration_seconds ORDER BY n) FILTER (n <= 20 AND state = 'success' AND duration_seconds <> 0))
+                   / count(*) FILTER (n <= 20 AND state = 'success' AND duration_seconds <> 0) AS avg_duration,
                CASE WHEN count(*) FILTER (recent) > 0 THEN count(*) FILTER (recent AND state = 'failed')
                    / count(*) FILTER (recent) ELSE 0 END AS failure_rate,
                count(*) FILTER (recent) AS total_7d
-        FROM (SELECT *, execution_date > (SELECT max(execution_date) FROM runs) - INTERVAL 7 DAY AS recent FROM runs
-              QUALIFY row_number() OVER (PARTITION BY dag_id ORDER BY execution_date DESC, run_id DESC) <= 20)
-        GROUP BY dag_id""",
+        FROM (SELECT f.event_id, r.*, r.execution_date > f.failed_at - INTERVAL 7 DAY AS recent,
+                     row_number() OVER (PARTITION BY f.event_id ORDER BY r.execution_date DESC, r.run_id DESC) AS n
+              FROM failures f JOIN runs r ON r.dag_id = f.dag_id AND r.execution_date <= f.failed_at)
+        GROUP BY event_id""",
     "recent": """
         SELECT f.event_id, list(k ORDER BY k.date DESC, k.sha DESC)[1:20] AS recent_commits FROM failures f JOIN (
             SELECT sha, short_sha, author, message, date FROM commits) k
@@ -240,13 +249,13 @@ VIEWS |= {
         SELECT f.*, sha256(f.dag_id || chr(31) || f.task_id || chr(31) || f.run_id || chr(31) || f.try_number)
                    AS failure_id, t.state AS task_state, t.duration_seconds, t.max_tries, t.operator,
                n.doc_id IS NOT NULL AS has_context, n.log_lines, n.snippet, right(p.stdout, 2000) AS tail, g.fams,
-               coalesce(kl.key_log_lines, []) AS key_log_lines, h.last_success, h.states, h.avg_duration, h.failure_rate,
+               coalesce(kl.key_log_lines, []) AS key_log_lines, h.last_success, h.last_failure, h.states, h.avg_duration, h.failure_rate,
                h.total_7d, coalesce(r.recent_commits, []) AS recent_commits, l.hours, l.short_sha AS last_sha,
                coalesce(s.sources, []) AS sources, m.cpu_percent, m.memory_percent, m.taken_at, sl.similar_incidents
         FROM failures f LEFT JOIN task_instances t USING (dag_id, run_id, task_id)
         LEFT JOIN snippets n ON n.doc_id = f.event_id LEFT JOIN plain_logs p ON p.doc_id = f.event_id
         LEFT JOIN sig g ON g.doc_id = f.event_id LEFT JOIN key_lines kl ON kl.doc_id = f.event_id
-        LEFT JOIN hist h USING (dag_id) LEFT JOIN recent r ON r.event_id = f.event_id
+        LEFT JOIN hist h ON h.event_id = f.event_id LEFT JOIN recent r ON r.event_id = f.event_id
         LEFT JOIN last_commit l ON l.event_id = f.event_id LEFT JOIN asof_sources s ON s.event_id = f.event_id
         LEFT JOIN asof_metrics m ON m.event_id = f.event_id LEFT JOIN similar_list sl ON sl.event_id = f.event_id""",
     "rep": """
@@ -269,7 +278,7 @@ VIEWS |= {
                if(ok, 'tester', NULL) AS llm_model, len(sources) > 0 AS has_sources, taken_at IS NOT NULL AS has_metrics,
                ok
         FROM (SELECT c.*, fams[1] AS p, v.verdict, v.verdict IS NOT NULL AS ok FROM ctx c
-              LEFT JOIN (SELECT * FROM parsed WHERE turn = 1) v ON v.conv_id = c.event_id WHERE c.has_context)""",
+              LEFT JOIN answers v ON v.conv_id = c.event_id WHERE c.has_context)""",
 }
 
 VIEWS |= {
@@ -279,13 +288,13 @@ VIEWS |= {
 DEPENDS = {
     "log_hits": ["plain_logs", "log_cat"], "log_fam": ["log_hits"], "log_prim": ["log_fam"],
     "log_lines": ["plain_logs"], "stripped": ["plain_logs"], "snippets": ["stripped"], "key_lines": ["log_lines"],
-    "checks": ["raw_checks"], "drift": ["checks"], "latest": ["resolutions"], "parsed": ["replies"],
-    "neighbours": ["incidents"], "nearest": ["neighbours"], "sig": ["log_fam"], "hist": ["runs"],
+    "checks": ["raw_checks"], "drift": ["checks"], "latest": ["resolutions"], "parsed": ["replies"], "first_reply": ["replies"], "answers": ["first_reply"],
+    "neighbours": ["incidents"], "nearest": ["neighbours"], "sig": ["log_fam"], "hist": ["failures", "runs"],
     "recent": ["failures", "commits"], "last_commit": ["failures", "commits"], "asof_metrics": ["failures", "metrics"],
     "asof_sources": ["failures", "drift"], "similar_list": ["failures", "nearest"],
     "ctx": ["failures", "task_instances", "snippets", "sig", "key_lines", "hist", "recent", "last_commit",
             "asof_sources", "asof_metrics", "similar_list"],
-    "rep": ["ctx", "parsed"],
+    "rep": ["ctx", "answers"],
 }
 
 

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from faultline.schemas import CATEGORIES, FAILURE_STATES, SEVERITIES
@@ -56,14 +54,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.schema(SCHEMAS[name]).parquet(f"{sf_dir}/{name}.parquet")
 
 
-def texts(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A table of texts.  A given table is one file with one row group, which a single task would have to process;
-    its rows are spread over the cores.  A table of more files than cores is left as it is."""
-    rows = table(spark, sf_dir, name)
-    cores = spark.sparkContext.defaultParallelism
-    return rows.repartition(cores) if len(rows.inputFiles()) < cores else rows
-
-
 def pick(values: list, index: Column) -> Column:
     """The literal list's element at ``index``."""
     return F.get(F.array(*[lit(v) for v in values]), index.cast("int"))
@@ -154,7 +144,7 @@ def task_instances(spark, sf_dir) -> DataFrame:
 
 def plain_logs(spark, sf_dir) -> DataFrame:
     """Documents as logs: the whole text, then a line with a known family."""
-    return texts(spark, sf_dir, "documents").select(
+    return table(spark, sf_dir, "documents").select(
         "doc_id", "source", F.concat(c("text"), lit("\n"), pick(TEMPLATES, c("doc_id") % 20)).alias("stdout")
     )
 
@@ -249,7 +239,7 @@ def replies(spark, sf_dir) -> DataFrame:
         .when(n % 5 == 1, body).when(n % 5 == 2, F.concat(lit("I think "), body, lit(" is right")))
         .when(n % 5 == 3, body).otherwise(c("text"))
     )
-    return texts(spark, sf_dir, "conversations").withColumn("t", text).select("conv_id", "turn", raw.alias("raw"))
+    return table(spark, sf_dir, "conversations").withColumn("t", text).select("conv_id", "turn", raw.alias("raw"))
 
 
 def dags(spark, sf_dir) -> DataFrame:
@@ -268,14 +258,16 @@ def dag_files(spark, sf_dir) -> DataFrame:
         .otherwise(F.concat(lit("misc/page_"), page, lit(".py")))
     )
     quoted = F.when(kind == 4, F.concat(lit('\nwith DAG(dag_id="dag_'), n, lit('"):'))).otherwise("")
-    return texts(spark, sf_dir, "pages").select(path.alias("path"), F.concat(c("html"), quoted).alias("content"))
+    return table(spark, sf_dir, "pages").select(path.alias("path"), F.concat(c("html"), quoted).alias("content"))
 
 
 def payloads(spark, sf_dir) -> DataFrame:
-    """Failures as raw callback lines; every tenth is cut off."""
+    """Failures as raw callback lines; of every ten one is cut off, one lacks its task and one has no proper date."""
+    kind = c("event_id") % 10
+    instant_text = F.date_format("failed_at", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")
     line = F.to_json(F.struct(
-        "event_id", "dag_id", "task_id", "run_id",
-        F.date_format("failed_at", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'").alias("execution_date"), "state", "try_number",
+        "event_id", "dag_id", F.when(kind != 1, c("task_id")).alias("task_id"), "run_id",
+        F.when(kind == 2, lit("yesterday")).otherwise(instant_text).alias("execution_date"), "state", "try_number",
         c("error_message").alias("exception"),
         F.date_format("failed_at", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'").alias("arrived_at"),
     ))
@@ -290,6 +282,3 @@ def ts_text(name: str | Column) -> Column:
 def joined(array: str | Column, separator: str = "|") -> Column:
     return F.array_join(array, separator)
 
-
-def all_true(*conditions: Column) -> Column:
-    return reduce(lambda a, b: a & b, conditions)

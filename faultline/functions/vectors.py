@@ -13,11 +13,6 @@ def similarity_score(distance: Column) -> Column:
     return F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1.0 - F.coalesce(distance, F.lit(0.5))))
 
 
-def squared_l2(a: Column, b: Column) -> Column:
-    squares = F.zip_with(a, b, lambda x, y: (x.cast("double") - y.cast("double")) ** 2)
-    return F.aggregate(squares, F.lit(0.0), lambda total, x: total + x)
-
-
 def fit_vectoriser(corpus: DataFrame, text: str, features: int = 256) -> PipelineModel:
     """Hashed term frequencies, weighted by inverse document frequency, scaled to unit length."""
     return Pipeline(stages=[

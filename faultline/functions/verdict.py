@@ -156,7 +156,11 @@ def typed_verdict(value: Column) -> Column:
     return F.when(F.coalesce(valid, F.lit(False)), verdict.cast(VERDICT_TYPE))
 
 
-def fallback_verdict(primary: Column) -> Column:
+# Fixed value: matches quoted as evidence.
+MAX_EVIDENCE = 3
+
+
+def fallback_verdict(primary: Column, evidence: int = MAX_EVIDENCE) -> Column:
     """The verdict of the primary family, or the unknown one."""
     no_texts = F.array().cast("array<string>")
     recommendation = lambda action: F.array(F.struct(
@@ -167,7 +171,7 @@ def fallback_verdict(primary: Column) -> Column:
         primary["category"].alias("error_category"), primary["severity"].alias("severity"),
         primary["description"].alias("root_cause"), primary["description"].alias("root_cause_summary"),
         F.lit(MATCHED_CONFIDENCE).alias("confidence"),
-        F.transform(F.slice(primary["matches"], 1, 3), lambda m: F.concat(F.lit("Pattern match: "), m)).alias("evidence"),
+        F.transform(F.slice(primary["matches"], 1, evidence), lambda m: F.concat(F.lit("Pattern match: "), m)).alias("evidence"),
         no_texts.alias("contributing_factors"), recommendation(primary["recommendation"]).alias("recommendations"),
         F.lit(None).cast("string").alias("immediate_action"),
     ).cast(VERDICT_TYPE)

@@ -7,7 +7,6 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, functions as F
 
 from faultline import schemas
-from faultline.functions.text import non_empty
 
 # Error texts.
 COLLECTION_FAILED = "Airflow collection failed"
@@ -21,27 +20,58 @@ Provider = Callable[[DataFrame], DataFrame]
 
 
 def failure_id(*columns: str) -> Column:
-    """A stable id, so that a replay finds its own rows again."""
-    return F.sha2(F.concat_ws("\x1f", *[F.col(c).cast("string") for c in columns]), 256)
+    """A stable id, so that a replay finds its own rows again.  A null part differs from every text."""
+    return F.sha2(F.concat_ws("\x1f", *[F.coalesce(F.col(c).cast("string"), F.lit("\x1e")) for c in columns]), 256)
+
+
+def of_failures(rows: DataFrame, failures: DataFrame, keys: list[str]) -> DataFrame:
+    """The rows that some failure asks for.  Only the failures' keys are shuffled (or broadcast) to find them."""
+    return rows.join(failures.select(*keys).distinct(), keys, "left_semi")
 
 
 def join_task_instances(failures: DataFrame, instances: DataFrame) -> DataFrame:
-    """Adds the struct ``task`` by (dag, run, task); null where there is no instance."""
+    """Adds the struct ``task`` by (dag, run, task); null where there is no instance.
+
+    Of several attempts the newest at or below the failure's try is taken, else the earliest later one, so a
+    failure stays one row.
+    """
     task = F.struct(
         "state", "start_date", "end_date", "duration_seconds", "try_number", "max_tries", "operator", "pool", "queue"
     ).cast(schemas.TASK)
-    return failures.join(instances.select(*TASK_KEYS, task.alias("task")), TASK_KEYS, "left")
+    wanted = failures.select(*TASK_KEYS, F.coalesce("try_number", F.lit(1)).alias("_try")).distinct()
+    reached = F.coalesce(F.col("task.try_number"), F.lit(1)) <= F.col("_try")
+    nearest = F.struct(reached.alias("reached"), F.when(reached, F.col("task.try_number")).otherwise(-F.col("task.try_number")))
+    one = (
+        instances.select(*TASK_KEYS, task.alias("task")).join(wanted, TASK_KEYS)
+        .groupBy(*TASK_KEYS, "_try").agg(F.max_by("task", F.struct(nearest.alias("nearest"), "task")).alias("task"))
+    )
+    asked = failures.withColumn("_try", F.coalesce("try_number", F.lit(1)))
+    return asked.join(one, [*TASK_KEYS, "_try"], "left").select(*failures.columns, "task")
 
 
 def join_logs(failures: DataFrame, profiled: DataFrame) -> DataFrame:
-    """Adds the log's columns by (dag, run, task, try).  Join the profile, not the text: texts need no shuffle."""
-    return failures.join(profiled, LOG_KEYS, "left")
+    """Adds the log's columns by (dag, run, task, try).  Join the profile, not the text: texts need no shuffle.
 
+    Of several logs of one attempt the one with most lines is taken.
+    """
+    columns = [c for c in profiled.columns if c not in LOG_KEYS]
+    longest = F.max_by(F.struct(*columns), F.struct("log_lines", "stdout_tail"))
+    one = profiled.groupBy(*LOG_KEYS).agg(longest.alias("_log")).select(*LOG_KEYS, "_log.*")
+    return failures.join(one, LOG_KEYS, "left")
 
-def join_history(failures: DataFrame, history: DataFrame) -> DataFrame:
-    """Adds the struct ``dag_history``.  One row per DAG: broadcast by size, skew join beyond."""
-    columns = [c for c in history.columns if c != "dag_id"]
-    return failures.join(history.select("dag_id", F.struct(*columns).alias("dag_history")), "dag_id", "left")
+
+def join_history(failures: DataFrame, history: DataFrame, key: str = "failure_id") -> DataFrame:
+    """Adds the struct ``dag_history`` by failure."""
+    columns = [c for c in history.columns if c != key]
+    return failures.join(history.select(key, F.struct(*columns).alias("dag_history")), key, "left")
+
+
+def join_similar(failures: DataFrame, similar: DataFrame) -> DataFrame:
+    """Adds ``similar_incidents`` by failure; an empty list where there are none."""
+    one = similar.groupBy("failure_id").agg(F.max("similar_incidents").alias("similar_incidents"))
+    none = F.array().cast(f"array<{schemas.SIMILAR}>")
+    return failures.join(one, "failure_id", "left").withColumn(
+        "similar_incidents", F.coalesce(F.col("similar_incidents").cast(f"array<{schemas.SIMILAR}>"), none))
 
 
 def absent(df: DataFrame, **columns: str) -> DataFrame:
@@ -85,8 +115,3 @@ def add_providers(contexts: DataFrame, providers: dict[str, Provider], key: str
         one = rows.groupBy(key).agg(F.min(F.struct(*columns)).alias(name))
         contexts = contexts.join(one, key, "left")
     return contexts
-
-
-def search_text() -> Column:
-    """What the similarity search reads: the log snippet, else the event's message."""
-    return F.coalesce(non_empty(F.col("error_snippet")), F.col("error_message"), F.lit(""))

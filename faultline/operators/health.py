@@ -4,11 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from faultline.functions.signatures import sql_text
 from faultline.operators.timeline import Timeline, asof_join, with_previous
 
-MAX_SOURCES = 500
-
 
 def normalize_source_checks(checks: DataFrame) -> DataFrame:
     """Probe outcomes as (reachable, latency_ms, error_message).
@@ -108,24 +105,28 @@ def health_struct() -> Column:
 def source_health_asof(
     failures: DataFrame, checks: DataFrame, sources: list[str], time: str = "failed_at", order: str = "check_id"
 ) -> DataFrame:
-    """Adds ``sources``: the newest check of every configured source at or before the failure, in their given order.
-
-    The sources are a configuration list, so the state of all of them fits in a row: one pass over the time line
-    carries it along, and no failure is multiplied by the number of sources.
-    """
-    return gather_sources(asof_join(failures, [sources_timeline(checks, sources, order)], [], time), sources)
+    """Adds ``sources``: the newest check of every configured source at or before the failure, in their given order."""
+    columns = [c for c in failures.columns if c != "sources"]
+    keyed = failures.select(*columns, F.sha2(F.to_json(F.struct(*columns)), 256).alias("_key"))
+    found = sources_at(keyed, checks, sources, "_key", time, order)
+    none = F.array().cast(dict(found.dtypes)["sources"])
+    return keyed.join(found, "_key", "left").select(*columns, F.coalesce("sources", none).alias("sources"))
 
 
-def sources_timeline(checks: DataFrame, sources: list[str], order: str = "check_id") -> Timeline:
-    if len(sources) > MAX_SOURCES:
-        raise ValueError(f"at most {MAX_SOURCES} sources, got {len(sources)}")
-    shaped = checks.select("source_name", "last_checked", order, health_struct().alias("health"))
-    values = {
-        f"_s{i}": F.expr(f"if(source_name = {sql_text(name)}, health, null)") for i, name in enumerate(sources)
-    }
-    return Timeline(shaped, "last_checked", values, (order,))
-
+def sources_at(
+    failures: DataFrame, checks: DataFrame, sources: list[str], key: str, time: str = "failed_at", order: str = "check_id"
+) -> DataFrame:
+    """(key, sources) for failures with any check before them.
 
-def gather_sources(joined: DataFrame, sources: list[str]) -> DataFrame:
-    columns = [f"_s{i}" for i in range(len(sources))]
-    return joined.withColumn("sources", F.expr(f"array_compact(array({', '.join(columns)}))")).drop(*columns)
+    The time line is keyed by source: each failure's key and time meet each configured source as a narrow row, and what
+    is found is gathered by key again.  Of a key that comes with several times the latest counts.
+    """
+    names = list(dict.fromkeys(sources))
+    asked = failures.groupBy(key).agg(F.max(time).alias(time)).select(
+        key, time, F.posexplode(F.array(*[F.lit(n) for n in names]).cast("array<string>")).alias("_place", "source_name"))
+    shaped = checks.where(F.col("source_name").isin(names)).select(
+        "source_name", "last_checked", order, health_struct().alias("health"))
+    line = Timeline(shaped, "last_checked", {"health": F.col("health")}, (order,))
+    found = asof_join(asked, [line], ["source_name"], time).where("health IS NOT NULL")
+    listed = found.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("_place", "health"))).alias("_all"))
+    return listed.select(key, F.transform("_all", lambda x: x["health"]).alias("sources"))

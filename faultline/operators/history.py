@@ -6,7 +6,7 @@ import datetime
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from faultline.operators.timeline import DAY, rolling_counts, with_previous
+from faultline.operators.timeline import DAY, HOUR, Timeline, asof_join, rolling_counts, slice_no, with_previous
 
 # Runs read per DAG, and the rate window.
 MAX_RUNS = 20
@@ -56,6 +56,64 @@ def dag_history(
     return newest.groupBy("dag_id").agg(*aggregates)
 
 
+def numbered_runs(runs: DataFrame) -> DataFrame:
+    """Each dated run with its number ``n`` in its DAG and the number ``failed`` of failed runs up to it.
+
+    Runs are numbered within hours; what precedes an hour is a window over one row an hour.
+    """
+    rows = runs.where("dag_id IS NOT NULL AND execution_date IS NOT NULL").select(
+        "dag_id", "run_id", "state", "execution_date", "duration_seconds",
+        slice_no(F.col("execution_date"), HOUR).alias("_slice"), (F.col("state") == "failed").cast("int").alias("_bad"))
+    earlier = Window.partitionBy("dag_id").orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    totals = rows.groupBy("dag_id", "_slice").agg(F.count("*").alias("_n"), F.sum("_bad").alias("_f")).select(
+        "dag_id", "_slice", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_n"),
+        F.coalesce(F.sum("_f").over(earlier), F.lit(0)).alias("_f"))
+    inside = Window.partitionBy("dag_id", "_slice").orderBy("execution_date", "run_id", "state", "duration_seconds")
+    upto = inside.rowsBetween(Window.unboundedPreceding, 0)
+    return rows.join(totals, ["dag_id", "_slice"]).select(
+        "dag_id", "run_id", "state", "execution_date", "duration_seconds",
+        (F.col("_n") + F.row_number().over(inside)).alias("n"), (F.col("_f") + F.sum("_bad").over(upto)).alias("failed"))
+
+
+def history_asof(
+    failures: DataFrame, runs: DataFrame, key: str = "failure_id", time: str = "failed_at", limit: int = MAX_RUNS,
+    days: int = RATE_DAYS,
+) -> DataFrame:
+    """The history of each failure's DAG as it stood at the failure, one row for each ``key``.
+
+    The newest ``limit`` runs up to then give the list, the last success and failure and the mean duration; the rate
+    covers all runs of the last ``days`` days, as the difference of two running totals.
+    """
+    runs = runs.join(failures.select("dag_id").distinct(), "dag_id", "left_semi")
+    numbered = numbered_runs(runs)
+    at = F.col(time)
+    # Of a failure that comes with several times the latest counts.
+    once = failures.groupBy(key, "dag_id").agg(F.max(time).alias(time))
+    points = once.select(key, "dag_id", F.posexplode(F.array(at, at - F.expr(f"INTERVAL {days} DAYS"))).alias("_which", "_at"))
+    seen = asof_join(points, [Timeline(numbered, "execution_date", {"_seen": F.struct("n", "failed")}, ("n",))], ["dag_id"], "_at")
+    counted = seen.groupBy(key, "dag_id").agg(*[
+        F.max(F.when(F.col("_which") == i, F.col("_seen"))).alias(name) for i, name in enumerate(("_now", "_then"))
+    ]).where("_now IS NOT NULL")
+    numbers = F.sequence(F.greatest(F.lit(1), F.col("_now.n") - (limit - 1)), F.col("_now.n"))
+    listed = (
+        counted.select(key, "dag_id", F.explode(numbers).alias("n")).join(numbered.drop("failed"), ["dag_id", "n"])
+        .groupBy(key).agg(F.sort_array(F.collect_list(F.struct(
+            "n", F.struct("state", "execution_date", "duration_seconds").alias("run"))), asc=False).alias("_runs"))
+        .select(key, F.transform("_runs", lambda r: r["run"]).alias("recent_runs"))
+    )
+    newest = lambda state: F.array_max(F.transform(
+        F.filter("recent_runs", lambda r: r["state"] == state), lambda r: r["execution_date"]))
+    took = F.transform(
+        F.filter("recent_runs", lambda r: (r["state"] == "success") & (r["duration_seconds"] != 0)), lambda r: r["duration_seconds"])
+    total = F.col("_now.n") - F.coalesce(F.col("_then.n"), F.lit(0))
+    failed = F.col("_now.failed") - F.coalesce(F.col("_then.failed"), F.lit(0))
+    return counted.join(listed, key).select(
+        key, newest("success").alias("last_success"), newest("failed").alias("last_failure"),
+        F.when(F.size(took) > 0, F.aggregate(took, F.lit(0.0), lambda a, x: a + x) / F.size(took)).alias("avg_duration_seconds"),
+        F.when(total > 0, failed / total).otherwise(F.lit(0.0)).alias("failure_rate_7d"),
+        total.cast("int").alias("total_runs_7d"), "recent_runs")
+
+
 def recent_runs_array() -> Column:
     """At most ``limit`` structs per DAG, newest first."""
     ordered = F.sort_array(F.collect_list(F.struct(
@@ -71,7 +129,7 @@ def recent_runs(runs: DataFrame, limit: int = MAX_RUNS) -> DataFrame:
 def rolling_failure_rate(runs: DataFrame, days: int = RATE_DAYS) -> DataFrame:
     """Rate over the runs in (t - 7 days, t] as of every run, without the cap on runs read."""
     counted = rolling_counts(
-        runs, ["dag_id", "run_id", "execution_date"], ["dag_id"], "execution_date",
+        runs, ["dag_id"], "execution_date",
         {"total_runs_7d": F.lit(1), "failed_runs_7d": (F.col("state") == "failed").cast("int")},
         lower_us=-days * DAY * 1_000_000,
     )

@@ -72,11 +72,11 @@ def recurrence(found: DataFrame, probes: DataFrame, probe_id: str = "probe_id")
 
 
 def recurrence_30d(
-    failures: DataFrame, row_id: list[str], time: str = "failed_at", days: int = RECURRENCE_DAYS
+    failures: DataFrame, time: str = "failed_at", days: int = RECURRENCE_DAYS
 ) -> DataFrame:
     """Adds how often the same DAG, task and category failed in [t - 30 days, t)."""
     return rolling_counts(
-        failures, row_id, ["dag_id", "task_id", "error_category"], time, {"recurrence_30d": F.lit(1)},
+        failures, ["dag_id", "task_id", "error_category"], time, {"recurrence_30d": F.lit(1)},
         lower_us=-days * DAY * 1_000_000 - 1, upper_us=-1,
     )
 
@@ -185,11 +185,12 @@ def incident_document(resolution: Column | None = None) -> Column:
     )
 
 
-def incident_records(reports: DataFrame, resolution: Column | None = None) -> DataFrame:
-    """Reports as incident rows, keyed by the report id."""
+def incident_records(reports: DataFrame, resolution: Column | None = None, with_text: bool = False) -> DataFrame:
+    """Reports as incident rows, keyed by the report id; ``with_text`` adds the text that a vector is made of."""
+    text = [incident_text(reports).alias("_text")] if with_text else []
     kept = F.lit(None).cast("string") if resolution is None else non_empty(resolution)
     return reports.select(
         F.col("report_id").alias("incident_id"), "dag_id", "task_id", "run_id", "error_category", "severity",
         "confidence", F.col("failure_time").alias("date"), "root_cause_summary",
-        incident_document(resolution).alias("document"), kept.alias("resolution"),
+        incident_document(resolution).alias("document"), kept.alias("resolution"), *text,
     )

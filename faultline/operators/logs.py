@@ -22,21 +22,26 @@ def has_error_keyword(line: Column) -> Column:
     return line.rlike(sig.any_word(ERROR_KEYWORDS, {"k": "\u212a"}))
 
 
-def error_snippet(text: Column) -> Column:
+def error_snippet(text: Column, before: int = LINES_BEFORE, after: int = LINES_AFTER, tail: int = TAIL_LINES) -> Column:
     """Lines from 5 before the first keyword line up to 9 after the last one; without any, the last 50 lines."""
-    lines = split_lines(strip(text))
-    return F.when(text.isNotNull(), F.get(F.transform(F.array(lines), _snippet_of), F.lit(0)))
+    return snippet_of_lines(split_lines(strip(text)), before, after, tail)
 
 
-def _snippet_of(lines: Column) -> Column:
+def snippet_of_lines(lines: Column, before: int = LINES_BEFORE, after: int = LINES_AFTER, tail: int = TAIL_LINES) -> Column:
+    """The snippet of the stripped text's lines, which are evaluated once."""
+    part = lambda one: _snippet_of(one, before, after, tail)
+    return F.when(lines.isNotNull(), F.get(F.transform(F.array(lines), part), F.lit(0)))
+
+
+def _snippet_of(lines: Column, before: int, after: int, tail_lines: int) -> Column:
     hits = F.transform(lines, has_error_keyword)
     count = F.size(lines)
     first = F.array_position(hits, True).cast("int")
     last = count + 1 - F.array_position(F.reverse(hits), True).cast("int")
-    begin = F.greatest(F.lit(1), first - LINES_BEFORE)
-    end = F.least(count, last + LINES_AFTER - 1)
+    begin = F.greatest(F.lit(1), first - before)
+    end = F.least(count, last + after - 1)
     around = F.slice(lines, begin, end - begin + 1)
-    tail_begin = F.greatest(F.lit(1), count - TAIL_LINES + 1)
+    tail_begin = F.greatest(F.lit(1), count - tail_lines + 1)
     tail = F.slice(lines, tail_begin, count - tail_begin + 1)
     return F.array_join(F.when(first > 0, around).otherwise(tail), "\n")
 
@@ -45,18 +50,20 @@ def tail_chars(text: Column, count: int = TAIL_CHARS) -> Column:
     return F.substring(text, -count, count)
 
 
-def profile_logs(logs: DataFrame, text: str = "stdout") -> DataFrame:
-    """Adds log_lines, truncated, error_snippet and the always-null stderr."""
+def profile_logs(logs: DataFrame, text: str = "stdout", before: int = LINES_BEFORE, after: int = LINES_AFTER,
+                 tail: int = TAIL_LINES) -> DataFrame:
+    """Adds log_lines, truncated, error_snippet and the always-null stderr.  The text is stripped and split once."""
     body = F.col(text)
-    return logs.withColumns({
+    return pinned(logs, _stripped=split_lines(strip(body))).withColumns({
         "stderr": F.lit(None).cast("string"),
-        "log_lines": F.size(split_lines(strip(body))),
+        "log_lines": F.size("_stripped"),
         "truncated": F.char_length(body) > TRUNCATED_ABOVE,
-        "error_snippet": error_snippet(body),
-    })
+        "error_snippet": snippet_of_lines(F.col("_stripped"), before, after, tail),
+    }).drop("_stripped")
 
 
-def match_logs(logs: DataFrame, text: str = "stdout", custom=None, with_key_lines: bool = True) -> DataFrame:
+def match_logs(logs: DataFrame, text: str = "stdout", custom=None, with_key_lines: bool = True,
+               key_lines: int = KEY_LINES) -> DataFrame:
     """Adds ``matches`` (families in severity order) and ``key_log_lines`` to each log.
 
     Where no regex can cross lines, one pass over the text keeps the few lines that hold any signature's literal, and
@@ -72,7 +79,7 @@ def match_logs(logs: DataFrame, text: str = "stdout", custom=None, with_key_line
     rows = pinned(rows, _folded=sig.folded(F.col("_text")))
     out = {"matches": sig.family_matches("_text", "_folded", families)}
     if with_key_lines:
-        out["key_log_lines"] = sig.key_lines(F.col("_lines"), families, KEY_LINES)
+        out["key_log_lines"] = sig.key_lines(F.col("_lines"), families, key_lines)
     return pinned(rows, **out).drop("_lines", "_text", "_folded")
 
 

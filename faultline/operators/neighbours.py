@@ -41,7 +41,7 @@ def nearest_incidents(
     vector: str = "embedding",
     group: str | None = None,
     metric: str = "l2",
-    exclude_self: bool = True,
+    exclude_self: bool = False,
     pivots: int = 256,
     cell_rows: int = 1024,
     block_rows: int = 4096,
@@ -50,8 +50,8 @@ def nearest_incidents(
     """(probe_id, incident_id, distance, rank): the k nearest incidents of each probe, ties by incident id.
 
     ``metric`` is ``l2`` (squared, the default) or ``cosine`` (1 - cosine).  With ``group``, a probe meets only incidents
-    with the same value of that column (filter before the top-k, not after).  ``exclude_self`` drops the incident whose
-    id equals the probe's.  ``pivots`` bounds the number of cells; a cell holds about ``cell_rows`` incidents until then.
+    with the same value of that column (filter before the top-k, not after).  ``exclude_self`` (for a search
+    of the incidents among themselves) drops the incident whose id equals the probe's.  ``pivots`` bounds the number of cells; a cell holds about ``cell_rows`` incidents until then.
     """
     if metric not in ("l2", "cosine"):
         raise ValueError(f"unknown metric {metric!r}")

@@ -71,8 +71,9 @@ def asof_join(
     Any number of time lines is joined in one pass over the left rows.  ``seen`` is a cheaper frame with the same keys
     and times as ``left``, if there is one: it is only read to learn which slices are needed.
 
-    A slice with more than ``group_rows`` left rows is split into as many groups as that takes, each with its own copy of
-    the slice's right rows.  There are at most |left| / group_rows such slices, so their list is safe to broadcast.
+    Right rows outside the slices that hold left rows are only summarised; the others are shuffled once.  A slice with
+    more than ``group_rows`` left rows is split into as many groups as that takes, each with its own copy of the slice's
+    right rows.
     """
     seen = left if seen is None else seen
     keys = list(on) or ["_all"]
@@ -97,13 +98,13 @@ def asof_join(
         right_rows = shaped if right_rows is None else right_rows.union(shaped)
 
     load = seen.select(*on, *all_key, slice_no(F.col(left_time), width).alias("_slice")).groupBy(*keys, "_slice").count()
-    hot = F.broadcast(load.where(F.col("count") > group_rows).selectExpr(
+    groups = load.selectExpr(
         *[f"{c} AS _h{i}" for i, c in enumerate([*keys, "_slice"])], f"ceil(count / {group_rows}) AS _groups"
-    ))
+    )
 
-    def with_groups(df: DataFrame) -> DataFrame:
+    def with_groups(df: DataFrame, how: str) -> DataFrame:
         same = [F.col(c).eqNullSafe(F.col(f"_h{i}")) for i, c in enumerate([*keys, "_slice"])]
-        return df.join(hot, same, "left")
+        return df.join(groups if how == "inner" else groups.where("_groups > 1"), same, how)
 
     marks = load.selectExpr(*keys, "_slice", "1 AS _wanted", *_nulls(["_t", *ties, *names], types))
     carry = _carry(
@@ -116,10 +117,10 @@ def asof_join(
     types["_row"] = dict(left_rows.dtypes)["_row"]
     inherited = carry.selectExpr(*keys, "_slice", "0 AS _kind", *_nulls(["_t", *ties], types), *names)
     offered = inherited.union(right_rows.selectExpr(*keys, "_slice", "1 AS _kind", "_t", *ties, *names))
-    detail = with_groups(offered).selectExpr(
-        *keys, "_slice", "explode(sequence(0, coalesce(_groups, 1) - 1)) AS _group", "_kind", "_t", *ties,
+    detail = with_groups(offered, "inner").selectExpr(
+        *keys, "_slice", "explode(sequence(0, _groups - 1)) AS _group", "_kind", "_t", *ties,
         *_nulls(["_row"], types), *names,
-    ).union(with_groups(left_rows).selectExpr(
+    ).union(with_groups(left_rows, "left").selectExpr(
         *keys, "_slice", "pmod(xxhash64(_row), coalesce(_groups, 1)) AS _group", "2 AS _kind", "_t",
         *_nulls(ties, types), "_row", *_nulls(names, types),
     ))
@@ -170,7 +171,6 @@ def with_previous(
 
 def rolling_counts(
     df: DataFrame,
-    row_id: list[str],
     keys: list[str],
     time: str,
     measures: dict[str, Column],
@@ -180,46 +180,38 @@ def rolling_counts(
 ) -> DataFrame:
     """For each row, sums of integer measures over the rows of its key with time in (t + lower_us, t + upper_us].
 
-    Each row becomes three events: its own measures, and a reading of the running total at either end of its window.
-    The window's sum is the difference of the two readings, so no row is ever paired with another.
+    The sums depend on key and time alone, so rows of one instant are first added up.  Each such point becomes three
+    events: its measures, and a reading of the running total at either end of its window.  The window's sum is the
+    difference of the readings; it goes back to all rows of the point.  Rows need no id and may repeat; a row without
+    time gets nulls.
     """
     names = list(measures)
     columns = df.columns
-    t = F.unix_micros(F.col(time))
-    based, keys = _constant_key(df, list(keys))
-    amounts = [m.cast("bigint") for m in measures.values()]
-    zeros = [F.lit(0).cast("bigint")] * len(names)
-
-    def event(at: Column, sign: int, values: list[Column], with_row: bool) -> Column:
-        payload = F.struct(*columns)
-        return F.struct(
-            at.alias("at"), F.lit(sign).alias("sign"),
-            (payload if with_row else F.when(F.lit(False), payload)).alias("row"),
-            *[v.alias(n) for v, n in zip(values, names)],
-        )
-
-    events = based.select(
-        F.struct(*row_id).alias("_id"), *keys,
-        F.explode(F.array(
-            event(t, 0, amounts, False),
-            event(t + F.lit(upper_us), 1, zeros, True),
-            event(t + F.lit(lower_us), -1, zeros, False),
-        )).alias("e"),
-    ).select("_id", *keys, "e.*").withColumn("_slice", F.floor(F.col("at") / F.lit(width * 1_000_000)))
+    rows = df.withColumns({f"_m{i}": m.cast("bigint") for i, m in enumerate(measures.values())}).withColumn(
+        "_at", F.unix_micros(F.col(time)))
+    rows, keys = _constant_key(rows, list(keys))
+    points = rows.where("_at IS NOT NULL").groupBy(*keys, "_at").agg(
+        *[F.coalesce(F.sum(f"_m{i}"), F.lit(0)).alias(n) for i, n in enumerate(names)])
+    zeros = [F.lit(0).cast("bigint").alias(n) for n in names]
+
+    def event(shift: int, sign: int, values: list) -> Column:
+        return F.struct((F.col("_at") + F.lit(shift)).alias("_when"), F.lit(sign).alias("_sign"), *values)
+
+    events = points.select(*keys, "_at", F.explode(F.array(
+        event(0, 0, [F.col(n) for n in names]), event(upper_us, 1, zeros), event(lower_us, -1, zeros),
+    )).alias("_e")).select(*keys, "_at", "_e.*").withColumn("_slice", F.floor(F.col("_when") / F.lit(width * 1_000_000)))
     totals = events.groupBy(*keys, "_slice").agg(*[F.sum(n).alias(n) for n in names])
     earlier = Window.partitionBy(*keys).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
     types = dict(events.dtypes)
     carry = totals.select(
-        *keys, "_slice", F.lit(0).alias("sign"),
-        *[F.lit(None).cast(types[c]).alias(c) for c in ("_id", "row", "at")],
+        *keys, "_slice", F.lit(0).alias("_sign"), *[F.lit(None).cast(types[c]).alias(c) for c in ("_at", "_when")],
         *[F.coalesce(F.sum(n).over(earlier), F.lit(0)).cast("bigint").alias(n) for n in names],
     )
-    running = Window.partitionBy(*keys, "_slice").orderBy(F.col("at").asc_nulls_first())
-    readings = (
-        events.unionByName(carry)
-        .select("_id", "row", "sign", *[F.sum(n).over(running).alias(n) for n in names])
-        .where("sign <> 0")
-    )
-    return readings.groupBy("_id").agg(
-        F.any_value("row", ignoreNulls=True).alias("row"), *[F.sum(F.col(n) * F.col("sign")).alias(n) for n in names]
-    ).select("row.*", *names)
+    running = Window.partitionBy(*keys, "_slice").orderBy(F.col("_when").asc_nulls_first())
+    readings = events.unionByName(carry).select(
+        *keys, "_at", "_sign", *[F.sum(n).over(running).alias(n) for n in names]).where("_sign <> 0")
+    counted = readings.groupBy(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col("_at").alias("_when")).agg(
+        *[F.sum(F.col(n) * F.col("_sign")).alias(f"_c{i}") for i, n in enumerate(names)])
+    same = [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)]
+    return rows.join(counted, [*same, F.col("_at") == F.col("_when")], "left").select(
+        *columns, *[F.col(f"_c{i}").alias(n) for i, n in enumerate(names)])

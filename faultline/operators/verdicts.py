@@ -25,8 +25,10 @@ def parse_replies(replies: DataFrame, raw: str = "raw") -> DataFrame:
     )
 
 
-def choose_verdict(df: DataFrame, primary: str = "primary", model: str = "model_verdict") -> DataFrame:
+def choose_verdict(
+    df: DataFrame, evidence: int = v.MAX_EVIDENCE, primary: str = "primary", model: str = "model_verdict"
+) -> DataFrame:
     """Adds ``verdict``: the model's where valid, else the fallback, and ``verdict_source``."""
     return df.withColumn(
-        "verdict", F.coalesce(F.col(model), v.fallback_verdict(F.col(primary)))
+        "verdict", F.coalesce(F.col(model), v.fallback_verdict(F.col(primary), evidence))
     ).withColumn("verdict_source", F.when(F.col(model).isNotNull(), "model").otherwise("rules"))

@@ -3,35 +3,49 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
+from pyspark.ml import Transformer
 from pyspark.sql import DataFrame, functions as F
 
 from faultline import schemas
 from faultline.operators import commits as commit_ops
 from faultline.operators import context, health, history, incidents, logs, metrics, reports, verdicts
 from faultline.operators.context import Provider, failure_id
+from faultline.functions.vectors import add_vector
 from faultline.operators.timeline import asof_join
+from faultline.session import settled
 
 
 @dataclass(frozen=True)
 class Options:
-    lookback_hours: int = 24
-    max_similar: int = 5
+    """Settings of a run.  The limits bound what a report lists; rates and counts cover all rows."""
+
+    lookback_hours: int = commit_ops.LOOKBACK_HOURS
+    max_commits: int = commit_ops.MAX_COMMITS
+    max_runs: int = history.MAX_RUNS
+    rate_days: int = history.RATE_DAYS
+    max_similar: int = incidents.MAX_SIMILAR
+    max_key_lines: int = logs.KEY_LINES
+    snippet_before: int = logs.LINES_BEFORE
+    snippet_after: int = logs.LINES_AFTER
+    snippet_tail: int = logs.TAIL_LINES
+    max_evidence: int = verdicts.v.MAX_EVIDENCE
     sources: tuple[str, ...] = ()
     enable_git: bool = True
     enable_source_health: bool = True
     enable_metrics: bool = False
     custom_signatures: tuple | None = None
     model_name: str | None = None
-    similarity: dict = field(default_factory=dict)
 
 
 @dataclass(frozen=True)
 class Tables:
     """Inputs of a run; all but the first three may be missing.
 
-    ``similar`` holds (failure_id, similar_incidents); ``replies`` holds (failure_id, raw).
+    ``incidents`` is the history with vectors of its texts and ``vectoriser`` the model that made them: with both, similar
+    incidents are searched for.  A ready ``similar`` (failure_id, similar_incidents) replaces the search.  ``replies`` holds
+    (failure_id, raw).
     """
 
     task_instances: DataFrame
@@ -41,6 +55,8 @@ class Tables:
     dag_files: DataFrame | None = None
     source_checks: DataFrame | None = None
     metrics: DataFrame | None = None
+    incidents: DataFrame | None = None
+    vectoriser: Transformer | None = None
     similar: DataFrame | None = None
     replies: DataFrame | None = None
 
@@ -61,7 +77,8 @@ def build_context(
     """One context row per failure.
 
     The as-of steps come first, on narrow rows, and the global time lines (commits, sources, metrics) share one pass;
-    wide columns join last.  Log texts are reduced to their profile before the join and never shuffled.
+    wide columns join last.  Logs, task instances and runs are first reduced to those the failures ask for; a log's text
+    is then reduced to its profile, so texts of other attempts are not read by the classification and none is shuffled.
     """
     with_git = options.enable_git and tables.commits is not None
     with_sources = options.enable_source_health and tables.source_checks is not None and bool(options.sources)
@@ -74,16 +91,16 @@ def build_context(
         base = base.withColumn("dag_file_path", F.lit(None).cast("string"))
     lines = []
     if with_git:
-        lines.append(commit_ops.recent_commits_timeline(tables.commits, options.lookback_hours))
-    if with_sources:
-        lines.append(health.sources_timeline(tables.source_checks, list(options.sources)))
+        lines.append(commit_ops.recent_commits_timeline(tables.commits, options.lookback_hours, options.max_commits))
     if with_metrics:
         lines.append(metrics.metrics_timeline(tables.metrics))
     # The keyed join first: its rows are still narrow.  Either join learns its slices from ``base``.
     rows = commit_ops.last_commit_asof(base, tables.commits) if with_git else base
     rows = asof_join(rows, lines, [], "failed_at", seen=base) if lines else rows
     if with_sources:
-        rows = health.gather_sources(rows, list(options.sources))
+        found = health.sources_at(base, tables.source_checks, list(options.sources), "failure_id")
+        rows = rows.join(found, "failure_id", "left").withColumn(
+            "sources", F.coalesce("sources", F.array().cast(f"array<{schemas.SOURCE_HEALTH}>")))
     else:
         rows = context.absent(rows, sources=f"array<{schemas.SOURCE_HEALTH}>")
     if not with_metrics:
@@ -95,20 +112,37 @@ def build_context(
     else:
         rows = context.absent(rows, git=GIT_TYPE)
     rows = context.join_task_instances(rows, tables.task_instances)
-    rows = context.join_logs(rows, log_profiles(tables.task_logs, options))
-    rows = context.join_history(rows, history.dag_history(tables.dag_runs, with_runs=True))
+    asked = context.of_failures(tables.task_logs, base, context.LOG_KEYS)
+    rows = context.join_logs(rows, log_profiles(asked, options))
+    past = history.history_asof(base, tables.dag_runs, "failure_id", "failed_at", options.max_runs, options.rate_days)
+    rows = context.join_history(rows, past)
     if tables.similar is not None:
-        rows = rows.join(tables.similar, "failure_id", "left")
+        rows = context.join_similar(rows, tables.similar)
+    elif tables.incidents is not None and tables.vectoriser is not None:
+        # The search runs on the contexts' texts: they are evaluated once, not again for the join.
+        rows = settled(rows, "contexts")
+        rows = context.join_similar(rows, find_similar(rows, tables, options))
     else:
         rows = context.absent(rows, similar_incidents=f"array<{schemas.SIMILAR}>")
     rows = context.gate(rows)
     return context.add_providers(rows, providers) if providers else rows
 
 
+def find_similar(contexts: DataFrame, tables: Tables, options: Options = Options()) -> DataFrame:
+    """(failure_id, similar_incidents): the nearest stored incidents to what is known of each failure."""
+    text = incidents.query_text(F.col("dag_id"), F.col("task_id"), F.col("error_snippet"), F.col("error_message"))
+    probes = contexts.select(F.col("failure_id").alias("probe_id"), text.alias("_query")).dropDuplicates(["probe_id"])
+    vectors = settled(add_vector(probes, "_query", tables.vectoriser).drop("_query"), "probes")
+    found = incidents.similar_incidents(vectors, tables.incidents, options.max_similar)
+    return incidents.similar_lists(found, tables.incidents, "probe_id").withColumnRenamed("probe_id", "failure_id")
+
+
 def log_profiles(task_logs: DataFrame, options: Options = Options()) -> DataFrame:
     """Per attempt: everything later steps read of the log, without the text itself."""
     custom = list(options.custom_signatures) if options.custom_signatures else None
-    profiled = logs.match_logs(logs.profile_logs(task_logs), "stdout", custom)
+    shaped = logs.profile_logs(
+        task_logs, "stdout", options.snippet_before, options.snippet_after, options.snippet_tail)
+    profiled = logs.match_logs(shaped, "stdout", custom, key_lines=options.max_key_lines)
     return profiled.select(
         *context.LOG_KEYS, "log_lines", "truncated", "error_snippet", "matches", "key_log_lines",
         logs.tail_chars(F.col("stdout")).alias("stdout_tail"),
@@ -116,23 +150,27 @@ def log_profiles(task_logs: DataFrame, options: Options = Options()) -> DataFram
 
 
 def analyse(
-    contexts: DataFrame, tables: Tables, verdict_fn: Callable[[DataFrame], DataFrame] | None = None
+    contexts: DataFrame, tables: Tables, verdict_fn: Callable[[DataFrame], DataFrame] | None = None,
+    options: Options = Options(),
 ) -> DataFrame:
     """Adds ``verdict`` to complete contexts.
 
     Replies come from ``verdict_fn(prompts) -> (failure_id, raw)`` or from the replies table; without either, or where a
     reply holds no valid verdict, the rules decide.
     """
-    complete = contexts.where("has_context").withColumn("primary", F.get("matches", F.lit(0)))
     replies = tables.replies
     if verdict_fn is not None:
-        replies = verdict_fn(reports.prompts(contexts))
+        # Prompts and verdicts read the same contexts, and a model must not be asked twice.
+        contexts = settled(contexts, "contexts")
+        replies = settled(verdict_fn(reports.prompts(contexts)).select("failure_id", "raw"), "replies")
+    complete = contexts.where("has_context").withColumn("primary", F.get("matches", F.lit(0)))
     if replies is not None:
-        parsed = verdicts.parse_replies(replies.select("failure_id", "raw")).drop("raw")
+        one = replies.groupBy("failure_id").agg(F.min("raw").alias("raw"))
+        parsed = verdicts.parse_replies(one).drop("raw")
         complete = complete.join(parsed, "failure_id", "left")
     else:
         complete = context.absent(complete, model_verdict=verdicts.v.VERDICT_TYPE)
-    return verdicts.choose_verdict(complete)
+    return verdicts.choose_verdict(complete, options.max_evidence)
 
 
 def triage(
@@ -142,7 +180,7 @@ def triage(
 ) -> DataFrame:
     """One report per failure with task and log."""
     contexts = build_context(failures, tables, options, providers)
-    return reports.build_reports(analyse(contexts, tables, verdict_fn), options.model_name)
+    return reports.build_reports(analyse(contexts, tables, verdict_fn, options), options.model_name)
 
 
 def classify_logs(task_logs: DataFrame, options: Options = Options()) -> DataFrame:
@@ -150,7 +188,7 @@ def classify_logs(task_logs: DataFrame, options: Options = Options()) -> DataFra
     keys = [c for c in task_logs.columns if c != "stdout"]
     custom = list(options.custom_signatures) if options.custom_signatures else None
     matched = logs.match_logs(task_logs, "stdout", custom).withColumn("primary", F.get("matches", F.lit(0)))
-    judged = verdicts.choose_verdict(context.absent(matched, model_verdict=verdicts.v.VERDICT_TYPE))
+    judged = verdicts.choose_verdict(context.absent(matched, model_verdict=verdicts.v.VERDICT_TYPE), options.max_evidence)
     return judged.select(*keys, F.col("primary.name").alias("family"), "verdict.*", "key_log_lines")
 
 

@@ -62,6 +62,11 @@ def read_task_instances(spark: SparkSession, path: str, wall_clock: bool = False
     )
 
 
+def path_decode(text: Column) -> Column:
+    """Percent decoding of a path, in which (unlike a form) a plus is itself.  What is no encoding stays as it is."""
+    return F.coalesce(F.try_url_decode(F.replace(text, F.lit("+"), F.lit("%2B"))), text)
+
+
 # Fixed value: where a log file's path carries its keys.
 LOG_PATH = r"dags/([^/]+)/dagRuns/([^/]+)/taskInstances/([^/]+)/logs/(\d+)"
 
@@ -70,7 +75,7 @@ def read_task_logs(spark: SparkSession, path: str) -> DataFrame:
     """One row per log file, keys taken from the path."""
     raw = spark.read.option("recursiveFileLookup", True).text(path, wholetext=True)
     name = F.col("_metadata.file_path")
-    part = lambda i: F.url_decode(F.regexp_extract(name, LOG_PATH, i))
+    part = lambda i: path_decode(F.regexp_extract(name, LOG_PATH, i))
     return raw.select(
         part(1).alias("dag_id"), part(2).alias("run_id"), part(3).alias("task_id"),
         F.regexp_extract(name, LOG_PATH, 4).cast("int").alias("try_number"), F.col("value").alias("stdout"),
@@ -105,9 +110,14 @@ def read_dag_files(spark: SparkSession, root: str) -> DataFrame:
     """(path, content) of every Python file under a folder, the path relative to it."""
     raw = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.py").text(
         root, wholetext=True)
-    tail = root.rstrip("/").rsplit("/", 1)[-1] + "/"
-    full = F.url_decode(F.col("_metadata.file_path"))
-    return raw.select(F.substring_index(full, tail, -1).alias("path"), F.col("value").alias("content"))
+    # The folder as the file system names it, which is how every file's path begins.
+    jvm = spark.sparkContext._jvm
+    folder = jvm.org.apache.hadoop.fs.Path(root)
+    folder = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(folder)
+    prefix = F.lit(folder.toUri().getPath().rstrip("/") + "/")
+    full = path_decode(F.regexp_replace(F.col("_metadata.file_path"), "^[A-Za-z][A-Za-z0-9+.-]*:(//[^/]*)?", ""))
+    path = F.when(full.startswith(prefix), F.substr(full, F.length(prefix) + 1)).otherwise(full)
+    return raw.select(path.alias("path"), F.col("value").alias("content"))
 
 
 def read_source_checks(spark: SparkSession, path: str) -> DataFrame:

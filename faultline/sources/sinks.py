@@ -4,14 +4,20 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from faultline.functions import render
+from faultline.functions.vectors import add_vector
 from faultline.operators import incidents, reports
 from faultline.session import mounted
 from faultline.sources.readers import read_incidents
 
 
+#: Folder of the model within a history; readers of Parquet skip names that begin with an underscore.
+VECTORISER = "_vectoriser"
+
+
 def write_reports(report_rows: DataFrame, path: str, mode: str = "append") -> None:
     """(report_id, file_name, body) by day of failure."""
     report_rows.select(
@@ -45,18 +51,35 @@ def write_prompts(contexts: DataFrame, path: str, mode: str = "append") -> None:
 
 
 def append_incidents(spark: SparkSession, report_rows: DataFrame, path: str) -> None:
-    """Appends the reports whose id is not stored yet.  Running it twice appends nothing."""
+    """Appends the reports whose id is not stored yet.  Running it twice appends nothing.
+
+    Where the history keeps a vectoriser, each incident is stored with the vector of its text, so that later searches
+    find it.
+    """
     existing = read_incidents(spark, path)
-    fresh = incidents.new_incidents(existing, incidents.incident_records(report_rows))
+    model = stored_vectoriser(spark, path)
+    records = incidents.incident_records(report_rows, with_text=True)
+    fresh = incidents.new_incidents(existing, records)
+    fresh = add_vector(fresh, "_text", model) if model else fresh
     missing = [F.lit(None).cast(f.dataType).alias(f.name) for f in existing.schema if f.name not in fresh.columns]
     fresh.select("*", *missing).select(*existing.columns).write.mode("append").parquet(path)
 
 
-def create_incidents(spark: SparkSession, path: str) -> None:
-    """An empty history."""
+def create_incidents(spark: SparkSession, path: str, vectoriser: PipelineModel | None = None) -> None:
+    """An empty history, and the fitted model that makes the vectors of its incidents."""
     from faultline.schemas import INCIDENT
 
     spark.createDataFrame([], INCIDENT).write.mode("ignore").parquet(path)
+    if vectoriser is not None:
+        vectoriser.write().overwrite().save(f"{path}/{VECTORISER}")
+
+
+def stored_vectoriser(spark: SparkSession, path: str) -> PipelineModel | None:
+    """The model kept with the history, if there is one."""
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/{VECTORISER}")
+    if not folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(folder):
+        return None
+    return PipelineModel.load(f"{path}/{VECTORISER}")
 
 
 def write_incident_version(incident_rows: DataFrame, path: str) -> None:

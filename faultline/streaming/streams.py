@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from faultline import schemas
 from faultline.sources import sinks
-from faultline.sources.readers import normalise_state
+from faultline.sources.readers import CORRUPT, normalise_state, shape_failure_events
 
 STREAM_SCHEMA = (
     "event_id bigint, dag_id string, task_id string, run_id string, state string, try_number int, "
@@ -24,6 +25,23 @@ def stream_failures(spark: SparkSession, path: str, schema: str = STREAM_SCHEMA,
     return reader.json(path).withColumn("state", normalise_state(F.col("state")))
 
 
+def stream_callbacks(
+    spark: SparkSession, path: str, arrived: str | None = None, wall_clock: bool = False, max_files: int | None = None
+) -> tuple[DataFrame, DataFrame]:
+    """(failures, quarantine) from a folder that receives callback payloads as JSON lines.
+
+    The rules are those of ``read_failure_events``.  The event time is the arrival: the payload field ``arrived``, else the
+    time of the micro-batch.  Both frames read the folder, each with a checkpoint of its own.
+    """
+    schema = f"{schemas.FAILURE_EVENT_JSON}, {CORRUPT} string" + (f", {arrived} string" if arrived else "")
+    reader = spark.readStream.schema(schema).option("columnNameOfCorruptRecord", CORRUPT)
+    if max_files:
+        reader = reader.option("maxFilesPerTrigger", max_files)
+    when = F.try_to_timestamp(F.col(arrived)) if arrived else None
+    shaped = shape_failure_events(reader.json(path), when, wall_clock)
+    return shaped.where("problem IS NULL").drop("problem"), shaped.where("problem IS NOT NULL")
+
+
 def dedupe_attempts(events: DataFrame, delay: str = "1 hour") -> DataFrame:
     """One event per task of a run, however many attempts call back.  State is dropped behind the watermark."""
     return events.withWatermark("failed_at", delay).dropDuplicatesWithinWatermark(["dag_id", "run_id", "task_id"])
@@ -94,5 +112,5 @@ def stream_triage(
 
 __all__ = [
     "STREAM_SCHEMA", "dedupe_attempts", "failure_rate_windows", "recurrence_windows", "retry_sessions", "run_once",
-    "stream_failures", "stream_triage",
+    "stream_callbacks", "stream_failures", "stream_triage",
 ]

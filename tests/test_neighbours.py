@@ -43,7 +43,7 @@ def test_against_brute_force(spark, metric, grouped):
     df = spark.createDataFrame(rows, SCHEMA)
     got = nearest_incidents(
         df.withColumnRenamed("id", "probe_id"), df.withColumnRenamed("id", "incident_id"), 4,
-        group="grp" if grouped else None, metric=metric, pivots=7, cell_rows=10, block_rows=16, chunk_rows=32)
+        group="grp" if grouped else None, metric=metric, pivots=7, cell_rows=10, block_rows=16, chunk_rows=32, exclude_self=True)
     if metric == "l2":
         assert {(r.probe_id, r.incident_id, r.rank) for r in got.collect()} == brute(rows, rows, 4, metric, grouped)
     else:  # copies tie only up to rounding, so compare distances
@@ -84,6 +84,6 @@ def test_equal_texts_are_nearest(spark):
     texts = ["disk full on node one", "token expired for user", "disk full on node one", "schema changed upstream"]
     df = spark.createDataFrame([(f"t{i}", t) for i, t in enumerate(texts)], "id string, text string")
     got = text_similar_incidents(
-        df.withColumnRenamed("id", "probe_id"), df.withColumnRenamed("id", "incident_id"), "text", k=1).collect()
+        df.withColumnRenamed("id", "probe_id"), df.withColumnRenamed("id", "incident_id"), "text", k=1, exclude_self=True).collect()
     best = {r.probe_id: (r.incident_id, round(r.distance, 6)) for r in got}
     assert best["t0"] == ("t2", 0.0) and best["t2"] == ("t0", 0.0)

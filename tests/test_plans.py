@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from checks import registry, views as v
-from faultline.operators import commits, health, history, logs, metrics
+from faultline.operators import commits, history, logs, metrics
 from faultline.operators.timeline import with_previous
 from faultline.plans import triage as plan
 
@@ -84,4 +84,12 @@ def test_hot_key_is_spread(spark):
     assert out.where("prev = id - 1").count() == 4999
     plan_text = text_of(out)
     assert "hashpartitioning(key" in plan_text and "_slice" in plan_text
-    assert health.MAX_SOURCES == 500
+
+
+def test_triage_profiles_only_the_failures_logs(spark):
+    """The classification sits above a semi-join that knows the failures' keys."""
+    fails, logs_read = v.failures(spark, SF), v.task_logs(spark, SF)
+    tables = plan.Tables(v.task_instances(spark, SF), logs_read, v.runs(spark, SF))
+    optimized = plan.build_context(fails, tables)._jdf.queryExecution().optimizedPlan().toString()
+    profile = optimized[optimized.index("sig_idx"):] if "sig_idx" in optimized else optimized
+    assert "LeftSemi" in profile

@@ -6,6 +6,8 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from faultline.operators.health import source_health_asof
+from faultline.operators.history import history_asof
 from faultline.operators.timeline import Timeline, asof_join, rolling_counts, with_previous
 
 START = dt.datetime(2024, 1, 1)
@@ -55,14 +57,61 @@ def test_with_previous(spark):
 
 
 @pytest.mark.parametrize("lower, upper", [(-6 * 3600, 0), (-30 * 3600 - 0.000001, -0.000001)])
-def test_rolling_counts(spark, lower, upper):
+@pytest.mark.parametrize("shape", ["spread", "one hour", "one instant"])
+def test_rolling_counts(spark, lower, upper, shape):
     rows = rows_of(4, 300) + [(1000 + i, "hot", START + dt.timedelta(hours=6 * i), 1) for i in range(5)]
+    if shape == "one hour":
+        rows = [(i, "hot", START + dt.timedelta(seconds=11 * i), x) for i, _, _, x in rows[:200]]
+    if shape == "one instant":
+        rows = [(i, "hot", START, x) for i, _, _, x in rows]
+    # Repeated rows count as often as they are there; a row without time counts nowhere.
+    rows = rows + rows[:7] + [(2000, "hot", None, 3), (2001, None, START, 1), (2001, None, START, 1)]
     df = spark.createDataFrame(rows, "id int, key string, at timestamp, value int")
     low, high = round(lower * 1e6), round(upper * 1e6)
-    got = rolling_counts(df, ["id"], ["key"], "at", {"n": F.lit(1), "s": F.coalesce("value", F.lit(0))}, low, high,
-                         width=5000)
+    got = rolling_counts(df, ["key"], "at", {"n": F.lit(1), "s": F.coalesce("value", F.lit(0))}, low, high, width=5000)
     assert got.count() == len(rows)
     for r in got.collect():
-        span = [x for x in rows if x[1] == r.key
+        if r.at is None:
+            assert r.n is None and r.s is None
+            continue
+        span = [x for x in rows if x[1] == r.key and x[2] is not None
                 and dt.timedelta(microseconds=low) < x[2] - r.at <= dt.timedelta(microseconds=high)]
         assert (r.n, r.s) == (len(span), sum(x[3] or 0 for x in span))
+
+
+def test_history_asof(spark):
+    rng = random.Random(5)
+    runs = [("d" + str(rng.randint(0, 2)), f"r{i:03}", rng.choice(["success", "failed", "running"]), t, rng.choice([None, 0.0, 5.0, 7.5]))
+            for i, t in enumerate(moments(rng, 300, hours=24 * 30))]
+    runs += [("d0", "r900", "failed", None, 1.0), (None, "r901", "failed", START, 1.0), runs[0]]
+    fails = [(f"f{i}", f"d{i % 4}", t) for i, t in enumerate(moments(rng, 40, hours=24 * 30))] + [("f99", None, START), ("f98", "d0", None)]
+    frame = spark.createDataFrame(fails, "failure_id string, dag_id string, failed_at timestamp")
+    table = spark.createDataFrame(runs, "dag_id string, run_id string, state string, execution_date timestamp, duration_seconds double")
+    got = {r.failure_id: r for r in history_asof(frame.union(frame.limit(3)), table, limit=6).collect()}
+    for key, dag, at in fails:
+        before = [r for r in runs if dag and at and r[0] == dag and r[3] and r[3] <= at]
+        before.sort(key=lambda r: (r[3], r[1]), reverse=True)
+        if not before:
+            assert key not in got
+            continue
+        row, newest = got[key], before[:6]
+        assert [(x.state, x.execution_date) for x in row.recent_runs] == [(r[2], r[3]) for r in newest]
+        assert row.last_failure == max((r[3] for r in newest if r[2] == "failed"), default=None)
+        assert row.last_success == max((r[3] for r in newest if r[2] == "success"), default=None)
+        week = [r for r in before if r[3] > at - dt.timedelta(days=7)]
+        assert row.total_runs_7d == len(week)
+        assert row.failure_rate_7d == (sum(r[2] == "failed" for r in week) / len(week) if week else 0.0)
+
+
+def test_six_hundred_sources(spark):
+    checks = [(i, f"s{i % 600}", START + dt.timedelta(minutes=i)) for i in range(1500)]
+    frame = spark.createDataFrame(checks, "check_id int, source_name string, last_checked timestamp")
+    for name, kind in (("source_type", "string"), ("reachable", "boolean"), ("latency_ms", "double"), ("error_message", "string"),
+                       ("row_count", "bigint"), ("row_count_previous", "bigint"), ("row_count_delta_pct", "double"), ("schema_changed", "boolean")):
+        frame = frame.withColumn(name, F.lit(None).cast(kind))
+    names = [f"s{i}" for i in range(600)]
+    fails = spark.createDataFrame([(1, START + dt.timedelta(days=3)), (2, START + dt.timedelta(minutes=10)), (3, START - dt.timedelta(days=1))],
+                                  "id int, failed_at timestamp")
+    got = {r.id: [(s.source_name, s.last_checked) for s in r.sources] for r in source_health_asof(fails, frame, names).collect()}
+    newest = {name: max(t for _, n, t in checks if n == name) for name in names}
+    assert got == {1: [(n, newest[n]) for n in names], 2: [(f"s{i}", START + dt.timedelta(minutes=i)) for i in range(11)], 3: []}
