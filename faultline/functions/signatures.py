@@ -116,13 +116,6 @@ def signature_catalog(spark: SparkSession, custom: list[Signature] | None = None
     )
 
 
-def severity_rank(severity: Column) -> Column:
-    rank = F.lit(None).cast("int")
-    for position, name in enumerate(SEVERITIES):
-        rank = F.when(severity == name, F.lit(position)).otherwise(rank)
-    return rank
-
-
 def ranked(signatures: list[Signature]) -> list[tuple[int, Signature]]:
     """(catalogue index, signature), most severe first, ties in catalogue order."""
     return sorted(enumerate(signatures), key=lambda pair: SEVERITIES.index(pair[1].severity))

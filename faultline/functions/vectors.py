@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.ml import Pipeline, PipelineModel
+from pyspark.ml import Pipeline, PipelineModel, Transformer
 from pyspark.ml.feature import HashingTF, IDF, Normalizer, Tokenizer
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, functions as F
@@ -23,7 +23,12 @@ def fit_vectoriser(corpus: DataFrame, text: str, features: int = 256) -> Pipelin
     ]).fit(corpus.where(F.col(text).isNotNull()))
 
 
-def add_vector(df: DataFrame, text: str, model: PipelineModel, output: str = "embedding") -> DataFrame:
-    """Adds the vector column.  ``model`` may be any fitted transformer that yields ``_unit`` from the text."""
-    out = model.transform(df.where(F.col(text).isNotNull()))
-    return out.select(*df.columns, vector_to_array("_unit", "float32").alias(output))
+def add_vector(df: DataFrame, text: str, model: Transformer, output: str = "embedding") -> DataFrame:
+    """Adds the vector column, whatever the name of the text column the model was fitted on.
+
+    ``model`` may be any fitted transformer that yields ``_unit`` from the text.
+    """
+    column = model.stages[0].getInputCol() if isinstance(model, PipelineModel) else text
+    kept = F.struct(*df.columns).alias("_kept")
+    out = model.transform(df.where(F.col(text).isNotNull()).select(kept, F.col(text).alias(column)))
+    return out.select("_kept.*", vector_to_array("_unit", "float32").alias(output))

@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from faultline.functions import render, text as t
+from faultline.functions.vectors import add_vector, fit_vectoriser
 from faultline.operators import commits, context, health, history, incidents as inc, metrics, reports
 from faultline.plans import triage as plan
 from faultline.session import shared_dir
@@ -251,6 +252,79 @@ def test_incident_store(spark):
     assert text.endswith("Evidence: e1; e2; e3")
 
 
+def test_incident_loop(spark):
+    """What one run stores the next one finds, by the distance of the stored vectors."""
+    errors = ["java.lang.OutOfMemoryError: Java heap space", "No space left on device", "HTTP 503 Service Unavailable",
+              "KeyError: column 'a' not found"]
+    runs = [f"r{i}" for i in range(8)]
+    log_rows = [("d", r, "t", 1, f"start of work\n{errors[i % 4]}") for i, r in enumerate(runs)]
+    some = small_tables(spark)
+    instances = some.task_instances.withColumn("run_id", F.explode(F.array(*[F.lit(r) for r in runs])))
+    logs = spark.createDataFrame(log_rows, "dag_id string, run_id string, task_id string, try_number int, stdout string")
+    fails = spark.createDataFrame([("d", "t", r, 1, T0 + dt.timedelta(hours=i), None, "failed") for i, r in enumerate(runs)],
+                                  failure_frame(spark).schema)
+    tables = plan.Tables(instances, logs, some.dag_runs)
+    first = plan.triage(fails.where("run_id < 'r4'"), tables)
+    corpus = first.select(inc.incident_text(first).alias("text"))
+    path = shared_dir(spark, "test-loop")
+    sinks.create_incidents(spark, path, fit_vectoriser(corpus, "text", 64))
+    for _ in range(2):
+        sinks.append_incidents(spark, first, path)
+    stored = readers.read_incidents(spark, path)
+    history_rows = stored.collect()
+    assert len(history_rows) == 4 and all(len(r.embedding) == 64 for r in history_rows)
+    model = sinks.stored_vectoriser(spark, path)
+    options = plan.Options(max_similar=2)
+    again = plan.triage(fails.where("run_id >= 'r4'"), plan.Tables(
+        instances, logs, some.dag_runs, incidents=stored, vectoriser=model), options).collect()
+    contexts = plan.build_context(fails, tables)
+    text = inc.query_text(F.col("dag_id"), F.col("task_id"), F.col("error_snippet"), F.col("error_message"))
+    probes = {r.failure_id: r.embedding for r in add_vector(contexts.select("failure_id", text.alias("q")), "q", model).collect()}
+    for report in again:
+        far = sorted((sum((a - b) ** 2 for a, b in zip(probes[report.report_id], r.embedding)), r.incident_id) for r in history_rows)
+        assert [s.incident_id for s in report.similar_incidents] == [i for _, i in far[:2]]
+        assert report.is_recurring and report.recurrence_count == 2
+    by_run = {r.run_id: r for r in again}
+    seen = {r.incident_id: r.run_id for r in history_rows}
+    assert all(seen[by_run[f"r{i + 4}"].similar_incidents[0].incident_id] == f"r{i}" for i in range(4))
+
+
+def test_one_row_per_failure(spark):
+    """Attempts, logs, replies and similar lists that come twice do not multiply a failure."""
+    some = small_tables(spark)
+    tries = some.task_instances.withColumn("try_number", F.explode(F.array(F.lit(3), F.lit(1), F.lit(2))))
+    key = plan.with_ids(failure_frame(spark)).select("failure_id")
+    replies = key.withColumn("raw", F.explode(F.array(F.lit("b"), F.lit("a"))))
+    tables = plan.Tables(tries.union(tries), some.task_logs.union(some.task_logs), some.dag_runs.union(some.dag_runs), replies=replies)
+    report = plan.triage(failure_frame(spark), tables).collect()
+    assert len(report) == 1 and report[0].similar_incidents == []
+    first = plan.build_context(failure_frame(spark).withColumn("try_number", F.lit(2)), tables).where("run_id = 'r1'").first()
+    assert first.task.try_number == 2
+    body = reports.export(plan.triage(failure_frame(spark), tables), "json").first().body
+    assert json.loads(body)["similar_incidents"] == []
+
+
+def test_ids_tell_nulls_apart(spark):
+    rows = spark.createDataFrame([("a", None, "b"), (None, "a", "b"), ("a", "b", None), ("a", "", "b")], "x string, y string, z string")
+    assert rows.select(context.failure_id("x", "y", "z").alias("i")).distinct().count() == 4
+
+
+@pytest.mark.parametrize("run_id", ["scheduled__2024-01-15T00:00:00+00:00", "manual 50% done+%41", "a%2Fb"])
+def test_log_paths(spark, run_id):
+    import os
+
+    root = shared_dir(spark, "test-paths").removeprefix("file:") + "/dags/team/dags"
+    folder = f"{root}/dags/my+dag/dagRuns/{run_id}/taskInstances/t/logs"
+    os.makedirs(folder)
+    with open(f"{folder}/3", "w") as out:
+        out.write("text")
+    row = readers.read_task_logs(spark, root).first()
+    assert (row.dag_id, row.run_id, row.task_id, row.try_number, row.stdout) == ("my+dag", run_id, "t", 3, "text")
+    with open(f"{folder}/a+b.py", "w") as out:
+        out.write("x")
+    assert readers.read_dag_files(spark, root).first().path.startswith("dags/my+dag/dagRuns/")
+
+
 def test_shared_dir_reads_the_session(spark):
     base = spark.conf.get("spark.checkpoint.dir", None)
     path = shared_dir(spark, "x")

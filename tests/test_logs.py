@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from checks.views import TEMPLATES
 from faultline.functions import signatures as sig
+from faultline.functions.text import strip
 from faultline.operators import logs
 from faultline.plans.triage import classify_logs
 
@@ -40,6 +41,28 @@ def test_template_families(spark):
     assert got[17] == got[18] == got[19] == []
 
 
+def test_expected_families_of_the_templates(spark):
+    """Stated by hand, apart from the catalogue."""
+    counted = [[(name, len(found)) for name, found in one] for one in families(spark, TEMPLATES)]
+    assert counted == [
+        [("java_oom", 2), ("python_oom", 1)], [("python_oom", 1)], [("disk_full", 1)], [("timeout", 2)],
+        [("column_not_found", 2)], [("type_mismatch", 1)], [("parse_error", 3)], [("connection_refused", 1)],
+        [("http_5xx", 2)], [("dns_failure", 1)], [("null_constraint", 1)], [("unique_violation", 2)],
+        [("assertion_failed", 2)], [("auth_failure", 2)], [("token_expired", 2)], [("ssl_error", 3)],
+        [("disk_full", 1), ("connection_refused", 1)], [], [], [],
+    ]
+
+
+def test_strip_is_linear(spark):
+    import time
+
+    rows = spark.createDataFrame([(" " * 1_000_000 + "x" + "\u3000 \x1c\n" * 250_000,), (" " * 1_000_000,)], "s string")
+    rows.select(strip(F.col("s")).alias("s")).collect()
+    start = time.perf_counter()
+    assert [r.s for r in rows.select(strip(F.col("s")).alias("s")).collect()] == ["x", ""]
+    assert time.perf_counter() - start < 5
+
+
 @pytest.mark.parametrize("text, category", [
     ("[2024] KeyError: column 'customer_id' not found", "schema_mismatch"),
     ("Connection refused to database:5432", "source_unavailable"),
