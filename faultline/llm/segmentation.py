@@ -2,8 +2,8 @@
 
 A text's lattice has a node between every two characters and an edge for every piece that spells the characters between
 two nodes; a character without a piece is an edge of its bytes' pieces.  Pieces never cross from a letter into a blank, so the
-lattice is a chain of units (blanks and what follows them; a line break alone), each of which is built once and
-remembered.  A piece of rank r (BPE scores are negated ranks) has log probability ``-log(r + OFFSET)`` but for a constant; a
+lattice is a chain of units (blanks with a run of letters or of other characters; a line break), each of which is built
+once and remembered.  A piece of rank r (BPE scores are negated ranks) has log probability ``-log(r + OFFSET)`` but for a constant; a
 segmentation's weight is the product of its pieces' probabilities to the power ``alpha``.  Backward sums over the lattice
 give every edge's probability given its node, so free sampling walks from node to node.
 
@@ -39,10 +39,16 @@ from pyspark.sql import types as T
 
 from .common import mixed, text_pieces
 
-SAMPLES, ALPHA, OFFSET, BYTE_COST, PIECE_CHARS, CACHE_UNITS = 2, 0.2, 10.0, 4.0, 1_000_000, 200_000
+SAMPLES, ALPHA, OFFSET, BYTE_COST, PIECE_CHARS, CACHE_UNITS = 2, 0.2, 10.0, 4.0, 1_000_000, 120_000
 BLANK = "▁"
-UNITS = re.compile(f"{BLANK}+[^{BLANK}\n]*|\n|[^{BLANK}\n]+").findall
+#: Units: blanks and what follows; or, where no piece goes from letters to others or back, blanks and a run of either.
+COARSE_UNITS = re.compile(f"{BLANK}+[^{BLANK}\n]*|\n|[^{BLANK}\n]+").findall
+LETTER = r"[^\W\d_²³¹]"
+FINE_UNITS = re.compile(f"{BLANK}*{LETTER}+|{BLANK}*(?:(?!{LETTER})[^{BLANK}\n])+|{BLANK}+|\n").findall
+CROSSING = re.compile(f"{LETTER}(?!{LETTER})[^{BLANK}]|(?!{LETTER})[^{BLANK}]{LETTER}").search
 STEP, LAP = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1B54A32D192ED03)
+#: Log weight from which on sets are drawn at once.  A variate is at least 2**-54, so one beyond has log y above 60.
+HORIZON = -100.0
 ADDED = "sample int, ids array<int>, log_prob double, perturbed double, log_inclusion double, round_trip boolean"
 
 
@@ -73,6 +79,7 @@ class Pieces:
                 self.log_prob[i] = -math.log((rank if rank < n else n) + OFFSET)
                 self.text[i] = piece.replace(BLANK, " ").encode()
                 spelled[piece] = i
+        self.units = COARSE_UNITS if any(map(CROSSING, spelled)) else FINE_UNITS
         self.byte_log_prob = -math.log(n + OFFSET) - BYTE_COST
         values: dict[int, int] = {}
         for piece, i in spelled.items():
@@ -101,6 +108,24 @@ def chained(keys: np.ndarray, codes: np.ndarray) -> np.ndarray:
     return mixed(keys * STEP + codes + LAP)
 
 
+class Growing:
+    """An array that grows at its end without being copied each time."""
+
+    def __init__(self, kind):
+        self.buffer, self.size = np.zeros(1 << 16, kind), 0
+
+    def add(self, new: np.ndarray) -> None:
+        if self.size + len(new) > len(self.buffer):
+            grown = np.zeros(2 * (self.size + len(new)), self.buffer.dtype)
+            grown[:self.size] = self.buffer[:self.size]
+            self.buffer = grown
+        self.buffer[self.size:self.size + len(new)] = new
+        self.size += len(new)
+
+    def filled(self) -> np.ndarray:
+        return self.buffer[:self.size]
+
+
 class Lattices:
     """Nodes and edges of all remembered units.  The edges of a node are consecutive, likely ones first."""
 
@@ -110,9 +135,9 @@ class Lattices:
 
     def clear(self) -> None:
         self.start: dict[str, int] = {}
-        self.first = np.zeros(1, np.int64)
-        self.to, self.piece = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        self.log_q, self.cum = np.zeros(0), np.zeros(0)
+        self.columns = [Growing(t) for t in (np.int64, np.int32, np.int32, np.float64, np.float64)]
+        self.columns[0].add(np.zeros(1, np.int64))
+        self.first, self.to, self.piece, self.log_q, self.cum = (c.filled() for c in self.columns)
 
     def nodes(self, units: list[str]) -> np.ndarray:
         return np.fromiter(map(self.start.__getitem__, units), np.int64, len(units))
@@ -137,18 +162,21 @@ class Lattices:
         target = source + length
         nodes = len(codes) + len(fresh)
         log_q = self.conditional(nodes, source, target, score, left[begin])
-        order = np.lexsort((piece, -log_q, source))
+        order = np.lexsort((-log_q, source))
         source, target, piece, log_q = source[order], target[order], piece[order], log_q[order]
         counts = np.bincount(source, minlength=nodes)
         firsts = np.cumsum(counts) - counts
-        running = np.cumsum(np.exp(log_q))
-        cum = running - np.repeat(np.r_[0, running][firsts], counts)
+        # Node by node, so that a unit's numbers do not depend on the units learned with it.
+        cum = np.exp(log_q)
+        for k in range(1, int(counts.max())):
+            at = firsts[counts > k] + k
+            cum[at] += cum[at - 1]
         cum[(firsts + counts - 1)[counts > 0]] = 2.0
-        base = len(self.first) - 1
+        base, held = len(self.first) - 1, len(self.to)
         self.start.update(zip(fresh, (starts + np.arange(len(fresh)) + base).tolist(), strict=True))
-        self.first = np.r_[self.first[:-1], firsts + len(self.to), len(self.to) + len(target)]
-        self.to, self.piece = np.r_[self.to, target + base], np.r_[self.piece, piece]
-        self.log_q, self.cum = np.r_[self.log_q, log_q], np.r_[self.cum, cum]
+        for column, new in zip(self.columns, (np.r_[firsts[1:], len(target)] + held, target + base, piece, log_q, cum), strict=True):
+            column.add(new)
+        self.first, self.to, self.piece, self.log_q, self.cum = (c.filled() for c in self.columns)
 
     def edges(self, codes: np.ndarray, left: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """First character, length and piece of every edge; -1 - code point for a character without a piece."""
@@ -247,16 +275,32 @@ class Search:
 
     def add(self, lattices: Lattices, edges, units, before, level: int, value: float) -> None:
         """A new path, which shares all edges before ``level`` with an earlier one."""
-        log_q = lattices.log_q[edges]
-        late = before[level:]
+        log_prob = float(before[-1] + lattices.log_q[edges[-1]]) if len(edges) else 0.0
+        self.paths.append(Path(edges, units, before, log_prob, level, np.zeros(0), value))
+        self.open_sets(lattices, len(self.paths) - 1, level + int((before[level:] >= HORIZON).sum()))
+
+    def open_sets(self, lattices: Lattices, p: int, end: int) -> None:
+        """Draws the values of the sets that leave a path before its node ``end``."""
+        path = self.paths[p]
+        levels = np.arange(path.level + len(path.log_y), end)
         with np.errstate(divide="ignore", over="ignore"):
-            weight = late + np.log(-np.expm1(log_q[level:]))
-            wait = np.log(-np.log(self.draw(len(self.paths), np.arange(level, len(edges)), 1))) - weight
-            log_y = np.logaddexp(value, wait)
-        self.paths.append(Path(edges, units, before, float(before[-1] + log_q[-1]) if len(edges) else 0.0, level, log_y, value))
+            weight = path.before[levels] + np.log(-np.expm1(lattices.log_q[path.edges[levels]]))
+            wait = np.log(-np.log(self.draw(p, levels, 1))) - weight
+            path.log_y = np.r_[path.log_y, np.logaddexp(path.value, wait)]
+
+    def best(self, lattices: Lattices) -> tuple[float, int, int]:
+        """Value, path and level of the best set; an infinite value if none is left.
+
+        Sets beyond the horizon weigh so little that no variate brings them forward while a nearer one is left.
+        """
+        found = self.best_open()
+        if math.isinf(found[0]):
+            for p, path in enumerate(self.paths):
+                self.open_sets(lattices, p, len(path.edges))
+            found = self.best_open()
+        return found
 
-    def best(self) -> tuple[float, int, int]:
-        """Value, path and level of the best set; an infinite value if none is left."""
+    def best_open(self) -> tuple[float, int, int]:
         found = (math.inf, 0, 0)
         for i, path in enumerate(self.paths):
             if len(path.log_y):
@@ -289,7 +333,7 @@ class Search:
 
 def top_segmentations(lattices: Lattices, texts: list[str], keys: np.ndarray, k: int) -> list[tuple[list[Path], float]]:
     """For each text the k best perturbed segmentations in order, and the log y of the next (infinite if there is none)."""
-    split = [UNITS(BLANK + t.replace(" ", BLANK)) if t else [] for t in texts]
+    split = [lattices.pieces.units(BLANK + t.replace(" ", BLANK)) if t else [] for t in texts]
     if len(lattices.start) > CACHE_UNITS:
         lattices.clear()
     lattices.learn(set().union(*split))
@@ -301,7 +345,7 @@ def top_segmentations(lattices: Lattices, texts: list[str], keys: np.ndarray, k:
     for sample in range(1, k):
         chosen, starts = [], []
         for search in searches:
-            value, p, level = search.best()
+            value, p, level = search.best(lattices)
             if math.isinf(value):
                 continue
             edge = search.branch(lattices, value, p, level)
@@ -315,7 +359,7 @@ def top_segmentations(lattices: Lattices, texts: list[str], keys: np.ndarray, k:
             log_q = lattices.log_q[edges[level:]]
             before = np.r_[old.before[:level], old.before[level] + np.cumsum(log_q) - log_q]
             search.add(lattices, edges, np.r_[old.units[:level], unit, units + unit], before, level + 1, value)
-    return [(s.paths, s.best()[0]) for s in searches]
+    return [(s.paths, s.best(lattices)[0]) for s in searches]
 
 
 def walks(lattices: Lattices, searches: list[Search], starts: list[np.ndarray], sample: int):
