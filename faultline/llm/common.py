@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from faultline.session import settled
 
 __all__ = [
-    "BoundedCache", "TokenCodes", "components", "fold_of", "mixed", "settled", "shingle_codes", "table", "text_pieces",
+    "BoundedCache", "TokenCodes", "components", "fold_of", "held", "mixed", "settled", "shingle_codes", "table", "text_pieces",
 ]
 
 
@@ -26,6 +26,17 @@ def fold_of(doc_id: Column, folds: int) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % F.lit(folds)
 
 
+_HELD: dict = {}
+
+
+def held(key: tuple, make: Callable):
+    """What a worker remembers from task to task, of one operator at a time: the next operator's memory replaces it."""
+    if key not in _HELD:
+        _HELD.clear()
+        _HELD[key] = make()
+    return _HELD[key]
+
+
 class BoundedCache(dict):
     """A memo of a pure function that empties itself at ``limit`` entries, so a worker's memory stays bounded."""
 
@@ -60,7 +71,7 @@ class TokenCodes:
     looked up, in a memory of at most about ``limit`` chunks.
     """
 
-    def __init__(self, split: Callable[[str], list[str]], limit: int = 300_000):
+    def __init__(self, split: Callable[[str], list[str]], limit: int = 200_000):
         self.split, self.limit = split, limit
         self.clear()
 

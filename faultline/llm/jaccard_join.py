@@ -39,16 +39,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import TokenCodes, components, mixed, settled, shingle_codes, text_pieces
+from .common import TokenCodes, components, held, mixed, settled, shingle_codes, text_pieces
 
 WIDTH, SIMILARITY = 5, 0.8
 HASHES, RUNS, DEPTH, SECOND_CHILD, LEAST_AGREEMENT = 128, 8, 3, 0.25, 0.66
 BUCKET, DEEPER, TILE, PIECE_CHARS = 512, 4, 256, 2_000_000
 
 
-@functools.lru_cache(maxsize=1)
 def tokens() -> TokenCodes:
-    return TokenCodes(re.compile(r"\w+").findall)
+    return held(("jaccard_join",), lambda: TokenCodes(re.compile(r"\w+").findall))
 
 
 @functools.lru_cache(maxsize=1)

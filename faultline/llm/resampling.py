@@ -20,7 +20,6 @@ good if all say so; a null label is none; rows that agree in key and weight are
 
 from __future__ import annotations
 
-import functools
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -31,16 +30,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import TokenCodes, mixed, settled, text_pieces
+from .common import TokenCodes, held, mixed, settled, text_pieces
 
 BUCKETS, SHRINK, TARGET_ROWS, PIECE_CHARS = 10_000, 50.0, 20_000, 2_000_000
 TEMPER, NEUTRAL_GRAMS, LEAST_LOG_WEIGHT = 1_000.0, 200, -28.0
 HISTOGRAM = 4_096
 
 
-@functools.lru_cache(maxsize=1)
 def tokens() -> TokenCodes:
-    return TokenCodes(re.compile(r"\w+|[^\w\s]+").findall)
+    return held(("resampling",), lambda: TokenCodes(re.compile(r"\w+|[^\w\s]+").findall))
 
 
 def grams(texts: list[str | None], buckets: int) -> tuple[np.ndarray, np.ndarray]:

@@ -12,7 +12,6 @@ taken whole; rows stay as they are, repeated or not.
 
 from __future__ import annotations
 
-import functools
 import json
 from collections.abc import Iterator
 
@@ -22,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe_words import PRE_TOKENS, byte_letters, is_plain
-from .common import text_pieces
+from .common import held, text_pieces
 
 PIECE_CHARS, CACHE_WORDS, MERGE_WORDS = 2_000_000, 400_000, 50_000
 NO_PAIR = np.iinfo(np.int64).max
@@ -145,9 +144,8 @@ class Counter:
             self.words.update(zip(part, self.table.counts([w.encode() for w in part]).tolist(), strict=True))
 
 
-@functools.lru_cache(maxsize=1)
 def counter(path: str) -> Counter:
-    return Counter(path)
+    return held(("token_counts", path), lambda: Counter(path))
 
 
 def token_counts(docs: DataFrame, path: str, text: str = "text", limit: int = 2_048) -> DataFrame:
