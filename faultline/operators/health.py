@@ -36,14 +36,24 @@ def normalize_source_checks(checks: DataFrame) -> DataFrame:
     )
 
 
-def exact_percentile(df: DataFrame, key: str, value: str, q: float, bucket: float = 10.0) -> DataFrame:
+# Buckets per octave, and the number that keeps those of positive values apart from those of negative ones.
+OCTAVE_BUCKETS, BUCKET_SHIFT = 64, 1_000_000
+
+
+def value_bucket(value: Column) -> Column:
+    """A number that grows with the value, by octaves: values of any unit and size spread over many buckets."""
+    octave = F.floor(F.log2(F.abs(value)) * OCTAVE_BUCKETS) + BUCKET_SHIFT
+    return F.when(value > 0, octave).when(value < 0, -octave).otherwise(F.lit(0))
+
+
+def exact_percentile(df: DataFrame, key: str, value: str, q: float) -> DataFrame:
     """Interpolated percentile per key, exact, without collecting a key's values into one task.
 
-    Equal values are counted first, then counted again per ``bucket``; the buckets' running totals name the one or two
-    buckets that hold the wanted ranks, and only their values are ordered.
+    Equal values are counted first, then counted again per bucket of about 1 % width; the buckets' running totals name the
+    one or two buckets that hold the wanted ranks, and only their values are ordered.
     """
     counted = df.where(F.col(value).isNotNull()).groupBy(key, F.col(value).alias("_v")).agg(F.count("*").alias("_n"))
-    counted = counted.withColumn("_bucket", F.floor(F.col("_v") / F.lit(bucket)))
+    counted = counted.withColumn("_bucket", value_bucket(F.col("_v").cast("double")))
     buckets = counted.groupBy(key, "_bucket").agg(F.sum("_n").alias("_bn"))
     per_key = Window.partitionBy(key)
     ordered = per_key.orderBy("_bucket")

@@ -122,6 +122,13 @@ def test_source_checks(spark):
     assert drift[1].row_count_previous is None and drift[7].source_name == "unknown"
 
 
+def test_value_buckets_keep_the_order(spark):
+    values = sorted([0.0, 1e-9, 0.003, 0.0031, 0.5, 1.0, 1.01, 2.0, 95.5, 1e12, -1e-9, -0.5, -0.51, -3.0, -1e12])
+    rows = spark.createDataFrame([(x,) for x in values], "x double").withColumn("b", health.value_bucket(F.col("x")))
+    buckets = [r.b for r in rows.orderBy("x").collect()]
+    assert buckets == sorted(buckets) and len(set(buckets)) >= len(values) - 1
+
+
 def test_exact_percentile(spark):
     import numpy as np
 
