@@ -9,8 +9,8 @@ of all documents of a file; a reader that knows the table reads the footer and t
 
 Documents are range-partitioned by id, one file a partition, numbered in the order of ids.  Files are written in the folder
 that all executors share, under a name of their own for every attempt, and moved to the final name when whole, so a lost
-executor or a second attempt leaves no half file.  A text's ids are the concatenation of those of its blank-separated
-chunks (see ``bpe_words``): the library encodes each new chunk once, texts that are not plain as a whole.
+executor or a second attempt leaves no half file.  A text's ids are the concatenation of those of its pre-tokens (see
+``bpe_words``): the library encodes each new pre-token once, texts that are not plain as a whole.
 
 Defined results: a null or empty text has only the end id; rows with a null id come first; equal ids are ordered by their
 texts; no rows give no files and no result rows; the start of a document counts the ids of all before it.
@@ -18,7 +18,8 @@ texts; no rows give no files and no result rows; the start of a document counts
 
 from __future__ import annotations
 
-import functools
+import array
+import os
 import struct
 import uuid
 import zlib
@@ -31,10 +32,10 @@ from pyspark.sql import functions as F
 
 from faultline.session import shared_dir
 
-from .bpe_words import is_plain
-from .common import text_pieces
+from .bpe_words import PRE_TOKENS, is_plain
+from .common import held, text_pieces
 
-PIECE_CHARS, CACHE_CHUNKS, FILE_ROWS, LEVEL = 2_000_000, 400_000, 50_000, 1
+PIECE_CHARS, CACHE_CHUNKS, FILE_ROWS, LEVEL = 2_000_000, 400_000, 10_000, 1
 INDEX_MAGIC, SEEK_MAGIC, FOOTER_MAGIC, CHECKSUMS = 0x184D2A50, 0x184D2A5E, 0x8F92EAB1, 0x80
 READ_SCHEMA = "file int, place long, doc_id long, n_tokens long, ids_crc32 long"
 
@@ -43,34 +44,52 @@ class Encoder:
     """Ids of texts as bytes, by the library, with a bounded memory of chunks."""
 
     def __init__(self, path: str):
+        # A task has one core; threads of its own would only compete with its neighbours.
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.specials = [t.content for t in self.library.get_added_tokens_decoder().values()]
+        added = self.library.get_added_tokens_decoder()
+        self.specials = [t.content for t in added.values()]
+        self.end, self.end_text = next((i, t.content) for i, t in sorted(added.items()))
         self.chunks: dict[str, bytes] = {}
+        self.words: dict[str, bytes] = {}
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         chunked = [t.split() if t and is_plain(t, self.specials) else None for t in texts]
-        if len(self.chunks) > CACHE_CHUNKS:
-            self.chunks.clear()
-        fresh = list(set().union(*(c for c in chunked if c)).difference(self.chunks))
-        self.chunks.update(zip(fresh, self.packed(fresh), strict=True))
-        odd = [i for i, (t, c) in enumerate(zip(texts, chunked, strict=True)) if t and c is None]
-        whole = dict(zip(odd, self.packed([texts[i] for i in odd]), strict=True))
+        here = set().union(*(c for c in chunked if c))
+        if len(self.chunks) > CACHE_CHUNKS:  # what recurs is likely to be here
+            self.chunks = {c: ids for c, ids in self.chunks.items() if c in here}
+        parts = {c: PRE_TOKENS(c.lower()) for c in here.difference(self.chunks)}
+        wanted = set().union(*parts.values())
+        if len(self.words) > CACHE_CHUNKS:
+            self.words = {w: ids for w, ids in self.words.items() if w in wanted}
+        fresh = list(wanted.difference(self.words))
+        self.words.update(zip(fresh, self.words_ids(fresh), strict=True))
+        word = self.words.__getitem__
+        for chunk, words in parts.items():
+            self.chunks[chunk] = b"".join(map(word, words))
         known = self.chunks.__getitem__
-        return [whole.get(i, b"") if c is None else b"".join(map(known, c)) for i, c in enumerate(chunked)]
+        return [
+            b"".join(map(known, c)) if c is not None else self.ids(t) if t else b"" for t, c in zip(texts, chunked, strict=True)
+        ]
 
-    def packed(self, texts: list[str]) -> list[bytes]:
+    def ids(self, text: str) -> bytes:
+        return array.array("I", self.library.encode_batch_fast([text], add_special_tokens=False)[0].ids).tobytes()
+
+    def words_ids(self, words: list[str]) -> list[bytes]:
+        """Ids of pre-tokens.  Many are encoded as one text with a special string between them, which no word holds."""
         out: list[bytes] = []
-        for start, end in text_pieces(texts, 200_000):
-            found = self.library.encode_batch_fast(texts[start:end], add_special_tokens=False)
-            out += [np.array(e.ids, "<u4").tobytes() for e in found]
+        for start in range(0, len(words), 1_000):
+            content = self.ids(self.end_text.join(words[start:start + 1_000]))
+            cuts = 4 * np.flatnonzero(np.frombuffer(content, "<u4") == self.end)
+            firsts, lasts = np.r_[0, cuts + 4].tolist(), np.r_[cuts, len(content)].tolist()
+            out += [content[a:b] for a, b in zip(firsts, lasts, strict=True)]
         return out
 
 
-@functools.lru_cache(maxsize=1)
 def encoder(path: str) -> Encoder:
-    return Encoder(path)
+    return held(("token_files", path), lambda: Encoder(path))
 
 
 def skippable(magic: int, content: bytes) -> bytes:
