@@ -5,9 +5,9 @@ weighted by ``log(1 + items / items that hold the shingle)``; their similarity i
 window matches an item from ``similarity`` on.  Windows have the item's number of words (the whole document, if it is shorter).
 
 1. Fingerprints: bit j of a window's 64-bit SimHash is the sign of the weighted sum of its shingles' bits j.  All windows of a
-   document come from running sums, one subtraction a window.  A window in which shingles of items weigh less than
-   ``similarity`` times its weight cannot match (the common weight is at most the first, the joint weight at least the
-   second) and needs no fingerprint; this bound loses nothing.
+   document come from running sums, one subtraction a window.  A window in which shingles of items of its size weigh less
+   than ``similarity`` times its weight cannot match (the common weight is at most the first, the joint weight at least
+   the second) and needs no fingerprint; this bound loses nothing.
 2. Multi-index: the 64 bits are cut in ``radius + 1`` blocks.  Two fingerprints that differ in at most ``radius`` bits agree
    in a block, so looking up each block finds all items within the radius; the distance is then checked.
 3. Candidates are verified by their exact similarity.  Passages at similarity 0.8 differ in 9.7 bits on average (standard deviation 2.9),
@@ -23,7 +23,6 @@ rows are reported again.
 
 from __future__ import annotations
 
-import functools
 import math
 import re
 from collections import Counter
@@ -36,15 +35,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import TokenCodes, shingle_codes, text_pieces
+from .common import TokenCodes, held, shingle_codes, text_pieces
 
 WIDTH, SIMILARITY, RADIUS, SLICE_WORDS, PIECE_CHARS = 5, 0.8, 18, 2_000_000, 2_000_000
 MATCH = "item_id long, first_word long, words long, similarity double"
 
 
-@functools.lru_cache(maxsize=1)
 def tokens() -> TokenCodes:
-    return TokenCodes(re.compile(r"\w+").findall)
+    return held(("decontamination",), lambda: TokenCodes(re.compile(r"\w+").findall))
 
 
 def bit_signs(shingles: np.ndarray) -> np.ndarray:
@@ -100,17 +98,20 @@ class ItemIndex:
         self.codes = np.array(sorted(holders), np.uint64)
         self.common = math.log(1 + len(items))
         self.weights = np.log(1 + len(items) / np.array([holders[s] for s in self.codes.tolist()], float))
+        # Of each code the sizes of the items that hold it.
+        place = [np.searchsorted(self.codes, one) for one in shingled]
+        pairs = np.unique(np.concatenate(
+            [np.stack([at, np.full(len(at), n)], axis=1) for at, n in zip(place, lengths.tolist(), strict=True)]
+            + [np.zeros((0, 2), np.int64)]), axis=0)
+        self.sizes = pairs[:, 1]
+        self.first = np.searchsorted(pairs[:, 0], np.arange(len(self.codes) + 1))
         self.lengths: dict[int, tuple[MultiIndex, list[int], list[Counter]]] = {}
         for length in sorted(set(lengths.tolist()) - {0}):
             chosen = np.flatnonzero(lengths == length)
             sums = np.array([(self.weigh(shingled[i])[:, None] * bit_signs(shingled[i])).sum(0) for i in chosen])
             self.lengths[length] = (
                 MultiIndex(packed(sums), radius), [items[i][0] for i in chosen], [Counter(shingled[i].tolist()) for i in chosen])
-
-    def known(self, shingles: np.ndarray) -> np.ndarray:
-        if not len(self.codes):
-            return np.zeros(len(shingles), bool)
-        return self.codes[np.minimum(np.searchsorted(self.codes, shingles), len(self.codes) - 1)] == shingles
+        self.widths = sorted({min(width, length) for length in self.lengths})
 
     def weigh(self, shingles: np.ndarray) -> np.ndarray:
         """A shingle that no item holds weighs as one that one item holds."""
@@ -125,36 +126,57 @@ class ItemIndex:
         both = sum(weight[s] * min(a[s], b[s]) for s in keys)
         return both / sum(weight[s] * max(a[s], b[s]) for s in keys)
 
-    def matches(self, words: np.ndarray) -> list[tuple[int, int, int, float]]:
-        """Of each item that the document holds: item id, first word, words and similarity of the best window."""
-        best: dict[int, tuple[float, int, int, int]] = {}
-        for width in {min(self.width, length) for length in self.lengths}:
+    def windows(self, words: np.ndarray) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
+        """Per size of items: the size, shingles a window, all shingles, and starts and fingerprints of the windows kept."""
+        for width in self.widths:
             shingles = shingle_codes(words, width)
-            known = self.known(shingles)
-            if not known.any():
+            if not len(shingles):
                 continue
+            at = np.minimum(np.searchsorted(self.codes, shingles), len(self.codes) - 1)
+            known = np.flatnonzero(self.codes[at] == shingles)
+            if not len(known):
+                continue
+            counts = self.first[at[known] + 1] - self.first[at[known]]
+            place = np.repeat(known, counts)
+            ends = np.cumsum(counts)
+            sizes = self.sizes[np.repeat(self.first[at[known]] - (ends - counts), counts) + np.arange(len(place))]
             weights = self.weigh(shingles)
-            hits = np.r_[0, np.cumsum(weights * known)]
             whole = np.r_[0, np.cumsum(weights)]
             bits = None
-            for length, (index, ids, counters) in self.lengths.items():
+            for length in np.unique(sizes).tolist():
                 if min(self.width, length) != width:
                     continue
+                held = np.zeros(len(shingles))
+                held[place[sizes == length]] = weights[place[sizes == length]]
+                hits = np.r_[0, np.cumsum(held)]
                 n = min(max(length - width + 1, 1), len(shingles))
-                inside = hits[n:] - hits[:-n] >= self.similarity * (whole[n:] - whole[:-n]) * (1 - 1e-9)
-                starts = np.flatnonzero(inside)
-                if not len(starts):
-                    continue
-                if bits is None:
-                    bits = np.vstack([np.zeros((1, 64)), np.cumsum(weights[:, None] * bit_signs(shingles), axis=0)])
-                windows, items = index.within(packed(np.round(bits[starts + n] - bits[starts], 9)))
-                for w, i in zip(windows.tolist(), items.tolist(), strict=True):
-                    start = int(starts[w])
-                    similarity = self.alike(Counter(shingles[start:start + n].tolist()), counters[i])
-                    found = (-similarity, start, min(length, len(words)), ids[i])
-                    if similarity >= self.similarity and (ids[i] not in best or found < best[ids[i]]):
-                        best[ids[i]] = found
-        return [(item, start, n, -s) for item, (s, start, n, _) in sorted(best.items())]
+                starts = np.flatnonzero(hits[n:] - hits[:-n] >= self.similarity * (whole[n:] - whole[:-n]) * (1 - 1e-9))
+                if len(starts):
+                    if bits is None:
+                        bits = np.vstack([np.zeros((1, 64)), np.cumsum(weights[:, None] * bit_signs(shingles), axis=0)])
+                    yield length, n, shingles, starts, packed(np.round(bits[starts + n] - bits[starts], 9))
+
+    def matches(self, documents: list[np.ndarray]) -> list[list[tuple[int, int, int, float]]]:
+        """Of each document (its words' codes) the items it holds: item id, first word, words and similarity of the best
+        window.  The windows of all documents are looked up together, size by size."""
+        kept: dict[int, list[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]] = {}
+        for d, words in enumerate(documents):
+            for length, n, shingles, starts, fingerprints in self.windows(words):
+                kept.setdefault(length, []).append((d, n, shingles, starts, fingerprints))
+        best: list[dict[int, tuple[float, int, int]]] = [{} for _ in documents]
+        for length, parts in kept.items():
+            index, ids, counters = self.lengths[length]
+            owner = np.repeat(np.arange(len(parts)), [len(p[3]) for p in parts])
+            starts = np.concatenate([p[3] for p in parts])
+            windows, items = index.within(np.concatenate([p[4] for p in parts]))
+            for w, i in zip(windows.tolist(), items.tolist(), strict=True):
+                d, n, shingles, _, _ = parts[owner[w]]
+                start = int(starts[w])
+                similarity = self.alike(Counter(shingles[start:start + n].tolist()), counters[i])
+                found = (-similarity, start, min(length, len(documents[d])))
+                if similarity >= self.similarity and (ids[i] not in best[d] or found < best[d][ids[i]]):
+                    best[d][ids[i]] = found
+        return [[(item, start, n, -s) for item, (s, start, n) in sorted(one.items())] for one in best]
 
 
 def item_slices(benchmark: DataFrame, item_id: str, item_text: str, slice_words: int) -> Iterator[list[tuple[int, str]]]:
@@ -202,8 +224,7 @@ def without_items(docs: DataFrame, items: list[tuple[int, str]], text: str, widt
 def document_matches(index: ItemIndex, texts: list[str | None]) -> Iterator[list[tuple[int, int, int, float]]]:
     for start, end in text_pieces(texts, PIECE_CHARS):
         codes, bounds = tokens().codes(texts[start:end])
-        for a, b in zip(bounds[:-1], bounds[1:], strict=True):
-            yield index.matches(codes[a:b])
+        yield from index.matches([codes[a:b] for a, b in zip(bounds[:-1], bounds[1:], strict=True)])
 
 
 def slice_matches(docs: DataFrame, items: list[tuple[int, str]], text: str, width: int, similarity: float, radius: int) -> DataFrame:
