@@ -25,7 +25,6 @@ a null key counts as an empty one; U+2581 decodes to a blank, as in the library.
 
 from __future__ import annotations
 
-import functools
 import math
 import re
 from collections.abc import Iterator
@@ -37,14 +36,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import mixed, text_pieces
+from .common import held, mixed, text_pieces
 
 SAMPLES, ALPHA, OFFSET, BYTE_COST, PIECE_CHARS, CACHE_UNITS = 2, 0.2, 10.0, 4.0, 1_000_000, 120_000
 BLANK = "▁"
 #: Units: blanks and what follows; or, where no piece goes from letters to others or back, blanks and a run of either.
 COARSE_UNITS = re.compile(f"{BLANK}+[^{BLANK}\n]*|\n|[^{BLANK}\n]+").findall
 LETTER = r"[^\W\d_²³¹]"
-FINE_UNITS = re.compile(f"{BLANK}*{LETTER}+|{BLANK}*(?:(?!{LETTER})[^{BLANK}\n])+|{BLANK}+|\n").findall
+FINE_UNITS = re.compile(f"{BLANK}*{LETTER}+|{BLANK}*(?:[^\\w{BLANK}\n]|[\\d_²³¹])+|{BLANK}+|\n").findall
 CROSSING = re.compile(f"{LETTER}(?!{LETTER})[^{BLANK}]|(?!{LETTER})[^{BLANK}]{LETTER}").search
 STEP, LAP = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1B54A32D192ED03)
 #: Log weight from which on sets are drawn at once.  A variate is at least 2**-54, so one beyond has log y above 60.
@@ -116,7 +115,7 @@ class Growing:
 
     def add(self, new: np.ndarray) -> None:
         if self.size + len(new) > len(self.buffer):
-            grown = np.zeros(2 * (self.size + len(new)), self.buffer.dtype)
+            grown = np.zeros(3 * (self.size + len(new)) // 2, self.buffer.dtype)
             grown[:self.size] = self.buffer[:self.size]
             self.buffer = grown
         self.buffer[self.size:self.size + len(new)] = new
@@ -127,7 +126,7 @@ class Growing:
 
 
 class Lattices:
-    """Nodes and edges of all remembered units.  The edges of a node are consecutive, likely ones first."""
+    """Nodes and edges of all remembered units.  The edges of a node are consecutive, long (and so likely) ones first."""
 
     def __init__(self, pieces: Pieces, alpha: float):
         self.pieces, self.alpha = pieces, alpha
@@ -158,12 +157,13 @@ class Lattices:
         small = odd[codes[begin[odd]] < 128]
         piece[small] = self.pieces.byte_ids[codes[begin[small]].astype(np.int64)]
         score *= self.alpha
+        # Runs of equal length are in order already, which the sort makes use of.
         source = begin + unit[begin]
-        target = source + length
+        order = np.argsort(source, kind="stable")
+        source, piece, score = source[order], piece[order], score[order]
+        target = source + length[order]
         nodes = len(codes) + len(fresh)
-        log_q = self.conditional(nodes, source, target, score, left[begin])
-        order = np.lexsort((-log_q, source))
-        source, target, piece, log_q = source[order], target[order], piece[order], log_q[order]
+        log_q = self.conditional(nodes, source, target, score, left[begin[order]])
         counts = np.bincount(source, minlength=nodes)
         firsts = np.cumsum(counts) - counts
         # Node by node, so that a unit's numbers do not depend on the units learned with it.
@@ -193,14 +193,14 @@ class Lattices:
                 out.append((at[whole], np.full(int(whole.sum()), length), piece[whole]))
             go = begun & (left[at] > length)
             at, keys, length = at[go], keys[go], length + 1
-        begin, lengths, piece = (np.concatenate(c) for c in zip(*out, strict=True))
+        begin, lengths, piece = (np.concatenate(c) for c in zip(*reversed(out), strict=True))
         return begin, lengths, piece
 
     @staticmethod
     def conditional(nodes: int, source, target, score, left) -> np.ndarray:
-        """Log probability of each edge given its node, by sums from the units' ends backwards."""
+        """Log probability of each edge given its node, by sums from the units' ends backwards.  ``source`` ascends."""
         beta, log_q = np.zeros(nodes), np.zeros(len(source))
-        order = np.lexsort((source, left))
+        order = np.argsort(left.astype(np.uint16) if left.max(initial=0) < 1 << 16 else left, kind="stable")
         cuts = np.flatnonzero(np.diff(left[order])) + 1
         for part in np.split(order, cuts):
             value = score[part] + beta[target[part]]
@@ -394,9 +394,8 @@ def log_inclusion(log_prob: float, next_log_y: float) -> float:
     return math.log(-math.expm1(-math.exp(min(x, 700.0))))
 
 
-@functools.lru_cache(maxsize=2)
 def lattices_of(path: str, alpha: float) -> Lattices:
-    return Lattices(Pieces(path), alpha)
+    return held(("segmentation", path, alpha), lambda: Lattices(Pieces(path), alpha))
 
 
 def sample_segmentations(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", k: int = SAMPLES,
