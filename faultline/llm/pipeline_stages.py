@@ -25,8 +25,9 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the sample drawn by importance towards the documents labelled good."""
-    sampled = resampling.resample(docs, table(spark, sf_dir, "labels"), resampling.good_label(), keep_text=True)
+    """Keeps the sample drawn by importance towards the documents labelled good and away from those labelled toxic."""
+    sampled = resampling.resample(
+        docs, table(spark, sf_dir, "labels"), resampling.good_label(), keep_text=True, toxic=resampling.toxic_label())
     return sampled.where("sampled").select(*docs.columns)
 
 

@@ -116,7 +116,8 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("op2_importance_resampling")
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return resampling.resample(docs, table(spark, sf_dir, "labels"), resampling.good_label())
+    return resampling.resample(
+        docs, table(spark, sf_dir, "labels"), resampling.good_label(), toxic=resampling.toxic_label())
 
 
 @register("op4_simhash_windows")

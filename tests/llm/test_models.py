@@ -146,6 +146,37 @@ def test_resampling_splits_good_from_bad(spark):
     assert resampling.resample(docs.limit(0), labels, resampling.good_label()).collect() == []
 
 
+def test_toxic_texts_of_good_quality_go(spark):
+    draw = random.Random(5)
+    plain, slurs = [f"w{i}" for i in range(300)], ["idiot", "scum", "trash", "moron", "clown"]
+    docs = [[draw.choice(plain) for _ in range(draw.randint(50, 600))] for _ in range(600)]
+    rude = set(range(0, 600, 6))
+    for i in rude:
+        for _ in range(3):
+            docs[i][draw.randrange(len(docs[i]))] = draw.choice(slurs)
+    rude = {i for i in rude if len(set(docs[i]) & set(slurs)) > 1}
+    clean = {i for i, d in enumerate(docs) if not set(d) & set(slurs)}
+    frame = spark.createDataFrame([(i, " ".join(d)) for i, d in enumerate(docs)], "doc_id long, text string").repartition(3)
+    # Half of the rows are labelled; ids 600 and more are labels without a document.
+    labels = spark.createDataFrame(
+        [(i, 1, int(i in rude)) for i in range(300) if i in rude | clean] + [(2, 1, None), (600, 1, 1), (None, 1, 1)], LABELS)
+    out = resampling.resample(frame, labels, resampling.good_label(), toxic=resampling.toxic_label()).collect()
+    kept = {r.doc_id for r in out if r.sampled}
+    assert len(out) == 600 and len(kept & rude) <= 0.05 * len(rude) and len(kept & clean) >= 0.99 * len(clean)
+    blind = resampling.resample(frame, labels, resampling.good_label()).collect()
+    assert len({r.doc_id for r in blind if r.sampled} & rude) > 0.9 * len(rude)
+    unjudged = resampling.resample(frame, labels.where("toxic = 0"), resampling.good_label(), toxic=resampling.toxic_label()).collect()
+    assert len({r.doc_id for r in unjudged if r.sampled} & rude) > 0.9 * len(rude)
+
+
+def test_bar_of_fewest_errors():
+    scores, toxic = np.array([0.0, 1.0, 2.0, 3.0, 4.0]), np.array([True, False, False, True, True])
+    assert resampling.best_bar(scores, toxic, np.ones(5)) == 2.5
+    assert resampling.best_bar(scores, toxic, np.array([1, 1, 1, 1, 9.0])) == 2.5
+    assert resampling.best_bar(scores, toxic, np.array([1, 1, 9, 1, 0.5])) == 2.5
+    assert resampling.best_bar(scores, ~toxic, np.array([9, 1, 1, 9, 9.0])) == np.inf
+
+
 def test_gumbel_top_k_follows_weights(spark):
     n = 3000
     rows = spark.createDataFrame([(t, i) for t in range(n) for i in range(4)], "t long, i long")
