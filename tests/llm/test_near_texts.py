@@ -104,6 +104,18 @@ def test_paths_bring_similar_sets_together():
     assert hits[0.8] >= 0.99 and hits[0.9] >= 0.995
 
 
+def test_pairs_of_hot_buckets_are_found(spark, monkeypatch):
+    # With one set a bucket every bucket is too large and goes down to the last level.
+    monkeypatch.setattr(jaccard_join, "BUCKET", 1)
+    draw, pairs = np.random.default_rng(6), 1_500
+    a = draw.integers(0, 2**16, (pairs, jaccard_join.HASHES)).astype("<u2")
+    b = np.where(draw.random(a.shape) < 0.8, a, draw.integers(0, 2**16, a.shape).astype("<u2"))
+    rows = [(i, x.tobytes()) for i, x in enumerate([*a, *b])]
+    reps = spark.createDataFrame([(i, bytearray(x)) for i, x in rows], "rep long, signature binary").repartition(4)
+    found = {tuple(sorted((r.a, r.b))) for r in jaccard_join.candidate_links(reps, jaccard_join.RUNS).collect()}
+    assert found <= {(i, i + pairs) for i in range(pairs)} and len(found) >= 0.998 * pairs
+
+
 def test_components(spark):
     draw = random.Random(8)
     edges = [(draw.randrange(300), draw.randrange(300)) for _ in range(200)] + [(400 + i, 401 + i) for i in range(40)]
