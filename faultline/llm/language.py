@@ -6,9 +6,11 @@ estimates the bits a character costs for a reader of that language (Ziv and Merh
 wins.  ``score`` is 1 - c / n of the winner: near 0 where hardly two characters in a row are known, near 1 in long phrases.
 
 Training reads a bounded sample: of each language's labelled rows the ones with the least hash in each of
-``SAMPLE_ROWS`` hash classes, whole texts of at most ``SAMPLE_TEXT`` characters, up to ``SAMPLE_CHARS`` together.  Every
+``SAMPLE_ROWS`` hash classes, each text's first ``SAMPLE_TEXT`` characters, up to ``SAMPLE_CHARS`` together.  Every
 text to be judged is read whole, in segments of ``SEGMENT`` characters whose phrases are added up; segments of many texts
-advance together, one table look-up a character and language.
+advance together, one table look-up a character and language.  Every letter of training is a symbol of its own; the
+``DENSE`` most frequent have a column of the table, transitions by the others (scripts of many letters) are a sorted list.
+A letter unseen in training is a phrase by itself.
 
 Defined results: texts that are null or have no letter, and all texts if nothing was learned, are ``und`` with score 0; equal
 costs go to the first language by name; rows are judged one by one, so repeated rows and ids get equal results.
@@ -29,6 +31,7 @@ from pyspark.sql import functions as F
 from .common import text_pieces
 
 SAMPLE_ROWS, SAMPLE_TEXT, SAMPLE_CHARS, SEGMENT, PIECE_CHARS = 96, 6_000, 24_000, 1_024, 4_000_000
+DENSE = 250
 UNKNOWN_LANGUAGE = "und"
 #: Symbols: padding, anything that is no letter, letters unseen in training; then the letters of training.
 PAD, GAP, STRANGE, FIRST_LETTER = 0, 1, 2, 3
@@ -38,17 +41,30 @@ PAD, GAP, STRANGE, FIRST_LETTER = 0, 1, 2, 3
 class LanguageModel:
     names: list[str]
     letters: str
-    #: step[state * symbols + symbol]: next state, or ~next where a new phrase begins there.
+    #: step[state * dense + symbol]: next state, or ~next where a new phrase begins there.
     step: np.ndarray
     starts: np.ndarray
     bits: np.ndarray
+    #: Symbols from ``dense`` on: sorted state * width + symbol, the next states, and of each language and symbol where else it leads.
+    rare_keys: np.ndarray
+    rare_next: np.ndarray
+    rare_fresh: np.ndarray
+
+    @property
+    def dense(self) -> int:
+        return FIRST_LETTER + min(len(self.letters), DENSE)
+
+    @property
+    def width(self) -> int:
+        return FIRST_LETTER + len(self.letters)
 
 
 def sampled_texts(docs: DataFrame, learn: Column, text: str = "text", lang: str = "lang") -> list[tuple[str, str]]:
     """(lang, text) in the order of the sample.  Only hashes are grouped over all rows; then the chosen texts are fetched."""
     rows = docs.where(learn & F.col(lang).isNotNull() & F.col(text).isNotNull()).select(
-        F.col(lang).cast("string").alias("lang"), F.col(text).alias("text"), F.xxhash64(F.col(text)).alias("hash"),
-    ).where(F.char_length("text").between(1, SAMPLE_TEXT))
+        F.col(lang).cast("string").alias("lang"), F.substring(F.col(text), 1, SAMPLE_TEXT).alias("text"),
+        F.xxhash64(F.col(text)).alias("hash"),
+    ).where(F.char_length("text") > 0)
     chosen = rows.groupBy("lang", F.pmod("hash", F.lit(SAMPLE_ROWS)).alias("class")).agg(F.min("hash").alias("hash"))
     # At most SAMPLE_ROWS rows a language.
     texts = rows.join(F.broadcast(chosen), ["lang", "hash"]).groupBy("lang", "hash").agg(F.min("text").alias("text"))
@@ -79,24 +95,33 @@ def fit(samples: list[tuple[str, str]]) -> LanguageModel | None:
             for c in text:
                 if c.isalpha():
                     counts[c] = counts.get(c, 0) + 1
-    letters = "".join(sorted(sorted(counts, key=lambda c: (-counts[c], c))[:250]))
-    width = FIRST_LETTER + len(letters)
-    tables, starts, bits, offset = [], [], [], 0
+    ordered = sorted(counts, key=lambda c: (-counts[c], c))
+    letters = "".join(sorted(ordered[:DENSE]) + sorted(ordered[DENSE:]))
+    width, dense = FIRST_LETTER + len(letters), FIRST_LETTER + min(len(letters), DENSE)
+    tables, starts, bits, keys, nexts, elsewhere, offset = [], [], [], [], [], [], 0
     for name in names:
         parts = [symbols_of(t, letters)[0] for t in budgeted[name]]
-        table, start = phrase_table([p for p in parts if len(p)], width)
+        table, start, rare, fresh = phrase_table([p for p in parts if len(p)], width, dense)
         starts.append(offset + start)
         tables.append(np.where(table >= 0, table + offset, table - offset))
         bits.append(math.log2(sum(map(len, parts)) + 1))
+        keys.append((rare[:, 0] + offset) * width + rare[:, 1])
+        nexts.append(rare[:, 2] + offset)
+        elsewhere.append(fresh - offset)
         offset += len(table)
-    return LanguageModel(names, letters, np.concatenate(tables).astype(np.int32).ravel(), np.array(starts, np.int32), np.array(bits))
+    keys, nexts = np.concatenate(keys), np.concatenate(nexts)
+    order = np.argsort(keys)
+    return LanguageModel(
+        names, letters, np.concatenate(tables).astype(np.int32).ravel(), np.array(starts, np.int32), np.array(bits),
+        keys[order], nexts[order].astype(np.int32), np.stack(elsewhere).astype(np.int32))
 
 
-def phrase_table(parts: list[np.ndarray], width: int) -> tuple[np.ndarray, int]:
+def phrase_table(parts: list[np.ndarray], width: int, dense: int) -> tuple[np.ndarray, int, np.ndarray, np.ndarray]:
     """Transitions of the suffix automaton of all parts, completed so that every symbol leads somewhere.
 
     A missing transition starts a new phrase from the root; a symbol that the root lacks is a phrase of its own.  After
-    it, as before a text, stands the state added last (also returned), where any symbol starts a phrase.
+    it, as before a text, stands the state added last (also returned), where any symbol starts a phrase.  Symbols from
+    ``dense`` on are no columns: of them come the transitions (state, symbol, next) and where a missing one leads.
     """
     edges: list[dict[int, int]] = [{}]
     link, length = [-1], [0]
@@ -105,14 +130,19 @@ def phrase_table(parts: list[np.ndarray], width: int) -> tuple[np.ndarray, int]:
         for symbol in part.tolist():
             last = extend(edges, link, length, last, symbol)
     closed = len(edges)
-    table = np.full((closed + 1, width), -1, np.int64)
-    table[0, list(edges[0])] = list(edges[0].values())
-    fresh = np.where(table[0] >= 0, table[0], closed)
-    table[:] = ~fresh
+    fresh = np.full(width, closed, np.int64)
+    fresh[list(edges[0])] = list(edges[0].values())
+    table = np.empty((closed + 1, dense), np.int64)
+    table[:] = ~fresh[:dense]
+    rare = []
     for state, out in enumerate(edges):
-        table[state, list(out)] = list(out.values())
+        for symbol, to in out.items():
+            if symbol < dense:
+                table[state, symbol] = to
+            else:
+                rare.append((state, symbol, to))
     table[:, PAD] = np.arange(closed + 1)
-    return table, closed
+    return table, closed, np.array(rare, np.int64).reshape(-1, 3), ~fresh[dense:]
 
 
 def extend(edges, link, length, last: int, symbol: int) -> int:
@@ -148,10 +178,14 @@ def cloned(edges, link, length, at: int, symbol: int, other: int) -> int:
     return state
 
 
+def symbol_type(letters: str) -> type:
+    return np.uint8 if FIRST_LETTER + len(letters) <= 256 else np.uint32
+
+
 @functools.lru_cache(maxsize=2)
 def symbol_table(letters: str) -> np.ndarray:
     """The symbol of each code point."""
-    out = np.full(0x110000, GAP, np.uint8)
+    out = np.full(0x110000, GAP, symbol_type(letters))
     out[[i for i in range(0x110000) if chr(i).isalpha()]] = STRANGE
     for i, c in enumerate(letters):
         out[ord(c)] = FIRST_LETTER + i
@@ -181,7 +215,7 @@ def judge(model: LanguageModel, texts: list[str | None]) -> tuple[list[str], np.
     sizes = np.array([len(p) for p in parts])
     lanes_of = -(-sizes // SEGMENT)
     first = np.r_[0, np.cumsum(lanes_of)[:-1]]
-    grid = np.zeros((int(lanes_of.sum()), SEGMENT), np.uint8)
+    grid = np.zeros((int(lanes_of.sum()), SEGMENT), symbol_type(model.letters))
     flat = grid.reshape(-1)
     for p, at in zip(parts, first * SEGMENT, strict=True):
         flat[at:at + len(p)] = p
@@ -196,7 +230,7 @@ def judge(model: LanguageModel, texts: list[str | None]) -> tuple[list[str], np.
 
 def cross_parse(model: LanguageModel, grid: np.ndarray) -> np.ndarray:
     """Phrases of each segment (row) in each language (column)."""
-    width = FIRST_LETTER + len(model.letters)
+    dense, width = model.dense, model.width
     used = (grid != PAD).sum(axis=1)
     order = np.argsort(-used, kind="stable")
     columns = np.ascontiguousarray(grid[order].T)
@@ -207,7 +241,16 @@ def cross_parse(model: LanguageModel, grid: np.ndarray) -> np.ndarray:
         phrases = np.zeros(len(grid), np.int32)
         for t in range(int(used.max())):
             n = active[t]
-            step = model.step[state[:n] * width + columns[t, :n]]
+            symbols = columns[t, :n]
+            if width == dense:
+                step = model.step[state[:n] * dense + symbols]
+            else:
+                step = model.step[state[:n] * dense + np.where(symbols < dense, symbols, STRANGE).astype(np.int32)]
+                rare = np.flatnonzero(symbols >= dense)
+                symbols = symbols[rare].astype(np.int64)
+                keys = state[rare] * np.int64(width) + symbols
+                at = np.minimum(np.searchsorted(model.rare_keys, keys), len(model.rare_keys) - 1)
+                step[rare] = np.where(model.rare_keys[at] == keys, model.rare_next[at], model.rare_fresh[j, symbols - dense])
             new = step >> 31
             phrases[:n] -= new
             state[:n] = step ^ new

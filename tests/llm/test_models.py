@@ -48,6 +48,29 @@ def test_segments_are_added_up():
     assert names[:3] == ["xx", "yy", "xx"] and names[3:6] == ["und"] * 3 and names[6] in ("xx", "yy")
 
 
+def test_scripts_of_many_letters():
+    draw = random.Random(8)
+    scripts = {"aa": [chr(0x4E00 + i) for i in range(700)], "bb": [chr(0x4E00 + 600 + i) for i in range(700)]}
+    phrases = {n: ["".join(draw.choices(cs, k=4)) for _ in range(900)] for n, cs in scripts.items()}
+    text = lambda n, k: " ".join(draw.choice(phrases[n]) for _ in range(k))
+    samples = [(n, text(n, 300)) for n in phrases for _ in range(8)] + [("en", "the cat sat on the mat " * 40)]
+    model = language.fit(samples)
+    texts = [text(n, 30) for n in phrases for _ in range(20)]
+    names, scores = language.judge(model, texts)
+    assert names == ["aa"] * 20 + ["bb"] * 20
+    for i in (0, 25):
+        assert scores[i] == pytest.approx(1 - naive_phrases(texts[i], [t for n, t in samples if n == names[i]]) / len(texts[i]))
+    _, scores = language.judge(model, ["".join(draw.choices([chr(0xAC00 + i) for i in range(900)], k=200))])
+    assert scores[0] == 0
+
+
+def test_long_texts_are_learned_by_an_excerpt(spark):
+    long = "der hund und die katze " * 1_000
+    frame = spark.createDataFrame([(long, "de"), ("the cat and the dog", "en"), ("", "fr")], "text string, lang string")
+    sample = language.sampled_texts(frame, F.lit(True))
+    assert sample == [("de", long[:language.SAMPLE_TEXT]), ("en", "the cat and the dog")]
+
+
 def test_language_of_documents(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", "lang", F.lit("clash").alias("score"))
     held = fold_of(F.col("doc_id"), 3) == 1
