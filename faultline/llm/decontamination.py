@@ -110,7 +110,7 @@ class ItemIndex:
             chosen = np.flatnonzero(lengths == length)
             sums = np.array([(self.weigh(shingled[i])[:, None] * bit_signs(shingled[i])).sum(0) for i in chosen])
             self.lengths[length] = (
-                MultiIndex(packed(sums), radius), [items[i][0] for i in chosen], [Counter(shingled[i].tolist()) for i in chosen])
+                MultiIndex(packed(np.round(sums, 9)), radius), [items[i][0] for i in chosen], [Counter(shingled[i].tolist()) for i in chosen])
         self.widths = sorted({min(width, length) for length in self.lengths})
 
     def weigh(self, shingles: np.ndarray) -> np.ndarray:

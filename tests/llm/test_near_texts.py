@@ -180,6 +180,15 @@ def test_contamination_against_brute_force(spark):
     assert decontamination.contaminated(frame.limit(0), bench).collect() == []
 
 
+def test_equal_passages_have_equal_fingerprints():
+    draw, words = random.Random(3), vocabulary(5_000)
+    items = [(i, " ".join(draw.choices(words, k=24))) for i in range(500)]
+    index = decontamination.ItemIndex(items, decontamination.WIDTH, decontamination.SIMILARITY, 0)
+    texts = [" ".join([*draw.choices(words, k=50), text, *draw.choices(words, k=20)]) for _, text in items]
+    found = [[m[0] for m in one] for one in decontamination.document_matches(index, texts)]
+    assert found == [[i] for i in range(500)]
+
+
 def test_multi_index_finds_all_within_the_radius():
     draw = np.random.default_rng(2)
     stored = draw.integers(0, 2**64, 300, np.uint64)
