@@ -9,8 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import (
-    class_lm, decontamination, jaccard_join, language, resampling, segmentation, token_counts, token_files, topk_search,
-    url_cascade,
+    class_lm, decontamination, jaccard_join, language, resampling, segmentation, spelling, token_counts, token_files,
+    topk_search, url_cascade,
 )
 from .common import fold_of, table
 
@@ -138,3 +138,9 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sampled.select(
         "doc_id", "sample", F.size("ids").cast("long").alias("n_pieces"), F.xxhash64("ids").alias("ids_hash"), "log_prob",
         "perturbed", "log_inclusion", "round_trip")
+
+
+@register("op13_spelling_variants")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return spelling.variant_groups(docs).select("word", "form", "root", "n", "n_near", "form_n")
