@@ -9,8 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import (
-    class_lm, decontamination, jaccard_join, language, resampling, segmentation, spelling, token_counts, token_files,
-    topk_search, url_cascade,
+    class_lm, decontamination, jaccard_join, language, line_dedup, resampling, segmentation, spelling, token_counts,
+    token_files, topk_search, url_cascade, whitening,
 )
 from .common import fold_of, table
 
@@ -144,3 +144,39 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return spelling.variant_groups(docs).select("word", "form", "root", "n", "n_near", "form_n")
+
+
+@register("op12_whitening")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    whitened = whitening.whiten(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", components=32)
+    return whitened.withColumn("deviation", F.expr("try_cast(deviation AS long)"))
+
+
+OP11_SQL = """
+WITH split_docs AS (
+  SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS parts FROM documents
+), lines AS (
+  SELECT doc_id, unnest(parts) AS line, generate_subscripts(parts, 1) AS line_no FROM split_docs
+), keyed AS (
+  SELECT *, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+                      'abcdefghijklmnopqrstuvwxyz') AS line_key
+  FROM lines
+), repeated AS (
+  SELECT line_key, max(doc_id) AS keeper FROM keyed WHERE length(line_key) >= 20
+  GROUP BY line_key HAVING count(DISTINCT doc_id) >= 3
+), judged AS (
+  SELECT k.doc_id, k.line, k.line_no, r.line_key IS NOT NULL AND k.doc_id <> r.keeper AS gone
+  FROM keyed k LEFT JOIN repeated r ON k.line_key = r.line_key
+)
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY line_no) FILTER (WHERE NOT gone), '')) AS kept_sha256
+FROM judged GROUP BY doc_id
+"""
+
+
+@register("op11_line_dedup", OP11_SQL)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    index = line_dedup.build(docs)
+    kept = line_dedup.without_repeated_lines(index, docs, references=index.references)
+    return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))

@@ -64,7 +64,7 @@ def sample_rows():
         words = [typo(w) if draw.random() < 0.2 else w for w in words]
         words = [typo(typo(w)) if draw.random() < 0.03 else w for w in words]
         rows.append((i, draw.choice([" ", "-", "_1 "]).join(words)))
-    rows += [(200 + i, "chainings " * 12 + "chaininge " * (i % 4 < 2) + "chainingex" * (i % 20 == 0)) for i in range(60)]
+    rows += [(200 + i, "chainings " * 12 + "chaininge " * (i % 4 < 3) + "chainingex" * (i % 20 == 0)) for i in range(60)]
     return rows + [(500, None), (501, ""), (None, "nullnull nullnull"), (7, rows[7][1]), (502, "Q" * 3000 + " " + "q" * 3001),
                    (503, "Q" * 3000 + " " + "q" * 3001), (504, "\u4f60\u597d short \U0001f600streams\U0001f600")]
 
