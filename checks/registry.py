@@ -273,6 +273,22 @@ def _(spark, sf):
     )
 
 
+@register("recent_commits_by_repository", query(["failures", "commits"], """
+    SELECT f.event_id, CAST(row_number() OVER (PARTITION BY f.event_id ORDER BY date DESC, sha DESC) AS INTEGER) AS rank,
+           'repo_' || (user_id % 2) AS repository, short_sha
+    FROM failures f JOIN commits ON date <= failed_at AND date >= failed_at - INTERVAL 24 HOUR
+        AND user_id % 2 = CAST(substr(dag_id, 5) AS INTEGER) % 2
+    QUALIFY rank <= 20"""))
+def _(spark, sf):
+    """Two repositories: even and odd DAGs, changed by even and odd users."""
+    commits = v.commits(spark, sf).withColumn(
+        "repository", v.tagged("repo_", F.regexp_extract("author", r"\d+", 0).cast("int") % 2))
+    failures = v.failures(spark, sf).withColumn("repository", v.tagged("repo_", F.regexp_extract("dag_id", r"\d+", 0).cast("int") % 2))
+    rows = commit_ops.recent_commits(failures, commits)
+    return rows.select("event_id", "repository", F.posexplode("recent_commits").alias("pos", "k")).select(
+        "event_id", (c("pos") + 1).alias("rank"), "repository", "k.short_sha")
+
+
 @register("commit_scan", query(["commits"], f"""
     SELECT repo, short_sha, CAST(n AS INTEGER) AS rank, {ts('date')} AS date FROM (
         SELECT *, max(old) OVER (PARTITION BY repo ORDER BY n) AS stopped FROM (

@@ -180,6 +180,19 @@ def _(spark, sf):
     return readers.read_task_logs(spark, root).withColumn("digest", F.md5("stdout")).drop("stdout")
 
 
+@register("read_log_lines", query(["plain_logs"], """
+    SELECT 'dag_' || (user_id % 20) AS dag_id, 'task_' || (user_id % 7) AS task_id, 'run_' || event_id AS run_id,
+           CAST(event_id % 3 + 1 AS INTEGER) AS try_number, unnest(string_split(stdout, chr(10))) AS line,
+           CAST(generate_subscripts(string_split(stdout, chr(10)), 1) - 1 AS BIGINT) AS line_no
+    FROM plain_logs JOIN events ON event_id = doc_id"""))
+def _(spark, sf):
+    root = shared_dir(spark, "logs")
+    path = F.concat(lit("dags/"), "dag_id", lit("/dagRuns/"), c("run_id"), lit("/taskInstances/"), "task_id", lit("/logs/"),
+                    c("try_number").cast("string"))
+    _write_files(v.task_logs(spark, sf).select(path.alias("path"), c("stdout").alias("content")), root)
+    return readers.read_log_lines(spark, root)
+
+
 @register("read_dag_files", query(["dag_files"], "SELECT path, md5(content) AS digest FROM dag_files"))
 def _(spark, sf):
     root = shared_dir(spark, "dagfiles") + "/dags"

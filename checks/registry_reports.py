@@ -8,7 +8,7 @@ from checks import views as v
 from checks.registry import _checks, _with_file, register, rounded, similar
 from checks.sql_views import query, ts
 from faultline.functions import render
-from faultline.operators import health, incidents as inc, logs, metrics as metric_ops, reports
+from faultline.operators import context, health, incidents as inc, logs, metrics as metric_ops, reports
 from faultline.operators.context import failure_id
 from faultline.plans import triage as plan
 
@@ -389,6 +389,33 @@ def _(spark, sf):
     return rows.select("event_id", F.coalesce("monitoring.n", lit(0)).alias("nearby"))
 
 
+@register("provider_failure", query(["ctx", "external_events"], """
+    SELECT c.event_id, CAST(count(external_id) AS BIGINT) AS nearby, c.has_context,
+           if(c.has_context, '', 'Airflow collection failed;Cannot build context: missing Airflow data;No context for LLM analysis;')
+           || 'raises collection failed: no route to the service;fails_late collection failed' AS errors
+    FROM ctx c LEFT JOIN external_events e ON e.dag_id = c.dag_id AND e.task_id = c.task_id
+     AND event_time BETWEEN failed_at - INTERVAL 30 MINUTE AND failed_at + INTERVAL 5 MINUTE
+    GROUP BY c.event_id, c.has_context"""))
+def _(spark, sf):
+    """One provider raises while it is planned, one in its tasks; the third one's rows and all contexts are there."""
+    def nearby(rows: DataFrame) -> DataFrame:
+        pairs = metric_ops.external_events_window(rows, v.external_events(spark, sf))
+        return pairs.groupBy("failure_id").agg(F.count("*").alias("n"))
+
+    def raises(rows: DataFrame) -> DataFrame:
+        raise ConnectionError("no route to the service")
+
+    def fails_late(rows: DataFrame) -> DataFrame:
+        return rows.select("failure_id", F.when(c("failure_id").isNotNull(), F.raise_error(lit("bad answer"))).alias("answer"))
+
+    providers = {"raises": raises, "monitoring": nearby, "fails_late": context.Declared(fails_late, "answer string")}
+    found = contexts(spark, sf, providers=providers).where("raises IS NULL AND fails_late.answer IS NULL")
+    # How Spark words a task's error is its own affair.
+    texts = F.transform("errors", lambda e: F.regexp_replace(e, r"^(fails_late collection failed): .*$", "$1"))
+    return found.select("event_id", F.coalesce("monitoring.n", lit(0)).alias("nearby"), "has_context",
+                        v.joined(texts, ";").alias("errors"))
+
+
 @register("verdict_hook", query(["ctx"], """
     SELECT failure_id AS report_id, CASE WHEN regexp_matches(snippet, 'Timeout') THEN 'volume_anomaly'
                ELSE coalesce(fams[1].category, 'unknown') END AS error_category FROM ctx WHERE has_context"""))

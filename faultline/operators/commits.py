@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from faultline import schemas
-from faultline.operators.timeline import HOUR, Timeline, asof_join, slice_no
+from faultline.operators.timeline import HOUR, Timeline, asof_join, segmented_scan
+from faultline.session import settled
 
 # Look-back, commits read per repository and per file.
 LOOKBACK_HOURS = 24
@@ -19,38 +20,43 @@ def commit_struct() -> Column:
     return F.struct("sha", "short_sha", "author", "email", "message", "date", "files_changed")
 
 
+def repository_of(failures: DataFrame, commits: DataFrame) -> list[str]:
+    """The key of a commit's time line: its repository, where both sides know it."""
+    return ["repository"] if "repository" in failures.columns and "repository" in commits.columns else []
+
+
 def recent_commits(
     failures: DataFrame, commits: DataFrame, time: str = "failed_at", hours: int = LOOKBACK_HOURS,
     limit: int = MAX_COMMITS,
 ) -> DataFrame:
-    """Adds ``recent_commits``: the newest commits of the repository in the ``hours`` before each failure.
+    """Adds ``recent_commits``: the newest commits of the failure's repository in the ``hours`` before it.
 
-    Each commit first collects itself and its predecessors (a bounded frame), within its own slice of the time line
-    and the one before, which together span the look-back.  The failures then take the newest such list as of
-    their time, so no failure is paired with the commits of its day.
+    Where only one side has a column ``repository``, all commits are of one repository.  Commits are numbered in theirs;
+    each distinct instant asked for finds the number reached by then, and the list of a number is an equality join with it and
+    its predecessors, made once for all failures that share it.
     """
-    timeline = recent_commits_timeline(commits, hours, limit)
-    return within_lookback(asof_join(failures, [timeline], [], time), time, hours)
-
-
-def recent_commits_timeline(commits: DataFrame, hours: int = LOOKBACK_HOURS, limit: int = MAX_COMMITS) -> Timeline:
-    width = hours * HOUR
-    own = commits.select(slice_no(F.col("date"), width).alias("_slice"), commit_struct().alias("commit"))
-    both = own.unionByName(own.withColumn("_slice", F.col("_slice") + 1))
-    by_date = Window.partitionBy("_slice").orderBy(F.col("commit.date"), F.col("commit.sha"))
-    lists = both.select(
-        "_slice", "commit", F.collect_list("commit").over(by_date.rowsBetween(-(limit - 1), 0)).alias("_list")
-    ).where(slice_no(F.col("commit.date"), width) == F.col("_slice"))
-    dated = lists.select(F.col("commit.date").alias("_date"), F.col("commit.sha").alias("_sha"), "_list")
-    return Timeline(dated, "_date", {"_newest": F.col("_list")}, ("_sha",))
-
-
-def within_lookback(joined: DataFrame, time: str = "failed_at", hours: int = LOOKBACK_HOURS) -> DataFrame:
-    """The carried list, newest first, without what is older than the look-back."""
+    on = repository_of(failures, commits)
+    numbered = settled(segmented_scan(
+        commits.where("date IS NOT NULL").select(
+            *on, F.lit(0).alias("_all"), commit_struct().alias("commit"), F.col("date").alias("_date"), F.col("sha").alias("_sha"),
+            F.lit(1).cast("bigint").alias("n")),
+        on or ["_all"], ["_date", "_sha"], totals={"n": "n"}), "commits")
+    points = failures.select(*on, F.col(time).alias("_at")).where("_at IS NOT NULL").distinct()
+    line = Timeline(numbered, "_date", {"_n": F.col("n")}, ("_sha", "n"))
+    reached = asof_join(points, [line], on, "_at").where("_n IS NOT NULL")
+    places = reached.select(*on, "_n").distinct().withColumn(
+        "n", F.explode(F.sequence(F.greatest(F.lit(1), F.col("_n") - (limit - 1)), F.col("_n"))))
+    lists = places.join(numbered.select(*on, "n", "commit"), [*on, "n"]).groupBy(*on, "_n").agg(
+        F.sort_array(F.collect_list(F.struct("n", "commit")), asc=False).alias("_list"))
+    found = reached.join(lists, [*on, "_n"]).select(
+        *[F.col(k).alias(f"_{k}") for k in on], "_at", F.transform("_list", lambda x: x["commit"]).alias("_newest"))
+    same = [F.col(k) == F.col(f"_{k}") for k in on] + [F.col(time) == F.col("_at")]
     since = F.col(time) - F.expr(f"INTERVAL {hours} HOURS")
-    listed = F.filter(F.reverse(F.col("_newest")), lambda c: c["date"] >= since)
+    listed = F.filter(F.col("_newest"), lambda c: c["date"] >= since)
     none = F.array().cast(f"array<{schemas.COMMIT}>")
-    return joined.withColumn("recent_commits", F.coalesce(listed, none)).drop("_newest")
+    columns = [c for c in failures.columns if c != "recent_commits"]
+    return failures.select(*columns).join(found, same, "left").select(
+        *columns, F.coalesce(listed, none).alias("recent_commits"))
 
 
 def commit_scan(commits: DataFrame, repository: str, position: str, since: str, limit: int = MAX_COMMITS) -> DataFrame:
@@ -72,10 +78,12 @@ def file_commits(commits: DataFrame, limit: int = MAX_FILE_COMMITS) -> DataFrame
 def last_commit_asof(
     failures: DataFrame, commits: DataFrame, file: str = "dag_file_path", time: str = "failed_at"
 ) -> DataFrame:
-    """Adds ``last_commit``, the newest commit to the DAG's file at or before the failure, and the hours since."""
+    """Adds ``last_commit``, the newest commit to the DAG's file (in its repository, if known) at or before the failure,
+    and the hours since."""
+    on = [*repository_of(failures, commits), file]
     touched = commits.select(F.explode(F.array_distinct("files_changed")).alias(file), "*")
     timeline = Timeline(touched, "date", {"last_commit": commit_struct()}, ("sha",))
-    joined = asof_join(failures, [timeline], [file], time)
+    joined = asof_join(failures, [timeline], on, time)
     seconds = (F.unix_micros(F.col(time)) - F.unix_micros(F.col("last_commit.date"))) / 1_000_000
     return joined.withColumn("hours_since_last_change", seconds / HOUR)
 
@@ -93,15 +101,16 @@ def resolve_dag_files(dags: DataFrame, files: DataFrame) -> DataFrame:
 
     Every test is an equality: a path offers the names it could define (each piece of its base name under a ``dags``
     folder, the base name itself, without prefix, without suffix, and the ids quoted in its text), and these
-    join with the ids.  Only pieces as long as some id are offered.
+    join with the ids.  Only pieces as long as some id are offered.  Files that know their ``repository`` hand it on.
     """
     wanted = dags.select("dag_id").where(F.col("dag_id").isNotNull()).distinct()
     lengths = wanted.agg(F.sort_array(F.collect_set(F.length("dag_id")))).scalar()
     stem = F.regexp_extract("path", r"([^/]*)\.py$", 1)
     is_python = F.col("path").rlike(r"\.py$")
     in_dags = F.col("path").rlike(r"(^|/)dags/.*\.py$")
+    where_from = ["repository"] if "repository" in files.columns else []
     shaped = files.select(
-        "path", stem.alias("stem"), is_python.alias("is_python"), in_dags.alias("in_dags"), lengths.alias("lengths"),
+        "path", *where_from, stem.alias("stem"), is_python.alias("is_python"), in_dags.alias("in_dags"), lengths.alias("lengths"),
         F.regexp_extract_all("content", F.lit(r'dag_id="([^"\n]*)"'), F.lit(1)).alias("quoted"),
     )
     no_names = F.array().cast("array<string>")
@@ -130,10 +139,11 @@ def resolve_dag_files(dags: DataFrame, files: DataFrame) -> DataFrame:
               F.array(F.substr(name, F.lit(1), F.length(name) - 4)), 4),
         offer(F.size("quoted") > 0, F.array_distinct("quoted"), 5),
     )
-    offered = shaped.select("path", F.explode(offers).alias("offer")).select("path", "offer.*")
+    offered = shaped.select("path", *where_from, F.explode(offers).alias("offer")).select("path", *where_from, "offer.*")
     best = offered.join(wanted, "dag_id", "left_semi").groupBy("dag_id").agg(
-        F.min(F.struct("priority", "path")).alias("best")
+        F.min(F.struct("priority", "path", *where_from)).alias("best")
     )
     return wanted.join(best, "dag_id", "left").select(
-        "dag_id", F.col("best.path").alias("dag_file_path"), F.col("best.priority").alias("priority")
+        "dag_id", F.col("best.path").alias("dag_file_path"), F.col("best.priority").alias("priority"),
+        *[F.col(f"best.{c}").alias(c) for c in where_from]
     )

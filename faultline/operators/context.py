@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Callable
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 
 from faultline import schemas
+from faultline.session import settled
+
+logger = logging.getLogger(__name__)
 
 # Error texts.
 COLLECTION_FAILED = "Airflow collection failed"
@@ -103,15 +108,61 @@ def collectors_used() -> Column:
     ))
 
 
-def add_providers(contexts: DataFrame, providers: dict[str, Provider], key: str = "failure_id") -> DataFrame:
-    """Left-joins each provider's rows as a struct named after it.
+@dataclass(frozen=True)
+class Declared:
+    """A provider that names its columns, so that a failed one leaves a null of the same type."""
+
+    function: Provider
+    schema: str
+
+    def __call__(self, failures: DataFrame) -> DataFrame:
+        return self.function(failures)
+
+
+# What is left of a provider that failed before it named any column.
+NO_COLUMNS = "failure string"
+
 
-    A provider maps the failures to rows keyed by failure id.  It must not multiply failures: the first row per
-    failure, by its columns' order, is taken.
+def provided(provider: Provider, name: str, failures: DataFrame, key: str = "failure_id") -> tuple[DataFrame | None, str, str | None]:
+    """(rows by key as a written table, type of the struct, error): a provider is run by itself and never fails the caller.
+
+    Errors while it is planned (it raises, or names columns that do not exist) and while it is run (a task fails for good) end in the
+    error's text and no rows.  The first row of a failure by its columns' order is taken, so failures are not multiplied.
     """
-    for name, provider in providers.items():
-        rows = provider(contexts)
+    dtype = f"struct<{getattr(provider, 'schema', NO_COLUMNS)}>"
+    try:
+        rows = provider(failures)
         columns = [c for c in rows.columns if c != key]
         one = rows.groupBy(key).agg(F.min(F.struct(*columns)).alias(name))
-        contexts = contexts.join(one, key, "left")
-    return contexts
+        dtype = dict(one.dtypes)[name]
+        if hasattr(provider, "schema"):
+            dtype = f"struct<{provider.schema}>"
+            one = one.withColumn(name, F.col(name).cast(dtype))
+        return settled(one, "provider"), dtype, None
+    except Exception as problem:
+        # The message's first line: what follows is a stack trace of the task.
+        text = str(problem).strip().split("\n")[0]
+        logger.warning("provider %s failed: %s", name, text)
+        return None, dtype, f"{name} collection failed: {text}"
+
+
+def add_providers(contexts: DataFrame, providers: dict[str, Provider], key: str = "failure_id",
+                  failures: DataFrame | None = None) -> DataFrame:
+    """Left-joins each provider's rows as a struct named after it.
+
+    A provider maps the failures (``failures``, or else ``contexts``), written once and narrow, to rows keyed by failure
+    id.  One that fails gives a null struct and an entry in ``errors``; the others and the run go on.
+    """
+    asked = settled(contexts if failures is None else failures, "provider-keys")
+    problems = []
+    for name, provider in providers.items():
+        rows, dtype, problem = provided(provider, name, asked, key)
+        if problem is None:
+            contexts = contexts.join(rows, key, "left")
+        else:
+            contexts = contexts.withColumn(name, F.lit(None).cast(dtype))
+            problems.append(problem)
+    none = F.array().cast("array<string>")
+    if "errors" not in contexts.columns:
+        contexts = contexts.withColumn("errors", none)
+    return contexts.withColumn("errors", F.concat("errors", F.array(*[F.lit(p) for p in problems]))) if problems else contexts

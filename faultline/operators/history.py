@@ -6,7 +6,8 @@ import datetime
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from faultline.operators.timeline import DAY, HOUR, Timeline, asof_join, rolling_counts, slice_no, with_previous
+from faultline.operators.timeline import DAY, Timeline, asof_join, rolling_counts, segmented_scan, with_previous
+from faultline.session import settled
 
 # Runs read per DAG, and the rate window.
 MAX_RUNS = 20
@@ -57,22 +58,12 @@ def dag_history(
 
 
 def numbered_runs(runs: DataFrame) -> DataFrame:
-    """Each dated run with its number ``n`` in its DAG and the number ``failed`` of failed runs up to it.
-
-    Runs are numbered within hours; what precedes an hour is a window over one row an hour.
-    """
+    """Each dated run with its number ``n`` in its DAG and the number ``failed`` of failed runs up to it."""
     rows = runs.where("dag_id IS NOT NULL AND execution_date IS NOT NULL").select(
-        "dag_id", "run_id", "state", "execution_date", "duration_seconds",
-        slice_no(F.col("execution_date"), HOUR).alias("_slice"), (F.col("state") == "failed").cast("int").alias("_bad"))
-    earlier = Window.partitionBy("dag_id").orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
-    totals = rows.groupBy("dag_id", "_slice").agg(F.count("*").alias("_n"), F.sum("_bad").alias("_f")).select(
-        "dag_id", "_slice", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_n"),
-        F.coalesce(F.sum("_f").over(earlier), F.lit(0)).alias("_f"))
-    inside = Window.partitionBy("dag_id", "_slice").orderBy("execution_date", "run_id", "state", "duration_seconds")
-    upto = inside.rowsBetween(Window.unboundedPreceding, 0)
-    return rows.join(totals, ["dag_id", "_slice"]).select(
-        "dag_id", "run_id", "state", "execution_date", "duration_seconds",
-        (F.col("_n") + F.row_number().over(inside)).alias("n"), (F.col("_f") + F.sum("_bad").over(upto)).alias("failed"))
+        "dag_id", "run_id", "state", "execution_date", "duration_seconds", F.lit(1).cast("bigint").alias("n"),
+        (F.col("state") == "failed").cast("bigint").alias("failed"))
+    order = ["execution_date", "run_id", "state", "duration_seconds"]
+    return segmented_scan(rows, ["dag_id"], order, totals={"n": "n", "failed": "failed"})
 
 
 def history_asof(
@@ -85,7 +76,8 @@ def history_asof(
     covers all runs of the last ``days`` days, as the difference of two running totals.
     """
     runs = runs.join(failures.select("dag_id").distinct(), "dag_id", "left_semi")
-    numbered = numbered_runs(runs)
+    # Read twice: by the as-of join and by number.
+    numbered = settled(numbered_runs(runs), "runs")
     at = F.col(time)
     # Of a failure that comes with several times the latest counts.
     once = failures.groupBy(key, "dag_id").agg(F.max(time).alias(time))

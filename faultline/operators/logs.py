@@ -10,11 +10,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from faultline.functions import signatures as sig
-from faultline.functions.text import pinned, split_lines, strip
+from faultline.functions.text import WHITE_SPACE, pinned, split_lines, strip
+from faultline.session import settled
 
 # Words that mark a line as part of the error, and the limits around them.
 ERROR_KEYWORDS = ["error", "exception", "traceback", "failed", "oom", "killed", "timeout"]
 LINES_BEFORE, LINES_AFTER, TAIL_LINES, TAIL_CHARS, TRUNCATED_ABOVE, KEY_LINES = 5, 10, 50, 2000, 100_000, 10
+# Of a line-wise log: matches listed for a family, and lines of a snippet that one row holds.
+FAMILY_MATCHES, SNIPPET_LINES = 10, 20_000
 
 
 def has_error_keyword(line: Column) -> Column:
@@ -166,3 +169,78 @@ def line_snippet(lines: DataFrame, ids: list[str]) -> DataFrame:
         .where(F.col("line_no").between(F.col("_low"), F.col("_high")))
         .select(*ids, "line_no", "line")
     )
+
+
+def profile_lines(
+    lines: DataFrame, ids: list[str], before: int = LINES_BEFORE, after: int = LINES_AFTER, tail: int = TAIL_LINES,
+    custom=None, key_lines: int = KEY_LINES, family_matches: int = FAMILY_MATCHES, snippet_lines: int = SNIPPET_LINES,
+) -> DataFrame:
+    """What ``profile_logs`` and ``match_logs`` say of a log, from its lines, one row for each log of ``ids``.
+
+    ``lines`` (ids, line_no, line) are the text's lines in any order.  Nothing needs a log's lines in one place: bounds and
+    lengths are combined aggregates; key lines, matches, tail and snippet are cut to what they list in the map
+    tasks.  A family lists its first ``family_matches`` matches, and a snippet over ``snippet_lines`` lines its first and last
+    half, with a line between them that says how many are left out: the rest of a report has no such limits.
+    """
+    families = sig.catalogue(custom)
+    line, no = F.col("line"), F.col("line_no")
+    # Of the stripped text: its first and last line that is not blank, and the keyword lines, which lie between them.
+    written = F.when(F.char_length(strip(line)) > 0, no)
+    hit = F.when(has_error_keyword(line), no)
+    bounds = lines.groupBy(*ids).agg(
+        F.min(written).alias("_from"), F.max(written).alias("_to"), F.min(hit).alias("_first"), F.max(hit).alias("_last"),
+        (F.sum(F.char_length(line)) + F.count("*") - 1).alias("_chars"), F.max("line_no").alias("_end"))
+    low = F.greatest("_from", F.coalesce(F.col("_first") - before, F.col("_to") + 1 - tail))
+    high = F.least("_to", F.coalesce(F.col("_last") + after - 1, F.col("_to")))
+    half = snippet_lines // 2
+    bounds = settled(bounds.withColumns({"_low": low, "_high": high}), "log-bounds")
+
+    kept = no.between(F.col("_low"), F.col("_high")) & (
+        (no < F.col("_low") + half) | (no > F.col("_high") - half) | (F.col("_high") - F.col("_low") < snippet_lines))
+    placed = lines.join(bounds.select(*ids, "_from", "_to", "_low", "_high"), ids).where(kept)
+    gap = F.col("_high") - F.col("_low") + 1 - 2 * half
+    cut = (F.col("_high") - F.col("_low") >= snippet_lines) & (no == F.col("_low") + half - 1)
+    # The stripped text has no white space before its first line and after its last one.
+    shown = F.when(no == F.col("_from"), F.ltrim(line, F.lit(WHITE_SPACE))).otherwise(line)
+    shown = F.when(no == F.col("_to"), F.rtrim(shown, F.lit(WHITE_SPACE))).otherwise(shown)
+    shown = F.when(cut, F.concat(shown, F.lit("\n... "), gap.cast("string"), F.lit(" lines left out ..."))).otherwise(shown)
+    snippets = placed.select(*ids, F.struct(no, shown.alias("text")).alias("_l")).groupBy(*ids).agg(
+        F.array_join(F.transform(F.sort_array(F.collect_list("_l")), lambda x: x["text"]), "\n").alias("error_snippet"))
+
+    at_end = F.row_number().over(Window.partitionBy(*ids).orderBy(no.desc()))
+    tails = (
+        lines.select(*ids, "line_no", tail_chars(line).alias("line")).withColumn("_n", at_end).where(F.col("_n") <= TAIL_CHARS)
+        .groupBy(*ids).agg(F.sort_array(F.collect_list(F.struct("line_no", "line"))).alias("_t"))
+        .select(*ids, tail_chars(F.array_join(F.transform("_t", lambda x: x["line"]), "\n")).alias("stdout_tail")))
+
+    # Read by the key lines and by the matches.
+    hits = settled(lines.where(sig.any_signature(line, families)).select(*ids, "line_no", "line"), "log-hits")
+    keys = line_key_lines(hits, ids, custom, key_lines).groupBy(*ids).agg(
+        F.transform(F.sort_array(F.collect_list(F.struct("line_no", "line"))), lambda x: x["line"]).alias("key_log_lines"))
+    order = ["rx_idx", "line_no", "pos"]
+    listed = F.row_number().over(Window.partitionBy(*ids, "sig_idx").orderBy(*order))
+    per_family = (
+        line_matches(hits, ids, custom).withColumn("_n", listed).where(F.col("_n") <= family_matches)
+        .groupBy(*ids, "sig_idx").agg(F.sort_array(F.collect_list(F.struct(*order, "match"))).alias("_m")))
+    found = F.map_from_entries(F.collect_list(F.struct("sig_idx", F.transform("_m", lambda x: x["match"]).alias("m"))))
+    # The families in severity order, as for whole texts.
+    listed_families = F.filter(F.array(*[
+        F.struct(
+            F.lit(index).alias("sig_idx"), F.lit(s.name).alias("name"), F.lit(s.category).alias("category"),
+            F.lit(s.severity).alias("severity"), F.lit(s.description).alias("description"),
+            F.lit(s.recommendation).alias("recommendation"), F.get(F.array("_found"), F.lit(0))[F.lit(index)].alias("matches"))
+        for index, s in sig.ranked(families)
+    ]), lambda family: family["matches"].isNotNull())
+    matched = per_family.groupBy(*ids).agg(found.alias("_found")).select(
+        *ids, listed_families.cast(sig.MATCH_TYPE).alias("matches"))
+
+    none = F.array().cast("array<string>")
+    joined = bounds
+    for part in (snippets, tails, matched, keys):
+        joined = joined.join(part, ids, "left")
+    return joined.select(
+        *ids, F.coalesce((F.col("_to") - F.col("_from") + 1).cast("int"), F.lit(1)).alias("log_lines"),
+        (F.col("_chars") > TRUNCATED_ABOVE).alias("truncated"), F.coalesce("error_snippet", F.lit("")).alias("error_snippet"),
+        F.coalesce("matches", F.array().cast(sig.MATCH_TYPE)).alias("matches"),
+        F.coalesce("key_log_lines", none).alias("key_log_lines"), F.coalesce("stdout_tail", F.lit("")).alias("stdout_tail"))
+

@@ -1,20 +1,29 @@
-"""Exact nearest-neighbour join without a cross join.
-
-Voronoi partitioning with triangle-inequality pruning, as in the published block k-NN joins for clusters: incidents are
-assigned to the cell of their nearest pivot; each probe derives an upper bound on its k-th distance from the
-histograms of the cells' radii, and visits only cells that can hold something nearer.  A cell of any size is cut into blocks of bounded
-size, and the probes that visit a block into chunks of bounded size; each (cell, block, chunk) is one task-sized
-matrix product that emits at most k rows per probe.  Only pivots and per-cell statistics pass through the driver, both
-bounded by the number of pivots.
+"""Exact nearest-neighbour join in two phases over a written index.
+
+The index deals the incidents of a group to the cells of their nearest pivots, orders a cell by the distance to its pivot
+(a segmented scan, so a cell may hold any share of all incidents) and cuts it into blocks of bounded size.  Its tables are the rows, the
+blocks' and the groups' statistics; they are joined, not collected, so the number of groups is not bounded by the driver, which holds the pivots only.
+
+A probe first searches its own cell (and the next ones, as long as these hold fewer than k incidents), which gives a true k-th
+distance.  By the triangle inequality nothing nearer lies in a block whose distances to the pivot all differ from the probe's by
+more than that; the second phase joins the probe with the other blocks.  A block and at most ``chunk_rows`` of the probes that visit it
+are one matrix product, of which at most k rows leave for each probe.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
+
+from faultline.operators.timeline import segmented_scan
+from faultline.session import settled
 
 SLACK = 1e-9
+#: The product form of a distance is good to about 1e-8 of the vectors' spread.
+ROUNDING = 1e-6
 
 
 def _matrix(column: pd.Series) -> np.ndarray:
@@ -27,132 +36,189 @@ def _unit(vectors: np.ndarray) -> np.ndarray:
 
 
 def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Euclidean distances by the product form; good to about 1e-7, so callers allow for slack."""
+    """Euclidean distances by the product form, about a common centre; callers allow for rounding."""
+    if not len(a) or not len(b):
+        return np.zeros((len(a), len(b)))
+    centre = b.mean(0)
+    a, b = a - centre, b - centre
     squares = (a * a).sum(1)[:, None] + (b * b).sum(1)[None, :] - 2.0 * (a @ b.T)
     return np.sqrt(np.maximum(squares, 0.0))
 
 
-def nearest_incidents(
-    probes: DataFrame,
-    incidents: DataFrame,
-    k: int = 5,
-    probe_id: str = "probe_id",
-    incident_id: str = "incident_id",
-    vector: str = "embedding",
-    group: str | None = None,
-    metric: str = "l2",
-    exclude_self: bool = False,
-    pivots: int = 256,
-    cell_rows: int = 1024,
-    block_rows: int = 4096,
-    chunk_rows: int = 4096,
-) -> DataFrame:
-    """(probe_id, incident_id, distance, rank): the k nearest incidents of each probe, ties by incident id.
+@dataclass(frozen=True)
+class NeighbourIndex:
+    """Written tables of a history: ``rows`` (grp, cell, block, iid, ivec), ``blocks`` (grp, cell, block, low, high, n) and
+    ``groups`` (grp, cells), one entry of at most as many cells as pivots for each group."""
 
-    ``metric`` is ``l2`` (squared, the default) or ``cosine`` (1 - cosine).  With ``group``, a probe meets only incidents
-    with the same value of that column (filter before the top-k, not after).  ``exclude_self`` (for a search
-    of the incidents among themselves) drops the incident whose id equals the probe's.  ``pivots`` bounds the number of cells; a cell holds about ``cell_rows`` incidents until then.
+    rows: DataFrame
+    blocks: DataFrame
+    groups: DataFrame
+    pivots: np.ndarray
+    grouped: bool
+    cosine: bool
+
+    def by_group(self, rows: DataFrame, groups: DataFrame) -> DataFrame:
+        """Without groups, their table is one row."""
+        return rows.join(groups if self.grouped else F.broadcast(groups), "grp")
+
+
+def _group_column(group: str | None) -> Column:
+    return F.lit("") if group is None else F.col(group).cast("string")
+
+
+def build_index(
+    incidents: DataFrame, incident_id: str = "incident_id", vector: str = "embedding", group: str | None = None,
+    metric: str = "l2", pivots: int = 256, cell_rows: int = 1024, block_rows: int = 4096,
+) -> NeighbourIndex:
+    """The index of the incidents with a vector, for searches within the values of ``group`` (a null group meets nothing).
+
+    A group of n incidents has n / ``cell_rows`` cells, at least one and at most ``pivots``.
     """
     if metric not in ("l2", "cosine"):
         raise ValueError(f"unknown metric {metric!r}")
     cosine = metric == "cosine"
-    group_col = F.lit("") if group is None else F.col(group).cast("string")
     history = incidents.where(F.col(vector).isNotNull()).select(
-        F.col(incident_id).alias("iid"), group_col.alias("grp"), F.col(vector).alias("ivec")
-    )
-    queries = probes.where(F.col(vector).isNotNull()).select(
-        F.col(probe_id).alias("pid"), group_col.alias("grp"), F.col(vector).alias("pvec")
-    )
-    id_type = dict(history.dtypes)["iid"]
-    pid_type = dict(queries.dtypes)["pid"]
-
-    # A probe is copied to every cell it visits, so a small history gets few cells.
+        F.col(incident_id).alias("iid"), _group_column(group).alias("grp"), F.col(vector).alias("ivec")).where("grp IS NOT NULL")
     cells_wanted = max(1, min(pivots, history.count() // cell_rows))
     sampled = history.orderBy(F.xxhash64("iid"), "iid").limit(cells_wanted).select("ivec").toPandas()
-    if sampled.empty:
-        return queries.sparkSession.createDataFrame(
-            [], f"{probe_id} {pid_type}, {incident_id} {id_type}, distance double, rank int"
-        )
     centres = _matrix(sampled["ivec"])
     centres = _unit(centres) if cosine else centres
 
     @F.pandas_udf("struct<cell:int,radius:double>")
-    def assign(vectors: pd.Series) -> pd.DataFrame:
+    def assign(vectors: pd.Series, used: pd.Series) -> pd.DataFrame:
         points = _matrix(vectors)
+        if not len(points):
+            return pd.DataFrame({"cell": np.zeros(0, "int32"), "radius": np.zeros(0)})
         far = _distances(_unit(points) if cosine else points, centres)
-        cell = far.argmin(1) if len(points) else np.zeros(0, dtype=int)
+        far[np.arange(len(centres))[None, :] >= used.to_numpy()[:, None]] = np.inf
+        cell = far.argmin(1)
         return pd.DataFrame({"cell": cell.astype("int32"), "radius": far[np.arange(len(points)), cell]})
 
-    placed = history.withColumn("_at", assign("ivec")).select(
-        "iid", "grp", "ivec", "_at.cell", "_at.radius"
-    )
-    # Per cell: size, extent, and a histogram of the radii (eight bins per octave) that bounds the k-th smallest.
+    sizes = history.groupBy("grp").agg(
+        F.greatest(F.lit(1), F.least(F.lit(pivots), F.floor(F.count("*") / cell_rows))).cast("int").alias("used"))
+    sized = history.join(sizes if group else F.broadcast(sizes), "grp")
+    placed = sized.withColumn("_at", assign("ivec", "used")).select(
+        "grp", "_at.cell", "_at.radius", "iid", "ivec", F.lit(1).cast("bigint").alias("n"))
+    ordered = segmented_scan(placed, ["grp", "cell"], ["radius", "iid"], totals={"n": "n"})
+    rows = settled(
+        ordered.withColumn("block", F.floor((F.col("n") - 1) / block_rows)).select("grp", "cell", "block", "iid", "ivec", "radius"),
+        "neighbour-rows")
+    blocks = settled(rows.groupBy("grp", "cell", "block").agg(
+        F.min("radius").alias("low"), F.max("radius").alias("high"), F.count("*").alias("n")), "neighbour-blocks")
+    cells = blocks.groupBy("grp", "cell").agg(F.min("low").alias("low"), F.max("high").alias("high"), F.sum("n").alias("n"))
+    groups = settled(
+        cells.groupBy("grp").agg(F.sort_array(F.collect_list(F.struct("cell", "low", "high", "n"))).alias("cells")),
+        "neighbour-groups")
+    return NeighbourIndex(rows.drop("radius"), blocks, groups, centres, group is not None, cosine)
+
+
+@dataclass(frozen=True)
+class Found:
+    """``rows`` (pid, iid, distance, rank), and how many distances were computed for how many probes in each phase."""
+
+    rows: DataFrame
+    work: DataFrame
+
+
+def search(index: NeighbourIndex, probes: DataFrame, k: int = 5, probe_id: str = "probe_id", vector: str = "embedding",
+           group: str | None = None, exclude_self: bool = False, chunk_rows: int = 4096) -> Found:
+    """The k nearest incidents of each probe; of probes that share an id one is searched."""
     keep = k + 1 if exclude_self else k
-    octave = F.floor(F.log2(F.greatest(F.col("radius"), F.lit(1e-12))) * 8)
-    stats = placed.groupBy("grp", "cell", octave.alias("bin")).agg(
-        F.count("*").alias("n"), F.min("radius").alias("low"), F.max("radius").alias("high")
-    ).toPandas()
-    by_group, blocks_of = {}, {}
-    for g, part in stats.groupby("grp"):
-        cells = part.groupby("cell").agg(n=("n", "sum"), low=("low", "min"), high=("high", "max")).reset_index()
-        n_blocks = np.ceil(cells["n"].to_numpy() / block_rows).astype(int)
-        by_group[g] = (
-            cells["cell"].to_numpy(), cells["low"].to_numpy(), cells["high"].to_numpy(), n_blocks,
-            part["cell"].to_numpy(), part["high"].to_numpy(), part["n"].to_numpy(),
-        )
-        blocks_of.update({(g, int(c)): int(b) for c, b in zip(cells["cell"], n_blocks)})
-    chunks = max(1, -(-queries.count() // chunk_rows))
-
-    @F.pandas_udf("array<struct<cell:int,block:int>>")
-    def visits(vectors: pd.Series, groups: pd.Series) -> pd.Series:
+    centres, cosine = index.pivots, index.cosine
+    asked = probes.where(F.col(vector).isNotNull()).select(
+        F.col(probe_id).alias("pid"), _group_column(group).alias("grp"), F.col(vector).alias("pvec")).where("grp IS NOT NULL")
+    asked = asked.groupBy("pid").agg(F.min(F.struct("grp", "pvec")).alias("_p")).select("pid", "_p.*")
+
+    @F.pandas_udf("array<double>")
+    def to_pivots(vectors: pd.Series) -> pd.Series:
         points = _matrix(vectors)
-        far = _distances(_unit(points) if cosine else points, centres) if len(points) else points
-        out = []
-        for row, g in enumerate(groups):
-            if g not in by_group:
-                out.append([])
-                continue
-            cells, low, high, n_blocks, bin_cell, bin_high, bin_n = by_group[g]
-            to_cell = far[row, cells]
-            reach = far[row, bin_cell] + bin_high
-            order = np.argsort(reach)
-            enough = np.flatnonzero(np.cumsum(bin_n[order]) >= keep)
-            bound = reach[order[enough[0]]] if len(enough) else np.inf
-            nearest = np.maximum(np.maximum(to_cell - high, low - to_cell), 0.0)
-            wanted = np.flatnonzero(nearest <= bound + 1e-6)
-            out.append([{"cell": int(cells[i]), "block": b} for i in wanted for b in range(n_blocks[i])])
-        return pd.Series(out)
-
-    @F.pandas_udf("int")
-    def block_of(groups: pd.Series, cells: pd.Series, hashes: pd.Series) -> pd.Series:
-        counts = np.array([blocks_of[(g, int(c))] for g, c in zip(groups, cells)], dtype="int64")
-        return pd.Series(np.mod(hashes.to_numpy(), counts).astype("int32"))
-
-    blocked = placed.withColumn("block", block_of("grp", "cell", F.xxhash64("iid"))).select(
-        "grp", "cell", "block", "iid", "ivec"
-    )
-    visiting = queries.select(
-        "pid", "grp", "pvec", F.pmod(F.xxhash64("pid"), F.lit(chunks)).cast("int").alias("chunk"),
-        F.explode(visits("pvec", "grp")).alias("v"),
-    ).select("grp", "v.cell", "v.block", "chunk", "pid", "pvec")
-    meeting = visiting.select(
-        F.col("grp").alias("g"), F.col("cell").alias("c"), F.col("block").alias("b"), F.col("chunk").alias("visitors")
-    ).distinct()
-    served = blocked.join(
-        meeting, (F.col("grp") == F.col("g")) & (F.col("cell") == F.col("c")) & (F.col("block") == F.col("b"))
-    ).select("grp", "cell", "block", F.col("visitors").alias("chunk"), "iid", "ivec")
-
-    def search(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        return _search(left, right, k, cosine, exclude_self)
+        return pd.Series(list(_distances(_unit(points) if cosine else points, centres)) if len(points) else [], dtype=object)
+
+    far_of = lambda cell: F.get(F.col("far"), cell["cell"])
+    near_first = F.array_sort(F.transform("cells", lambda c: F.struct(
+        far_of(c).alias("far"), c["cell"].alias("cell"), c["low"].alias("low"), c["high"].alias("high"), c["n"].alias("n"))))
+    start = F.struct(F.lit(0).cast("bigint").alias("total"), F.array().cast("array<int>").alias("own"))
+    until_enough = F.aggregate(
+        "near", start,
+        lambda seen, c: F.when(seen["total"] >= keep, seen).otherwise(F.struct(
+            (seen["total"] + c["n"]).alias("total"), F.concat(seen["own"], F.array(c["cell"])).alias("own"))),
+        lambda seen: seen["own"])
+    placed = index.by_group(asked, index.groups).withColumn("far", to_pivots("pvec")).withColumn("near", near_first).select(
+        "pid", "grp", "pvec", "near", until_enough.alias("own"))
+    placed = settled(placed.select(
+        "pid", "grp", "pvec", "own", F.filter("near", lambda c: ~F.array_contains("own", c["cell"])).alias("others")), "probes")
+
+    first = placed.select("pid", "grp", "pvec", F.explode("own").alias("cell")).join(index.blocks, ["grp", "cell"])
+    best = settled(_ranked(_meet(index, first, k, exclude_self, chunk_rows), k), "nearest")
+    # Squared distances, or half of them for the cosine; without k incidents yet there is no bound.
+    square = F.max("distance") * (2.0 if cosine else 1.0)
+    bounds = best.groupBy("pid").agg(F.when(F.count("*") >= k, F.sqrt(F.greatest(square, F.lit(0.0)))).alias("bound"))
+    reach = F.coalesce("bound", F.lit(float("inf")))
+
+    def may_hold_nearer(far: Column, low: Column, high: Column) -> Column:
+        limit = F.col("bound") + ROUNDING * (1 + far)
+        return (far - high <= limit) & (low - far <= limit)
 
-    keys = ["grp", "cell", "block", "chunk"]
-    found = visiting.groupBy(*keys).cogroup(served.groupBy(*keys)).applyInPandas(
-        search, f"pid {pid_type}, iid {id_type}, distance double"
+    open_cells = F.filter("others", lambda c: may_hold_nearer(c["far"], c["low"], c["high"]))
+    second = (
+        placed.join(bounds, "pid", "left").withColumn("bound", reach)
+        .select("pid", "grp", "pvec", "bound", F.explode(open_cells).alias("at"))
+        .select("pid", "grp", "pvec", "bound", "at.cell", "at.far").join(index.blocks, ["grp", "cell"])
+        .where(may_hold_nearer(F.col("far"), F.col("low"), F.col("high")))
     )
+    more = _meet(index, second, k, exclude_self, chunk_rows)
+    rows = _ranked(best.drop("rank").unionByName(more), k)
+    counted = [part.agg(F.lit(no).alias("phase"), F.count_distinct("pid").alias("probes"), F.coalesce(F.sum("n"), F.lit(0)).alias("distances"))
+               for no, part in ((1, first), (2, second))]
+    return Found(rows, counted[0].unionByName(counted[1]))
+
+
+def _ranked(found: DataFrame, k: int) -> DataFrame:
     best = F.row_number().over(Window.partitionBy("pid").orderBy("distance", "iid"))
-    return found.withColumn("rank", best).where(F.col("rank") <= k).select(
-        F.col("pid").alias(probe_id), F.col("iid").alias(incident_id), "distance", "rank"
-    )
+    return found.withColumn("rank", best).where(F.col("rank") <= k)
+
+
+def _meet(index: NeighbourIndex, visits: DataFrame, k: int, exclude_self: bool, chunk_rows: int) -> DataFrame:
+    """(pid, iid, distance): at most k rows for each probe and block of ``visits`` (pid, pvec, grp, cell, block)."""
+    at = ["grp", "cell", "block"]
+    loads = visits.groupBy(*at).agg(F.ceil(F.count("*") / chunk_rows).cast("int").alias("chunks"))
+    visiting = visits.select("pid", "pvec", *at).join(loads, at).withColumn(
+        "chunk", F.pmod(F.xxhash64("pid"), F.col("chunks")).cast("int"))
+    served = index.rows.join(loads, at).select(*at, F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), "iid", "ivec")
+    cosine, types = index.cosine, dict(visits.dtypes) | dict(index.rows.dtypes)
+
+    def search_block(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        return _search(left, right, k, cosine, exclude_self)
+
+    keys = [*at, "chunk"]
+    return visiting.select(*keys, "pid", "pvec").groupBy(*keys).cogroup(served.groupBy(*keys)).applyInPandas(
+        search_block, f"pid {types['pid']}, iid {types['iid']}, distance double")
+
+
+def nearest_incidents(
+    probes: DataFrame,
+    incidents: DataFrame,
+    k: int = 5,
+    probe_id: str = "probe_id",
+    incident_id: str = "incident_id",
+    vector: str = "embedding",
+    group: str | None = None,
+    metric: str = "l2",
+    exclude_self: bool = False,
+    pivots: int = 256,
+    cell_rows: int = 1024,
+    block_rows: int = 4096,
+    chunk_rows: int = 4096,
+) -> DataFrame:
+    """(probe_id, incident_id, distance, rank): the k nearest incidents of each probe, ties by incident id.
+
+    ``metric`` is ``l2`` (squared, the default) or ``cosine`` (1 - cosine).  With ``group``, a probe meets only incidents
+    with the same value of that column (filter before the top-k, not after).  ``exclude_self`` (for a search
+    of the incidents among themselves) drops the incident whose id equals the probe's.
+    """
+    index = build_index(incidents, incident_id, vector, group, metric, pivots, cell_rows, block_rows)
+    found = search(index, probes, k, probe_id, vector, group, exclude_self, chunk_rows)
+    return found.rows.select(F.col("pid").alias(probe_id), F.col("iid").alias(incident_id), "distance", "rank")
 
 
 def _search(
@@ -160,7 +226,7 @@ def _search(
 ) -> pd.DataFrame:
     """Top-k of one block for one chunk of probes: a product to find the candidates, exact distances to rank them."""
     if left.empty or right.empty:
-        return pd.DataFrame({"pid": left["pid"].iloc[:0], "iid": right["iid"].iloc[:0], "distance": np.zeros(0)})
+        return _hits([], [], [])
     targets, ids = _matrix(right["ivec"]), right["iid"].to_numpy()
     targets = _unit(targets) if cosine else targets
     need = min(k + 1 if exclude_self else k, len(ids))
@@ -174,7 +240,7 @@ def _search(
         bound = np.partition(rough, need - 1, axis=1)[:, need - 1]
         for i, pid in enumerate(part["pid"]):
             # One probe at a time: copies of one incident may all tie at the bound.
-            near = np.flatnonzero(rough[i] <= bound[i] + SLACK)
+            near = np.flatnonzero(rough[i] <= bound[i] + SLACK * (1 + bound[i]))
             if exclude_self:
                 near = near[id_texts[near] != str(pid)]
             exact = ((points[i] - targets[near]) ** 2).sum(1)
@@ -182,4 +248,10 @@ def _search(
             pids.extend([pid] * len(best))
             hits.extend(ids[near][best])
             values.extend(exact[best] / 2.0 if cosine else exact[best])
-    return pd.DataFrame({"pid": pids, "iid": hits, "distance": np.asarray(values, dtype=np.float64)})
+    return _hits(pids, hits, values)
+
+
+def _hits(pids: list, iids: list, distances: list) -> pd.DataFrame:
+    """Ids as plain objects: an empty column of pandas strings has no Arrow array."""
+    return pd.DataFrame({"pid": pd.Series(pids, dtype=object), "iid": pd.Series(iids, dtype=object),
+                         "distance": np.asarray(distances, dtype=np.float64)})

@@ -1,10 +1,10 @@
-"""As-of joins, previous values and rolling counts that stay balanced under a hot key.
+"""As-of joins, previous values, running totals and rolling counts by a segmented prefix scan.
 
-A window over one key puts all rows of that key into one task.  Here each key's time line is cut into slices of
-``width`` seconds.  A first, map-side combined aggregate reduces every slice to one summary row; a window over these few
-rows (number of slices per key, whatever the number of events) yields what each slice inherits from the earlier ones;
-that carry enters the slice as one more row, and the window over the details runs per (key, slice).  The details are
-shuffled once, and a key with a third of all rows is spread over as many tasks as it has slices.
+A window over one key puts all rows of that key into one task.  Here rows are dealt to parts by ranges of (key, order), of about
+equal numbers of rows, and written as a table, so that a key of any size, one hour or even one instant of it is spread over as many
+parts as it fills.  Within a part, ordinary windows run per key.  What a part inherits concerns only its first key: the
+state of that key at the end of earlier parts, all of which end with it.  So each part is reduced to one summary row (its first and its
+last key, and the last key's state), these rows are scanned, and the result, one row a part, is broadcast back.
 """
 
 from __future__ import annotations
@@ -13,18 +13,10 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from faultline.session import settled
+
 HOUR = 3600
 DAY = 86400
-GROUP_ROWS = 1_000_000
-
-
-def slice_no(ts: Column, width: int) -> Column:
-    return F.floor(F.unix_seconds(ts) / F.lit(width)).cast("bigint")
-
-
-def _constant_key(df: DataFrame, keys: list[str]) -> tuple[DataFrame, list[str]]:
-    """A global time line is one key."""
-    return (df, keys) if keys else (df.withColumn("_all", F.lit(0)), ["_all"])
 
 
 @dataclass(frozen=True)
@@ -37,16 +29,62 @@ class Timeline:
     order: tuple[str, ...] = ()
 
 
-def _carry(events: DataFrame, keys: list[str], orders: dict[str, str]) -> DataFrame:
-    """Per wanted (key, slice): the newest non-null instance of each value in any earlier slice."""
-    newest = [F.expr(f"max_by({n}, if({n} is null, null, struct(_t, {o}))) AS {n}") for n, o in orders.items()]
-    summary = events.groupBy(*keys, "_slice").agg(*newest, F.expr("max(_wanted) AS _wanted"))
-    earlier = (
-        f"OVER (PARTITION BY {', '.join(keys)} ORDER BY _slice ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
+def _constant_key(df: DataFrame, keys: list[str]) -> tuple[DataFrame, list[str]]:
+    """A global time line is one key."""
+    return (df, keys) if keys else (df.withColumn("_all", F.lit(0)), ["_all"])
+
+
+def segmented_scan(
+    rows: DataFrame,
+    keys: list[str],
+    order: list[str],
+    last: dict[str, str] | None = None,
+    totals: dict[str, str] | None = None,
+    inclusive: bool = True,
+    parts: int | None = None,
+) -> DataFrame:
+    """Rows with running values of their key in ``order``: the newest non-null instance, or the total, of a column.
+
+    ``last`` and ``totals`` map new names to columns; a name may be its own column's.  Of rows that tie in ``order``, any may
+    come first, so it should end with what tells them apart.  Without ``inclusive`` a row's own value does not count for
+    itself.  ``parts`` fixes the number of parts; otherwise it is the session's, fewer where parts would be small.
+    """
+    last, totals = last or {}, totals or {}
+    columns = rows.columns
+    ranged = rows.repartitionByRange(*([parts] if parts else []), *keys, *order)
+    # Ranges are drawn from a sample, so they hold for one evaluation only: the parts become a written table.
+    table = settled(ranged.withColumn("_part", F.spark_partition_id()), "scan")
+    key, place = F.struct(*keys), F.struct(*order)
+
+    ends = table.groupBy("_part").agg(F.min(key).alias("_first"), F.max(key).alias("_final"))
+    state = [F.max_by(F.col(c), F.when(F.col(c).isNotNull(), place)).alias(f"_s_{n}") for n, c in last.items()]
+    state += [F.sum(c).alias(f"_s_{n}") for n, c in totals.items()]
+    finals = (
+        table.join(F.broadcast(ends.drop("_first")), "_part").where(key.eqNullSafe(F.col("_final")))
+        .groupBy("_part", "_final").agg(*state)
     )
-    return summary.selectExpr(
-        *keys, "_slice", "_wanted", *[f"last({n}, true) {earlier} AS {n}" for n in orders]
-    ).where("_wanted = 1").drop("_wanted")
+    names = [*last, *totals]
+    # A part's first key meets the states of the earlier parts that end with it; a key has as many rows here as parts.
+    states = [f"_s_{n}" for n in names]
+    types = dict(finals.dtypes)
+    known = finals.select(F.col("_final").alias("_first"), "_part", F.lit(1).alias("_end"), *states)
+    asked = ends.select("_first", "_part", F.lit(0).alias("_end"), *[F.lit(None).cast(types[n]).alias(n) for n in states])
+    earlier = Window.partitionBy("_first").orderBy("_part", "_end").rowsBetween(Window.unboundedPreceding, -1)
+    inherited = known.unionByName(asked).select(
+        "_first", "_part", "_end", *[F.last(f"_s_{n}", ignorenulls=True).over(earlier).alias(f"_s_{n}") for n in last],
+        *[F.sum(f"_s_{n}").over(earlier).alias(f"_s_{n}") for n in totals]).where("_end = 0").drop("_end")
+
+    inside = Window.partitionBy("_part", *keys).orderBy(*order).rowsBetween(
+        Window.unboundedPreceding, 0 if inclusive else -1)
+    local = table.select(
+        *columns, "_part", *[F.last(c, ignorenulls=True).over(inside).alias(f"_w_{n}") for n, c in last.items()],
+        *[F.sum(c).over(inside).alias(f"_w_{n}") for n, c in totals.items()])
+    joined = local.join(F.broadcast(inherited), "_part", "left")
+    carried = {n: F.when(key.eqNullSafe(F.col("_first")), F.col(f"_s_{n}")) for n in names}
+    return joined.select(
+        *[c for c in columns if c not in names],
+        *[F.coalesce(F.col(f"_w_{n}"), carried[n]).alias(n) for n in last],
+        *[(F.coalesce(F.col(f"_w_{n}"), F.lit(0)) + F.coalesce(carried[n], F.lit(0))).alias(n) for n in totals])
 
 
 def _nulls(names: list[str], types: dict[str, str]) -> list[str]:
@@ -57,116 +95,67 @@ def _row(columns: list[str]) -> str:
     return "struct(" + ", ".join(f"`{c}`" for c in columns) + ") AS _row"
 
 
+def _offered(line: Timeline, no: int, keys: list[str], bounds: DataFrame) -> DataFrame:
+    """A time line's rows as far as the left side can see them, the early ones of each key reduced to one row.
+
+    ``bounds`` has the first and last left time of each key: later rows are not seen at all, and of the rows before the first
+    time only the newest values count.
+    """
+    names = list(line.values)
+    present = " AND ".join(f"`{c}` IS NOT NULL" for c in [*[k for k in keys if k != "_all"], line.time])
+    rows = line.rows.where(present)
+    rows = rows.select(
+        *[F.lit(0).alias(k) if k == "_all" else F.col(k) for k in keys], F.col(line.time).alias("_t"),
+        F.struct(F.lit(0).alias("c"), *line.order).alias(f"_o{no}"), *[v.alias(n) for n, v in line.values.items()])
+    # Without keys, the bounds are one row.
+    seen = rows.join(F.broadcast(bounds) if keys == ["_all"] else bounds, keys).where("_t <= _until")
+    newest = [F.max_by(n, F.when(F.col(n).isNotNull(), F.struct("_t", f"_o{no}"))).alias(n) for n in names]
+    early = seen.where("_t < _since").groupBy(*keys).agg(F.max("_t").alias("_t"), F.max(f"_o{no}").alias(f"_o{no}"), *newest)
+    return seen.where("_t >= _since").select(*keys, "_t", f"_o{no}", *names).unionByName(early)
+
+
 def asof_join(
-    left: DataFrame,
-    timelines: list[Timeline],
-    on: list[str],
-    left_time: str,
-    seen: DataFrame | None = None,
-    width: int = HOUR,
-    group_rows: int = GROUP_ROWS,
+    left: DataFrame, timelines: list[Timeline], on: list[str], left_time: str, parts: int | None = None
 ) -> DataFrame:
     """Left rows with, for each value, its newest non-null instance at or before the left time.
 
-    Any number of time lines is joined in one pass over the left rows.  ``seen`` is a cheaper frame with the same keys
-    and times as ``left``, if there is one: it is only read to learn which slices are needed.
-
-    Right rows outside the slices that hold left rows are only summarised; the others are shuffled once.  A slice with
-    more than ``group_rows`` left rows is split into as many groups as that takes, each with its own copy of the slice's
-    right rows.
+    Any number of time lines is joined in one scan over the left rows.  Right rows of other keys, or later than the
+    key's last left row, are left out first, and those before its first left row count as one.
     """
-    seen = left if seen is None else seen
     keys = list(on) or ["_all"]
-    all_key = [] if on else [F.lit(0).alias("_all")]
-    rights, types, orders = [], {}, {}
-    for i, line in enumerate(timelines):
-        present = " AND ".join(f"`{c}` IS NOT NULL" for c in [*on, line.time])
-        rows = line.rows.where(present).select(
-            *on, *all_key, slice_no(F.col(line.time), width).alias("_slice"), F.col(line.time).alias("_t"),
-            F.struct(F.lit(0).alias("c"), *line.order).alias(f"_o{i}"), *[v.alias(n) for n, v in line.values.items()],
-        )
-        types |= dict(rows.dtypes)
-        orders |= {n: f"_o{i}" for n in line.values}
-        rights.append(rows)
-    names, ties = list(orders), [f"_o{i}" for i in range(len(timelines))]
-    right_rows = None
-    for i, rows in enumerate(rights):
-        own = set(timelines[i].values) | {f"_o{i}"}
-        shaped = rows.selectExpr(
-            *keys, "_slice", "_t", *[n if n in own else _nulls([n], types)[0] for n in [*ties, *names]]
-        )
-        right_rows = shaped if right_rows is None else right_rows.union(shaped)
-
-    load = seen.select(*on, *all_key, slice_no(F.col(left_time), width).alias("_slice")).groupBy(*keys, "_slice").count()
-    groups = load.selectExpr(
-        *[f"{c} AS _h{i}" for i, c in enumerate([*keys, "_slice"])], f"ceil(count / {group_rows}) AS _groups"
-    )
-
-    def with_groups(df: DataFrame, how: str) -> DataFrame:
-        same = [F.col(c).eqNullSafe(F.col(f"_h{i}")) for i, c in enumerate([*keys, "_slice"])]
-        return df.join(groups if how == "inner" else groups.where("_groups > 1"), same, how)
-
-    marks = load.selectExpr(*keys, "_slice", "1 AS _wanted", *_nulls(["_t", *ties, *names], types))
-    carry = _carry(
-        right_rows.selectExpr(*keys, "_slice", "0 AS _wanted", "_t", *ties, *names).union(marks), keys, orders
-    )
     left_rows = left.select(
-        *on, *all_key, slice_no(F.col(left_time), width).alias("_slice"), F.col(left_time).alias("_t"),
-        F.expr(_row(left.columns)),
-    )
-    types["_row"] = dict(left_rows.dtypes)["_row"]
-    inherited = carry.selectExpr(*keys, "_slice", "0 AS _kind", *_nulls(["_t", *ties], types), *names)
-    offered = inherited.union(right_rows.selectExpr(*keys, "_slice", "1 AS _kind", "_t", *ties, *names))
-    detail = with_groups(offered, "inner").selectExpr(
-        *keys, "_slice", "explode(sequence(0, _groups - 1)) AS _group", "_kind", "_t", *ties,
-        *_nulls(["_row"], types), *names,
-    ).union(with_groups(left_rows, "left").selectExpr(
-        *keys, "_slice", "pmod(xxhash64(_row), coalesce(_groups, 1)) AS _group", "2 AS _kind", "_t",
-        *_nulls(ties, types), "_row", *_nulls(names, types),
-    ))
-    so_far = (
-        f"OVER (PARTITION BY {', '.join(keys)}, _slice, _group ORDER BY _t, _kind, {', '.join(ties)} "
-        "ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
-    )
-    return (
-        detail.selectExpr("_kind", "_row", *[f"last({n}, true) {so_far} AS {n}" for n in names])
-        .where("_kind = 2").select("_row.*", *names)
-    )
+        *on, *([] if on else [F.lit(0).alias("_all")]), F.col(left_time).alias("_t"), F.expr(_row(left.columns)))
+    bounds = left_rows.groupBy(*keys).agg(F.min("_t").alias("_since"), F.max("_t").alias("_until"))
+    offered = [_offered(line, i, keys, bounds) for i, line in enumerate(timelines)]
+    types = {n: t for rows in [left_rows, *offered] for n, t in rows.dtypes} | {"_tie": "bigint"}
+    ties = [f"_o{i}" for i in range(len(timelines))]
+    names = [n for line in timelines for n in line.values]
+    # Left rows of one instant see the same values, so any order among them will do; the hash deals them to parts.
+    events = left_rows.selectExpr(
+        *keys, "_t", "1 AS _kind", *_nulls(ties, types), "xxhash64(_row) AS _tie", "_row", *_nulls(names, types))
+    for i, rows in enumerate(offered):
+        own = {f"_o{i}", *timelines[i].values}
+        events = events.union(rows.selectExpr(
+            *keys, "_t", "0 AS _kind", *[n if n in own else _nulls([n], types)[0] for n in ties],
+            *_nulls(["_tie", "_row"], types), *[n if n in own else _nulls([n], types)[0] for n in names]))
+    scanned = segmented_scan(events, keys, ["_t", "_kind", *ties, "_tie"], last={n: n for n in names}, parts=parts)
+    return scanned.where("_kind = 1").select("_row.*", *names)
 
 
 def with_previous(
-    df: DataFrame,
-    keys: list[str],
-    time: str,
-    order: list[str],
-    values: dict[str, Column],
-    width: int = HOUR,
+    df: DataFrame, keys: list[str], time: str, order: list[str], values: dict[str, Column], parts: int | None = None
 ) -> DataFrame:
     """Adds, for each value, its newest non-null instance among the strictly earlier rows of the key.
 
     Rows are ordered by (time, order).  Wrap a nullable value into a struct to get the plain previous row.
     """
-    names = list(values)
-    columns = df.columns
     rows, keys = _constant_key(
-        df.select(F.expr(_row(columns)), *keys, F.col(time).alias("_t"),
+        df.select(F.expr(_row(df.columns)), *keys, F.col(time).alias("_t"),
                   F.struct(*[F.col(c) for c in order]).alias("_o"), *[v.alias(n) for n, v in values.items()]),
         list(keys),
     )
-    rows = rows.withColumn("_slice", slice_no(F.col("_t"), width))
-    types = dict(rows.dtypes)
-    carry = _carry(rows.withColumn("_wanted", F.lit(1)), keys, dict.fromkeys(names, "_o"))
-    detail = rows.selectExpr(*keys, "_slice", "1 AS _kind", "_t", "_o", "_row", *names).union(
-        carry.selectExpr(*keys, "_slice", "0 AS _kind", *_nulls(["_t", "_o", "_row"], types), *names)
-    )
-    before = (
-        f"OVER (PARTITION BY {', '.join(keys)}, _slice ORDER BY _kind, _t, _o "
-        "ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
-    )
-    return (
-        detail.selectExpr("_kind", "_row", *[f"last({n}, true) {before} AS {n}" for n in names])
-        .where("_kind = 1").select("_row.*", *names)
-    )
+    scanned = segmented_scan(rows, keys, ["_t", "_o"], last={n: n for n in values}, inclusive=False, parts=parts)
+    return scanned.select("_row.*", *values)
 
 
 def rolling_counts(
@@ -176,7 +165,7 @@ def rolling_counts(
     measures: dict[str, Column],
     lower_us: int,
     upper_us: int = 0,
-    width: int = HOUR,
+    parts: int | None = None,
 ) -> DataFrame:
     """For each row, sums of integer measures over the rows of its key with time in (t + lower_us, t + upper_us].
 
@@ -195,21 +184,15 @@ def rolling_counts(
     zeros = [F.lit(0).cast("bigint").alias(n) for n in names]
 
     def event(shift: int, sign: int, values: list) -> Column:
-        return F.struct((F.col("_at") + F.lit(shift)).alias("_when"), F.lit(sign).alias("_sign"), *values)
+        # A reading counts the measures of its own instant, so it comes after them.
+        return F.struct((F.col("_at") + F.lit(shift)).alias("_when"), F.lit(abs(sign)).alias("_read"), F.lit(sign).alias("_sign"),
+                        *values)
 
     events = points.select(*keys, "_at", F.explode(F.array(
         event(0, 0, [F.col(n) for n in names]), event(upper_us, 1, zeros), event(lower_us, -1, zeros),
-    )).alias("_e")).select(*keys, "_at", "_e.*").withColumn("_slice", F.floor(F.col("_when") / F.lit(width * 1_000_000)))
-    totals = events.groupBy(*keys, "_slice").agg(*[F.sum(n).alias(n) for n in names])
-    earlier = Window.partitionBy(*keys).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
-    types = dict(events.dtypes)
-    carry = totals.select(
-        *keys, "_slice", F.lit(0).alias("_sign"), *[F.lit(None).cast(types[c]).alias(c) for c in ("_at", "_when")],
-        *[F.coalesce(F.sum(n).over(earlier), F.lit(0)).cast("bigint").alias(n) for n in names],
-    )
-    running = Window.partitionBy(*keys, "_slice").orderBy(F.col("_when").asc_nulls_first())
-    readings = events.unionByName(carry).select(
-        *keys, "_at", "_sign", *[F.sum(n).over(running).alias(n) for n in names]).where("_sign <> 0")
+    )).alias("_e")).select(*keys, "_at", "_e.*")
+    readings = segmented_scan(
+        events, keys, ["_when", "_read", "_sign"], totals={n: n for n in names}, parts=parts).where("_sign <> 0")
     counted = readings.groupBy(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col("_at").alias("_when")).agg(
         *[F.sum(F.col(n) * F.col("_sign")).alias(f"_c{i}") for i, n in enumerate(names)])
     same = [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)]

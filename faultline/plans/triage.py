@@ -13,7 +13,6 @@ from faultline.operators import commits as commit_ops
 from faultline.operators import context, health, history, incidents, logs, metrics, reports, verdicts
 from faultline.operators.context import Provider, failure_id
 from faultline.functions.vectors import add_vector
-from faultline.operators.timeline import asof_join
 from faultline.session import settled
 
 
@@ -45,11 +44,12 @@ class Tables:
 
     ``incidents`` is the history with vectors of its texts and ``vectoriser`` the model that made them: with both, similar
     incidents are searched for.  A ready ``similar`` (failure_id, similar_incidents) replaces the search.  ``replies`` holds
-    (failure_id, raw).
+    (failure_id, raw).  ``log_lines`` (dag_id, run_id, task_id, try_number, line_no, line) takes the place of ``task_logs``,
+    which is None then, where a log may be too large for one row.
     """
 
     task_instances: DataFrame
-    task_logs: DataFrame
+    task_logs: DataFrame | None
     dag_runs: DataFrame
     commits: DataFrame | None = None
     dag_files: DataFrame | None = None
@@ -59,6 +59,7 @@ class Tables:
     vectoriser: Transformer | None = None
     similar: DataFrame | None = None
     replies: DataFrame | None = None
+    log_lines: DataFrame | None = None
 
 
 GIT_TYPE = (
@@ -76,8 +77,7 @@ def build_context(
 ) -> DataFrame:
     """One context row per failure.
 
-    The as-of steps come first, on narrow rows, and the global time lines (commits, sources, metrics) share one pass;
-    wide columns join last.  Logs, task instances and runs are first reduced to those the failures ask for; a log's text
+    The as-of steps come first, on narrow rows; wide columns join last.  Logs, task instances and runs are first reduced to those the failures ask for; a log's text
     is then reduced to its profile, so texts of other attempts are not read by the classification and none is shuffled.
     """
     with_git = options.enable_git and tables.commits is not None
@@ -85,18 +85,16 @@ def build_context(
     with_metrics = options.enable_metrics and tables.metrics is not None
     base = with_ids(failures)
     if with_git and tables.dag_files is not None:
-        files = commit_ops.resolve_dag_files(base, tables.dag_files).select("dag_id", "dag_file_path")
-        base = base.drop("dag_file_path").join(files, "dag_id", "left")
+        files = commit_ops.resolve_dag_files(base, tables.dag_files).drop("priority")
+        base = base.drop(*[c for c in files.columns if c != "dag_id"]).join(files, "dag_id", "left")
     elif with_git and "dag_file_path" not in base.columns:
         base = base.withColumn("dag_file_path", F.lit(None).cast("string"))
-    lines = []
+    rows = base
     if with_git:
-        lines.append(commit_ops.recent_commits_timeline(tables.commits, options.lookback_hours, options.max_commits))
+        rows = commit_ops.last_commit_asof(rows, tables.commits)
+        rows = commit_ops.recent_commits(rows, tables.commits, hours=options.lookback_hours, limit=options.max_commits)
     if with_metrics:
-        lines.append(metrics.metrics_timeline(tables.metrics))
-    # The keyed join first: its rows are still narrow.  Either join learns its slices from ``base``.
-    rows = commit_ops.last_commit_asof(base, tables.commits) if with_git else base
-    rows = asof_join(rows, lines, [], "failed_at", seen=base) if lines else rows
+        rows = metrics.metrics_asof(rows, tables.metrics)
     if with_sources:
         found = health.sources_at(base, tables.source_checks, list(options.sources), "failure_id")
         rows = rows.join(found, "failure_id", "left").withColumn(
@@ -106,14 +104,16 @@ def build_context(
     if not with_metrics:
         rows = context.absent(rows, metrics=schemas.METRICS_SNAPSHOT)
     if with_git:
-        rows = commit_ops.within_lookback(rows, hours=options.lookback_hours)
         parts = ["recent_commits", "last_commit", "dag_file_path", "hours_since_last_change"]
         rows = rows.withColumn("git", F.struct(*parts)).drop(*parts)
     else:
         rows = context.absent(rows, git=GIT_TYPE)
     rows = context.join_task_instances(rows, tables.task_instances)
-    asked = context.of_failures(tables.task_logs, base, context.LOG_KEYS)
-    rows = context.join_logs(rows, log_profiles(asked, options))
+    if tables.log_lines is not None:
+        profiles = line_profiles(context.of_failures(tables.log_lines, base, context.LOG_KEYS), options)
+    else:
+        profiles = log_profiles(context.of_failures(tables.task_logs, base, context.LOG_KEYS), options)
+    rows = context.join_logs(rows, profiles)
     past = history.history_asof(base, tables.dag_runs, "failure_id", "failed_at", options.max_runs, options.rate_days)
     rows = context.join_history(rows, past)
     if tables.similar is not None:
@@ -125,7 +125,7 @@ def build_context(
     else:
         rows = context.absent(rows, similar_incidents=f"array<{schemas.SIMILAR}>")
     rows = context.gate(rows)
-    return context.add_providers(rows, providers) if providers else rows
+    return context.add_providers(rows, providers, failures=base) if providers else rows
 
 
 def find_similar(contexts: DataFrame, tables: Tables, options: Options = Options()) -> DataFrame:
@@ -149,6 +149,14 @@ def log_profiles(task_logs: DataFrame, options: Options = Options()) -> DataFram
     )
 
 
+def line_profiles(log_lines: DataFrame, options: Options = Options()) -> DataFrame:
+    """The same from the logs' lines, without a row that holds a whole text."""
+    custom = list(options.custom_signatures) if options.custom_signatures else None
+    return logs.profile_lines(
+        log_lines, context.LOG_KEYS, options.snippet_before, options.snippet_after, options.snippet_tail, custom,
+        options.max_key_lines, max(logs.FAMILY_MATCHES, options.max_evidence))
+
+
 def analyse(
     contexts: DataFrame, tables: Tables, verdict_fn: Callable[[DataFrame], DataFrame] | None = None,
     options: Options = Options(),

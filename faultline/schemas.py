@@ -21,7 +21,9 @@ TASK_INSTANCE_JSON = (
 DAG_RUN_JSON = (
     "dag_id string, run_id string, state string, execution_date string, start_date string, end_date string"
 )
-COMMIT_JSON = "sha string, author string, email string, message string, date string, files_changed array<string>"
+COMMIT_JSON = (
+    "sha string, author string, email string, message string, date string, files_changed array<string>, repository string"
+)
 SOURCE_CHECK_JSON = (
     "check_id bigint, source_name string, source_type string, status_code int, expected_status int, "
     "exception_kind string, exception_text string, latency_ms double, row_count bigint, columns array<string>, "

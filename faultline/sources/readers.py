@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from faultline import schemas
 from faultline.functions.text import first_line, parse_instant
+from faultline.session import settled
 
 CORRUPT = "_corrupt_record"
 
@@ -82,6 +87,49 @@ def read_task_logs(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
+def _numbered_in_split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(path, split, at, line): ``at`` numbers the lines of each split of a file in the order in which the reader yields them."""
+    now, seen = None, 0
+    for batch in batches:
+        paths, splits = batch.column(0), batch.column(1).to_numpy()
+        names = paths.dictionary_encode()
+        codes = names.indices.to_numpy()
+        edge = np.flatnonzero((np.diff(codes) != 0) | (np.diff(splits) != 0)) + 1
+        at = np.zeros(batch.num_rows, np.int64)
+        for start, stop in zip([0, *edge], [*edge, batch.num_rows], strict=True):
+            if start == stop:
+                continue
+            place = (paths[int(start)].as_py(), int(splits[start]))
+            seen = seen if place == now else 0
+            now = place
+            at[start:stop] = np.arange(seen, seen + stop - start)
+            seen += stop - start
+        yield pa.RecordBatch.from_arrays([paths, batch.column(1), pa.array(at), batch.column(2)], names=["path", "split", "at", "line"])
+
+
+def read_log_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(dag_id, run_id, task_id, try_number, line_no, line): the lines of log files of any size, numbered from 0 in their file.
+
+    A file is read in splits by many tasks.  Each numbers its own lines; the lines of a file's earlier splits, a running total over
+    one row a split, are added, so no text is shuffled and no task holds a file.  The lines are written as a table first, since a
+    second reading might cut the files elsewhere.  Lines end at ``\\n`` alone; the end of the last one makes no line of its own,
+    and an empty file has no lines.
+    """
+    raw = spark.read.option("recursiveFileLookup", True).option("lineSep", "\n").text(path)
+    rows = raw.select(
+        F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("split"), F.col("value").alias("line"))
+    table = settled(rows.mapInArrow(_numbered_in_split, "path string, split bigint, at bigint, line string"), "log-lines")
+    counts = table.groupBy("path", "split").agg(F.count("*").alias("n"))
+    earlier = Window.partitionBy("path").orderBy("split").rowsBetween(Window.unboundedPreceding, -1)
+    # Files of one split need no total: what is broadcast has a row for each further split of the large files.
+    before = counts.withColumn("before", F.sum("n").over(earlier)).where("before IS NOT NULL").drop("n")
+    part = lambda i: path_decode(F.regexp_extract("path", LOG_PATH, i))
+    return table.join(F.broadcast(before), ["path", "split"], "left").select(
+        part(1).alias("dag_id"), part(2).alias("run_id"), part(3).alias("task_id"),
+        F.regexp_extract("path", LOG_PATH, 4).cast("int").alias("try_number"),
+        (F.col("at") + F.coalesce("before", F.lit(0))).alias("line_no"), "line")
+
+
 def read_dag_runs(spark: SparkSession, path: str, wall_clock: bool = False) -> DataFrame:
     raw = _json(spark, path, schemas.DAG_RUN_JSON)
     start, end = (parse_instant(F.col(c), wall_clock) for c in ("start_date", "end_date"))
@@ -93,16 +141,18 @@ def read_dag_runs(spark: SparkSession, path: str, wall_clock: bool = False) -> D
 
 
 def shape_commits(raw: DataFrame) -> DataFrame:
-    """Short sha, first line of the message, instant."""
+    """Short sha, first line of the message, instant; the repository where the rows name it."""
     date = F.col("date") if dict(raw.dtypes)["date"] == "timestamp" else F.try_to_timestamp(F.col("date"))
     return raw.select(
         "sha", F.substring("sha", 1, 7).alias("short_sha"), "author", "email",
         first_line(F.col("message")).alias("message"), date.alias("date"),
         F.coalesce("files_changed", F.array().cast("array<string>")).alias("files_changed"),
+        *([F.coalesce("repository", F.lit("")).alias("repository")] if "repository" in raw.columns else []),
     )
 
 
 def read_commits(spark: SparkSession, path: str) -> DataFrame:
+    """Commits without ``repository`` are of one, named by the empty text."""
     return shape_commits(_json(spark, path, schemas.COMMIT_JSON))
 
 

@@ -5,7 +5,7 @@ import pytest
 
 from faultline.functions.vectors import similarity_score
 from faultline.operators.incidents import similar_incidents, text_similar_incidents
-from faultline.operators.neighbours import nearest_incidents
+from faultline.operators.neighbours import build_index, nearest_incidents, search
 from pyspark.sql import functions as F
 
 SCHEMA = "id string, grp string, embedding array<float>"
@@ -87,3 +87,36 @@ def test_equal_texts_are_nearest(spark):
         df.withColumnRenamed("id", "probe_id"), df.withColumnRenamed("id", "incident_id"), "text", k=1, exclude_self=True).collect()
     best = {r.probe_id: (r.incident_id, round(r.distance, 6)) for r in got}
     assert best["t0"] == ("t2", 0.0) and best["t2"] == ("t0", 0.0)
+
+
+def test_many_groups_and_far_origin(spark):
+    """Groups are a joined table, a large one beside many small ones; vectors far from zero keep their distances apart."""
+    rng = np.random.default_rng(7)
+    size = lambda g: 150 if g == 0 else 3
+    rows = [(f"i{g:03d}_{j}", f"g{g:03d}", (1000 + rng.normal(size=5)).astype("float32").tolist()) for g in range(60) for j in range(size(g))]
+    probes = [(f"p{g}_{j}", f"g{g:03d}", (1000 + rng.normal(size=5)).astype("float32").tolist()) for g in range(0, 62) for j in range(2)]
+    probes.append(("none", None, probes[0][2]))
+    incidents = spark.createDataFrame(rows + [("inull", None, rows[0][2])], SCHEMA).withColumnRenamed("id", "incident_id")
+    index = build_index(incidents, group="grp", pivots=8, cell_rows=20, block_rows=11)
+    assert index.blocks.where("n > 11").isEmpty() and index.groups.count() == 60 and len(index.pivots) == 8
+    assert sorted({r["n"] for r in index.groups.selectExpr("size(cells) AS n").collect()})[-1] in range(4, 9)
+    for _ in range(2):  # the index serves any number of searches
+        got = search(index, spark.createDataFrame(probes, SCHEMA).withColumnRenamed("id", "probe_id"), 4, group="grp", chunk_rows=5)
+        assert {(r.pid, r.iid, r["rank"]) for r in got.rows.collect()} == brute(probes, rows, 4, "l2", True)
+
+
+def test_second_phase_visits_little_of_clustered_data(spark):
+    """Distances computed for a probe, over both phases, are a small share of the history."""
+    rng = np.random.default_rng(3)
+    centres = rng.normal(size=(40, 6)) * 50
+    vectors = centres[rng.integers(0, 40, 6000)] + rng.normal(size=(6000, 6)) * 0.2
+    df = spark.createDataFrame([(f"i{i:05d}", "", v.tolist()) for i, v in enumerate(vectors)], SCHEMA)
+    index = build_index(df.withColumnRenamed("id", "incident_id"), pivots=64, cell_rows=64, block_rows=50)
+    found = search(index, df.where("id LIKE '%7'").withColumnRenamed("id", "probe_id"), 5, exclude_self=True)
+    work = {r.phase: (r.probes, r.distances) for r in found.work.collect()}
+    assert work[1][0] == 600 and sum(d for _, d in work.values()) / 600 < 0.15 * 6000
+    rows = [(r.id, "", r.embedding) for r in df.collect()]
+    some = [r for r in rows if r[0].endswith("07")][:20]
+    want = brute(some, rows, 5, "l2", False)
+    names = {r[0] for r in some}
+    assert {(r.pid, r.iid, r["rank"]) for r in found.rows.collect() if r.pid in names} == want

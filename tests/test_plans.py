@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 import __spark_entry__ as entry
 from checks import registry, views as v
 from faultline.operators import commits, history, logs, metrics
-from faultline.operators.timeline import with_previous
 from faultline.plans import triage as plan
 
 SF = "/root/testdata/sf0.001"
@@ -41,13 +40,14 @@ def test_filters_reach_the_scan(spark):
     assert "EqualTo(event_type,error)" in plan_text and "props" not in plan_text.split("ReadSchema")[1].split("\n")[0]
 
 
-def test_time_lines_are_partitioned_by_slice(spark):
+def test_time_lines_are_partitioned_by_part(spark):
     fails, runs = v.failures(spark, SF), v.runs(spark, SF)
-    for df in (metrics.metrics_asof(fails, v.metrics(spark, SF)), commits.recent_commits(fails, v.commits(spark, SF)),
-               history.previous_failure(runs), history.rolling_failure_rate(runs)):
+    for df in (metrics.metrics_asof(fails, v.metrics(spark, SF)), commits.last_commit_asof(
+            fails.withColumn("dag_file_path", F.lit("dags/dag_1.py")), v.commits(spark, SF)),
+               history.previous_failure(runs), history.rolling_failure_rate(runs), history.numbered_runs(runs)):
         plan_text = text_of(df)
         assert "SinglePartition" not in plan_text
-        assert "_slice" in plan_text
+        assert "_part" in plan_text
 
 
 @pytest.mark.parametrize("name", [
@@ -76,16 +76,6 @@ def test_entry(spark):
     assert df.columns[0] == "doc_id" and df.count() == 200
 
 
-def test_hot_key_is_spread(spark):
-    """A key that holds all rows ends in as many groups as it has slices."""
-    rows = spark.range(5000).select(
-        F.lit("hot").alias("key"), "id", F.timestamp_seconds(F.col("id") * 60).alias("at"))
-    out = with_previous(rows, ["key"], "at", ["id"], {"prev": F.col("id")})
-    assert out.where("prev = id - 1").count() == 4999
-    plan_text = text_of(out)
-    assert "hashpartitioning(key" in plan_text and "_slice" in plan_text
-
-
 def test_triage_profiles_only_the_failures_logs(spark):
     """The classification sits above a semi-join that knows the failures' keys."""
     fails, logs_read = v.failures(spark, SF), v.task_logs(spark, SF)

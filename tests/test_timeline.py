@@ -1,4 +1,4 @@
-"""Sliced time lines against brute force, with a hot key that holds most rows."""
+"""Time lines against brute force, with a hot key that holds most rows, in one part and in many."""
 
 import datetime as dt
 import random
@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 
 from faultline.operators.health import source_health_asof
 from faultline.operators.history import history_asof
-from faultline.operators.timeline import Timeline, asof_join, rolling_counts, with_previous
+from faultline.operators import timeline
+from faultline.operators.timeline import Timeline, asof_join, rolling_counts, segmented_scan, with_previous
 
 START = dt.datetime(2024, 1, 1)
 
@@ -23,9 +24,9 @@ def rows_of(seed, n):
             for i, t in enumerate(moments(rng, n))]
 
 
-@pytest.mark.parametrize("group_rows", [1_000_000, 4])
+@pytest.mark.parametrize("parts", [None, 9])
 @pytest.mark.parametrize("on", [["key"], []])
-def test_asof_join(spark, on, group_rows):
+def test_asof_join(spark, on, parts):
     left, right = rows_of(1, 200), rows_of(2, 150)
     right.append((999, "hot", None, 5))
     schema = "id int, key string, at timestamp, value int"
@@ -36,7 +37,7 @@ def test_asof_join(spark, on, group_rows):
     got = asof_join(left_df, [
         Timeline(right_df, "at", {"row": F.struct("rid", "value")}, ("rid",)),
         Timeline(right_df.withColumnRenamed("at", "at2"), "at2", {"newest_value": F.col("value")}, ("rid",)),
-    ], on, "at", width=7200, group_rows=group_rows)
+    ], on, "at", parts=parts)
     assert got.count() == len(left)
     for r in got.collect():
         before = sorted((x for x in right if x[2] and x[2] <= r.at and (not on or x[1] == r.key)), key=lambda x: (x[2], x[0]))
@@ -45,10 +46,14 @@ def test_asof_join(spark, on, group_rows):
         assert r.newest_value == (known[-1] if known else None)
 
 
-def test_with_previous(spark):
+@pytest.mark.parametrize("parts", [1, 11])
+@pytest.mark.parametrize("shape", ["spread", "one instant"])
+def test_with_previous(spark, shape, parts):
     rows = rows_of(3, 300)
+    if shape == "one instant":
+        rows = [(i, "hot" if i % 9 else None, START, x) for i, _, _, x in rows]
     df = spark.createDataFrame(rows, "id int, key string, at timestamp, value int")
-    got = with_previous(df, ["key"], "at", ["id"], {"prev": F.struct("id", "value"), "known": F.col("value")}, width=3600)
+    got = with_previous(df, ["key"], "at", ["id"], {"prev": F.struct("id", "value"), "known": F.col("value")}, parts=parts)
     for r in got.collect():
         before = sorted((x for x in rows if x[1] == r.key and (x[2], x[0]) < (r.at, r.id)), key=lambda x: (x[2], x[0]))
         assert (tuple(r.prev) if r.prev else None) == ((before[-1][0], before[-1][3]) if before else None)
@@ -57,8 +62,8 @@ def test_with_previous(spark):
 
 
 @pytest.mark.parametrize("lower, upper", [(-6 * 3600, 0), (-30 * 3600 - 0.000001, -0.000001)])
-@pytest.mark.parametrize("shape", ["spread", "one hour", "one instant"])
-def test_rolling_counts(spark, lower, upper, shape):
+@pytest.mark.parametrize("shape, parts", [("spread", None), ("spread", 10), ("one hour", 10), ("one instant", 10)])
+def test_rolling_counts(spark, lower, upper, shape, parts):
     rows = rows_of(4, 300) + [(1000 + i, "hot", START + dt.timedelta(hours=6 * i), 1) for i in range(5)]
     if shape == "one hour":
         rows = [(i, "hot", START + dt.timedelta(seconds=11 * i), x) for i, _, _, x in rows[:200]]
@@ -68,7 +73,7 @@ def test_rolling_counts(spark, lower, upper, shape):
     rows = rows + rows[:7] + [(2000, "hot", None, 3), (2001, None, START, 1), (2001, None, START, 1)]
     df = spark.createDataFrame(rows, "id int, key string, at timestamp, value int")
     low, high = round(lower * 1e6), round(upper * 1e6)
-    got = rolling_counts(df, ["key"], "at", {"n": F.lit(1), "s": F.coalesce("value", F.lit(0))}, low, high, width=5000)
+    got = rolling_counts(df, ["key"], "at", {"n": F.lit(1), "s": F.coalesce("value", F.lit(0))}, low, high, parts=parts)
     assert got.count() == len(rows)
     for r in got.collect():
         if r.at is None:
@@ -115,3 +120,54 @@ def test_six_hundred_sources(spark):
     got = {r.id: [(s.source_name, s.last_checked) for s in r.sources] for r in source_health_asof(fails, frame, names).collect()}
     newest = {name: max(t for _, n, t in checks if n == name) for name in names}
     assert got == {1: [(n, newest[n]) for n in names], 2: [(f"s{i}", START + dt.timedelta(minutes=i)) for i in range(11)], 3: []}
+
+
+@pytest.mark.parametrize("inclusive", [True, False])
+@pytest.mark.parametrize("keys", [1, 3, 40])
+def test_segmented_scan(spark, keys, inclusive):
+    """Keys longer than a part, keys within one and null keys; some values null."""
+    rng = random.Random(keys)
+    rows = [(rng.choice([None, *range(keys)]), i // 7, i, rng.choice([None, None, rng.randint(0, 99)])) for i in range(400)]
+    rng.shuffle(rows)
+    df = spark.createDataFrame(rows, "key int, at int, id int, value int")
+    got = segmented_scan(df, ["key"], ["at", "id"], {"newest": "value"}, {"total": "value"}, inclusive, parts=13).collect()
+    assert sorted((r.id, r.key, r.at, r.value) for r in got) == sorted((i, k, a, v) for k, a, i, v in rows)
+    for r in got:
+        before = sorted(x[2:] for x in rows if x[0] == r.key and (x[2] <= r.id if inclusive else x[2] < r.id))
+        known = [v for _, v in before if v is not None]
+        assert (r.newest, r.total) == (known[-1] if known else None, sum(known))
+
+
+@pytest.mark.parametrize("shape", ["one key", "one hour", "one instant"])
+def test_parts_of_one_key_are_even(spark, monkeypatch, shape):
+    """A key with all rows, in one hour or at one instant: no part has twice the median's rows."""
+    written = []
+    settled = timeline.settled
+    monkeypatch.setattr(timeline, "settled", lambda df, name: written.append(settled(df, name)) or written[-1])
+    seconds = {"one key": F.col("id") * 60, "one hour": F.col("id") % 3600, "one instant": F.lit(0)}[shape]
+    rows = spark.range(40_000).select(F.lit("hot").alias("key"), "id", F.timestamp_seconds(seconds).alias("at"))
+    out = with_previous(rows, ["key"], "at", ["id"], {"prev": F.col("id")}, parts=8)
+    assert out.where("prev IS NOT NULL").count() == 39_999
+    # 100 left rows see 40,000 right rows of the key, and the other way round.
+    few = rows.where("id % 400 = 0")
+    line = lambda r: Timeline(r, "at", {"seen": F.col("id")}, ("id",))
+    assert asof_join(few, [line(rows)], ["key"], "at", parts=8).where("seen IS NOT NULL").count() == 100
+    assert asof_join(rows, [line(few)], [], "at", parts=8).where("seen IS NOT NULL").count() == 40_000
+    for table in written:
+        sizes = sorted(r["count"] for r in table.groupBy("_part").count().collect())
+        assert len(sizes) >= 7 and sizes[-1] <= 2 * sizes[len(sizes) // 2]
+
+
+def test_rows_out_of_sight_are_reduced(spark, monkeypatch):
+    """Rows before a key's first left row count as one, later ones and those of other keys are not scanned."""
+    written = []
+    settled = timeline.settled
+    monkeypatch.setattr(timeline, "settled", lambda df, name: written.append(settled(df, name)) or written[-1])
+    at = lambda days: START + dt.timedelta(days=days)
+    right = [("a", at(i), i) for i in range(50)] + [("b", at(i), i) for i in range(50)]
+    right_df = spark.createDataFrame(right, "key string, at timestamp, value int")
+    left = spark.createDataFrame([("a", at(40)), ("a", at(42)), ("a", None), ("c", at(3))], "key string, at timestamp")
+    got = asof_join(left, [Timeline(right_df, "at", {"value": F.col("value")})], ["key"], "at").collect()
+    assert sorted((r.key, r.at, r.value) for r in got if r.at) == [("a", at(40), 40), ("a", at(42), 42), ("c", at(3), None)]
+    assert [r.value for r in got if r.at is None] == [None]
+    assert written[0].count() == 4 + 1 + 3
