@@ -101,9 +101,11 @@ def _(spark, sf):
 
 @register("read_commits", query(["commits"], f"""
     SELECT sha, short_sha, author, email, message, {ts('date')} AS date, array_to_string(files_changed, ',')
-        AS files_changed FROM commits"""))
+        AS files_changed, if(user_id % 2 = 0, 'even', '') AS repository FROM commits"""))
 def _(spark, sf):
-    path = as_json(spark, v.raw_commits(spark, sf).withColumn("date", iso("date")), "commits")
+    raw = v.raw_commits(spark, sf).withColumn(
+        "repository", F.when(F.regexp_extract("author", r"\d+", 0).cast("int") % 2 == 0, "even"))
+    path = as_json(spark, raw.withColumn("date", iso("date")), "commits")
     return readers.read_commits(spark, path).withColumn("date", v.ts_text("date")).withColumn(
         "files_changed", v.joined("files_changed", ","))
 

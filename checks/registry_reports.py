@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
+from pyspark.ml import Transformer
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, functions as F
 
 from checks import views as v
 from checks.registry import _checks, _with_file, register, rounded, similar
 from checks.sql_views import query, ts
 from faultline.functions import render
+from faultline.functions.vectors import add_vector
 from faultline.operators import context, health, incidents as inc, logs, metrics as metric_ops, reports
 from faultline.operators.context import failure_id
 from faultline.plans import triage as plan
@@ -176,20 +181,82 @@ def _(spark, sf):
         c("dag_id"), c("task_id"), c("error_snippet"), c("error_message")).alias("query_text"))
 
 
-@register("reports", query(["rep"], """
+REPORTS = """
     SELECT report_id, dag_id, error_category, severity, root_cause, root_cause_summary, confidence,
            array_to_string(evidence, '|') AS evidence, array_to_string(key_log_lines, chr(10)) AS key_log_lines,
            array_to_string(recent_changes, '|') AS recent_changes, action, immediate_action,
            len(similar_incidents) > 0 AS is_recurring, CAST(len(similar_incidents) AS INTEGER) AS recurrence_count,
-           llm_model FROM rep"""))
-def _(spark, sf):
-    return report_rows(spark, sf).select(
+           llm_model FROM rep"""
+
+
+def _shown(rows: DataFrame) -> DataFrame:
+    return rows.select(
         "report_id", "dag_id", "error_category", "severity", "root_cause", "root_cause_summary", "confidence",
         v.joined("evidence").alias("evidence"), v.joined("key_log_lines", "\n").alias("key_log_lines"),
         v.joined("recent_changes").alias("recent_changes"), c("recommendations")[0]["action"].alias("action"),
         "immediate_action", "is_recurring", "recurrence_count", "llm_model")
 
 
+@register("reports", query(["rep"], REPORTS))
+def _(spark, sf):
+    return _shown(report_rows(spark, sf))
+
+
+def line_tables(spark, sf) -> plan.Tables:
+    """The logs as lines."""
+    lines = logs.explode_lines(v.task_logs(spark, sf), context.LOG_KEYS, stripped=False)
+    return replace(tables(spark, sf), task_logs=None, log_lines=lines)
+
+
+@register("reports_from_lines", query(["rep"], REPORTS))
+def _(spark, sf):
+    return _shown(plan.triage(failures(spark, sf), line_tables(spark, sf), OPTIONS))
+
+
+@register("contexts_from_lines", query(["ctx"], """
+    SELECT event_id, has_context, CAST(log_lines AS INTEGER) AS log_lines, md5(snippet) AS snippet, md5(tail) AS tail,
+           coalesce(array_to_string(list_transform(fams, lambda f: f.name), ','), '') AS families FROM ctx WHERE has_context"""))
+def _(spark, sf):
+    rows = plan.build_context(failures(spark, sf), line_tables(spark, sf), OPTIONS).where("has_context")
+    return rows.select("event_id", "has_context", "log_lines", F.md5("error_snippet").alias("snippet"), F.md5("stdout_tail").alias("tail"),
+                       v.joined(F.transform("matches", lambda m: m["name"]), ",").alias("families"))
+
+
+LETTERS = "0123456789aeiost"
+
+
+class LetterCounts(Transformer):
+    """A vectoriser that SQL can state: how often a text holds each of some letters."""
+
+    def _transform(self, dataset: DataFrame) -> DataFrame:
+        text = c([name for name in dataset.columns if name != "_kept"][0])
+        counts = F.array(*[(F.char_length(text) - F.char_length(F.replace(text, lit(x)))).cast("double") for x in LETTERS])
+        return dataset.withColumn("_unit", array_to_vector(counts))
+
+
+def _letter_counts(text: str) -> str:
+    return "[" + ", ".join(f"CAST(length({text}) - length(replace({text}, '{x}', '')) AS DOUBLE)" for x in LETTERS) + "]"
+
+
+@register("triage_similar", query(["ctx", "incidents"], f"""
+    SELECT event_id, CAST(rank AS INTEGER) AS rank, incident_id, error_category, root_cause, round(score, 6) AS similarity_score FROM (
+        SELECT p.event_id, i.*, greatest(0.0, least(1.0, 1.0 - list_distance(p.vec, i.vec) ** 2)) AS score,
+               row_number() OVER (PARTITION BY p.event_id ORDER BY round(list_distance(p.vec, i.vec) ** 2), incident_id) AS rank
+        FROM (SELECT event_id, {_letter_counts("query_text")} AS vec FROM (
+                SELECT event_id, 'DAG: ' || dag_id || chr(10) || 'Task: ' || task_id || chr(10) || 'Error: '
+                       || coalesce(nullif(snippet, ''), error_message, '') AS query_text FROM ctx)) p,
+             (SELECT incident_id, error_category, root_cause, {_letter_counts("text")} AS vec
+              FROM incidents JOIN documents ON 'inc_' || doc_id = incident_id) i) WHERE rank <= 5"""))
+def _(spark, sf):
+    """The search inside triage: the contexts' own texts against stored vectors, made by one vectoriser."""
+    texts = v.table(spark, sf, "documents").select(v.tagged("inc_", c("doc_id")).alias("incident_id"), "text")
+    stored = v.incidents(spark, sf).drop("embedding").join(add_vector(texts, "text", LetterCounts()).drop("text"), "incident_id")
+    inputs = replace(tables(spark, sf, with_similar=False), incidents=stored, vectoriser=LetterCounts())
+    rows = plan.build_context(failures(spark, sf), inputs, OPTIONS)
+    return rows.select("event_id", F.posexplode("similar_incidents").alias("pos", "s")).select(
+        "event_id", (c("pos") + 1).alias("rank"), "s.incident_id", "s.error_category", "s.root_cause", F.round("s.similarity_score", 6).alias("similarity_score"))
+
+
 SUMMARY = """'[' || upper(severity) || '] ' || dag_id || '/' || task_id || ': ' || root_cause_summary || ' (Confidence: '
     || printf('%.0f', confidence * 100) || '%)'"""
 

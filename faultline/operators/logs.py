@@ -209,7 +209,7 @@ def profile_lines(
 
     at_end = F.row_number().over(Window.partitionBy(*ids).orderBy(no.desc()))
     tails = (
-        lines.select(*ids, "line_no", tail_chars(line).alias("line")).withColumn("_n", at_end).where(F.col("_n") <= TAIL_CHARS)
+        lines.select(*ids, "line_no", tail_chars(line).alias("line")).withColumn("_n", at_end).where(F.col("_n") <= TAIL_CHARS + 1)
         .groupBy(*ids).agg(F.sort_array(F.collect_list(F.struct("line_no", "line"))).alias("_t"))
         .select(*ids, tail_chars(F.array_join(F.transform("_t", lambda x: x["line"]), "\n")).alias("stdout_tail")))
 
