@@ -177,7 +177,7 @@ def _(spark, sf):
         Signature("fr_marks", "data_quality", "low", ("ê[a-z]+",), "accents", "decode"),
         Signature("articles", "configuration_error", "critical", (r"\bthe ([a-z]+)\b", "und[a-z]*"), "words", "read"),
     ]
-    docs = v.table(spark, sf, "documents").select("doc_id", c("text").alias("stdout"))
+    docs = v.documents(spark, sf).select("doc_id", c("text").alias("stdout"))
     rows = logs.match_signatures(docs, ["doc_id"], custom=custom)
     return rows.select("doc_id", "name", "n_matches", v.joined("matches").alias("matches"))
 

@@ -18,7 +18,7 @@ from faultline.operators import incidents as inc, reports
 from faultline.plans import triage as plan
 from faultline.session import mounted, shared_dir
 from faultline.sources import readers, sinks
-from faultline.streaming import streams
+from faultline.streaming import recurrence, streams
 
 c, lit = F.col, F.lit
 ISO = "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'"
@@ -378,6 +378,22 @@ def _(spark, sf):
         "as_of", v.ts_text("as_of"))
 
 
+@register("stream_recurrence_state", query(["failures"], """
+    SELECT event_id, recurrence_30d FROM (
+        SELECT event_id, failed_at, CAST(count(*) OVER (PARTITION BY dag_id, task_id, error_category ORDER BY failed_at
+            RANGE BETWEEN INTERVAL 30 DAY PRECEDING AND INTERVAL '0.000001 seconds' PRECEDING) AS BIGINT) AS recurrence_30d
+        FROM categorised)
+    WHERE failed_at < date_trunc('millisecond', (SELECT max(failed_at) FROM failures)) - INTERVAL 1 HOUR""", MESSAGE_CATEGORY))
+def _(spark, sf):
+    """The state of each failure's key, event by event, for all that the watermark has passed."""
+    source = streams.stream_failures(spark, _event_path(spark, categorised(spark, sf), "recurrence-state-events"))
+    path = shared_dir(spark, "recurrence-state")
+    partials = recurrence.recurrence_partials(source, spread=2)
+    recurrence.run_recurrence(partials, path, shared_dir(spark, "recurrence-state-checkpoint")).awaitTermination()
+    counts = recurrence.recurrence_counts(spark.read.schema(partials.schema).parquet(path), spread=2)
+    return counts.select(c("event_key").cast("long").alias("event_id"), "recurrence_30d")
+
+
 def _stream_triage(spark, sf) -> tuple[str, str]:
     """Paths of the reports and of the incident history after the stream has run twice over the same input."""
     static = tables(spark, sf)

@@ -142,13 +142,14 @@ def task_instances(spark, sf_dir) -> DataFrame:
     )
 
 
-def plain_logs(spark, sf_dir) -> DataFrame:
-    """Documents as logs: the whole text, then a line with a known family.
+def documents(spark, sf_dir) -> DataFrame:
+    """The given file may be one row group, that is one task; logs come as many files, so its rows are dealt to all cores."""
+    return table(spark, sf_dir, "documents").repartition(spark.sparkContext.defaultParallelism, "doc_id")
+
 
-    The given file may be one row group, that is one task; logs come as many files, so the rows are dealt to all cores.
-    """
-    rows = table(spark, sf_dir, "documents").repartition(spark.sparkContext.defaultParallelism, "doc_id")
-    return rows.select(
+def plain_logs(spark, sf_dir) -> DataFrame:
+    """Documents as logs: the whole text, then a line with a known family."""
+    return documents(spark, sf_dir).select(
         "doc_id", "source", F.concat(c("text"), lit("\n"), pick(TEMPLATES, c("doc_id") % 20)).alias("stdout")
     )
 
