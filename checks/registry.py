@@ -4,14 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from checks import views as v
 from checks.sql_views import catalogue_rows, matches_cte, query, strip, ts
 from faultline.functions.signatures import CATALOGUE, Signature, signature_catalog
 from faultline.functions.text import strip as strip_text
 from faultline.operators import (
-    commits as commit_ops, health, history, incidents as inc, logs, metrics as metric_ops, verdicts,
+    commits as commit_ops, health, history, incidents as inc, logs, metrics as metric_ops, signature_index, verdicts,
 )
 from faultline.plans import triage as plan
 
@@ -182,6 +182,34 @@ def _(spark, sf):
     return rows.select("doc_id", "name", "n_matches", v.joined("matches").alias("matches"))
 
 
+# A word matches as often as it can be taken out of a line; a prefix and everything up to the last e at most once.
+@register("custom_signatures_large", """
+    WITH words AS (SELECT DISTINCT unnest(regexp_extract_all(text, '[a-z]{6,}', 0)) AS word FROM documents),
+    named AS (SELECT word, row_number() OVER (ORDER BY md5(word), word) - 1 AS sig_idx FROM words QUALIFY sig_idx < 5000),
+    lines AS (SELECT doc_id, unnest(string_split(lower(text), chr(10))) AS line FROM documents),
+    hits AS (
+        SELECT doc_id, sig_idx, word, (length(line) - length(replace(line, word, ''))) // length(word) AS n
+        FROM lines JOIN named ON contains(line, word)
+        UNION ALL
+        SELECT doc_id, sig_idx, word, CAST(contains(substr(line, strpos(line, substr(word, 1, 5)) + 5), 'e') AS BIGINT) AS n
+        FROM lines JOIN named ON contains(line, substr(word, 1, 5)))
+    SELECT sig_idx, word AS name, count(DISTINCT doc_id) AS n_logs, CAST(sum(n) AS BIGINT) AS n_matches FROM hits
+    WHERE n > 0 GROUP BY sig_idx, word""")
+def _(spark, sf):
+    """A catalogue of 10,000 regexes, made of words of the documents, over all their lines."""
+    docs = v.documents(spark, sf)
+    words = docs.select(F.explode(F.regexp_extract_all("text", lit("[a-z]{6,}"), lit(0))).alias("word")).distinct()
+    named = words.orderBy(F.md5("word"), "word").limit(5000).withColumn(
+        "sig_idx", F.row_number().over(Window.orderBy(F.md5("word"), "word")) - 1)
+    rules = named.select("sig_idx", c("word").alias("name"), lit("unknown").alias("category"), lit("low").alias("severity"),
+                         F.posexplode(F.array(c("word"), F.concat(F.substring("word", 1, 5), lit(".*E")))).alias("rx_idx", "regex"))
+    lines = logs.explode_lines(docs, ["doc_id"], "text", stripped=False)
+    index = signature_index.build_signature_index(rules)
+    found = signature_index.indexed_matches(lines, ["doc_id"], index).groupBy("sig_idx", "name", "doc_id").agg(F.count("*").alias("n"))
+    return found.groupBy("sig_idx", "name").agg(F.count("*").alias("n_logs"), F.sum("n").alias("n_matches")).withColumn(
+        "sig_idx", c("sig_idx").cast("long"))
+
+
 @register("display_caps", query(["plain_logs"], """
     SELECT k AS doc_id, string_agg('- **' || name || '** (' || category || ', ' || severity || '): ' || description
         || chr(10) || '  Matches: ' || array_to_string(matches[1:3], ', ') || chr(10) || '  Recommendation: '
