@@ -17,7 +17,7 @@ The items' index is sent to the workers, in slices of at most ``SLICE_WORDS`` wo
 documents for each slice.  Documents are never shuffled.
 
 Defined results: null or empty texts and items match nothing; words are runs of letters, digits and underscores in lower
-case; equal items match alike; of a document and item the best window is reported, ties to the first; repeated
+case; equal items match alike; items without id count as one item, reported with a null id; of a document and item the best window is reported, ties to the first; repeated
 rows are reported again.
 """
 
@@ -176,18 +176,20 @@ class ItemIndex:
                 found = (-similarity, start, min(length, len(documents[d])))
                 if similarity >= self.similarity and (ids[i] not in best[d] or found < best[d][ids[i]]):
                     best[d][ids[i]] = found
-        return [[(item, start, n, -s) for item, (s, start, n) in sorted(one.items())] for one in best]
+        return [[(item, start, n, -s) for item, (s, start, n) in sorted(one.items(), key=lambda found: (found[0] is None, found[0] or 0))]
+                for one in best]
 
 
 def item_slices(benchmark: DataFrame, item_id: str, item_text: str, slice_words: int) -> Iterator[list[tuple[int, str]]]:
     """The items, in slices small enough to be sent to the workers."""
     items = benchmark.select(F.col(item_id).cast("long").alias("id"), F.col(item_text).alias("text")).where(
-        "id IS NOT NULL AND text IS NOT NULL")
+        "text IS NOT NULL")
     size = items.agg(F.coalesce(F.sum(F.char_length("text")), F.lit(0)).alias("n")).first()["n"]
     slices = max(1, math.ceil(size / (slice_words * 5)))
     for i in range(slices):
-        rows = items.where(F.pmod(F.xxhash64("id"), F.lit(slices)) == i).collect()
-        yield sorted((r["id"], r["text"]) for r in rows)
+        # Items without id are dealt by their texts.
+        rows = items.where(F.pmod(F.when(F.col("id").isNull(), F.xxhash64("text")).otherwise(F.xxhash64("id")), F.lit(slices)) == i).collect()
+        yield sorted(((r["id"], r["text"]) for r in rows), key=lambda item: (item[0] is None, item[0] or 0, item[1]))
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, item_id: str = "item_id", item_text: str = "text",

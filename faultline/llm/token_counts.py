@@ -106,7 +106,8 @@ class Counter:
             else:
                 chunked.append(None)
                 odd[i], out[i] = self.split_odd(text)
-        if len(self.chunks) > CACHE_WORDS:
+        # Texts that are not plain fill the words alone.
+        if max(len(self.chunks), len(self.words)) > CACHE_WORDS:
             self.chunks.clear()
             self.words.clear()
         fresh = set().union(*(c for c in chunked if c)).difference(self.chunks)

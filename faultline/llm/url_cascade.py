@@ -151,7 +151,8 @@ def judge_urls(pages: DataFrame, rules: DataFrame, default: str = "allow", most_
     """``pages`` (with ``url``) plus host, path, rule and verdict.  ``rules`` has host, path and verdict."""
     kept = rules.where(F.col("host").isNotNull() & F.col("path").isNotNull() & F.col("verdict").isin(*VERDICTS))
     keyed = settled(
-        kept.select(F.lower("host").alias("host"), "path", "verdict")
+        # A-Z alone, as for the urls.
+        kept.select(F.translate("host", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz").alias("host"), "path", "verdict")
         .select(F.concat("host", "path").alias("key"), F.char_length("path").alias("n"), "verdict")
         .groupBy("key", "n").agg(F.max("verdict").alias("verdict")),
         "url-rules",

@@ -180,6 +180,18 @@ def test_contamination_against_brute_force(spark):
     assert decontamination.contaminated(frame.limit(0), bench).collect() == []
 
 
+def test_items_without_id_are_found(spark):
+    """They count as one item with a null id, in any number of slices."""
+    draw, words = random.Random(17), vocabulary(900)
+    items = [(1, " ".join(draw.sample(words, 30))), (None, " ".join(draw.sample(words, 25))), (None, " ".join(draw.sample(words, 40))), (None, None)]
+    docs = [(i, f"before {items[i % 3][1]} after it") for i in range(6)] + [(6, " ".join(draw.sample(words, 60)))]
+    frame, bench = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    for slice_words in (decontamination.SLICE_WORDS, 20):
+        out = decontamination.contaminated(frame, bench, slice_words=slice_words).collect()
+        assert sorted((r.doc_id, r.item_id) for r in out) == [(i, None if i % 3 else 1) for i in range(6)]
+        assert [r.doc_id for r in decontamination.clean_documents(frame, bench, slice_words=slice_words).collect()] == [6]
+
+
 def test_equal_passages_have_equal_fingerprints():
     draw, words = random.Random(3), vocabulary(5_000)
     items = [(i, " ".join(draw.choices(words, k=24))) for i in range(500)]

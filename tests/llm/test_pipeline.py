@@ -19,10 +19,12 @@ def test_stages(spark):
     spoken = stages.language_stage(spark, docs, SF)
     assert spoken.schema == docs.schema and set(ids(docs)) - set(ids(spoken)) == {9001, 9002}
     good = stages.quality_stage(spark, spoken, SF)
-    labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{SF}/labels.parquet").collect()}
+    labels = {r.doc_id: (r.quality, r.toxic) for r in spark.read.parquet(f"{SF}/labels.parquet").collect()}
     gone = set(ids(spoken)) - set(ids(good))
-    assert gone and all(labels.get(i, 0) == 0 for i in gone)
-    assert not any(labels.get(i) == 0 for i in ids(good))
+    # What goes is labelled junk or toxic, or has no label; no clean good document goes, no junk stays.
+    assert gone and all(labels.get(i, (0, 0)) != (1, 0) for i in gone)
+    assert any(labels.get(i) == (1, 1) for i in gone)
+    assert not any(labels.get(i, (1, 0))[0] == 0 for i in ids(good))
     single = stages.near_copy_stage(spark, good, SF)
     texts = [r.text for r in single.select("text").collect()]
     assert len(texts) == len(set(texts)) and 0 < len(texts) < good.count()

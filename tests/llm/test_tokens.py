@@ -166,3 +166,31 @@ def test_segmentations_of_documents(spark):
     assert sorted(map(repr, out)) == sorted(map(repr, again))
     assert segmentation.sample_segmentations(frame.limit(0), PIECES).collect() == []
     assert segmentation.decode_ids(sampled.limit(1).select(F.lit(None).cast("array<int>").alias("ids")), PIECES).first().decoded is None
+
+
+def test_memory_of_counts_is_bounded(monkeypatch):
+    """Texts with letters beyond Latin fill the words alone; the memory is emptied all the same."""
+    monkeypatch.setattr(token_counts, "CACHE_WORDS", 300)
+    made, library_counts = token_counts.Counter(VOCABULARY), library()
+    for i in range(8):
+        texts = [" ".join(f"слово{i}x{j}x{k}" for k in range(20)) for j in range(10)]
+        assert made.count(texts) == [len(library_counts.encode(t, add_special_tokens=False).ids) for t in texts]
+        assert len(made.words) <= 300 + 200 * 8 and len(made.chunks) <= 300 + 200
+
+
+def test_rows_of_one_id_are_spread_over_files(spark):
+    frame = spark.createDataFrame([(None, f"text number {i}") for i in range(200)] + [(7, f"seven {i}") for i in range(100)],
+                                  "doc_id long, text string")
+    folder = shared_dir(spark, "test-null-ids")
+    manifest = token_files.write_token_files(frame, VOCABULARY, folder, 2, file_rows=20)
+    sizes = [r.documents for r in manifest.collect()]
+    assert sum(sizes) == 300 and max(sizes) <= 60
+    found = sorted(token_files.read_token_files(manifest, folder).collect(), key=lambda r: (r.file, r.place))
+    starts = np.cumsum([0, *[r.n_tokens for r in found]])
+    assert [r.start for r in found] == starts[:-1].tolist() and [r.doc_id for r in found] == [None] * 200 + [7] * 100
+
+
+def test_reading_files_joins_nothing(spark):
+    frame, _ = documents(spark)
+    plan = token_files.token_file_index(frame, VOCABULARY, 2, file_rows=5)._jdf.queryExecution().toString()
+    assert "Join" not in plan and "Broadcast" not in plan

@@ -46,6 +46,12 @@ def test_urls_by_rules(spark, most_bits):
     assert out.columns == ["page_id", "url", "host", "extra", "path", "rule", "verdict"]
 
 
+def test_hosts_of_rules_and_urls_are_lowered_alike(spark):
+    pages = spark.createDataFrame([(1, "http://\u00dc.COM/a", "", 1), (2, "http://x.\u00dc.com/a", "", 1)], PAGES)
+    rules = spark.createDataFrame([("\u00dc.Com", "/", "block")], "host string, path string, verdict string")
+    assert [r[3:] for r in judged(url_cascade.judge_urls(pages, rules))] == [("\u00dc.com/", "block")] * 2
+
+
 def test_urls_without_rows_or_rules(spark):
     rules = spark.createDataFrame([], "host string, path string, verdict string")
     pages = spark.createDataFrame([(1, "http://a.com/", "", 1)], PAGES)
