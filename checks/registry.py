@@ -11,9 +11,11 @@ from checks.sql_views import catalogue_rows, matches_cte, query, strip, ts
 from faultline.functions.signatures import CATALOGUE, Signature, signature_catalog
 from faultline.functions.text import strip as strip_text
 from faultline.operators import (
-    commits as commit_ops, health, history, incidents as inc, logs, metrics as metric_ops, signature_index, verdicts,
+    commits as commit_ops, health, history, incidents as inc, logs, metrics as metric_ops, signature_index, sketches,
+    verdicts,
 )
 from faultline.plans import triage as plan
+from faultline.session import shared_dir
 
 Builder = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, tuple[Builder, str | None]] = {}
@@ -651,3 +653,54 @@ def _(spark, sf):
     rows = verdicts.parse_replies(v.replies(spark, sf)).where("model_verdict IS NOT NULL")
     return rows.select("conv_id", "turn", F.explode("model_verdict.recommendations").alias("r")).select(
         "conv_id", "turn", "r.action", "r.priority")
+
+
+# --- daily sketches --------------------------------------------------------------------------------------------------
+
+SINCE, UNTIL = "2024-01-08", "2024-01-19"
+
+
+def _days(spark, daily: DataFrame, purpose: str) -> DataFrame:
+    """Written by day, one half of the days twice, and read back."""
+    path = shared_dir(spark, purpose)
+    sketches.write_daily(daily, path)
+    sketches.write_daily(daily.where("day(day) % 2 = 0"), path)
+    return spark.read.schema(daily.schema).parquet(path)
+
+
+@register("source_summary_period", query(["checks"], f"""
+    SELECT source_name, CAST(count(*) AS BIGINT) AS checks, round(avg(CAST(reachable AS DOUBLE)), 6) AS reachable_share,
+           round(avg(latency_ms), 6) AS latency_mean, TRUE AS p50_within, TRUE AS p95_within
+    FROM checks WHERE CAST(last_checked AS DATE) BETWEEN DATE '{SINCE}' AND DATE '{UNTIL}' GROUP BY source_name"""))
+def _(spark, sf):
+    """The estimates are tested against the exact ranks: at most half a percent of the values off, and one value."""
+    checks = _checks(spark, sf)
+    since, until = lit(SINCE).cast("date"), lit(UNTIL).cast("date")
+    daily = _days(spark, sketches.daily_source_checks(checks), "daily-checks")
+    found = sketches.source_summary_period(daily, since, until)
+    exact = checks.where(F.to_date("last_checked").between(since, until)).select("source_name", "latency_ms").join(
+        found.select("source_name", "latency_p50", "latency_p95"), "source_name")
+    below = lambda q: F.count_if(c("latency_ms") < c(f"latency_p{q}"))
+    upto = lambda q: F.count_if(c("latency_ms") <= c(f"latency_p{q}"))
+    n = F.count("latency_ms")
+    near = lambda q: (below(q) <= (q / 100 + 0.005) * n + 1) & (upto(q) >= (q / 100 - 0.005) * n - 1)
+    within = exact.groupBy("source_name").agg((near(50) | (n == 0)).alias("p50_within"), (near(95) | (n == 0)).alias("p95_within"))
+    return found.join(within, "source_name").select(
+        "source_name", "checks", rounded("reachable_share"), rounded("latency_mean"), "p50_within", "p95_within")
+
+
+@register("signature_frequency_period", query(["failures"], f"""
+    SELECT CAST(sig_idx AS INTEGER) AS sig_idx, name, CAST(count(*) AS BIGINT) AS n_logs,
+           CAST(sum(len(matches)) AS BIGINT) AS n_matches, TRUE AS groups_within
+    FROM fam JOIN failures ON event_id = k WHERE CAST(failed_at AS DATE) BETWEEN DATE '{SINCE}' AND DATE '{UNTIL}'
+    GROUP BY sig_idx, name""", matches_cte("failures", "event_id", "error_message", CATALOGUE)))
+def _(spark, sf):
+    """Distinct runs of each family are estimated within five percent of their exact number."""
+    rows = v.failures(spark, sf).select("run_id", "failed_at", c("error_message").alias("stdout"))
+    since, until = lit(SINCE).cast("date"), lit(UNTIL).cast("date")
+    found = sketches.signature_frequency_period(
+        _days(spark, sketches.daily_signatures(rows, "run_id", "failed_at"), "daily-signatures"), since, until)
+    exact = logs.match_signatures(rows.where(F.to_date("failed_at").between(since, until)), ["run_id"]).groupBy("sig_idx").agg(
+        F.count_distinct("run_id").alias("_exact"))
+    return found.join(exact, "sig_idx").select(
+        "sig_idx", "name", "n_logs", "n_matches", (F.abs(c("n_groups") - c("_exact")) <= 0.05 * c("_exact") + 1).alias("groups_within"))

@@ -5,12 +5,14 @@ from __future__ import annotations
 import os
 from collections.abc import Iterator
 
+from pyspark.ml import PipelineModel
+from pyspark.ml.feature import SQLTransformer, VectorAssembler
 from pyspark.sql import DataFrame, functions as F
 
 from checks import views as v
 from checks.registry import REGISTRY, categorised, register, rounded
-from checks.registry_reports import CHAT, FILE_NAME, HTML, MARKDOWN, OPTIONS, PRIORITY_CTE, SUMMARY, WITH_PRIORITY
-from checks.registry_reports import contexts, failures, report_rows, tables
+from checks.registry_reports import CHAT, FILE_NAME, HTML, LETTERS, MARKDOWN, OPTIONS, PRIORITY_CTE, SUMMARY, WITH_PRIORITY
+from checks.registry_reports import contexts, failures, letter_counts, report_rows, tables
 from checks.registry import MESSAGE_CATEGORY
 from checks.sql_views import query, ts
 from faultline.functions import render
@@ -150,7 +152,7 @@ def _(spark, sf):
     SELECT incident_id, error_category, severity, resolution, CAST(len(embedding) AS INTEGER) AS dims FROM incidents"""))
 def _(spark, sf):
     path = shared_dir(spark, "incidents")
-    v.incidents(spark, sf).write.parquet(path)
+    sinks.write_by_day(v.incidents(spark, sf), path, "error")
     return readers.read_incidents(spark, path).select(
         "incident_id", "error_category", "severity", "resolution", F.size("embedding").alias("dims"))
 
@@ -245,16 +247,57 @@ APPENDED = """
     UNION ALL SELECT report_id, error_category, root_cause_summary FROM rep"""
 
 
-@register("append_incidents", query(["rep", "incidents"], APPENDED))
+INCIDENT_TEXT = """'DAG: ' || dag_id || chr(10) || 'Task: ' || task_id || chr(10) || 'Category: '
+        || error_category || chr(10) || 'Root cause: ' || root_cause
+        || if(len(evidence) = 0, '', chr(10) || 'Evidence: ' || array_to_string(evidence[1:3], '; '))
+        || if(len(key_log_lines) = 0, '', chr(10) || 'Key logs: ' || array_to_string(key_log_lines[1:5], ' '))"""
+
+
+def letter_model(letters: str = LETTERS) -> PipelineModel:
+    """The letter counts as a model that can be stored."""
+    counts = ", ".join(
+        f"CAST(char_length(text) - char_length(replace(text, '{x}', '')) AS DOUBLE) AS _{i}" for i, x in enumerate(letters))
+    return PipelineModel([
+        SQLTransformer(statement=f"SELECT *, {counts} FROM __THIS__"),
+        VectorAssembler(inputCols=[f"_{i}" for i in range(len(letters))], outputCol="_unit")])
+
+
+def _vector_text(frame: DataFrame) -> DataFrame:
+    return frame.withColumn("vector", v.joined(F.transform("embedding", lambda x: x.cast("int").cast("string")), ","))
+
+
+@register("append_incidents", query(["rep", "incidents"], f"""
+    SELECT incident_id, error_category, root_cause_summary, NULL AS vector FROM incidents UNION ALL
+    SELECT report_id, error_category, root_cause_summary,
+           array_to_string(list_transform({letter_counts("text")}, lambda x: CAST(CAST(x AS INTEGER) AS VARCHAR)), ',')
+    FROM (SELECT *, {INCIDENT_TEXT} AS text FROM rep)"""))
 def _(spark, sf):
-    """Appending the same reports twice stores each once."""
+    """Appending the same reports twice stores each once, with the vector of its text."""
     path = shared_dir(spark, "history")
-    v.incidents(spark, sf).write.parquet(path)
+    sinks.create_incidents(spark, path, letter_model())
+    sinks.write_by_day(v.incidents(spark, sf).drop("embedding"), path, "append")
     rows = shared_dir(spark, "history-reports")
     report_rows(spark, sf).write.parquet(rows)
     for _ in range(2):
         sinks.append_incidents(spark, spark.read.parquet(rows), path)
-    return readers.read_incidents(spark, path).select("incident_id", "error_category", "root_cause_summary")
+    return _vector_text(readers.read_incidents(spark, path)).select("incident_id", "error_category", "root_cause_summary", "vector")
+
+
+@register("refresh_vectors", query(["rep"], f"""
+    SELECT report_id AS incident_id, 2 AS versions,
+           array_to_string(list_transform({letter_counts("text", "xyz")}, lambda x: CAST(CAST(x AS INTEGER) AS VARCHAR)), ',') AS vector
+    FROM (SELECT *, {INCIDENT_TEXT} AS text FROM rep)"""))
+def _(spark, sf):
+    """A history whose vectors come from another model than its first one."""
+    old, new = shared_dir(spark, "history-old"), shared_dir(spark, "history-new")
+    first, second = letter_model(), letter_model("xyz")
+    sinks.create_incidents(spark, old, first)
+    sinks.append_incidents(spark, report_rows(spark, sf), old)
+    sinks.refresh_vectors(spark, old, new, second)
+    rows = _vector_text(readers.read_incidents(spark, new))
+    versions = rows.select("vector_version").union(readers.read_incidents(spark, old).select("vector_version")).agg(
+        F.count_distinct("vector_version").cast("int")).scalar()
+    return rows.select("incident_id", versions.alias("versions"), "vector")
 
 
 @register("append_incidents_frame", query(["rep", "incidents"], APPENDED))
@@ -265,6 +308,20 @@ def _(spark, sf):
         "incident_id", "error_category", "root_cause_summary")
 
 
+@register("upsert_resolutions", query(["incidents", "latest"], """
+    SELECT i.incident_id, coalesce(l.resolution, i.resolution) AS resolution, l.resolution IS NOT NULL AS is_new
+    FROM incidents i LEFT JOIN latest l USING (incident_id)"""))
+def _(spark, sf):
+    """In place, the same updates twice."""
+    path = shared_dir(spark, "upserted")
+    sinks.write_by_day(v.incidents(spark, sf), path, "error")
+    for _ in range(2):
+        sinks.upsert_resolutions(spark, path, v.resolutions(spark, sf))
+    rows = inc.read_back(readers.read_incidents(spark, path))
+    return rows.select("incident_id", "resolution", c("resolution").startswith("fix ").alias("is_new")).withColumn(
+        "is_new", F.coalesce("is_new", lit(False)))
+
+
 @register("write_resolved_version", query(["incidents", "latest"], """
     SELECT i.incident_id, coalesce(l.resolution, i.resolution) AS resolution
     FROM incidents i LEFT JOIN latest l USING (incident_id)"""))

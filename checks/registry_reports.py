@@ -234,18 +234,18 @@ class LetterCounts(Transformer):
         return dataset.withColumn("_unit", array_to_vector(counts))
 
 
-def _letter_counts(text: str) -> str:
-    return "[" + ", ".join(f"CAST(length({text}) - length(replace({text}, '{x}', '')) AS DOUBLE)" for x in LETTERS) + "]"
+def letter_counts(text: str, letters: str = LETTERS) -> str:
+    return "[" + ", ".join(f"CAST(length({text}) - length(replace({text}, '{x}', '')) AS DOUBLE)" for x in letters) + "]"
 
 
 @register("triage_similar", query(["ctx", "incidents"], f"""
     SELECT event_id, CAST(rank AS INTEGER) AS rank, incident_id, error_category, root_cause, round(score, 6) AS similarity_score FROM (
         SELECT p.event_id, i.*, greatest(0.0, least(1.0, 1.0 - list_distance(p.vec, i.vec) ** 2)) AS score,
                row_number() OVER (PARTITION BY p.event_id ORDER BY round(list_distance(p.vec, i.vec) ** 2), incident_id) AS rank
-        FROM (SELECT event_id, {_letter_counts("query_text")} AS vec FROM (
+        FROM (SELECT event_id, {letter_counts("query_text")} AS vec FROM (
                 SELECT event_id, 'DAG: ' || dag_id || chr(10) || 'Task: ' || task_id || chr(10) || 'Error: '
                        || coalesce(nullif(snippet, ''), error_message, '') AS query_text FROM ctx)) p,
-             (SELECT incident_id, error_category, root_cause, {_letter_counts("text")} AS vec
+             (SELECT incident_id, error_category, root_cause, {letter_counts("text")} AS vec
               FROM incidents JOIN documents ON 'inc_' || doc_id = incident_id) i) WHERE rank <= 5"""))
 def _(spark, sf):
     """The search inside triage: the contexts' own texts against stored vectors, made by one vectoriser."""

@@ -1,6 +1,7 @@
 """Texts made from context and report rows: prompt, summary, chat payload, markdown, HTML, JSON.
 
-Each renderer is one Column over the declared columns; optional parts are null and fall out of concat_ws.
+Each renderer is one Column over the declared columns; optional parts are null and fall out of concat_ws.  The labels and
+headings of sections are fixed values: readers of reports look for them.
 """
 
 from __future__ import annotations

@@ -26,9 +26,12 @@ def fit_vectoriser(corpus: DataFrame, text: str, features: int = 256) -> Pipelin
 def add_vector(df: DataFrame, text: str, model: Transformer, output: str = "embedding") -> DataFrame:
     """Adds the vector column, whatever the name of the text column the model was fitted on.
 
-    ``model`` may be any fitted transformer that yields ``_unit`` from the text.
+    ``model`` may be any fitted transformer that yields ``_unit`` from the text.  A pipeline whose first stage names no input
+    column (a SQL statement) finds it as ``text``.
     """
-    column = model.stages[0].getInputCol() if isinstance(model, PipelineModel) else text
+    column = text
+    if isinstance(model, PipelineModel):
+        column = getattr(model.stages[0], "getInputCol", lambda: "text")()
     kept = F.struct(*df.columns).alias("_kept")
     out = model.transform(df.where(F.col(text).isNotNull()).select(kept, F.col(text).alias(column)))
     return out.select("_kept.*", vector_to_array("_unit", "float32").alias(output))

@@ -38,7 +38,7 @@ REPLY_JSON = "failure_id string, raw string"
 INCIDENT = (
     "incident_id string, dag_id string, task_id string, run_id string, error_category string, severity string, "
     "confidence double, date timestamp, root_cause_summary string, document string, resolution string, "
-    "embedding array<float>"
+    "embedding array<float>, text string, vector_version string"
 )
 RECENT_RUN = "struct<state:string,execution_date:timestamp,duration_seconds:double>"
 RECOMMENDATION = "struct<action:string,priority:int,estimated_effort:string,automated:boolean>"

@@ -189,4 +189,17 @@ def read_responses(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_incidents(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(schemas.INCIDENT).parquet(path)
+    """The history, whose folders are days; ``stored_ids`` reads some of them."""
+    return spark.read.schema(f"{schemas.INCIDENT}, {DAY} date").parquet(path).drop(DAY)
+
+
+#: Partition column of a history: the day of ``date``.
+DAY = "day"
+
+
+def stored_ids(spark: SparkSession, path: str, days: list) -> DataFrame:
+    """incident_id of the incidents of these days (null: those without date); files of other days are not opened."""
+    rows = spark.read.schema(f"{schemas.INCIDENT}, {DAY} date").parquet(path)
+    known = [F.lit(d) for d in days if d is not None]
+    wanted = F.col(DAY).isin(*known) if known else F.lit(False)
+    return rows.where(wanted | F.col(DAY).isNull() if None in days else wanted).select("incident_id")

@@ -4,14 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-from pyspark.ml import PipelineModel
+from pyspark.ml import PipelineModel, Transformer
 from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.types import StructType
 
+from faultline import schemas
 from faultline.functions import render
 from faultline.functions.vectors import add_vector
 from faultline.operators import incidents, reports
-from faultline.session import mounted
-from faultline.sources.readers import read_incidents
+from faultline.session import mounted, settled
+from faultline.sources.readers import DAY, read_incidents, stored_ids
 
 
 #: Folder of the model within a history; readers of Parquet skip names that begin with an underscore.
@@ -53,23 +55,43 @@ def write_prompts(contexts: DataFrame, path: str, mode: str = "append") -> None:
 def append_incidents(spark: SparkSession, report_rows: DataFrame, path: str) -> None:
     """Appends the reports whose id is not stored yet.  Running it twice appends nothing.
 
-    Where the history keeps a vectoriser, each incident is stored with the vector of its text, so that later searches
-    find it.
+    The history is kept by day, and an id belongs to the day of its failure, so ids are only looked up in the days that the reports
+    have; their number, not the reports', reaches the driver.  Where the history keeps a vectoriser, each incident is stored with
+    the vector of its text, so that later searches find it, and with the vectoriser's version.
     """
-    existing = read_incidents(spark, path)
-    model = stored_vectoriser(spark, path)
     records = incidents.incident_records(report_rows, with_text=True)
-    fresh = incidents.new_incidents(existing, records)
-    fresh = add_vector(fresh, "_text", model) if model else fresh
-    missing = [F.lit(None).cast(f.dataType).alias(f.name) for f in existing.schema if f.name not in fresh.columns]
-    fresh.select("*", *missing).select(*existing.columns).write.mode("append").parquet(path)
+    days = [r.day for r in records.select(F.to_date("date").alias("day")).distinct().collect()]
+    model = stored_vectoriser(spark, path)
+    fresh = incidents.new_incidents(stored_ids(spark, path, days), records)
+    write_by_day(with_vectors(fresh.withColumn("text", F.col("_text")), "_text", model).drop("_text"), path, "append")
+
+
+def with_vectors(rows: DataFrame, text: str, model: Transformer | None) -> DataFrame:
+    """Adds the vector of a text and the version of the model that made it; nulls without model or text."""
+    none = {"embedding": F.lit(None).cast("array<float>"), "vector_version": F.lit(None).cast("string")}
+    if model is None:
+        return rows.withColumns(none)
+    made = add_vector(rows.drop("embedding"), text, model).withColumn("vector_version", F.lit(vector_version(model)))
+    return made.unionByName(rows.where(F.col(text).isNull()).withColumns(none).select(made.columns))
+
+
+def vector_version(model: Transformer) -> str:
+    """A fitted model keeps its id when it is saved and loaded."""
+    return model.uid
+
+
+def write_by_day(rows: DataFrame, path: str, mode: str) -> None:
+    """Rows of a history, one folder for each day."""
+    kept = [f.name for f in StructType.fromDDL(schemas.INCIDENT)]
+    missing = [F.lit(None).cast(f.dataType).alias(f.name) for f in StructType.fromDDL(schemas.INCIDENT) if f.name not in rows.columns]
+    shaped = rows.select("*", *missing).select(*kept, F.to_date("date").alias(DAY))
+    # An overwrite replaces the days that the rows have.
+    shaped.write.mode(mode).option("partitionOverwriteMode", "dynamic").partitionBy(DAY).parquet(path)
 
 
 def create_incidents(spark: SparkSession, path: str, vectoriser: PipelineModel | None = None) -> None:
     """An empty history, and the fitted model that makes the vectors of its incidents."""
-    from faultline.schemas import INCIDENT
-
-    spark.createDataFrame([], INCIDENT).write.mode("ignore").parquet(path)
+    spark.createDataFrame([], f"{schemas.INCIDENT}, {DAY} date").write.mode("ignore").parquet(path)
     if vectoriser is not None:
         vectoriser.write().overwrite().save(f"{path}/{VECTORISER}")
 
@@ -84,4 +106,35 @@ def stored_vectoriser(spark: SparkSession, path: str) -> PipelineModel | None:
 
 def write_incident_version(incident_rows: DataFrame, path: str) -> None:
     """A new version of the history; parquet cannot be updated in place, so ``path`` must be a new folder."""
-    incident_rows.write.mode("error").parquet(path)
+    write_by_day(incident_rows, path, "error")
+
+
+def upsert_resolutions(spark: SparkSession, path: str, updates: DataFrame) -> None:
+    """Sets the last resolution written for each stored incident, in place: only the days that hold such an incident are read whole
+    and written again, the files of the others stay as they are.
+
+    The new rows are first written elsewhere, so updates that cannot be computed leave the history untouched; the days are then
+    replaced when all their files are written.  Doing it again gives the same rows.
+    """
+    rows = spark.read.schema(f"{schemas.INCIDENT}, {DAY} date").parquet(path)
+    hit = rows.select("incident_id", DAY).join(updates.select("incident_id").distinct(), "incident_id", "left_semi")
+    days = [r[DAY] for r in hit.select(DAY).distinct().collect()]
+    if not days:
+        return
+    known = [F.lit(d) for d in days if d is not None]
+    touched = rows.where(F.col(DAY).isin(*known) | (F.col(DAY).isNull() if None in days else F.lit(False)))
+    fixed = incidents.apply_resolutions(touched.drop(DAY), updates).drop("resolution_updated")
+    write_by_day(settled(fixed, "resolved"), path, "overwrite")
+
+
+def refresh_vectors(spark: SparkSession, path: str, new_path: str, vectoriser: PipelineModel) -> None:
+    """A new version of the history in which every vector is made by ``vectoriser``, which is stored with it.
+
+    Only rows with a text and another version are embedded again; vectors of this version are copied.  A row without stored text
+    keeps no vector, since it could not be compared with the others.
+    """
+    rows = read_incidents(spark, path)
+    current = F.coalesce(F.col("vector_version") == vector_version(vectoriser), F.lit(False))
+    stale = with_vectors(rows.where(~current).withColumn("_text", F.col("text")), "_text", vectoriser).drop("_text")
+    write_by_day(rows.where(current).unionByName(stale), new_path, "error")
+    vectoriser.write().overwrite().save(f"{new_path}/{VECTORISER}")
