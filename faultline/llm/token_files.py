@@ -37,7 +37,7 @@ from .common import held, text_pieces
 
 PIECE_CHARS, CACHE_CHUNKS, FILE_ROWS, LEVEL = 2_000_000, 400_000, 10_000, 1
 INDEX_MAGIC, SEEK_MAGIC, FOOTER_MAGIC, CHECKSUMS = 0x184D2A50, 0x184D2A5E, 0x8F92EAB1, 0x80
-READ_SCHEMA = "file int, place long, doc_id long, n_tokens long, ids_crc32 long"
+READ_SCHEMA = "file int, place long, doc_id long, start long, n_tokens long, ids_crc32 long"
 
 
 class Encoder:
@@ -53,26 +53,40 @@ class Encoder:
         self.specials = [t.content for t in added.values()]
         self.end, self.end_text = next((i, t.content) for i, t in sorted(added.items()))
         self.chunks: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self.words: dict[str, bytes] = {}
+        self.older_words: dict[str, bytes] = {}
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         chunked = [t.split() if t and is_plain(t, self.specials) else None for t in texts]
-        here = set().union(*(c for c in chunked if c))
-        if len(self.chunks) > CACHE_CHUNKS:  # what recurs is likely to be here
-            self.chunks = {c: ids for c, ids in self.chunks.items() if c in here}
-        parts = {c: PRE_TOKENS(c.lower()) for c in here.difference(self.chunks)}
-        wanted = set().union(*parts.values())
+        if len(self.chunks) > CACHE_CHUNKS:  # what recurs comes back from the older memory
+            self.older, self.chunks = self.chunks, {}
+        # One look-up a chunk; only those that are not there are gone through again.
+        known = self.chunks.get
+        found = [list(map(known, c)) if c else [] for c in chunked]
+        new = [i for i, ids in enumerate(found) if None in ids]
+        self.learn({c for i in new for c, ids in zip(chunked[i], found[i], strict=True) if ids is None})
+        for i in new:
+            found[i] = [known(c) if ids is None else ids for c, ids in zip(chunked[i], found[i], strict=True)]
+        return [
+            b"".join(ids) if c is not None else self.ids(t) if t else b""
+            for t, c, ids in zip(texts, chunked, found, strict=True)
+        ]
+
+    def learn(self, chunks: set[str]) -> None:
+        kept = {c: ids for c in chunks if (ids := self.older.get(c)) is not None}
+        self.chunks.update(kept)
+        parts = {c: PRE_TOKENS(c.lower()) for c in chunks.difference(kept)}
         if len(self.words) > CACHE_CHUNKS:
-            self.words = {w: ids for w, ids in self.words.items() if w in wanted}
-        fresh = list(wanted.difference(self.words))
+            self.older_words, self.words = self.words, {}
+        wanted = set().union(*parts.values()).difference(self.words)
+        kept = {w: ids for w in wanted if (ids := self.older_words.get(w)) is not None}
+        self.words.update(kept)
+        fresh = list(wanted.difference(kept))
         self.words.update(zip(fresh, self.words_ids(fresh), strict=True))
         word = self.words.__getitem__
         for chunk, words in parts.items():
             self.chunks[chunk] = b"".join(map(word, words))
-        known = self.chunks.__getitem__
-        return [
-            b"".join(map(known, c)) if c is not None else self.ids(t) if t else b"" for t, c in zip(texts, chunked, strict=True)
-        ]
 
     def ids(self, text: str) -> bytes:
         return array.array("I", self.library.encode_batch_fast([text], add_special_tokens=False)[0].ids).tobytes()
@@ -170,7 +184,9 @@ def write_token_files(docs: DataFrame, path: str, folder: str, end_id: int | Non
     """Writes the files (at once) and returns their manifest: file, name, documents, tokens."""
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     files = max(1, -(-rows.count() // file_rows), docs.sparkSession.sparkContext.defaultParallelism)
-    dealt = rows.repartitionByRange(files, "doc_id").sortWithinPartitions("doc_id", F.xxhash64("text"), "text")
+    # The text's hash too, so that rows which share an id, null included, are spread over files.
+    dealt = rows.repartitionByRange(files, F.col("doc_id"), F.xxhash64("text")).sortWithinPartitions(
+        "doc_id", F.xxhash64("text"), "text")
     ending = b"" if end_id is None else struct.pack("<I", end_id)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -204,41 +220,38 @@ def write_token_files(docs: DataFrame, path: str, folder: str, end_id: int | Non
 
 
 def read_token_files(manifest: DataFrame, folder: str) -> DataFrame:
-    """One row for each document as the files have it: file, place, doc_id, n_tokens and the checksum of its ids."""
+    """One row for each document as the files have it: file, place, doc_id, start, n_tokens and the checksum of its ids.
+
+    ``start`` is the number of ids before the document.  Those of earlier files are a running sum over the manifest, one
+    row a file, which each reader is given with its file.
+    """
+    from pyspark.sql import Window
+
+    before = Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)
+    files = manifest.select("file", "name", F.coalesce(F.sum("tokens").over(before), F.lit(0)).alias("first"))
     many = max(1, manifest.count())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, base = filesystem(folder)
         for batch in batches:
-            for number, name in zip(batch.column("file").to_pylist(), batch.column("name").to_pylist(), strict=True):
+            for number, name, first in zip(*(batch.column(c).to_pylist() for c in ("file", "name", "first")), strict=True):
                 with store.open_input_file(f"{base}/{name}") as source:
                     reader = FileReader(source, source.size())
                     sizes, sums = np.zeros(len(reader), np.int64), np.zeros(len(reader), np.int64)
                     for place in range(len(reader)):
                         content = reader.ids(place)
                         sizes[place], sums[place] = len(content) // 4, zlib.crc32(content)
+                    starts = first + np.cumsum(sizes) - sizes
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(np.full(len(reader), number), pa.int32()), pa.array(np.arange(len(reader)), pa.int64()),
-                         pa.array(reader.doc_ids, pa.int64(), mask=reader.nulls), pa.array(sizes), pa.array(sums)],
-                        names=["file", "place", "doc_id", "n_tokens", "ids_crc32"])
-
-    return manifest.select("file", "name").repartition(many, "file").mapInArrow(run, READ_SCHEMA)
-
+                         pa.array(reader.doc_ids, pa.int64(), mask=reader.nulls), pa.array(starts), pa.array(sizes), pa.array(sums)],
+                        names=["file", "place", "doc_id", "start", "n_tokens", "ids_crc32"])
 
-def with_starts(read: DataFrame, manifest: DataFrame) -> DataFrame:
-    """Adds ``start``: ids of all earlier files (a running sum of one number a file) and of earlier documents of the file."""
-    from pyspark.sql import Window
-
-    before = Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)
-    firsts = manifest.select("file", F.coalesce(F.sum("tokens").over(before), F.lit(0)).alias("first"))
-    inside = Window.partitionBy("file").orderBy("place").rowsBetween(Window.unboundedPreceding, -1)
-    return read.join(firsts, "file").select(
-        "doc_id", (F.col("first") + F.coalesce(F.sum("n_tokens").over(inside), F.lit(0))).alias("start"), "n_tokens",
-        "ids_crc32")
+    return files.repartition(many, "file").mapInArrow(run, READ_SCHEMA)
 
 
 def token_file_index(docs: DataFrame, path: str, end_id: int | None = None, **options) -> DataFrame:
     """Writes the files to a new shared folder and returns what reading them gives: doc_id, start, n_tokens, ids_crc32."""
     folder = shared_dir(docs.sparkSession, "token-files")
     manifest = write_token_files(docs, path, folder, end_id, **options)
-    return with_starts(read_token_files(manifest, folder), manifest)
+    return read_token_files(manifest, folder).select("doc_id", "start", "n_tokens", "ids_crc32")
