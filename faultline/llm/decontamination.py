@@ -25,6 +25,7 @@ from __future__ import annotations
 
 import math
 import re
+import uuid
 from collections import Counter
 from collections.abc import Iterator
 from functools import reduce
@@ -41,8 +42,20 @@ WIDTH, SIMILARITY, RADIUS, SLICE_WORDS, PIECE_CHARS = 5, 0.8, 18, 2_000_000, 2_0
 MATCH = "item_id long, first_word long, words long, similarity double"
 
 
+def memory() -> dict:
+    """What a worker keeps from task to task: the tokens' codes, and the index of one slice of items with the slice's name."""
+    return held(("decontamination",), lambda: {"tokens": TokenCodes(re.compile(r"\w+").findall), "slice": (None, None)})
+
+
 def tokens() -> TokenCodes:
-    return held(("decontamination",), lambda: TokenCodes(re.compile(r"\w+").findall))
+    return memory()["tokens"]
+
+
+def item_index(name: str, items: list[tuple[int, str]], width: int, similarity: float, radius: int) -> ItemIndex:
+    kept = memory()
+    if kept["slice"][0] != name:
+        kept["slice"] = (name, ItemIndex(items, width, similarity, radius))
+    return kept["slice"][1]
 
 
 def bit_signs(shingles: np.ndarray) -> np.ndarray:
@@ -212,10 +225,10 @@ def clean_documents(docs: DataFrame, benchmark: DataFrame, item_id: str = "item_
 
 
 def without_items(docs: DataFrame, items: list[tuple[int, str]], text: str, width: int, similarity: float, radius: int) -> DataFrame:
-    shared = docs.sparkSession.sparkContext.broadcast(items)  # at most a slice
+    shared, name = docs.sparkSession.sparkContext.broadcast(items), uuid.uuid4().hex  # at most a slice
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = ItemIndex(shared.value, width, similarity, radius)
+        index = item_index(name, shared.value, width, similarity, radius)
         for batch in batches:
             clean = [not found for found in document_matches(index, batch.column(text).to_pylist())]
             yield batch.filter(pa.array(clean, pa.bool_()))
@@ -234,10 +247,10 @@ def slice_matches(docs: DataFrame, items: list[tuple[int, str]], text: str, widt
     rest = [c for c in docs.columns if c != text and c not in added.names]
     docs = docs.select(*rest, text)
     schema = T.StructType([*[f for f in docs.schema if f.name in rest], *added])
-    shared = docs.sparkSession.sparkContext.broadcast(items)  # at most a slice
+    shared, name = docs.sparkSession.sparkContext.broadcast(items), uuid.uuid4().hex  # at most a slice
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = ItemIndex(shared.value, width, similarity, radius)
+        index = item_index(name, shared.value, width, similarity, radius)
         for batch in batches:
             rows: list[int] = []
             found: list[tuple[int, int, int, float]] = []
