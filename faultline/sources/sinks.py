@@ -91,7 +91,7 @@ def write_by_day(rows: DataFrame, path: str, mode: str) -> None:
 
 def create_incidents(spark: SparkSession, path: str, vectoriser: PipelineModel | None = None) -> None:
     """An empty history, and the fitted model that makes the vectors of its incidents."""
-    spark.createDataFrame([], f"{schemas.INCIDENT}, {DAY} date").write.mode("ignore").parquet(path)
+    write_by_day(spark.createDataFrame([], schemas.INCIDENT), path, "ignore")
     if vectoriser is not None:
         vectoriser.write().overwrite().save(f"{path}/{VECTORISER}")
 
