@@ -171,3 +171,42 @@ def test_rows_out_of_sight_are_reduced(spark, monkeypatch):
     assert sorted((r.key, r.at, r.value) for r in got if r.at) == [("a", at(40), 40), ("a", at(42), 42), ("c", at(3), None)]
     assert [r.value for r in got if r.at is None] == [None]
     assert written[0].count() == 4 + 1 + 3
+
+
+def test_last_rows_are_slices_of_blocks(spark):
+    from faultline.operators.timeline import last_rows
+
+    numbered = spark.range(1, 31).selectExpr("'a' AS k", "id AS n", "id * 10 AS value").union(
+        spark.range(1, 3).selectExpr("'b' AS k", "id AS n", "id AS value"))
+    asked = spark.createDataFrame([("a", i) for i in range(1, 31)] + [("a", None), ("b", 2), ("c", 1)], "k string, at bigint")
+    got = {(r.k, r.at): r.newest for r in last_rows(asked, numbered, ["k"], "at", 3, "newest").collect()}
+    assert got == {**{("a", i): [x * 10 for x in range(i, max(0, i - 3), -1)] for i in range(1, 31)},
+                   ("a", None): None, ("b", 2): [2, 1], ("c", 1): None}
+
+
+def test_lists_are_not_multiplied_by_the_limit(spark):
+    """The join that made the lists exploded every number by the limit and was broadcast by the size before that."""
+    from faultline.operators import commits, history
+
+    rows = spark.range(200).selectExpr(
+        "CAST(id AS string) AS failure_id", "'d' AS dag_id", "timestamp_seconds(id) AS failed_at")
+    runs = spark.range(200).selectExpr("'d' AS dag_id", "CAST(id AS string) AS run_id", "'failed' AS state",
+                                       "timestamp_seconds(id) AS execution_date", "1.0D AS duration_seconds")
+    made = spark.range(200).selectExpr(
+        "CAST(id AS string) AS sha", "'s' AS short_sha", "'a' AS author", "'e' AS email", "'m' AS message",
+        "timestamp_seconds(id) AS date", "array('f') AS files_changed")
+    found = commits.recent_commits(rows, made), history.history_asof(rows, runs)
+    assert all("sequence(" not in f._jdf.queryExecution().optimizedPlan().toString() for f in found)
+    assert {r.failure_id: [x.sha for x in r.recent_commits] for r in found[0].collect()}["150"] == [str(i) for i in range(150, 130, -1)]
+
+
+def test_wide_parts_join_by_failure_id(spark):
+    """Of an id that comes with two times each row keeps its own commits."""
+    from faultline.operators import context
+
+    rows = spark.sql("SELECT 'x' AS failure_id, timestamp_seconds(t) AS failed_at FROM VALUES (5), (50) AS v(t)")
+    made = spark.range(0, 60, 10).selectExpr(
+        "CAST(id AS string) AS sha", "'s' AS short_sha", "'a' AS author", "'e' AS email", "'m' AS message",
+        "timestamp_seconds(id) AS date", "array('f') AS files_changed")
+    got = context.join_recent_commits(rows, rows, made).collect()
+    assert sorted([c.sha for c in r.recent_commits] for r in got) == [["0"], ["50", "40", "30", "20", "10", "0"]]
