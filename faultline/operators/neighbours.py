@@ -6,12 +6,17 @@ blocks' and the groups' statistics; they are joined, not collected, so the numbe
 
 A probe first searches its own cell (and the next ones, as long as these hold fewer than k incidents), which gives a true k-th
 distance.  By the triangle inequality nothing nearer lies in a block whose distances to the pivot all differ from the probe's by
-more than that; the second phase joins the probe with the other blocks.  A block and at most ``chunk_rows`` of the probes that visit it
-are one matrix product, of which at most k rows leave for each probe.
+more than that; the second phase joins the probe with the other blocks.
+
+Neighbouring blocks of a group stand on a shelf, a group has about ``SHELVES`` of them.  A probe is sent to a shelf once, with the
+numbers of the blocks that it visits there, and a shelf's probes are dealt to at most about as many chunks.  So on data where nothing
+can be pruned, a vector travels as often as there are shelves and chunks, not as there are blocks; only where a shelf would
+pass ``SHELF_BYTES`` there are more.  A shelf and a chunk are one task's matrix products, of which at most k rows leave for each probe.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
@@ -24,6 +29,10 @@ from faultline.session import settled
 SLACK = 1e-9
 #: The product form of a distance is good to about 1e-8 of the vectors' spread.
 ROUNDING = 1e-6
+#: Shelves of a group, chunks of a shelf's probes, and the bytes of vectors (as floats) that either may have.
+SHELVES, SHELF_BYTES = 16, 64 << 20
+#: Tables with one row for each block or shelf are broadcast up to this many blocks, some 50 bytes each.
+BROADCAST_BLOCKS = 50_000
 
 
 def _matrix(column: pd.Series) -> np.ndarray:
@@ -47,19 +56,33 @@ def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 @dataclass(frozen=True)
 class NeighbourIndex:
-    """Written tables of a history: ``rows`` (grp, cell, block, iid, ivec), ``blocks`` (grp, cell, block, low, high, n) and
-    ``groups`` (grp, cells), one entry of at most as many cells as pivots for each group."""
+    """Written tables of a history: ``rows`` (grp, cell, block, iid, ivec), ``blocks`` (grp, cell, block, low, high, n, no, shelf),
+    ``groups`` (grp, cells), one entry of at most as many cells as pivots for each group, and ``areas`` (grp, blocks)."""
 
     rows: DataFrame
     blocks: DataFrame
     groups: DataFrame
+    areas: DataFrame
     pivots: np.ndarray
     grouped: bool
     cosine: bool
+    few_blocks: bool
 
     def by_group(self, rows: DataFrame, groups: DataFrame) -> DataFrame:
         """Without groups, their table is one row."""
-        return rows.join(groups if self.grouped else F.broadcast(groups), "grp")
+        return rows.join(groups if self.grouped and not self.few_blocks else F.broadcast(groups), "grp")
+
+    def by_block(self, rows: DataFrame, blocks: DataFrame, keys: list[str]) -> DataFrame:
+        return rows.join(F.broadcast(blocks) if self.few_blocks else blocks, keys)
+
+    @property
+    def most_rows(self) -> int:
+        """Vectors that a shelf or a chunk may hold."""
+        return _most_rows(self.pivots)
+
+
+def _most_rows(centres: np.ndarray) -> int:
+    return max(1, SHELF_BYTES // (4 * max(1, centres.shape[1])))
 
 
 def _group_column(group: str | None) -> Column:
@@ -103,13 +126,22 @@ def build_index(
     rows = settled(
         ordered.withColumn("block", F.floor((F.col("n") - 1) / block_rows)).select("grp", "cell", "block", "iid", "ivec", "radius"),
         "neighbour-rows")
-    blocks = settled(rows.groupBy("grp", "cell", "block").agg(
-        F.min("radius").alias("low"), F.max("radius").alias("high"), F.count("*").alias("n")), "neighbour-blocks")
+    measured = rows.groupBy("grp", "cell", "block").agg(
+        F.min("radius").alias("low"), F.max("radius").alias("high"), F.count("*").alias("n"))
+    of_group, so_far = Window.partitionBy("grp"), Window.partitionBy("grp").orderBy("cell", "block")
+    shelf_rows = F.greatest(F.lit(block_rows), F.least(F.lit(_most_rows(centres)), F.ceil(F.sum("n").over(of_group) / SHELVES)))
+    blocks = settled(measured.select(
+        "*", (F.row_number().over(so_far) - 1).alias("no"),
+        F.floor((F.sum("n").over(so_far) - F.col("n")) / shelf_rows).cast("int").alias("shelf")), "neighbour-blocks")
     cells = blocks.groupBy("grp", "cell").agg(F.min("low").alias("low"), F.max("high").alias("high"), F.sum("n").alias("n"))
     groups = settled(
         cells.groupBy("grp").agg(F.sort_array(F.collect_list(F.struct("cell", "low", "high", "n"))).alias("cells")),
         "neighbour-groups")
-    return NeighbourIndex(rows.drop("radius"), blocks, groups, centres, group is not None, cosine)
+    areas = settled(
+        blocks.groupBy("grp").agg(F.sort_array(F.collect_list(F.struct("no", "shelf", "cell", "low", "high", "n"))).alias("blocks")),
+        "neighbour-areas")
+    return NeighbourIndex(
+        rows.drop("radius"), blocks, groups, areas, centres, group is not None, cosine, blocks.count() <= BROADCAST_BLOCKS)
 
 
 @dataclass(frozen=True)
@@ -129,43 +161,35 @@ def search(index: NeighbourIndex, probes: DataFrame, k: int = 5, probe_id: str =
         F.col(probe_id).alias("pid"), _group_column(group).alias("grp"), F.col(vector).alias("pvec")).where("grp IS NOT NULL")
     asked = asked.groupBy("pid").agg(F.min(F.struct("grp", "pvec")).alias("_p")).select("pid", "_p.*")
 
-    @F.pandas_udf("array<double>")
+    @F.pandas_udf("array<float>")
     def to_pivots(vectors: pd.Series) -> pd.Series:
         points = _matrix(vectors)
         return pd.Series(list(_distances(_unit(points) if cosine else points, centres)) if len(points) else [], dtype=object)
 
-    far_of = lambda cell: F.get(F.col("far"), cell["cell"])
-    near_first = F.array_sort(F.transform("cells", lambda c: F.struct(
-        far_of(c).alias("far"), c["cell"].alias("cell"), c["low"].alias("low"), c["high"].alias("high"), c["n"].alias("n"))))
+    far_of = lambda place: F.get(F.col("far"), place["cell"]).cast("double")
+    near_first = F.array_sort(F.transform("cells", lambda c: F.struct(far_of(c).alias("far"), c["cell"].alias("cell"), c["n"].alias("n"))))
     start = F.struct(F.lit(0).cast("bigint").alias("total"), F.array().cast("array<int>").alias("own"))
     until_enough = F.aggregate(
         "near", start,
         lambda seen, c: F.when(seen["total"] >= keep, seen).otherwise(F.struct(
             (seen["total"] + c["n"]).alias("total"), F.concat(seen["own"], F.array(c["cell"])).alias("own"))),
         lambda seen: seen["own"])
-    placed = index.by_group(asked, index.groups).withColumn("far", to_pivots("pvec")).withColumn("near", near_first).select(
-        "pid", "grp", "pvec", "near", until_enough.alias("own"))
-    placed = settled(placed.select(
-        "pid", "grp", "pvec", "own", F.filter("near", lambda c: ~F.array_contains("own", c["cell"])).alias("others")), "probes")
+    placed = index.by_group(asked.withColumn("far", to_pivots("pvec")), index.groups).withColumn("near", near_first)
+    placed = settled(placed.select("pid", "grp", "pvec", "far", until_enough.alias("own")), "probes")
 
-    first = placed.select("pid", "grp", "pvec", F.explode("own").alias("cell")).join(index.blocks, ["grp", "cell"])
+    in_own = lambda b: F.array_contains("own", b["cell"])
+    first = _visits(index, placed.withColumn("bound", F.lit(float("inf"))), in_own)
     best = settled(_ranked(_meet(index, first, k, exclude_self, chunk_rows), k), "nearest")
     # Squared distances, or half of them for the cosine; without k incidents yet there is no bound.
     square = F.max("distance") * (2.0 if cosine else 1.0)
     bounds = best.groupBy("pid").agg(F.when(F.count("*") >= k, F.sqrt(F.greatest(square, F.lit(0.0)))).alias("bound"))
     reach = F.coalesce("bound", F.lit(float("inf")))
 
-    def may_hold_nearer(far: Column, low: Column, high: Column) -> Column:
-        limit = F.col("bound") + ROUNDING * (1 + far)
-        return (far - high <= limit) & (low - far <= limit)
+    def may_hold_nearer(b: Column) -> Column:
+        limit = F.col("bound") + ROUNDING * (1 + far_of(b))
+        return ~in_own(b) & (far_of(b) - b["high"] <= limit) & (b["low"] - far_of(b) <= limit)
 
-    open_cells = F.filter("others", lambda c: may_hold_nearer(c["far"], c["low"], c["high"]))
-    second = (
-        placed.join(bounds, "pid", "left").withColumn("bound", reach)
-        .select("pid", "grp", "pvec", "bound", F.explode(open_cells).alias("at"))
-        .select("pid", "grp", "pvec", "bound", "at.cell", "at.far").join(index.blocks, ["grp", "cell"])
-        .where(may_hold_nearer(F.col("far"), F.col("low"), F.col("high")))
-    )
+    second = _visits(index, placed.join(bounds, "pid", "left").withColumn("bound", reach), may_hold_nearer)
     more = _meet(index, second, k, exclude_self, chunk_rows)
     rows = _ranked(best.drop("rank").unionByName(more), k)
     counted = [part.agg(F.lit(no).alias("phase"), F.count_distinct("pid").alias("probes"), F.coalesce(F.sum("n"), F.lit(0)).alias("distances"))
@@ -178,21 +202,38 @@ def _ranked(found: DataFrame, k: int) -> DataFrame:
     return found.withColumn("rank", best).where(F.col("rank") <= k)
 
 
+def _visits(index: NeighbourIndex, probes: DataFrame, visited: Callable[[Column], Column]) -> DataFrame:
+    """(pid, grp, shelf, pvec, bound, blocks, n): a row for each probe and shelf, with the numbers and the size of the blocks it visits."""
+    kept = ["pid", "grp", "pvec", "bound"]
+    at_shelf = F.filter("open", lambda b: b["shelf"] == F.col("shelf"))
+    return (
+        index.by_group(probes, index.areas).withColumn("open", F.filter("blocks", visited))
+        .select(*kept, "open", F.explode(F.array_distinct(F.transform("open", lambda b: b["shelf"]))).alias("shelf"))
+        .select(*kept, "shelf", at_shelf.alias("here"))
+        .select(*kept, "shelf", F.transform("here", lambda b: b["no"]).alias("blocks"),
+                F.aggregate("here", F.lit(0).cast("bigint"), lambda total, b: total + b["n"]).alias("n"))
+    )
+
+
 def _meet(index: NeighbourIndex, visits: DataFrame, k: int, exclude_self: bool, chunk_rows: int) -> DataFrame:
-    """(pid, iid, distance): at most k rows for each probe and block of ``visits`` (pid, pvec, grp, cell, block)."""
-    at = ["grp", "cell", "block"]
-    loads = visits.groupBy(*at).agg(F.ceil(F.count("*") / chunk_rows).cast("int").alias("chunks"))
-    visiting = visits.select("pid", "pvec", *at).join(loads, at).withColumn(
+    """(pid, iid, distance): at most k rows for each probe and shelf of ``visits``."""
+    at = ["grp", "shelf"]
+    fair = F.greatest(F.lit(chunk_rows), F.least(F.lit(index.most_rows), F.ceil(F.count("*") / SHELVES)))
+    loads = settled(visits.groupBy(*at).agg(F.ceil(F.count("*") / fair).cast("int").alias("chunks")), "neighbour-loads")
+    visiting = index.by_block(visits.select("pid", "pvec", "bound", "blocks", *at), loads, at).withColumn(
         "chunk", F.pmod(F.xxhash64("pid"), F.col("chunks")).cast("int"))
-    served = index.rows.join(loads, at).select(*at, F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), "iid", "ivec")
+    numbers = index.blocks.select("grp", "cell", "block", "no", "shelf")
+    placed = index.by_block(index.rows, numbers, ["grp", "cell", "block"])
+    served = index.by_block(placed, loads, at).select(
+        *at, F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), "no", "iid", "ivec")
     cosine, types = index.cosine, dict(visits.dtypes) | dict(index.rows.dtypes)
 
-    def search_block(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+    def search_shelf(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         return _search(left, right, k, cosine, exclude_self)
 
     keys = [*at, "chunk"]
-    return visiting.select(*keys, "pid", "pvec").groupBy(*keys).cogroup(served.groupBy(*keys)).applyInPandas(
-        search_block, f"pid {types['pid']}, iid {types['iid']}, distance double")
+    return visiting.select(*keys, "pid", "pvec", "bound", "blocks").groupBy(*keys).cogroup(served.groupBy(*keys)).applyInPandas(
+        search_shelf, f"pid {types['pid']}, iid {types['iid']}, distance double")
 
 
 def nearest_incidents(
@@ -224,31 +265,60 @@ def nearest_incidents(
 def _search(
     left: pd.DataFrame, right: pd.DataFrame, k: int, cosine: bool, exclude_self: bool, tile: int = 512
 ) -> pd.DataFrame:
-    """Top-k of one block for one chunk of probes: a product to find the candidates, exact distances to rank them."""
+    """Top-k of one shelf for one chunk of probes: products with the blocks that each visits find the candidates, exact distances rank them."""
     if left.empty or right.empty:
         return _hits([], [], [])
-    targets, ids = _matrix(right["ivec"]), right["iid"].to_numpy()
-    targets = _unit(targets) if cosine else targets
-    need = min(k + 1 if exclude_self else k, len(ids))
-    id_texts = np.array([str(i) for i in ids])
-    pids, hits, values = [], [], []
-    for start in range(0, len(left), tile):
-        part = left.iloc[start:start + tile]
-        points = _matrix(part["pvec"])
-        points = _unit(points) if cosine else points
-        rough = _distances(points, targets) ** 2
-        bound = np.partition(rough, need - 1, axis=1)[:, need - 1]
-        for i, pid in enumerate(part["pid"]):
-            # One probe at a time: copies of one incident may all tie at the bound.
-            near = np.flatnonzero(rough[i] <= bound[i] + SLACK * (1 + bound[i]))
+    right = right.sort_values("no", kind="stable", ignore_index=True)
+    targets, ids, points = _matrix(right["ivec"]), right["iid"].to_numpy(), _matrix(left["pvec"])
+    if cosine:
+        targets, points = _unit(targets), _unit(points)
+    pids, bounds = left["pid"].to_numpy(), left["bound"].to_numpy()
+    place = np.argsort(np.argsort(ids, kind="stable"), kind="stable")
+    id_texts, pid_texts = np.array([str(i) for i in ids]), np.array([str(p) for p in pids])
+    visited = [np.asarray(b, dtype=np.int64) for b in left["blocks"]]
+    visitor, block = np.repeat(np.arange(len(left)), [len(b) for b in visited]), np.concatenate(visited)
+    numbers, starts = np.unique(right["no"].to_numpy(), return_index=True)
+    found = []
+    for no, start, stop in zip(numbers, starts, [*starts[1:], len(right)], strict=True):
+        here, guests = targets[start:stop], visitor[block == no]
+        spread = float(np.linalg.norm(here - here.mean(0), axis=1).max())
+        need = min(k + 1 if exclude_self else k, stop - start)
+        for at in range(0, len(guests), tile):
+            part = guests[at:at + tile]
+            rough = _distances(points[part], here) ** 2
+            limit = (bounds[part] + ROUNDING * (1 + bounds[part] + spread)) ** 2
+            many = np.flatnonzero((rough <= limit[:, None]).sum(1) > need)
+            if len(many):
+                least = np.partition(rough[many], need - 1, axis=1)[:, need - 1]
+                limit[many] = np.minimum(limit[many], least + SLACK * (1 + least))
+            i, j = np.nonzero(rough <= limit[:, None])
+            i, j = part[i], start + j
             if exclude_self:
-                near = near[id_texts[near] != str(pid)]
-            exact = ((points[i] - targets[near]) ** 2).sum(1)
-            best = np.lexsort((ids[near], exact))[:k]
-            pids.extend([pid] * len(best))
-            hits.extend(ids[near][best])
-            values.extend(exact[best] / 2.0 if cosine else exact[best])
-    return _hits(pids, hits, values)
+                other = id_texts[j] != pid_texts[i]
+                i, j = i[other], j[other]
+            found.append(_nearest(i, j, _exact(points, targets, i, j), place, k))
+    i, j, exact = (np.concatenate([f[c] for f in found]) if found else np.zeros(0, np.int64) for c in range(3))
+    i, j, exact = _nearest(i, j, exact, place, k)
+    return _hits(pids[i], ids[j], exact / 2.0 if cosine else exact)
+
+
+def _exact(points: np.ndarray, targets: np.ndarray, i: np.ndarray, j: np.ndarray, step: int = 1 << 15) -> np.ndarray:
+    """Squared distances of the pairs, a step at a time: copies of one incident may all tie at a bound."""
+    out = np.zeros(len(i))
+    for at in range(0, len(i), step):
+        cut = slice(at, at + step)
+        out[cut] = ((points[i[cut]] - targets[j[cut]]) ** 2).sum(1)
+    return out
+
+
+def _nearest(i: np.ndarray, j: np.ndarray, exact: np.ndarray, place: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The k pairs of each i with the least distance, ties by the id's place."""
+    order = np.lexsort((place[j], exact, i))
+    i, j, exact = i[order], j[order], exact[order]
+    first = np.r_[True, i[1:] != i[:-1]] if len(i) else np.zeros(0, bool)
+    rank = np.arange(len(i)) - np.flatnonzero(first)[np.cumsum(first) - 1] if len(i) else i
+    best = rank < k
+    return i[best], j[best], exact[best]
 
 
 def _hits(pids: list, iids: list, distances: list) -> pd.DataFrame:

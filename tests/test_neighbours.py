@@ -5,7 +5,7 @@ import pytest
 
 from faultline.functions.vectors import similarity_score
 from faultline.operators.incidents import similar_incidents, text_similar_incidents
-from faultline.operators.neighbours import build_index, nearest_incidents, search
+from faultline.operators.neighbours import _visits, build_index, nearest_incidents, search
 from pyspark.sql import functions as F
 
 SCHEMA = "id string, grp string, embedding array<float>"
@@ -120,3 +120,20 @@ def test_second_phase_visits_little_of_clustered_data(spark):
     want = brute(some, rows, 5, "l2", False)
     names = {r[0] for r in some}
     assert {(r.pid, r.iid, r["rank"]) for r in found.rows.collect() if r.pid in names} == want
+
+
+def test_a_vector_travels_by_shelf_not_by_block(spark):
+    """Nothing can be pruned in noise, yet a probe is one row for each shelf, of which there are few however many blocks there are."""
+    rows = [(f"i{i:04d}", "", v.tolist()) for i, v in enumerate(np.random.default_rng(11).normal(size=(1200, 16)))]
+    df = spark.createDataFrame(rows, SCHEMA)
+    index = build_index(df.withColumnRenamed("id", "incident_id"), pivots=64, cell_rows=16, block_rows=8)
+    shelves = index.blocks.select("grp", "shelf").distinct().count()
+    assert index.blocks.count() > 100 and shelves <= 17 and index.blocks.agg(F.sum("n")).first()[0] == 1200
+    probes = df.withColumnRenamed("id", "pid").selectExpr("pid", "grp", "embedding AS pvec", "CAST('inf' AS DOUBLE) AS bound")
+    visits = _visits(index, probes, lambda b: F.lit(True))
+    assert visits.count() == 1200 * shelves
+    assert visits.groupBy("pid").agg(F.sum("n").alias("n"), F.sum(F.size("blocks")).alias("b")).where(
+        F.col("n") + F.col("b") != 1200 + index.blocks.count()).isEmpty()
+    found = search(index, df.where("id LIKE '%5'").withColumnRenamed("id", "probe_id"), 5, exclude_self=True, chunk_rows=7)
+    got = {(r.pid, r.iid, r["rank"]) for r in found.rows.collect()}
+    assert got == brute([r for r in rows if r[0].endswith("5")], rows, 5, "l2", False)
