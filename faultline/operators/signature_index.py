@@ -15,6 +15,8 @@ from faultline.session import settled
 
 GRAM = 4
 LEAST_LITERAL = 3
+#: Regexes of a catalogue that is broadcast, some 200 bytes each; lines are shuffled, once for each of their grams, only for larger ones.
+BROADCAST_REGEXES = 50_000
 
 # The rules of ``sig.is_plain`` and ``sig.required_literal``, for a column.
 PLAIN = r"^(?:[A-Za-z0-9_ /'\-]|\\\.|\.\*|\\d(?:\{\d+\})?)+$"
@@ -29,9 +31,8 @@ def literal_of(regex: Column) -> Column:
 
 
 def grams(text: Column, size: int) -> Column:
-    starts = F.sequence(F.lit(1), F.char_length(text) - size + 1)
-    cut = F.transform(starts, lambda i: F.substring(text, i, F.lit(size)))
-    return F.when(F.char_length(text) >= size, F.array_distinct(cut)).otherwise(F.array().cast("array<string>"))
+    """The distinct runs of ``size`` letters, in one pass: a substring at every place would read the text from its start each time."""
+    return F.array_distinct(F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{size}}}))"), F.lit(1)))
 
 
 def build_signature_index(catalogue: DataFrame) -> DataFrame:
@@ -58,11 +59,12 @@ def build_signature_index(catalogue: DataFrame) -> DataFrame:
 def indexed_matches(lines: DataFrame, ids: list[str], index: DataFrame) -> DataFrame:
     """One row per match, as ``logs.line_matches`` gives them: ids, line_no, sig_idx, name, severity, rx_idx, pos, match."""
     folded = sig.folded(F.col("line"))
-    sizes = [r.size for r in index.select(F.char_length("gram").alias("size")).distinct().collect()]
+    sizes = {r["size"]: r["count"] for r in index.groupBy(F.char_length("gram").alias("size")).count().collect()}
     offered = F.flatten(F.array(*[grams(F.col("_folded"), size) for size in sorted(sizes)])) if sizes else F.array().cast("array<string>")
+    rules = index.select("gram", "literal", "sig_idx", "rx_idx", "regex", "name", "severity")
+    rules = F.broadcast(rules) if sum(sizes.values()) <= BROADCAST_REGEXES else rules
     rows = lines.select(*ids, "line_no", "line", folded.alias("_folded")).select("*", F.explode(offered).alias("gram"))
-    meeting = rows.join(index.select("gram", "literal", "sig_idx", "rx_idx", "regex", "name", "severity"), "gram").where(
-        F.contains("_folded", "literal"))
+    meeting = rows.join(rules, "gram").where(F.contains("_folded", "literal"))
     found = F.regexp_extract_all("line", F.concat(F.lit(sig.DIALECT), F.col("regex")), F.lit(0))
     return meeting.select(
         *ids, "line_no", "sig_idx", "name", "severity", "rx_idx", F.posexplode(found).alias("pos", "match"))

@@ -2,6 +2,7 @@
 
 import io
 import random
+import time
 from contextlib import redirect_stdout
 
 import pytest
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 from checks.views import TEMPLATES
 from faultline.functions import signatures as sig
 from faultline.operators import logs
-from faultline.operators.signature_index import build_signature_index, indexed_families, literal_of
+from faultline.operators.signature_index import build_signature_index, grams, indexed_families, indexed_matches, literal_of
 
 
 def test_literals_follow_the_same_rules(spark):
@@ -52,3 +53,25 @@ def test_what_cannot_be_indexed_is_an_error(spark):
         signature = sig.Signature("odd", "unknown", "low", (regex,), "d", "r")
         with pytest.raises(ValueError, match="no literal"):
             build_signature_index(sig.signature_catalog(spark, [signature]))
+
+
+def test_grams_of_odd_and_long_lines(spark):
+    """All overlapping runs of letters, each once; a long line takes one pass (a substring at every place took its square)."""
+    lines = ["", "abc", "abcd", "abcabca", "x\r äb\U0001f600cde"]
+    got = [set(r.g) for r in spark.createDataFrame([(x,) for x in lines], "t string").select(grams(F.col("t"), 4).alias("g")).collect()]
+    assert got[:4] == [set(), set(), {"abcd"}, {"abca", "bcab", "cabc"}]
+    assert {lines[4][i:i + 4] for i in range(len(lines[4]) - 3)} <= got[4]
+    long = spark.range(1).select(F.concat_ws(" ", F.transform(F.sequence(F.lit(1), F.lit(120_000)), lambda i: i.cast("string"))).alias("t"))
+    start = time.monotonic()
+    assert long.select(F.size(grams(F.col("t"), 4)).alias("n")).first().n > 10_000
+    assert time.monotonic() - start < 30
+
+
+def test_a_small_catalogue_is_broadcast(spark):
+    """Lines are not shuffled once for each of their grams."""
+    rules = spark.createDataFrame([(0, "disk", "unknown", "low", 0, "disk full.*E")], "sig_idx long, name string, category string, severity string, rx_idx int, regex string")
+    lines = spark.createDataFrame([(1, 0, "the DISK FULL on nodE"), (2, 0, "disk")], "k int, line_no int, line string")
+    found = indexed_matches(lines, ["k"], build_signature_index(rules))
+    assert [(r.k, r.match) for r in found.collect()] == [(1, "DISK FULL on nodE")]
+    plan = found._jdf.queryExecution().sparkPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
