@@ -38,12 +38,17 @@ from pyspark.sql import types as T
 
 from .common import held, mixed, text_pieces
 
-SAMPLES, ALPHA, OFFSET, BYTE_COST, PIECE_CHARS, CACHE_UNITS = 2, 0.2, 10.0, 4.0, 1_000_000, 120_000
+SAMPLES, ALPHA, OFFSET, BYTE_COST, PIECE_CHARS, CACHE_UNITS, DECODED_IDS = 2, 0.2, 10.0, 4.0, 1_000_000, 300_000, 1 << 18
 BLANK = "▁"
 #: Units: blanks and what follows; or, where no piece goes from letters to others or back, blanks and a run of either.
 COARSE_UNITS = re.compile(f"{BLANK}+[^{BLANK}\n]*|\n|[^{BLANK}\n]+").findall
 LETTER = r"[^\W\d_²³¹]"
 FINE_UNITS = re.compile(f"{BLANK}*{LETTER}+|{BLANK}*(?:[^\\w{BLANK}\n]|[\\d_²³¹])+|{BLANK}+|\n").findall
+#: The same for texts of characters up to here, with the letters written out, which the matcher looks up in a bitmap.
+LAST_PLAIN = 0x24F
+_PLAIN = "".join(re.findall(LETTER, "".join(map(chr, range(LAST_PLAIN + 1)))))
+FINE_PLAIN_UNITS = re.compile(f"{BLANK}*[{_PLAIN}]+|{BLANK}*[^{_PLAIN}{BLANK}\n]+|{BLANK}+|\n").findall
+ODD = re.compile(f"[^\0-{chr(LAST_PLAIN)}]").search
 CROSSING = re.compile(f"{LETTER}(?!{LETTER})[^{BLANK}]|(?!{LETTER})[^{BLANK}]{LETTER}").search
 STEP, LAP = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1B54A32D192ED03)
 #: Log weight from which on sets are drawn at once.  A variate is at least 2**-54, so one beyond has log y above 60.
@@ -78,8 +83,12 @@ class Pieces:
                 self.log_prob[i] = -math.log((rank if rank < n else n) + OFFSET)
                 self.text[i] = piece.replace(BLANK, " ").encode()
                 spelled[piece] = i
-        self.units = COARSE_UNITS if any(map(CROSSING, spelled)) else FINE_UNITS
+        coarse = any(map(CROSSING, spelled))
+        self.units, self.plain_units = (COARSE_UNITS, COARSE_UNITS) if coarse else (FINE_UNITS, FINE_PLAIN_UNITS)
         self.byte_log_prob = -math.log(n + OFFSET) - BYTE_COST
+        self.spelling = np.frombuffer(b"".join(self.text), np.uint8)
+        self.sizes = np.fromiter(map(len, self.text), np.int64, n)
+        self.starts = np.cumsum(self.sizes) - self.sizes
         values: dict[int, int] = {}
         for piece, i in spelled.items():
             key = np.uint64(0)
@@ -89,14 +98,46 @@ class Pieces:
                     values[int(key)] = i
                 else:
                     values.setdefault(int(key), -1)
-        self.keys = np.array(sorted(values), np.uint64)
-        self.ids = np.array([values[k] for k in self.keys.tolist()], np.int64)
+        ordered = sorted(values)
+        # A last entry that no key passes, and where the keys with each beginning start: they are hashes, so a few steps find one.
+        self.keys = np.array([*ordered, 2**64 - 1], np.uint64)
+        self.ids = np.array([*[values[k] for k in ordered], values.get(2**64 - 1, -2)], np.int64)
+        bits = max(1, len(ordered)).bit_length() + 1
+        self.shift = np.uint64(64 - bits)
+        self.buckets = np.searchsorted(self.keys, np.arange(1 << bits, dtype=np.uint64) << self.shift)
+
+    def split(self, text: str) -> list[str]:
+        """The units of a text."""
+        if not text:
+            return []
+        return (self.units if ODD(text) else self.plain_units)(BLANK + text.replace(" ", BLANK))
 
     def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Whether a key begins some piece, and the piece it is (-1 if none)."""
-        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
-        begun = self.keys[at] == keys
-        return begun, np.where(begun, self.ids[at], -1)
+        at = self.buckets[keys >> self.shift]
+        low = np.flatnonzero(self.keys[at] < keys)
+        while len(low):
+            at[low] += 1
+            low = low[self.keys[at[low]] < keys[low]]
+        ids = self.ids[at]
+        begun = (self.keys[at] == keys) & (ids >= -1)
+        return begun, np.where(begun, ids, -1)
+
+    def decode_many(self, many: list[np.ndarray]) -> Iterator[bytes]:
+        """What each of many lists of ids decodes to, by gathering the bytes of all."""
+        ids = np.concatenate(many) if many else np.zeros(0, np.int64)
+        sizes = self.sizes[ids]
+        parts = []
+        for at in range(0, len(ids), DECODED_IDS):
+            size = sizes[at:at + DECODED_IDS]
+            ends = np.cumsum(size)
+            places = np.repeat(self.starts[ids[at:at + DECODED_IDS]] - (ends - size), size)
+            places += np.arange(len(places))
+            parts.append(self.spelling[places].tobytes())
+        content = b"".join(parts)
+        bounds = np.r_[0, np.cumsum(sizes)][np.cumsum([0, *map(len, many)])].tolist()
+        for start, end in zip(bounds[:-1], bounds[1:], strict=True):
+            yield content[start + content.startswith(b" ", start, end):end]
 
     def decode(self, ids: list[int]) -> bytes:
         out = b"".join(map(self.text.__getitem__, ids))
@@ -111,7 +152,8 @@ class Growing:
     """An array that grows at its end without being copied each time."""
 
     def __init__(self, kind):
-        self.buffer, self.size = np.zeros(1 << 16, kind), 0
+        # Pages of zeros take no memory until they are written.
+        self.buffer, self.size = np.zeros(1 << 22, kind), 0
 
     def add(self, new: np.ndarray) -> None:
         if self.size + len(new) > len(self.buffer):
@@ -130,13 +172,15 @@ class Lattices:
 
     def __init__(self, pieces: Pieces, alpha: float):
         self.pieces, self.alpha = pieces, alpha
+        self.columns = [Growing(t) for t in (np.int64, np.int32, np.int32, np.float64, np.float64, np.bool_)]
         self.clear()
 
     def clear(self) -> None:
         self.start: dict[str, int] = {}
-        self.columns = [Growing(t) for t in (np.int64, np.int32, np.int32, np.float64, np.float64)]
+        for column in self.columns:
+            column.size = 0
         self.columns[0].add(np.zeros(1, np.int64))
-        self.first, self.to, self.piece, self.log_q, self.cum = (c.filled() for c in self.columns)
+        self.first, self.to, self.piece, self.log_q, self.cum, self.closing = (c.filled() for c in self.columns)
 
     def nodes(self, units: list[str]) -> np.ndarray:
         return np.fromiter(map(self.start.__getitem__, units), np.int64, len(units))
@@ -174,9 +218,10 @@ class Lattices:
         cum[(firsts + counts - 1)[counts > 0]] = 2.0
         base, held = len(self.first) - 1, len(self.to)
         self.start.update(zip(fresh, (starts + np.arange(len(fresh)) + base).tolist(), strict=True))
-        for column, new in zip(self.columns, (np.r_[firsts[1:], len(target)] + held, target + base, piece, log_q, cum), strict=True):
+        news = (np.r_[firsts[1:], len(target)] + held, target + base, piece, log_q, cum, counts[target] == 0)
+        for column, new in zip(self.columns, news, strict=True):
             column.add(new)
-        self.first, self.to, self.piece, self.log_q, self.cum = (c.filled() for c in self.columns)
+        self.first, self.to, self.piece, self.log_q, self.cum, self.closing = (c.filled() for c in self.columns)
 
     def edges(self, codes: np.ndarray, left: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """First character, length and piece of every edge; -1 - code point for a character without a piece."""
@@ -230,8 +275,9 @@ class Lattices:
         while len(active):
             edge = self.pick(state[active], uniform(seeds[active] + STEP * np.array([len(steps) + 1], np.uint64)))
             steps.append((active, edge))
+            on = ~self.closing[edge]
+            active, edge = active[on], edge[on]
             state[active] = self.to[edge]
-            active = active[~self.is_end(state[active])]
         counts = np.zeros(len(nodes), np.int64)
         for who, _ in steps:
             counts[who] += 1
@@ -265,28 +311,15 @@ class Search:
 
     key: np.uint64
     nodes: np.ndarray
+    own: np.ndarray
     paths: list[Path] = field(default_factory=list)
     used: dict[tuple[int, int], list[int]] = field(default_factory=dict)
 
-    def draw(self, sample: int, places: np.ndarray, kind: int) -> np.ndarray:
-        """Variates of this text; ``kind`` keeps different uses apart."""
-        own = mixed(np.array([self.key]) + STEP * np.array([sample + 1], np.uint64))
-        return uniform(own + LAP * np.array([kind], np.uint64) + STEP * places.astype(np.uint64))
-
-    def add(self, lattices: Lattices, edges, units, before, level: int, value: float) -> None:
-        """A new path, which shares all edges before ``level`` with an earlier one."""
+    def add(self, lattices: Lattices, edges, units, before, level: int, value: float) -> tuple[Search, int, int]:
+        """A new path, which shares all edges before ``level`` with an earlier one; what ``open_sets`` is to draw of it."""
         log_prob = float(before[-1] + lattices.log_q[edges[-1]]) if len(edges) else 0.0
         self.paths.append(Path(edges, units, before, log_prob, level, np.zeros(0), value))
-        self.open_sets(lattices, len(self.paths) - 1, level + int((before[level:] >= HORIZON).sum()))
-
-    def open_sets(self, lattices: Lattices, p: int, end: int) -> None:
-        """Draws the values of the sets that leave a path before its node ``end``."""
-        path = self.paths[p]
-        levels = np.arange(path.level + len(path.log_y), end)
-        with np.errstate(divide="ignore", over="ignore"):
-            weight = path.before[levels] + np.log(-np.expm1(lattices.log_q[path.edges[levels]]))
-            wait = np.log(-np.log(self.draw(p, levels, 1))) - weight
-            path.log_y = np.r_[path.log_y, np.logaddexp(path.value, wait)]
+        return self, len(self.paths) - 1, level + int(np.count_nonzero(before[level:] >= HORIZON))
 
     def best(self, lattices: Lattices) -> tuple[float, int, int]:
         """Value, path and level of the best set; an infinite value if none is left.
@@ -295,8 +328,7 @@ class Search:
         """
         found = self.best_open()
         if math.isinf(found[0]):
-            for p, path in enumerate(self.paths):
-                self.open_sets(lattices, p, len(path.edges))
+            open_sets(lattices, [(self, p, len(path.edges)) for p, path in enumerate(self.paths)])
             found = self.best_open()
         return found
 
@@ -308,15 +340,14 @@ class Search:
                 found = min(found, (float(path.log_y[at]), i, path.level + at))
         return found
 
-    def branch(self, lattices: Lattices, value: float, p: int, level: int) -> int:
-        """Takes an edge from the best set and leaves the rest of it with a new value."""
-        path, sample = self.paths[p], len(self.paths)
+    def branch(self, lattices: Lattices, value: float, p: int, level: int, u: float, wait: float) -> int:
+        """Takes an edge from the best set and leaves the rest of it with a new value, by two variates."""
+        path = self.paths[p]
         edge = int(path.edges[level])
         used = self.used.setdefault((p, level), [edge])
         node = self.source(lattices, edge)
         free = [e for e in range(int(lattices.first[node]), int(lattices.first[node + 1])) if e not in used]
         weights = np.exp(lattices.log_q[free])
-        u, wait = self.draw(sample, np.array([level, level + 1]), 2).tolist()
         chosen = min(int(np.searchsorted(np.cumsum(weights), u * weights.sum(), "right")), len(free) - 1)
         used.append(free[chosen])
         rest = float(weights.sum() - weights[chosen])
@@ -331,34 +362,67 @@ class Search:
         return int(np.searchsorted(lattices.first, edge, "right")) - 1
 
 
+def draw(own: np.ndarray, places: np.ndarray, kind: int) -> np.ndarray:
+    """Variates of texts by the seeds of a sample; ``kind`` keeps different uses apart."""
+    return uniform(own + LAP * np.array([kind], np.uint64) + STEP * places.astype(np.uint64))
+
+
+def open_sets(lattices: Lattices, asked: list[tuple[Search, int, int]]) -> None:
+    """Draws the values of the sets that leave paths (of a search, by number) before their node, for many texts at once."""
+    paths = [search.paths[p] for search, p, _ in asked]
+    starts = [path.level + len(path.log_y) for path in paths]
+    ends = [max(start, end) for start, (_, _, end) in zip(starts, asked, strict=True)]
+    if starts == ends:
+        return
+    spans = list(zip(paths, starts, ends, strict=True))
+    sizes = np.array(ends) - np.array(starts)
+    bounds = np.cumsum(sizes)
+    levels = np.arange(int(bounds[-1])) + np.repeat(np.array(starts) - (bounds - sizes), sizes)
+    own = np.repeat(np.array([search.own[p] for search, p, _ in asked], np.uint64), sizes)
+    edges = np.concatenate([path.edges[a:b] for path, a, b in spans])
+    with np.errstate(divide="ignore", over="ignore"):
+        weight = np.concatenate([path.before[a:b] for path, a, b in spans]) + np.log(-np.expm1(lattices.log_q[edges]))
+        wait = np.log(-np.log(draw(own, levels, 1))) - weight
+        log_y = np.logaddexp(np.repeat([path.value for path in paths], sizes), wait)
+    for path, a, b in zip(paths, (bounds - sizes).tolist(), bounds.tolist(), strict=True):
+        path.log_y = np.concatenate([path.log_y, log_y[a:b]]) if len(path.log_y) else log_y[a:b].copy()
+
+
 def top_segmentations(lattices: Lattices, texts: list[str], keys: np.ndarray, k: int) -> list[tuple[list[Path], float]]:
     """For each text the k best perturbed segmentations in order, and the log y of the next (infinite if there is none)."""
-    split = [lattices.pieces.units(BLANK + t.replace(" ", BLANK)) if t else [] for t in texts]
+    split = [lattices.pieces.split(t) for t in texts]
     if len(lattices.start) > CACHE_UNITS:
         lattices.clear()
     lattices.learn(set().union(*split))
-    searches = [Search(key, lattices.nodes(units)) for key, units in zip(keys, split, strict=True)]
-    for search, (edges, units) in zip(searches, walks(lattices, searches, [s.nodes for s in searches], 0), strict=True):
-        value = math.log(-math.log(float(search.draw(0, np.zeros(1), 3)[0])))
+    own = mixed(keys[:, None] + STEP * np.arange(1, k + 1, dtype=np.uint64))
+    searches = [Search(key, lattices.nodes(units), seeds) for key, units, seeds in zip(keys, split, own, strict=True)]
+    values = draw(own[:, 0], np.zeros(len(own)), 3).tolist()
+    opened = []
+    for search, u, (edges, units) in zip(searches, values, walks(lattices, searches, [s.nodes for s in searches], 0), strict=True):
         log_q = lattices.log_q[edges]
-        search.add(lattices, edges, units, np.cumsum(log_q) - log_q, 0, value)
+        opened.append(search.add(lattices, edges, units, np.cumsum(log_q) - log_q, 0, math.log(-math.log(u))))
+    open_sets(lattices, opened)
     for sample in range(1, k):
+        bests = [(search, *search.best(lattices)) for search in searches]
+        bests = [b for b in bests if not math.isinf(b[1])]
+        seeds, levels = np.array([b[0].own[sample] for b in bests], np.uint64), np.array([b[3] for b in bests], np.int64)
         chosen, starts = [], []
-        for search in searches:
-            value, p, level = search.best(lattices)
-            if math.isinf(value):
-                continue
-            edge = search.branch(lattices, value, p, level)
+        for (search, value, p, level), u, wait in zip(
+                bests, draw(seeds, levels, 2).tolist(), draw(seeds, levels + 1, 2).tolist(), strict=True):
+            edge = search.branch(lattices, value, p, level, u, wait)
             unit = int(search.paths[p].units[level])
             chosen.append((search, value, p, level, edge, unit))
-            starts.append(np.r_[lattices.to[edge], search.nodes[unit + 1:]])
+            starts.append(np.concatenate([lattices.to[edge:edge + 1], search.nodes[unit + 1:]]))
         free = walks(lattices, [c[0] for c in chosen], starts, sample)
+        opened = []
         for (search, value, p, level, edge, unit), (edges, units) in zip(chosen, free, strict=True):
             old = search.paths[p]
-            edges = np.r_[old.edges[:level], edge, edges]
+            edges = np.concatenate([old.edges[:level], [edge], edges])
             log_q = lattices.log_q[edges[level:]]
-            before = np.r_[old.before[:level], old.before[level] + np.cumsum(log_q) - log_q]
-            search.add(lattices, edges, np.r_[old.units[:level], unit, units + unit], before, level + 1, value)
+            before = np.concatenate([old.before[:level], old.before[level] + np.cumsum(log_q) - log_q])
+            units = np.concatenate([old.units[:level], [unit], units + unit])
+            opened.append(search.add(lattices, edges, units, before, level + 1, value))
+        open_sets(lattices, opened)
     return [(s.paths, s.best(lattices)[0]) for s in searches]
 
 
@@ -416,14 +480,14 @@ def sample_segmentations(docs: DataFrame, path: str, key: str = "doc_id", text:
                 at: list[int] = []
                 out: list[list] = [[] for _ in added]
                 for i, (paths, following) in enumerate(top_segmentations(lattices, texts[start:end], keys[start:end], k)):
-                    wanted = texts[start + i].replace(BLANK, " ").encode()
                     for number, one in enumerate(paths):
-                        ids = ids_of(lattices, one.edges)
                         at.append(start + i)
-                        row = (number + 1, ids, one.log_prob, -one.value, log_inclusion(one.log_prob, following),
-                               lattices.pieces.decode(ids.tolist()) == wanted)
-                        for column, value in zip(out, row, strict=True):
+                        row = (number + 1, ids_of(lattices, one.edges), one.log_prob, -one.value,
+                               log_inclusion(one.log_prob, following))
+                        for column, value in zip(out, row, strict=False):
                             column.append(value)
+                wanted = [t.replace(BLANK, " ").encode() for t in texts[start:end]]
+                out[5] = [decoded == wanted[i - start] for i, decoded in zip(at, lattices.pieces.decode_many(out[1]), strict=True)]
                 yield sampled_batch(batch, rest, at, out, schema.names)
 
     return rows.mapInArrow(run, schema)

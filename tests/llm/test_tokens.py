@@ -194,3 +194,32 @@ def test_reading_files_joins_nothing(spark):
     frame, _ = documents(spark)
     plan = token_files.token_file_index(frame, VOCABULARY, 2, file_rows=5)._jdf.queryExecution().toString()
     assert "Join" not in plan and "Broadcast" not in plan
+
+
+def test_variates_are_drawn_for_many_texts_at_once(monkeypatch):
+    """Samples cost a number of array steps that does not grow with the number of texts."""
+    lattices, calls, real = segmentation.Lattices(segmentation.Pieces(PIECES), 0.5), [], segmentation.uniform
+
+    def counted(seeds):
+        calls.append(len(seeds))
+        return real(seeds)
+
+    monkeypatch.setattr(segmentation, "uniform", counted)
+    steps = []
+    for n in (10, 200):
+        calls.clear()
+        segmentation.top_segmentations(lattices, ["the same text over and over"] * n, np.arange(n).astype(np.uint64), 2)
+        steps.append(len(calls))
+    assert steps[1] < 2 * steps[0]
+
+
+def test_units_and_decoding_of_plain_texts():
+    draw = random.Random(3)
+    pieces = segmentation.Pieces(PIECES)
+    texts = ["".join(draw.choice("ab Zé_9½²ª\n\t.,\x85\xa0ǅɏ▁") for _ in range(draw.randint(1, 40))) for _ in range(3000)]
+    shown = [segmentation.BLANK + t.replace(" ", segmentation.BLANK) for t in texts]
+    assert [segmentation.FINE_PLAIN_UNITS(t) for t in shown] == [segmentation.FINE_UNITS(t) for t in shown]
+    assert all("".join(pieces.split(t)) == s for t, s in zip(texts, shown, strict=True))
+    many = [np.array([draw.randrange(len(pieces.text)) for _ in range(draw.randint(0, 30))], np.int32) for _ in range(500)]
+    assert list(pieces.decode_many(many)) == [pieces.decode(ids.tolist()) for ids in many]
+    assert list(pieces.decode_many([])) == []
