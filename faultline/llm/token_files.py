@@ -19,6 +19,7 @@ texts; no rows give no files and no result rows; the start of a document counts
 from __future__ import annotations
 
 import array
+import gc
 import os
 import struct
 import uuid
@@ -49,15 +50,26 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        added = self.library.get_added_tokens_decoder()
-        self.specials = [t.content for t in added.values()]
-        self.end, self.end_text = next((i, t.content) for i, t in sorted(added.items()))
+        self.specials = [t.content for t in self.library.get_added_tokens_decoder().values()]
+        vocabulary, ending = self.library.get_vocab(), self.library.model.end_of_word_suffix
+        self.closes = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.closes[[i for token, i in vocabulary.items() if token.endswith(ending)]] = True
         self.chunks: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
         self.words: dict[str, bytes] = {}
         self.older_words: dict[str, bytes] = {}
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
+        # Strings, bytes and lists of them: the collector would go through millions of them and find no cycle.
+        collecting = gc.isenabled()
+        gc.disable()
+        try:
+            return self.looked_up(texts)
+        finally:
+            if collecting:
+                gc.enable()
+
+    def looked_up(self, texts: list[str | None]) -> list[bytes]:
         chunked = [t.split() if t and is_plain(t, self.specials) else None for t in texts]
         if len(self.chunks) > CACHE_CHUNKS:  # what recurs comes back from the older memory
             self.older, self.chunks = self.chunks, {}
@@ -92,13 +104,12 @@ class Encoder:
         return array.array("I", self.library.encode_batch_fast([text], add_special_tokens=False)[0].ids).tobytes()
 
     def words_ids(self, words: list[str]) -> list[bytes]:
-        """Ids of pre-tokens.  Many are encoded as one text with a special string between them, which no word holds."""
+        """Ids of pre-tokens.  Many are encoded as one text with blanks between them; the last id of each, and no other, closes a word."""
         out: list[bytes] = []
         for start in range(0, len(words), 1_000):
-            content = self.ids(self.end_text.join(words[start:start + 1_000]))
-            cuts = 4 * np.flatnonzero(np.frombuffer(content, "<u4") == self.end)
-            firsts, lasts = np.r_[0, cuts + 4].tolist(), np.r_[cuts, len(content)].tolist()
-            out += [content[a:b] for a, b in zip(firsts, lasts, strict=True)]
+            content = self.ids(" ".join(words[start:start + 1_000]))
+            ends = (4 * (np.flatnonzero(self.closes[np.frombuffer(content, "<u4")]) + 1)).tolist()
+            out += [content[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)]
         return out
 
 

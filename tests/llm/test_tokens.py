@@ -1,5 +1,6 @@
 """Token counts, token files and sampled segmentations against the libraries and brute force."""
 
+import gc
 import io
 import itertools
 import math
@@ -223,3 +224,24 @@ def test_units_and_decoding_of_plain_texts():
     many = [np.array([draw.randrange(len(pieces.text)) for _ in range(draw.randint(0, 30))], np.int32) for _ in range(500)]
     assert list(pieces.decode_many(many)) == [pieces.decode(ids.tolist()) for ids in many]
     assert list(pieces.decode_many([])) == []
+
+
+def test_words_are_encoded_together_without_special_strings(monkeypatch):
+    """Ids of many pre-tokens come from one plain text, and cut at the ids that close a word they are those of each by itself."""
+    draw = random.Random(8)
+    words = ["'s", "'ll", "7", "!!!", "</", "w", "é", "ǆ", *{"".join(draw.choice("abetinosré") for _ in range(draw.randint(1, 12))) for _ in range(2500)}]
+    encoder, shown = token_files.Encoder(VOCABULARY), []
+    real = encoder.ids
+    monkeypatch.setattr(encoder, "ids", lambda text: shown.append(text) or real(text))
+    found = encoder.words_ids(words)
+    assert len(shown) == -(-len(words) // 1_000) and not any(s in text for text in shown for s in encoder.specials)
+    assert found == [real(w) for w in words]
+    assert encoder.words_ids([]) == []
+
+
+def test_encoding_leaves_the_collector_as_it_was():
+    encoder = token_files.Encoder(VOCABULARY)
+    for set_to in (gc.disable, gc.enable):
+        set_to()
+        before = gc.isenabled()
+        assert encoder.encode(["a b", None]) and gc.isenabled() == before
