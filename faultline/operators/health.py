@@ -6,6 +6,9 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from faultline.operators.timeline import Timeline, asof_join, with_previous
 
+# Sources whose states one row of the scan carries; more take more rows, so a plan's width does not grow with their number.
+SOURCES_A_ROW = 16
+
 
 def normalize_source_checks(checks: DataFrame) -> DataFrame:
     """Probe outcomes as (reachable, latency_ms, error_message).
@@ -128,15 +131,28 @@ def sources_at(
 ) -> DataFrame:
     """(key, sources) for failures with any check before them.
 
-    The time line is keyed by source: each failure's key and time meet each configured source as a narrow row, and what
-    is found is gathered by key again.  Of a key that comes with several times the latest counts.
+    Sources are values of one time line, ``SOURCES_A_ROW`` of them in a group, so a failure's key and time go through the scan once
+    for a group, not once for each source.  Of a key that comes with several times the latest counts.
     """
     names = list(dict.fromkeys(sources))
-    asked = failures.groupBy(key).agg(F.max(time).alias(time)).select(
-        key, time, F.posexplode(F.array(*[F.lit(n) for n in names]).cast("array<string>")).alias("_place", "source_name"))
+    groups = range(-(-len(names) // SOURCES_A_ROW))
+    # One group is a time line without a key.
+    on = ["_group"] if len(groups) > 1 else []
+    asked = failures.groupBy(key).agg(F.max(time).alias(time))
+    if on:
+        asked = asked.withColumn("_group", F.explode(F.array(*[F.lit(g) for g in groups])))
+    number = F.array_position(F.array(*[F.lit(n) for n in names]).cast("array<string>"), F.col("source_name")) - 1
     shaped = checks.where(F.col("source_name").isin(names)).select(
-        "source_name", "last_checked", order, health_struct().alias("health"))
-    line = Timeline(shaped, "last_checked", {"health": F.col("health")}, (order,))
-    found = asof_join(asked, [line], ["source_name"], time).where("health IS NOT NULL")
-    listed = found.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("_place", "health"))).alias("_all"))
-    return listed.select(key, F.transform("_all", lambda x: x["health"]).alias("sources"))
+        F.floor(number / SOURCES_A_ROW).cast("int").alias("_group"), F.pmod(number, F.lit(SOURCES_A_ROW)).alias("_slot"),
+        "last_checked", order, health_struct().alias("health"))
+    slots = {f"_health{i}": F.when(F.col("_slot") == i, F.col("health")) for i in range(min(SOURCES_A_ROW, len(names)))}
+    none = F.array().cast(f"array<{dict(shaped.dtypes)['health']}>")
+    if not slots:
+        return asked.where("false").select(key, none.alias("sources"))
+    seen = asof_join(asked, [Timeline(shaped, "last_checked", slots, (order,))], on, time)
+    listed = F.filter(F.array(*[F.col(n) for n in slots]), lambda x: x.isNotNull())
+    found = seen.select(key, *on, listed.alias("sources")).where(F.size("sources") > 0)
+    if not on:
+        return found
+    ordered = F.sort_array(F.collect_list(F.struct("_group", "sources")))
+    return found.groupBy(key).agg(F.flatten(F.transform(ordered, lambda x: x["sources"])).alias("sources"))

@@ -6,7 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from faultline.operators.health import source_health_asof
+from faultline.operators.health import source_health_asof, sources_at
 from faultline.operators.history import history_asof
 from faultline.operators import timeline
 from faultline.operators.timeline import Timeline, asof_join, rolling_counts, segmented_scan, with_previous
@@ -122,6 +122,34 @@ def test_six_hundred_sources(spark):
     assert got == {1: [(n, newest[n]) for n in names], 2: [(f"s{i}", START + dt.timedelta(minutes=i)) for i in range(11)], 3: []}
 
 
+@pytest.mark.parametrize("n", [0, 1, 15, 16, 17, 40])
+def test_sources_at_with_ties_and_unused_sources(spark, monkeypatch, n):
+    """A failure meets the scan once for every 16 sources, not once for each."""
+    rng = random.Random(n)
+    checks = [(i, rng.choice([None, *(f"s{k}" for k in range(n + 2))]), START + dt.timedelta(minutes=rng.randint(0, 20)), float(i)) for i in range(300)]
+    frame = spark.createDataFrame(checks, "check_id int, source_name string, last_checked timestamp, latency_ms double")
+    for name, kind in (("source_type", "string"), ("reachable", "boolean"), ("error_message", "string"), ("row_count", "bigint"),
+                       ("row_count_previous", "bigint"), ("row_count_delta_pct", "double"), ("schema_changed", "boolean")):
+        frame = frame.withColumn(name, F.lit(None).cast(kind))
+    names = [f"s{k}" for k in reversed(range(n))]
+    asked = [(i, rng.choice([None, START + dt.timedelta(minutes=rng.randint(-2, 25))])) for i in range(60)] + [(5, START + dt.timedelta(minutes=30))]
+    fails = spark.createDataFrame(asked, "id int, failed_at timestamp")
+    scanned = []
+    written = timeline.settled
+    monkeypatch.setattr(timeline, "settled", lambda df, purpose: scanned.append(written(df, purpose)) or scanned[-1])
+    got = {r.id: [(s.source_name, s.latency_ms) for s in r.sources] for r in sources_at(fails, frame, [*names, *names], "id").collect()}
+    latest = {}
+    for i, at in asked:
+        latest[i] = max([t for t in (latest.get(i), at) if t is not None], default=None)
+    want = {}
+    for i, at in latest.items():
+        seen = {name: max(((t, c) for c, s, t, _ in checks if s == name and at and t <= at), default=None) for name in names}
+        if any(seen.values()):
+            want[i] = [(name, float(seen[name][1])) for name in names if seen[name]]
+    assert got == want
+    assert sum(t.where("_kind = 1").count() for t in scanned) == 60 * -(-n // 16)
+
+
 @pytest.mark.parametrize("inclusive", [True, False])
 @pytest.mark.parametrize("keys", [1, 3, 40])
 def test_segmented_scan(spark, keys, inclusive):
