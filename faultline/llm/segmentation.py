@@ -38,7 +38,9 @@ from pyspark.sql import types as T
 
 from .common import held, mixed, text_pieces
 
-SAMPLES, ALPHA, OFFSET, BYTE_COST, PIECE_CHARS, CACHE_UNITS, DECODED_IDS = 2, 0.2, 10.0, 4.0, 1_000_000, 300_000, 1 << 18
+SAMPLES, ALPHA, OFFSET, BYTE_COST, PIECE_CHARS, DECODED_IDS = 2, 0.2, 10.0, 4.0, 250_000, 1 << 18
+#: What a worker remembers; long units have many edges, so both are bounded.
+CACHE_UNITS, CACHE_EDGES = 120_000, 2_500_000
 BLANK = "▁"
 #: Units: blanks and what follows; or, where no piece goes from letters to others or back, blanks and a run of either.
 COARSE_UNITS = re.compile(f"{BLANK}+[^{BLANK}\n]*|\n|[^{BLANK}\n]+").findall
@@ -391,7 +393,7 @@ def open_sets(lattices: Lattices, asked: list[tuple[Search, int, int]]) -> None:
 def top_segmentations(lattices: Lattices, texts: list[str], keys: np.ndarray, k: int) -> list[tuple[list[Path], float]]:
     """For each text the k best perturbed segmentations in order, and the log y of the next (infinite if there is none)."""
     split = [lattices.pieces.split(t) for t in texts]
-    if len(lattices.start) > CACHE_UNITS:
+    if len(lattices.start) > CACHE_UNITS or len(lattices.to) > CACHE_EDGES:
         lattices.clear()
     lattices.learn(set().union(*split))
     own = mixed(keys[:, None] + STEP * np.arange(1, k + 1, dtype=np.uint64))

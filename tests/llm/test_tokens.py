@@ -179,6 +179,20 @@ def test_memory_of_counts_is_bounded(monkeypatch):
         assert len(made.words) <= 300 + 200 * 8 and len(made.chunks) <= 300 + 200
 
 
+def test_memory_of_lattices_is_bounded():
+    """Many units, and few long ones with many edges each."""
+    rng = random.Random(4)
+    lattices = segmentation.Lattices(segmentation.Pieces(public_tokenizers.path("piece_bpe_32k.model")), segmentation.ALPHA)
+    most = 0
+    for size in (6, 400):
+        for _ in range(20):
+            words = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=size)) for _ in range(60_000 // size)]
+            segmentation.top_segmentations(lattices, [" ".join(words)], np.array([1], np.uint64), 2)
+            most = max(most, sum(c.size * c.buffer.itemsize for c in lattices.columns))
+            assert len(lattices.start) <= 150_000
+    assert most < 90_000_000
+
+
 def test_rows_of_one_id_are_spread_over_files(spark):
     frame = spark.createDataFrame([(None, f"text number {i}") for i in range(200)] + [(7, f"seven {i}") for i in range(100)],
                                   "doc_id long, text string")
