@@ -16,8 +16,6 @@ from faultline.session import settled
 # Words that mark a line as part of the error, and the limits around them.
 ERROR_KEYWORDS = ["error", "exception", "traceback", "failed", "oom", "killed", "timeout"]
 LINES_BEFORE, LINES_AFTER, TAIL_LINES, TAIL_CHARS, TRUNCATED_ABOVE, KEY_LINES = 5, 10, 50, 2000, 100_000, 10
-# Of a line-wise log: matches listed for a family, and lines of a snippet that one row holds.
-FAMILY_MATCHES, SNIPPET_LINES = 10, 20_000
 
 
 def has_error_keyword(line: Column) -> Column:
@@ -173,14 +171,14 @@ def line_snippet(lines: DataFrame, ids: list[str]) -> DataFrame:
 
 def profile_lines(
     lines: DataFrame, ids: list[str], before: int = LINES_BEFORE, after: int = LINES_AFTER, tail: int = TAIL_LINES,
-    custom=None, key_lines: int = KEY_LINES, family_matches: int = FAMILY_MATCHES, snippet_lines: int = SNIPPET_LINES,
+    custom=None, key_lines: int = KEY_LINES, snippet_lines: int | None = None,
 ) -> DataFrame:
     """What ``profile_logs`` and ``match_logs`` say of a log, from its lines, one row for each log of ``ids``.
 
     ``lines`` (ids, line_no, line) are the text's lines in any order.  Nothing needs a log's lines in one place: bounds and
-    lengths are combined aggregates; key lines, matches, tail and snippet are cut to what they list in the map
-    tasks.  A family lists its first ``family_matches`` matches, and a snippet over ``snippet_lines`` lines its first and last
-    half, with a line between them that says how many are left out: the rest of a report has no such limits.
+    lengths are combined aggregates; key lines, tail and snippet are cut to what they list in the map tasks.  Families list all
+    their matches and snippets hold all their lines, as those of whole texts do.  Only a caller who gives ``snippet_lines`` gets the
+    first and last half of a longer snippet, with a line between them that says how many are left out.
     """
     families = sig.catalogue(custom)
     line, no = F.col("line"), F.col("line_no")
@@ -192,18 +190,18 @@ def profile_lines(
         (F.sum(F.char_length(line)) + F.count("*") - 1).alias("_chars"), F.max("line_no").alias("_end"))
     low = F.greatest("_from", F.coalesce(F.col("_first") - before, F.col("_to") + 1 - tail))
     high = F.least("_to", F.coalesce(F.col("_last") + after - 1, F.col("_to")))
-    half = snippet_lines // 2
     bounds = settled(bounds.withColumns({"_low": low, "_high": high}), "log-bounds")
 
-    kept = no.between(F.col("_low"), F.col("_high")) & (
-        (no < F.col("_low") + half) | (no > F.col("_high") - half) | (F.col("_high") - F.col("_low") < snippet_lines))
-    placed = lines.join(bounds.select(*ids, "_from", "_to", "_low", "_high"), ids).where(kept)
-    gap = F.col("_high") - F.col("_low") + 1 - 2 * half
-    cut = (F.col("_high") - F.col("_low") >= snippet_lines) & (no == F.col("_low") + half - 1)
+    placed = lines.join(bounds.select(*ids, "_from", "_to", "_low", "_high"), ids).where(no.between(F.col("_low"), F.col("_high")))
     # The stripped text has no white space before its first line and after its last one.
     shown = F.when(no == F.col("_from"), F.ltrim(line, F.lit(WHITE_SPACE))).otherwise(line)
     shown = F.when(no == F.col("_to"), F.rtrim(shown, F.lit(WHITE_SPACE))).otherwise(shown)
-    shown = F.when(cut, F.concat(shown, F.lit("\n... "), gap.cast("string"), F.lit(" lines left out ..."))).otherwise(shown)
+    if snippet_lines is not None:
+        half, long = snippet_lines // 2, F.col("_high") - F.col("_low") >= snippet_lines
+        placed = placed.where(~long | (no < F.col("_low") + half) | (no > F.col("_high") - half))
+        gap = F.col("_high") - F.col("_low") + 1 - 2 * half
+        cut = long & (no == F.col("_low") + half - 1)
+        shown = F.when(cut, F.concat(shown, F.lit("\n... "), gap.cast("string"), F.lit(" lines left out ..."))).otherwise(shown)
     snippets = placed.select(*ids, F.struct(no, shown.alias("text")).alias("_l")).groupBy(*ids).agg(
         F.array_join(F.transform(F.sort_array(F.collect_list("_l")), lambda x: x["text"]), "\n").alias("error_snippet"))
 
@@ -218,10 +216,8 @@ def profile_lines(
     keys = line_key_lines(hits, ids, custom, key_lines).groupBy(*ids).agg(
         F.transform(F.sort_array(F.collect_list(F.struct("line_no", "line"))), lambda x: x["line"]).alias("key_log_lines"))
     order = ["rx_idx", "line_no", "pos"]
-    listed = F.row_number().over(Window.partitionBy(*ids, "sig_idx").orderBy(*order))
-    per_family = (
-        line_matches(hits, ids, custom).withColumn("_n", listed).where(F.col("_n") <= family_matches)
-        .groupBy(*ids, "sig_idx").agg(F.sort_array(F.collect_list(F.struct(*order, "match"))).alias("_m")))
+    per_family = line_matches(hits, ids, custom).groupBy(*ids, "sig_idx").agg(
+        F.sort_array(F.collect_list(F.struct(*order, "match"))).alias("_m"))
     found = F.map_from_entries(F.collect_list(F.struct("sig_idx", F.transform("_m", lambda x: x["match"]).alias("m"))))
     # The families in severity order, as for whole texts.
     listed_families = F.filter(F.array(*[

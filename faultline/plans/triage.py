@@ -152,7 +152,7 @@ def line_profiles(log_lines: DataFrame, options: Options = Options()) -> DataFra
     custom = list(options.custom_signatures) if options.custom_signatures else None
     return logs.profile_lines(
         log_lines, context.LOG_KEYS, options.snippet_before, options.snippet_after, options.snippet_tail, custom,
-        options.max_key_lines, max(logs.FAMILY_MATCHES, options.max_evidence))
+        options.max_key_lines)
 
 
 def analyse(

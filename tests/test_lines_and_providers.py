@@ -44,6 +44,15 @@ def test_long_snippets_keep_both_ends(spark):
     assert got.split("\n") == [*body[:20], "... 962 lines left out ...", *body[-20:]]
 
 
+def test_lines_list_all_matches_and_snippets_in_full(spark):
+    body = ["error first", *[f"Connection refused {i}" for i in range(25)], *[f"line {i}" for i in range(21_000)], "killed last"]
+    rows = spark.createDataFrame([(1, "\n".join(body))], "id int, stdout string")
+    whole = logs.match_logs(logs.profile_logs(rows)).first()
+    got = logs.profile_lines(logs.explode_lines(rows, ["id"], stripped=False).repartition(5), ["id"]).first()
+    assert got.matches == whole.matches and max(len(m.matches) for m in got.matches) >= 25
+    assert got.error_snippet == whole.error_snippet == "\n".join(body)
+
+
 def test_files_are_numbered_by_many_tasks(spark, tmp_path):
     """Files of several splits and of one, with runs of empty lines and odd line ends."""
     draw = random.Random(6)
