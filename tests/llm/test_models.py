@@ -141,6 +141,76 @@ def test_exchange_gains(spark):
     assert len({of[c] for c in "abcd"}) == 1 and len({of[c] for c in "wxyz"}) == 1 and of["a"] != of["w"]
 
 
+def brute_best(matrix, choices, now, after, before):
+    """The class with the greatest likelihood of the class pairs after the move, tried one by one."""
+    def moved(to):
+        m = matrix.copy()
+        for c in range(len(m)):
+            m[now, c], m[to, c] = m[now, c] - after[c], m[to, c] + after[c]
+            m[c, now], m[c, to] = m[c, now] - before[c], m[c, to] + before[c]
+        return class_lm.likelihood(m)
+
+    return max(range(choices), key=moved)
+
+
+def test_every_word_is_clustered_and_scored_by_its_class(spark):
+    """All words of training, once or often there, broadcast or joined: class by best gain, pairs and scores by brute force."""
+    draw = random.Random(5)
+    lower = [[f"{a}{i}{draw.choice('xyz')}{draw.choice('uv')}" for i in range(30)] for a in "pq"]
+    texts = [" ".join(draw.choice(lower[i % 2][:draw.choice([3, 30])]) for i in range(draw.randint(0, 25))) for _ in range(120)]
+    rows = [(i, t, i % 5 == 0) for i, t in enumerate([*texts, None, "new words p0 here"])]
+    frame = spark.createDataFrame(rows, "doc_id int, text string, held boolean").repartition(3)
+    for frequent in (6, 20, 1_000):
+        options = {"frequent": frequent, "head": 4, "choices": 2, "rest": 3, "rounds": 2}
+        model, counts = class_lm.fit(frame.where("NOT held").select("text"), **options)
+        table = {r.word: (r.n, r.c) for r in counts.collect()}
+        learned = [(t or "").split() for _, t, held in rows if not held]
+        assert {w: n for w, (n, _) in table.items()} == Counter(w for t in learned for w in t) and len(table) == counts.count()
+        assert {c for _, c in table.values()} <= {0, 1}
+        # The suffix classes and the two classes of the head, from which all others moved at once.
+        top = sorted(table, key=lambda w: (-table[w][0], w))[:4]
+        start = {w: table[w][1] if w in top else 2 + class_lm.rest_class(w.encode(), 3) for w in table}
+        ids = [[5, *[start[w] for w in t], 5] for t in learned]
+        matrix = np.zeros((6, 6))
+        for t in ids:
+            np.add.at(matrix, (t[:-1], t[1:]), 1)
+        sides = {w: np.zeros((2, 6)) for w in table}
+        for t, i in zip(learned, ids):
+            for at, w in enumerate(t, 1):
+                sides[w][0, i[at + 1]] += 1
+                sides[w][1, i[at - 1]] += 1
+        for w in set(table) - set(top):
+            assert table[w][1] == class_lm.best_class(matrix, start[w], *sides[w], 2), w
+            # Without a neighbour of its own class the gain is that of the move itself.
+            if not sides[w][:, start[w]].any():
+                assert table[w][1] == brute_best(matrix, 2, start[w], *sides[w])
+        of = lambda w: table[w][1] if w in table else 2 + class_lm.rest_class(w.encode(), 3)
+        matrix = np.zeros((6, 6))
+        for t in learned:
+            t = [5, *map(of, t), 5]
+            np.add.at(matrix, (t[:-1], t[1:]), 1)
+        n, ends = sum(k for k, _ in table.values()), len(learned)
+        size = [0.5 + sum(k + 0.5 for k, x in table.values() if x == c) for c in range(5)] + [1 + ends]
+        follow = (matrix + class_lm.ADDED) / (matrix.sum(1, keepdims=True) + class_lm.ADDED * 6)
+
+        def score(text):
+            total, previous = 0.0, 5
+            for w in [*(text or "").split(), None]:
+                c, k = (5, ends) if w is None else (of(w), table.get(w, (0, 0))[0])
+                p = class_lm.WEIGHT * follow[previous, c] * (k + 0.5) / size[c]
+                total += math.log10(p + (1 - class_lm.WEIGHT) * (k + 0.5) / (n + ends + 0.5 * (len(table) + 2)))
+                previous = c
+            return total
+
+        for out in (class_lm.score(frame, model, counts), class_lm.score_texts(frame, ~F.col("held"), **options)):
+            got = {r.doc_id: r for r in out.collect()}
+            assert len(got) == len(rows)
+            for i, text, held in rows:
+                words = (text or "").split()
+                assert (got[i].held, got[i].n_tokens, got[i].n_known) == (held, len(words) + 1, sum(w in table for w in words) + 1)
+                assert got[i].score == pytest.approx(score(text))
+
+
 def test_class_model_of_nothing(spark):
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert class_rows(empty) == []
