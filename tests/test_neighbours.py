@@ -1,9 +1,11 @@
 """The neighbour join against brute force, on clusters, copies and small blocks."""
 
 import numpy as np
+import pandas as pd
 import pytest
 
 from faultline.functions.vectors import similarity_score
+from faultline.operators import neighbours
 from faultline.operators.incidents import similar_incidents, text_similar_incidents
 from faultline.operators.neighbours import _visits, build_index, nearest_incidents, search
 from pyspark.sql import functions as F
@@ -137,3 +139,26 @@ def test_a_vector_travels_by_shelf_not_by_block(spark):
     found = search(index, df.where("id LIKE '%5'").withColumnRenamed("id", "probe_id"), 5, exclude_self=True, chunk_rows=7)
     got = {(r.pid, r.iid, r["rank"]) for r in found.rows.collect()}
     assert got == brute([r for r in rows if r[0].endswith("5")], rows, 5, "l2", False)
+
+
+def test_blocks_search_under_the_bound_of_earlier_ones(monkeypatch):
+    """Few pairs are ranked exactly, and vectors that single precision cannot tell apart are still ranked right."""
+    rng = np.random.default_rng(5)
+    wide, close = rng.normal(size=(2000, 24)), np.r_[rng.normal(size=(3, 24)) * 900] .repeat(100, 0) + rng.normal(size=(300, 24)) * 1e-4
+    pairs = []
+    exact = neighbours._exact
+    monkeypatch.setattr(neighbours, "_exact", lambda a, b, i, j: pairs.append(len(i)) or exact(a, b, i, j))
+    for vectors, most in ((wide, 120), (close, 300), (np.r_[wide[:40], wide[:40]], 80)):
+        left = pd.DataFrame({"pid": np.arange(len(vectors)), "pvec": list(vectors), "bound": np.inf,
+                             "blocks": [np.arange(-(-len(vectors) // 20))] * len(vectors)})
+        right = pd.DataFrame({"no": np.arange(len(vectors)) // 20, "iid": np.arange(len(vectors)), "ivec": list(vectors)})
+        pairs.clear()
+        got = neighbours._search(left, right.sample(frac=1, random_state=1), 5, False, True, tile=64)
+        assert sum(pairs) / len(vectors) < most
+        found = {}
+        for p, i, d in zip(got["pid"], got["iid"], got["distance"]):
+            found.setdefault(p, []).append((d, i))
+        for p in range(0, len(vectors), 7):
+            want = sorted((((vectors[p] - v) ** 2).sum(), i) for i, v in enumerate(vectors) if str(i) != str(p))[:5]
+            assert [i for _, i in found[p]] == [i for _, i in want]
+            assert [d for d, _ in found[p]] == pytest.approx([d for d, _ in want])
