@@ -7,6 +7,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -211,6 +212,25 @@ def test_every_word_is_clustered_and_scored_by_its_class(spark):
                 assert got[i].score == pytest.approx(score(text))
 
 
+def test_pieces_of_codes_hold_whole_texts(monkeypatch):
+    draw = random.Random(9)
+    rare = [draw.sample(["x", "y", "z", "ü"], draw.randint(0, 4)) for _ in range(30)]
+    codes = [[draw.randrange(5 + len(r)) for _ in range(draw.choice([0, 3, 40]))] for r in rare]
+    batch = pa.RecordBatch.from_arrays(
+        [pa.array([np.array(c, np.int32).tobytes() for c in codes], pa.binary()), pa.array(rare, pa.list_(pa.string()))],
+        names=["codes", "rare"]).slice(2)
+    monkeypatch.setattr(class_lm, "PIECE_CODES", 50)
+    got, sizes = [], []
+    for piece, s in class_lm.sequences(iter([batch, batch.slice(0, 0)]), 5):
+        words = [*range(5), *s.rare.to_pylist(), None]
+        named = [words[c] for c in s.codes]
+        assert [named[i] for i in s.starts] == [None] * (piece.num_rows + 1)
+        got += [named[a + 1:b] for a, b in zip(s.starts[:-1], s.starts[1:])]
+        sizes.append(len(named) - piece.num_rows - 1)
+    assert got == [[c if c < 5 else r[c - 5] for c in cs] for cs, r in zip(codes[2:], rare[2:])]
+    assert len(sizes) > 5 and max(sizes) <= 50
+
+
 def test_class_model_of_nothing(spark):
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert class_rows(empty) == []
